@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import block_naming, bpe_fst
+from . import block_naming, bound_packing, bpe_fst, site_quality, token_files, url_automaton
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+RULES = [
+    url_automaton.Rule("net", "/", "block"),
+    url_automaton.Rule("example.net", "/en/", "allow"),
+    url_automaton.Rule("example.com", "/de/", "block"),
+    url_automaton.Rule("org", "/fr/", "allow"),
+]
+BLOCKED_HOSTS = ["*spam-farm*", "*cheap-pills*", "*casino*"]
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +28,36 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup)}
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op6_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound_packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+
+
+def op10_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_automaton.judge(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op4_site_quality, op6_bound_packing, op8_token_files, op10_url_automaton)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
+    "op10_url_automaton": """
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+        t AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+        r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(rh, rp, verdict)),
+        m AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict FROM h, r
+              WHERE ends_with('.' || host, '.' || rh) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host = '' OR host LIKE '%spam-farm%' OR host LIKE '%cheap-pills%' OR host LIKE '%casino%' THEN 'block' ELSE 'allow' END) AS verdict
+        FROM h LEFT JOIN m USING (page_id)""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bound_packing, bpe_fst, site_quality, token_files, url_automaton
+from . import block_naming, bound_packing, bpe_fst, bwt_dedup, cover_dedup, site_quality, token_files, url_automaton
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,10 +28,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.remove(table(spark, sf_dir, "documents"), length=50)
+
+
 def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
+def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove(table(spark, sf_dir, "documents"), length=100)
+
+
 def op6_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound_packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
@@ -44,7 +52,7 @@ def op10_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_automaton.judge(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op4_site_quality, op6_bound_packing, op8_token_files, op10_url_automaton)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op3_cover_dedup, op4_site_quality, op5_bwt_dedup, op6_bound_packing, op8_token_files, op10_url_automaton)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

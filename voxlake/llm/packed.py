@@ -46,10 +46,12 @@ class Chunks:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(partitions(spark), -(-total // chunk_bytes))
         self.keys = even_keys(spark, self.n)
-        lookup = F.array(*(F.lit(k) for k in self.keys)) if self.n <= 4096 else None
-        place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(LAST))), F.lit(self.n))
-        chunk: Column = F.element_at(lookup, (place + 1).cast("int")).cast("long") if lookup is not None else place
-        self.docs = docs.withColumn("chunk", chunk).repartition(self.n, "chunk")
+        self.docs = docs.withColumn("chunk", self.place(F.col("doc_id"))).repartition(self.n, "chunk")
+
+    def place(self, doc_id: Column) -> Column:
+        """The chunk of a doc_id."""
+        place = F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(LAST))), F.lit(self.n))
+        return F.element_at(F.array(*(F.lit(k) for k in self.keys)), (place + 1).cast("int")).cast("long") if self.n <= 4096 else place
 
     def send(self, make: Callable[[pa.Table], list[list]]) -> DataFrame:
         """Messages of each chunk; ``make`` gets its documents and returns [bucket number, a, b, c, d] lists."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bound_packing, bpe_fst, bwt_dedup, cover_dedup, partition_join, site_quality, token_files, url_automaton
+from . import block_naming, bound_packing, bpe_fst, bwt_dedup, cover_dedup, cover_tree, partition_join, site_quality, token_files, url_automaton
 from .common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -44,6 +44,10 @@ def op6_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound_packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
@@ -56,7 +60,7 @@ def op10_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_automaton.judge(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op3_cover_dedup, op4_site_quality, op5_bwt_dedup, op6_bound_packing, op8_token_files, op9_partition_join, op10_url_automaton)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_exact_dedup, op3_cover_dedup, op4_site_quality, op5_bwt_dedup, op6_bound_packing, op7_cover_tree, op8_token_files, op9_partition_join, op10_url_automaton)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

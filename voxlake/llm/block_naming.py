@@ -100,11 +100,11 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, key=route_key) -> DataFrame
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    kept = written(exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_sha")), docs.sparkSession)
-    out = docs.withColumn("_sha", F.sha2(F.encode(folded(F.col("text")), "UTF-8"), 256))
-    both = out["doc_id"].eqNullSafe(kept["doc_id"]) & (out["_sha"] == kept["_sha"])
+    kept = written(exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__sha")), docs.sparkSession)
+    out = docs.withColumn("__sha", F.sha2(F.encode(folded(F.col("text")), "UTF-8"), 256))
+    both = out["doc_id"].eqNullSafe(kept["doc_id"]) & (out["__sha"] == kept["__sha"])
     out = out.join(kept, both, "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():  # rows with one doc_id and one text
-        out = out.dropDuplicates(["doc_id", "_sha"])
-    return out.drop("_sha")
+        out = out.dropDuplicates(["doc_id", "__sha"])
+    return out.drop("__sha")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import doc_slices, split_by, windows, word_hashes
-from .packed import Chunks, array, ids_of, shared_flags
+from .packed import CHUNK, Chunks, array, ids_of, shared_flags
 
 #: Perfect difference sets: modulus and cover.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -194,7 +194,7 @@ def _result(docs: pa.Table, words: Words, removed: np.ndarray, rewrite: bool) ->
         else:
             digests.append(hashlib.sha256(joined).hexdigest())
     if rewrite:
-        out = docs.drop_columns(["chunk"])
+        out = docs.drop_columns([CHUNK])
         out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         if "n_chars" in out.schema.names:
             old = out.column("n_chars").to_pylist()

@@ -22,6 +22,8 @@ from .common import partitions
 
 #: Text of a chunk, about.
 CHUNK_BYTES = 32 << 20
+#: The column that a document's chunk is in; a name that no table is likely to have.
+CHUNK = "__chunk"
 MESSAGE = "bucket long, chunk long, a binary, b binary, c binary, d binary"
 MESSAGE_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcd")])
 LAST = np.iinfo(np.int64).max
@@ -46,7 +48,7 @@ class Chunks:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(partitions(spark), -(-total // chunk_bytes))
         self.keys = even_keys(spark, self.n)
-        self.docs = docs.withColumn("chunk", self.place(F.col("doc_id"))).repartition(self.n, "chunk")
+        self.docs = docs.withColumn(CHUNK, self.place(F.col("doc_id"))).repartition(self.n, CHUNK)
 
     def place(self, doc_id: Column) -> Column:
         """The chunk of a doc_id."""
@@ -60,7 +62,7 @@ class Chunks:
         def run(key, docs):
             return message_table(make(in_order(docs)), keys, key[0].as_py())
 
-        return self.docs.groupBy("chunk").applyInArrow(run, MESSAGE)
+        return self.docs.groupBy(CHUNK).applyInArrow(run, MESSAGE)
 
     def send_after(self, answers: DataFrame, make: Callable[[pa.Table, list[dict]], list[list]]) -> DataFrame:
         keys = self.keys
@@ -68,7 +70,7 @@ class Chunks:
         def run(key, docs, got):
             return message_table(make(in_order(docs), answer_rows(got)) if docs.num_rows else [], keys, key[0].as_py())
 
-        return self.docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, MESSAGE)
+        return self.docs.groupBy(CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(run, MESSAGE)
 
     def settle(self, messages: DataFrame, judge: Callable[[list[dict]], list[tuple]]) -> DataFrame:
         """Answers; ``judge`` gets a bucket's messages in order of chunk and returns (message number, a, b, c, d)."""
@@ -86,7 +88,7 @@ class Chunks:
         def run(key, docs, got):
             return make(in_order(docs), answer_rows(got))
 
-        return self.docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, kind)
+        return self.docs.groupBy(CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(run, kind)
 
 
 def in_order(docs: pa.Table) -> pa.Table:

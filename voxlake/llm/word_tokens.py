@@ -6,7 +6,9 @@ of its words one after another; each distinct word is encoded once and kept.
 
 from __future__ import annotations
 
+import json as json_module
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +23,31 @@ def read_json(path: str) -> str:
         return f.read()
 
 
+#: A normaliser and pattern for which words of simple characters can be cut here.
+KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Below U+0250: no character that NFC changes, letters and digits written out, no white space.
+LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+SIMPLE = re.compile("[!-~¡-įı-ɏ]*").fullmatch
+CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+").findall
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in prints else next(spare)) for b in range(256)]
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class WordIds:
-    """``encode(texts)``: ids of each text as an array; null is empty."""
+    """``encode(texts)``: ids of each text as an array; null is empty.
+
+    With the normaliser and pattern above, a new word of simple characters is cut into the pattern's pieces here, and
+    only new pieces go through the tokenizer's model; other words go through the whole tokenizer.
+    """
 
     def __init__(self, json: str, specials_are_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,6 +57,35 @@ class WordIds:
         self.tokenizer.encode_special_tokens = specials_are_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        parts = json_module.loads(json)
+        normal, split = parts.get("normalizer") or {}, (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        self.cuts = (
+            normal.get("normalizers") == KNOWN_NORMALIZER and len(split) == 2 and split[0].get("pattern") == {"Regex": KNOWN_PATTERN}
+            and split[0].get("behavior") == "Removed" and split[0].get("invert") and split[1].get("type") == "ByteLevel" and not split[1].get("use_regex") and not split[1].get("add_prefix_space")
+            and (specials_are_text or not parts.get("added_tokens"))
+        )
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHE_LIMIT:
+                self.pieces.clear()
+            letters = piece if piece.isascii() else "".join(map(BYTE_LETTERS.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype=self.dtype).tobytes()
+        return ids
+
+    def _words(self, words: list[str]) -> None:
+        rest, known, piece = [], self.known, self._piece
+        for word in words:
+            if self.cuts and SIMPLE(word) and SIMPLE(low := word.lower()):
+                known[word] = b"".join(map(piece, CUT(low)))
+            else:
+                rest.append(word)
+        for i in range(0, len(rest), 8192):
+            part = rest[i : i + 8192]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
@@ -39,11 +93,7 @@ class WordIds:
         if len(self.known) + len(new) > CACHE_LIMIT:
             self.known = {"": b""}
             new = set().union(*words)
-        todo = list(new)
-        for i in range(0, len(todo), 8192):
-            part = todo[i : i + 8192]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
+        self._words(list(new))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), dtype=self.dtype) for w in words]
 

@@ -94,7 +94,7 @@ class Chunks:
 def in_order(docs: pa.Table) -> pa.Table:
     """By doc_id, then text; a null doc_id last."""
     docs = docs.combine_chunks()
-    order = pc.sort_indices(docs.column("doc_id"), null_placement="at_end").to_numpy()
+    order = pc.sort_indices(docs.column("doc_id"), null_placement="at_end").to_numpy().copy()
     ids = pc.fill_null(docs.column("doc_id"), LAST).to_numpy()[order]
     ties = np.flatnonzero(ids[1:] == ids[:-1])
     if len(ties):

@@ -54,6 +54,8 @@ def anchors(words: Words, length: int, modulus: int) -> tuple[np.ndarray, np.nda
 
 def _distinct(at: np.ndarray, keys: np.ndarray, doc: np.ndarray, buckets: int):
     """bucket, distinct keys, and whether each is in more than one document; always in the same order."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     first = np.ones(len(s), bool)

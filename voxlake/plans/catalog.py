@@ -644,7 +644,7 @@ def iterative(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.small_reconstruction(spark, d)
 
 
-QUERIES["resire_small"] = iterative
+QUERIES["small_reconstruction"] = iterative
 
 
 @query()

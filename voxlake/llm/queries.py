@@ -67,6 +67,24 @@ ORACLE_SQL = {
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
+    "op3_cover_dedup": r"""
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents),
+        r AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER f = 50 THEN string_agg(word, ' ') OVER f END AS run FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        m AS (SELECT run, min(doc_id) AS least FROM r WHERE run IS NOT NULL GROUP BY run),
+        g AS (SELECT doc_id, i, word, coalesce(max(CASE WHEN least < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM r LEFT JOIN m USING (run)),
+        s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM g GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)""",
+    "op9_partition_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda p: array_to_string(ws[p:p+3], ' ')) END) AS sh FROM w),
+        t AS (SELECT doc_id, len(sh) AS n, hash(list_sort(sh)) AS f, sh FROM s),
+        rep AS (SELECT min(doc_id) AS id, n, f, any_value(sh) AS sh FROM t WHERE n > 0 GROUP BY n, f),
+        x AS (SELECT id, n, unnest(sh) AS k FROM rep),
+        p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.k = b.k AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        reach(id, c) AS (SELECT id, id FROM rep UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.id WHERE reach.c < e.b),
+        lab AS (SELECT id, min(c) AS component FROM reach GROUP BY id)
+        SELECT t.doc_id, t.n AS n_shingles, coalesce(component, t.doc_id) AS component_id FROM t LEFT JOIN rep ON t.n = rep.n AND t.f = rep.f LEFT JOIN lab ON lab.id = rep.id""",
     "op10_url_automaton": """
         WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
         t AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),

@@ -33,6 +33,8 @@ from .packed import Chunks, array, ids_of
 
 #: Cost of verifying a pair, in index entries.
 PAIR_COST = 30.0
+#: Counters of a set's sketch.
+SKETCH = 512
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -157,15 +159,36 @@ def candidate_groups(messages: DataFrame, n: int) -> DataFrame:
     return messages.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, "g long, x long, y long")
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Tokens by hash in ``SKETCH`` counters of a byte.  The counters of two sets differ by no more than the sets do."""
+    return np.minimum(np.bincount((mix(tokens) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _placed(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with n and a column of both sets."""
+    at = sets.select("id", "n", column)
+    out = pairs.join(at.toDF("x", "nx", "sx"), "x")
+    return out.join(at.toDF("y", "ny", "sy"), "y")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose sets' common part is at least num / den of their union."""
+    """The pairs (x, y) whose sets' common part is at least num / den of their union.
+
+    Sizes and sketches, which only drop pairs that can't link, come first; whole sets are sent for the rest.
+    """
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
-    def run(batches):
+    def close(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sx", "sy"))
+            total = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+            most = total - 2 * -(-num * total // (num + den))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], schema=schema).filter(pa.array(np.abs(a - b).sum(axis=1) <= most))
+
+    def exact(batches):
         for batch in batches:
-            cols = [batch.column(c) for c in ("sx", "sy")]
             keep = []
-            for a, b in zip(*(c.to_pylist() for c in cols)):
+            for a, b in zip(*(batch.column(c).to_pylist() for c in ("sx", "sy"))):
                 a, b = array(a, np.uint64), array(b, np.uint64)
                 if len(a) > len(b):
                     a, b = b, a
@@ -173,10 +196,9 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * common >= num * (len(a) + len(b) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    n = F.col("nx") * den >= F.col("ny") * num
-    placed = pairs.join(sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx")), "x")
-    placed = placed.join(sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy")), "y")
-    return placed.where(n & (F.col("ny") * den >= F.col("nx") * num)).select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
+    rest = written(_placed(pairs, sets, "k").where(fits).mapInArrow(close, "x long, y long").distinct(), pairs.sparkSession)
+    return _placed(rest, sets, "s").mapInArrow(exact, "x long, y long").distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -234,7 +256,7 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
 
     def receive(docs: pa.Table, answers: list[dict]):
         sets = own_sets(docs, answers)
-        return pa.table({"id": pa.array([x for x, _ in sets], pa.int64()), "n": pa.array([len(s) for _, s in sets], pa.int64()), "s": pa.array([s.tobytes() for _, s in sets], pa.binary())})
+        return pa.table({"id": pa.array([x for x, _ in sets], pa.int64()), "n": pa.array([len(s) for _, s in sets], pa.int64()), "s": pa.array([s.tobytes() for _, s in sets], pa.binary()), "k": pa.array([sketch(s) for _, s in sets], pa.binary())})
 
     def at_chunks(ids: DataFrame) -> DataFrame:
         return ids.select("id", chunks.place(F.col("id")).alias("chunk")).repartition(n, "chunk")
@@ -243,7 +265,7 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
     groups = written(found.where("g IS NOT NULL").select("g", "x").distinct(), spark)
     pairs = _ordered(found.where("g IS NULL").select("x", "y"))
     ids = groups.select("x").union(found.where("g IS NULL").select("x")).union(found.where("g IS NULL").select("y")).distinct().withColumnRenamed("x", "id")
-    sets = written(chunks.receive(at_chunks(ids), receive, "id long, n long, s binary"), spark)
+    sets = written(chunks.receive(at_chunks(ids), receive, "id long, n long, s binary, k binary"), spark)
 
     hub = groups.groupBy("g").agg(F.min("x").alias("y"))
     tested = written(_ordered(groups.join(hub, "g").select("x", "y").unionByName(pairs)), spark)

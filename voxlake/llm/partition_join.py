@@ -11,7 +11,7 @@ those; only the few others (probers) are, with all that have the same segment em
 
 Sets with one signature form a group.  Copies are one set.  Groups aren't expanded: each member is verified against
 the group's first, then against its best-linked member, and only members whose components still differ are compared
-with one another.  Verification counts the exact intersection.
+with one another, by sketches in blocks that return no more than what passes.  Verification counts the exact intersection.
 
 Defined results: null and empty texts have an empty set and no links; with fewer words than a shingle the whole
 sequence is the only shingle; repeated rows are copies; rows with one doc_id are one vertex.
@@ -35,6 +35,8 @@ from .packed import Chunks, array, ids_of
 PAIR_COST = 30.0
 #: Counters of a set's sketch.
 SKETCH = 512
+#: Members of a block of a family.
+FAMILY = 1024
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -201,6 +203,50 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _placed(rest, sets, "s").mapInArrow(exact, "x long, y long").distinct()
 
 
+def _mixed(groups: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """x and its component c in ``linked``; and g, x, c of the groups whose members are in several components."""
+    labels = written(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))), linked.sparkSession)
+    named = groups.join(labels.withColumnRenamed("id", "x"), "x", "left").select("g", "x", F.coalesce("component", "x").alias("c"))
+    mixed = named.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
+    return labels, written(named.join(mixed, "g"), linked.sparkSession)
+
+
+def within_families(tested: DataFrame, labels: DataFrame, open_rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """x, y: pairs of different components that sizes and sketches let link, among all that groups tie together.
+
+    A family is what first and later members of groups join, so every pair of a group is inside one, and is looked at
+    once however many groups share it.  Families are cut into blocks of at most ``FAMILY`` members; a task holds two
+    blocks' sketches and returns only the pairs that pass.
+    """
+    families = components(tested.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("id", "family")
+    members = families.join(labels.toDF("id", "c"), "id", "left").select("id", "family", F.coalesce("c", "id").alias("c"))
+    wanted = open_rows.select(F.col("x").alias("id")).distinct().join(families, "id").select("family").distinct()
+    sizes = members.join(wanted, "family", "left_semi").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("blocks"))
+    rows = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.select("id", "n", "k"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).select("family", "lo", "hi", "block", "id", "c", "n", "k")
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(key, got):
+        block, ids, comp, n = (got.column(c).to_numpy() for c in ("block", "id", "c", "n"))
+        sketches = np.frombuffer(b"".join(got.column("k").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        left = np.flatnonzero(block == key[1].as_py())
+        right = np.flatnonzero(block == key[2].as_py())
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for i in left.tolist():
+            fits = right[(comp[right] != comp[i]) & (n[right] * den >= n[i] * num) & (n[i] * den >= n[right] * num)]
+            if key[1] == key[2]:
+                fits = fits[ids[fits] > ids[i]]
+            if len(fits):
+                total = n[fits] + n[i]
+                near = fits[np.abs(sketches[fits] - sketches[i]).sum(axis=1) <= total - 2 * -(-num * total // (num + den))]
+                found.append((np.full(len(near), ids[i]), ids[near]))
+        x, y = map(np.concatenate, zip(*found))
+        return pa.table([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], schema=schema)
+
+    return rows.groupBy("family", "lo", "hi").applyInArrow(run, "x long, y long").distinct()
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x < y").distinct()
 
@@ -270,23 +316,17 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
     hub = groups.groupBy("g").agg(F.min("x").alias("y"))
     tested = written(_ordered(groups.join(hub, "g").select("x", "y").unionByName(pairs)), spark)
     linked = written(verify(tested, sets, num, den), spark)
-    for last in (False, True):
-        labels = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        named = groups.join(labels.withColumnRenamed("id", "x"), "x", "left").select("g", "x", F.coalesce("component", "x").alias("c"))
-        mixed = named.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
-        open_rows = written(named.join(mixed, "g"), spark)
-        if open_rows.isEmpty():
-            break
-        if last:
-            other = open_rows.select("g", F.col("x").alias("y"), F.col("c").alias("d"))
-            more = open_rows.join(other, "g").where("x < y AND c <> d")
-        else:
-            degree = linked.select(F.explode(F.array("x", "y")).alias("x")).groupBy("x").count()
-            best = open_rows.join(degree, "x", "left").groupBy("g").agg(F.max(F.struct(F.coalesce("count", F.lit(0)).alias("k"), (-F.col("x")).alias("m"), F.col("c").alias("d"))).alias("top"))
-            more = open_rows.join(best.select("g", (-F.col("top.m")).alias("y"), F.col("top.d").alias("d")), "g").where("c <> d")
+    labels, open_rows = _mixed(groups, linked)
+    if not open_rows.isEmpty():
+        degree = linked.select(F.explode(F.array("x", "y")).alias("x")).groupBy("x").count()
+        best = open_rows.join(degree, "x", "left").groupBy("g").agg(F.max(F.struct(F.coalesce("count", F.lit(0)).alias("k"), (-F.col("x")).alias("m"), F.col("c").alias("d"))).alias("top"))
+        more = open_rows.join(best.select("g", (-F.col("top.m")).alias("y"), F.col("top.d").alias("d")), "g").where("c <> d")
         fresh = written(_ordered(more.select("x", "y")).join(tested, ["x", "y"], "left_anti"), spark)
-        tested = tested.unionByName(fresh)
         linked = written(linked.unionByName(verify(fresh, sets, num, den)), spark)
+        labels, open_rows = _mixed(groups, linked)
+        if not open_rows.isEmpty():
+            rest = written(within_families(tested, labels, open_rows, sets, num, den), spark)
+            linked = written(linked.unionByName(verify(rest, sets, num, den)), spark)
     return linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 

@@ -23,7 +23,7 @@ from .common import split_by, windows
 from .packed import Chunks, array, ids_of, shared_flags
 
 #: Bytes of a minimiser, of a block of text that is hashed at once, and of a block that is sorted at once.
-K, BLOCK, SORTED = 20, 2 << 20, 1 << 20
+K, BLOCK, SORTED = 20, 1 << 17, 1 << 17
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

@@ -24,7 +24,8 @@ from .packed import Chunks, array, ids_of, shared_flags
 
 #: Bytes of a minimiser, of a block of text that is hashed at once, and of a block that is sorted at once.
 K, BLOCK, SORTED = 20, 1 << 17, 1 << 17
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Symbols of nine bits in a 64-bit integer.
+PACK = 7
 
 
 class Bytes:
@@ -78,13 +79,18 @@ def _distinct(keys: np.ndarray, buckets: int):
         yield b, unique[rows], counts[rows] > 1
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``depth`` symbols (under 512) at least, and each suffix's row."""
+def packed(symbols: np.ndarray) -> np.ndarray:
+    """The ``PACK`` symbols (under 512) from each place on, in one integer."""
     n = len(symbols)
-    key, padded = np.zeros(n, np.uint64), np.append(symbols, np.zeros(6, symbols.dtype)).astype(np.uint64)
-    for j in range(7):
+    key, padded = np.zeros(n, np.uint64), np.append(symbols, np.zeros(PACK - 1, symbols.dtype)).astype(np.uint64)
+    for j in range(PACK):
         key = key << np.uint64(9) | padded[j : j + n]
-    known = 7
+    return key
+
+
+def suffix_order(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first ``depth`` symbols at least, from ``packed``, and each suffix's row."""
+    n, known = len(key), PACK
     while True:
         order = np.argsort(key)
         s = key[order]
@@ -105,19 +111,23 @@ def intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
 
     Symbol 0 ends a segment and equals no other.
     """
-    order, row = suffix_order(symbols, length)
-    onward = row[np.where(order + 1 < len(order), order + 1, 0)]
-    first = symbols[order]
-    begins = np.append(True, (first[1:] != first[:-1]) | (first[1:] == 0))
+    key = packed(symbols)
+    order, row = suffix_order(key, length)
+    onward = row[np.where(order + 1 < len(order), order + 1, 0)].astype(np.intp)
+    have = PACK if length >= PACK else 1  # intervals of the first symbols come from the packed integers at once
+    first, ended = (key if have > 1 else symbols)[order], np.append(symbols, np.ones(PACK, symbols.dtype)) == 0
+    ends_soon = np.logical_or.reduce([ended[j : j + len(symbols)] for j in range(have)])[order]
+    begins = np.append(True, (first[1:] != first[:-1]) | ends_soon[1:])
     open_rows = np.flatnonzero(~begins)
     here, before = onward[open_rows], onward[open_rows - 1]
-    for _ in range(length - 1):
-        interval = np.cumsum(begins, dtype=np.int32)
-        parted = interval[here] != interval[before]
+    interval = np.cumsum(begins, dtype=np.int32)
+    for _ in range(length - have):
+        parted = interval.take(here) != interval.take(before)
         if parted.any():
             begins[open_rows[parted]] = True
-            stay = ~parted
-            open_rows, here, before = open_rows[stay], here[stay], before[stay]
+            stay = np.flatnonzero(~parted)
+            open_rows, here, before = open_rows.take(stay), here.take(stay), before.take(stay)
+            np.cumsum(begins, dtype=np.int32, out=interval)
         if not len(open_rows):
             break
     return order, begins

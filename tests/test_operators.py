@@ -45,6 +45,24 @@ def test_voronoi_of_a_cubic_lattice():
     assert voronoi.face_sides(near) == [4] * 6
 
 
+def test_voronoi_cells_are_cut_by_all_that_bound_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    tight = rng.normal(0, 1e-3, (60, 3)) + [2.0, 0, 0]  # near copies: the nearest 40 lie on one side
+    around = np.array([(6, 0, 0), (-4, 0, 0), (0, 4, 0), (0, -4, 0), (0, 0, 4), (0, 0, -4)]) + rng.normal(0, 0.1, (6, 3))
+    points = np.vstack([[(0, 0, 0)], tight, around])
+    # a corner of a cell is as near to its atom as to any other, checked without clipping
+    for p in points[:3]:
+        cell = voronoi.Cell(1e5).clip((d := points - p)[(d**2).sum(1) > 0])
+        real = cell.corners[(cell.planes >= 6).all(axis=1)] + p
+        gaps = np.sqrt(((real[:, None] - points[None]) ** 2).sum(2))
+        assert len(real) and np.allclose(gaps.min(1), np.sqrt(((real - p) ** 2).sum(1)), rtol=1e-6)
+    monkeypatch.setattr(voronoi, "FEW", 5)
+    far = np.vstack([points, [(500.0, 500, 500)]])  # nothing within any small radius
+    got = {r.atom_id: [r.n3, r.n4, r.n5, r.n6] for r in voronoi.voronoi_indices(atoms_frame(spark, far), 0.5).collect()}
+    want = {k: [s.count(n) for n in (3, 4, 5, 6)] for k, s in enumerate(voronoi.face_sides(far - p) for p in far)}
+    assert got == want and len(got) == len(far)
+
+
 def test_greedy_distance_is_the_sequential_loop(spark):
     rng = np.random.default_rng(3)
     points, values = rng.uniform(0, 4, (120, 3)), rng.permutation(120)

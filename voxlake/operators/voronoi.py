@@ -1,49 +1,195 @@
-"""Voronoi indices: an atom's cell is cut by the planes halfway to its neighbours, a task for each group of atoms."""
+"""Voronoi indices: an atom's cell is cut by the planes halfway to other atoms, a task for each block of atoms."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import pairs, periodic_pairs
+from .iterate import cut
+from .neighbours import AROUND, _cells, bounding_box
+from .shape import spread
+
+FAR = 1e5  # a corner so many times farther than the points counts as at infinity
+FEW = 1000  # so many open cells are cut by all points at once
+
+
+class Cell:
+    """Convex cell about the origin: corners, the three planes that meet at each, and the points that made the planes.
+
+    The first six planes are a far box; a face that meets it goes to infinity.
+    """
+
+    def __init__(self, size: float):
+        self.points = 2 * size * np.vstack([np.eye(3), -np.eye(3)])
+        signs = np.array(list(np.ndindex(2, 2, 2)))
+        self.corners = size * (1.0 - 2 * signs)
+        self.planes = signs * 3 + np.arange(3)
+
+    def reach(self) -> float:
+        """Twice the farthest corner: no point beyond cuts the cell."""
+        return 2 * float(np.sqrt((self.corners**2).sum(1).max()))
+
+    def cutting(self, near: np.ndarray) -> np.ndarray:
+        """Those of ``near`` whose plane cuts off a corner; the others never will, as the cell only shrinks."""
+        over = self.corners @ near.T - (near**2).sum(1) / 2
+        slack = 1e-11 * (np.sqrt((self.corners**2).sum(1))[:, None] + np.sqrt((near**2).sum(1))) * np.sqrt((near**2).sum(1))
+        return near[(over > slack).any(axis=0)]
+
+    def clip(self, near: np.ndarray) -> Cell:
+        """Cut by all of ``near``, the nearest first."""
+        near = near[np.argsort((near**2).sum(1), kind="stable")]
+        for part in (near[:32], near[32:]):
+            part = self.cutting(part)
+            while len(part):
+                self._cut(part[0])
+                part = self.cutting(part[1:])
+        return self
+
+    def _cut(self, p: np.ndarray) -> None:
+        length = np.sqrt(p @ p)
+        over = self.corners @ (p / length) - length / 2
+        off = over > 1e-11 * (np.sqrt((self.corners**2).sum(1)) + length)
+        edges = {}
+        for k, (a, b, c) in enumerate(self.planes.tolist()):
+            for e in ((a, b), (a, c), (b, c)):
+                edges.setdefault(e if e[0] < e[1] else e[::-1], []).append(k)
+        new = len(self.points)
+        self.points = np.vstack([self.points, p])
+        split = [(e, *(ks if off[ks[1]] else ks[::-1])) for e, ks in edges.items() if len(ks) == 2 and off[ks[0]] != off[ks[1]]]
+        planes = np.array([[*e, new] for e, _, _ in split], dtype=np.int64).reshape(-1, 3)
+        keep, drop = (np.array([s[n] for s in split], dtype=np.int64) for n in (1, 2))
+        t = np.clip(over[keep] / (over[keep] - over[drop]), 0, 1)[:, None]
+        corners = self.corners[keep] + t * (self.corners[drop] - self.corners[keep])
+        m = self.points[planes]
+        lengths = np.sqrt((m**2).sum(2))
+        unit = m / lengths[..., None]
+        sharp = np.abs(np.linalg.det(unit)) > 1e-6
+        if sharp.any():
+            corners[sharp] = np.linalg.solve(unit[sharp], lengths[sharp][..., None] / 2)[..., 0]
+        self.corners, self.planes = np.vstack([self.corners[~off], corners]), np.vstack([self.planes[~off], planes])
+
+    def makers(self) -> np.ndarray:
+        """Points whose planes bound the cell."""
+        used = np.unique(self.planes)
+        return self.points[used[used >= 6]]
+
+    def sides(self) -> list[int]:
+        """Corners of each face; corners that coincide are one, and faces that go to infinity are left out."""
+        out = []
+        for k in np.unique(self.planes[self.planes >= 6]):
+            on = (self.planes == k).any(axis=1)
+            if (self.planes[on] < 6).any():
+                continue
+            left, n = self.corners[on], 0
+            while len(left):
+                gap = np.sqrt(((left - left[0]) ** 2).sum(1))
+                left, n = left[gap > 1e-8 * np.sqrt((left[0] ** 2).sum())], n + 1
+            if n >= 3:
+                out.append(n)
+        return out
+
 
+def face_sides(neighbours: np.ndarray) -> list[int]:
+    """Number of corners of each bounded face of the cell about the origin, by all the neighbours given."""
+    near = neighbours[(neighbours**2).sum(1) > 0]
+    if not len(near):
+        return []
+    return Cell(FAR * float(np.abs(near).max())).clip(near).sides()
 
-def face_sides(neighbours: np.ndarray, tolerance: float = 1e-7) -> list[int]:
-    """Number of corners of each face of the cell about the origin; the nearest 40 neighbours bound it.
 
-    Corners are the meets of three halfway planes that no other plane cuts off.
+SCHEMA = "atom_id long, n3 long, n4 long, n5 long, n6 long"
+
+
+def _table(ids: list[int], sides: list[list[int]]) -> pa.Table:
+    return pa.table({"atom_id": pa.array(ids, pa.int64()), **{f"n{n}": pa.array([s.count(n) for s in sides], pa.int64()) for n in (3, 4, 5, 6)}})
+
+
+def _xyz(t, names=("x", "y", "z")) -> np.ndarray:
+    return np.column_stack([t.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(float)
+
+
+def voronoi_indices(df: DataFrame, radius: float | None = None, periodic: bool = False) -> DataFrame:
+    """atom_id, n3, n4, n5, n6: bounded faces of each atom's cell by their sides, a row for every atom.
+
+    A cell is done when nothing beyond the radius can cut it, which is when the radius is over twice its farthest corner;
+    the radius doubles for the others, and the last few meet all points.  So ``radius`` is where this starts and changes
+    no result.  Faces that go to infinity are not counted, as in the model; atoms at one place have the same cell.
     """
-    near = neighbours[np.argsort((neighbours**2).sum(1))][:40]
-    offset = (near**2).sum(1) / 2
-    triples = np.array(list(combinations(range(len(near)), 3)), dtype=np.int64).reshape(-1, 3)
-    m = near[triples]
-    ok = np.abs(np.linalg.det(m)) > 1e-9
-    triples, m = triples[ok], m[ok]
-    corners = np.linalg.solve(m, offset[triples][..., None])[..., 0]
-    real = (corners @ near.T <= offset + tolerance).all(axis=1)
-    corners = corners[real]
-    on = np.abs(corners @ near.T - offset) <= 10 * tolerance
-    sides = []
-    for k in range(len(near)):
-        c = np.unique(np.round(corners[on[:, k]], 5), axis=0)
-        if len(c) >= 3:
-            sides.append(len(c))
-    return sides
-
-
-def voronoi_indices(df: DataFrame, radius: float, periodic: bool = False) -> DataFrame:
-    """atom_id, n3, n4, n5, n6: faces of each atom's cell by their sides."""
-    near = (periodic_pairs if periodic else pairs)(df, radius).select("a", "dx", "dy", "dz")
+    spark = df.sparkSession
+    atoms = cut(df.select("atom_id", *(F.col(a).cast("double").alias(a) for a in "xyz")), spark)
+    box = bounding_box(atoms).first()
+    n = atoms.count()
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    widths = [box[f"{a}w"] for a in "xyz"]
+    extent = float(np.sqrt(sum(w * w for w in widths))) or 1.0
+    points = atoms.select(*"xyz")
+    if periodic:  # a cell lies within half a box of its atom, so one layer of images holds all that cut it
+        points = spread(points.withColumns({f"_{a}": F.lit(0) for a in "xyz"}), AROUND, ["_x", "_y", "_z"], ["_x", "_y", "_z"])
+        points = points.select(*((F.col(a) + F.col(f"_{a}") * F.lit(w)).alias(a) for a, w in zip("xyz", widths)))
+    size = FAR * extent * (2 if periodic else 1)
+    radius = radius or 2 * (float(np.prod([max(w, 1e-3 * extent) for w in widths])) / n) ** (1 / 3)
+    done, waiting = [], atoms
+    while n > FEW and radius < extent:
+        got = cut(_in_blocks(waiting, points, radius, size), spark)
+        done.append(got)
+        waiting = cut(waiting.join(got.select("atom_id"), "atom_id", "left_anti"), spark)
+        n, radius = waiting.count(), radius * 2
+    out = _by_all(waiting, points, size)
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def _in_blocks(atoms: DataFrame, points: DataFrame, radius: float, size: float) -> DataFrame:
+    """Rows of the cells that points within ``radius`` close; a block meets the points of the 27 blocks around."""
+    cell, block, place = ["_x", "_y", "_z"], ["bx", "by", "bz"], ["px", "py", "pz"]
+    own = _cells(atoms, radius)
+    wanted = spread(own.select(*(F.col(c).alias(b) for c, b in zip(cell, block))).distinct(), AROUND, block, ["_i", "_j", "_k"])
+    around = _cells(points, radius).select(*(F.col(a).alias(p) for a, p in zip("xyz", place)), *(F.col(c).alias(n) for c, n in zip(cell, ("_i", "_j", "_k"))))
+    around = around.join(wanted, ["_i", "_j", "_k"]).select(*place, *block)
+
+    def run(left, right):
+        if not left.num_rows:
+            return _table([], [])
+        near, ids, sides = _xyz(right, place), [], []
+        for a, at in zip(left.column("atom_id").to_pylist(), _xyz(left)):
+            d = near - at
+            far = (d**2).sum(1)
+            c = Cell(size).clip(d[(far > 0) & (far < radius * radius)])
+            if c.reach() < radius:
+                ids.append(a)
+                sides.append(c.sides())
+        return _table(ids, sides)
+
+    return own.groupBy(*cell).cogroup(around.groupBy(*block)).applyInArrow(run, SCHEMA)
+
+
+def _by_all(atoms: DataFrame, points: DataFrame, size: float) -> DataFrame:
+    """Rows of the cells that all points cut: a partition keeps of its points those that bound what it alone leaves."""
+    rows = atoms.orderBy("atom_id").collect()  # some FEW, or the surface of all atoms
+    ids, at = [r["atom_id"] for r in rows], np.array([[r[a] for a in "xyz"] for r in rows]).reshape(-1, 3)
+    if not ids:
+        return atoms.sparkSession.createDataFrame([], SCHEMA)
+
+    def keep(batches):
+        kept = [np.empty((0, 3)) for _ in ids]
+        for b in batches:
+            near = _xyz(b)
+            for k, a in enumerate(at):
+                d = near - a
+                kept[k] = Cell(size).clip(np.vstack([kept[k], d[(d**2).sum(1) > 0]])).makers()
+        for k, found in zip(ids, kept):
+            found = found if len(found) else np.zeros((1, 3))  # an atom alone has a row too
+            yield pa.record_batch({"atom_id": pa.array(np.full(len(found), k), pa.int64()), **{f"d{c}": found[:, n] for n, c in enumerate("xyz")}})
 
     def run(key, got):
-        sides = face_sides(np.column_stack([got.column(c).to_numpy() for c in ("dx", "dy", "dz")]))
-        return pa.table({"atom_id": pa.array([key[0].as_py()], pa.int64()), **{f"n{n}": pa.array([sides.count(n)], pa.int64()) for n in (3, 4, 5, 6)}})
+        near = _xyz(got, ("dx", "dy", "dz"))
+        return _table([key[0].as_py()], [Cell(size).clip(near[(near**2).sum(1) > 0]).sides()])
 
-    return near.groupBy("a").applyInArrow(run, "atom_id long, n3 long, n4 long, n5 long, n6 long")
+    return points.mapInArrow(keep, "atom_id long, dx double, dy double, dz double").groupBy("atom_id").applyInArrow(run, SCHEMA)
 
 
 def index_fractions(indices: DataFrame) -> DataFrame:

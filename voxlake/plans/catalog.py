@@ -580,7 +580,7 @@ def bond_order(spark: SparkSession, d: str) -> DataFrame:
 def voronoi_index(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import voronoi
 
-    return rounded(voronoi.index_fractions(voronoi.voronoi_indices(adapters.atoms(spark, d), 1.5)), "fraction")
+    return rounded(voronoi.index_fractions(voronoi.voronoi_indices(adapters.atoms(spark, d))), "fraction")
 
 
 # kernels, an image a task

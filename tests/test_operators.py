@@ -139,6 +139,25 @@ def test_peak_refinement():
     assert np.allclose(p[2:5], at, atol=1e-3) and np.allclose(p[5:], 3, atol=1e-3)
 
 
+def test_peaks_are_sought_in_the_whole_volume(spark):
+    from voxlake.operators import blocks
+    from voxlake.plans import catalog
+    from voxlake.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    v = np.zeros((14, 14, 14)) - 1
+    for r in adapters.voxels(spark, sf).collect():
+        v[r.i + 1, r.j + 1, r.k + 1] = r.v
+    near = np.max([np.roll(v, s, a) for a in range(3) for s in (1, -1)], axis=0)
+    want = {(i - 1) * 144 + (j - 1) * 12 + k - 1 for i, j, k in np.argwhere((v > 0) & (v >= near))}
+    got = {r.peak_id: r.flag for r in catalog.QUERIES["peak_refine"](spark, sf).collect()}
+    assert set(got) == want and all(f == -2 for p, f in got.items() if not all(3 <= x <= 8 for x in (p // 144, p // 12 % 12, p % 12)))
+    # a slope that leads out of the volume: cells beyond it aren't zeros
+    at = np.array([3.9, 8.0, 8.0])
+    cells = spark.createDataFrame([(*map(int, c), float(np.exp(-((np.array(c) - at) ** 2).sum() / 18))) for c in np.ndindex(16, 16, 16) if c[0] >= 2], "i int, j int, k int, v double")
+    assert blocks.refine_peaks(spark.createDataFrame([(1, 5, 8, 8)], "peak_id long, i int, j int, k int"), cells).first().flag == -2
+
+
 def test_rounding(spark):
     r = spark.createDataFrame([(x,) for x in (-2.5, -1.5, -0.5, 0.5, 1.5, 2.5)], "x double").select("x", scalar.half_up(F.col("x")).alias("u"), scalar.half_away(F.col("x")).alias("a"), scalar.half_even(F.col("x")).alias("e")).orderBy("x").collect()
     assert [x.u for x in r] == [-3, -2, -1, 1, 2, 3] == [x.a for x in r] and [x.e for x in r] == [-2, -2, 0, 0, 2, 2]

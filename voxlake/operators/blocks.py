@@ -53,7 +53,10 @@ def view_values(df: DataFrame, kernel: Callable[[np.ndarray], dict[str, float]],
 
 
 def refine_peaks(peaks: DataFrame, cells: DataFrame, radius: int = 3, margin: int = 3) -> DataFrame:
-    """peak_id, x, y, z, flag: each peak is refined in its own neighbourhood, gathered by a join; peaks are independent."""
+    """peak_id, x, y, z, flag: each peak is refined in its own neighbourhood, gathered by a join; peaks are independent.
+
+    Peaks whose neighbourhood leaves the volume, at the start or on their way, have flag -2.
+    """
     from pyspark.sql import functions as F
 
     from .images import refine_peak
@@ -73,7 +76,7 @@ def refine_peaks(peaks: DataFrame, cells: DataFrame, radius: int = 3, margin: in
         if np.isnan(volume[tuple(slice(reach - radius, reach + radius + 1) for _ in range(3))]).any():
             at, flag = p.astype(float), -2
         else:
-            at, flag = refine_peak(np.nan_to_num(volume), (reach,) * 3, radius, reach=margin)
+            at, flag = refine_peak(volume, (reach,) * 3, radius, reach=margin)
             at = at + low
         return pa.table({"peak_id": pa.array([key[0].as_py()], pa.int64()), **{a: pa.array([float(x)]) for a, x in zip("xyz", at)}, "flag": pa.array([flag], pa.int8())})
 

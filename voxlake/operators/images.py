@@ -327,9 +327,12 @@ def refine_peak(volume: np.ndarray, start, radius: int = 3, width: float = 2.0,
         cells = at + offs.astype(int)
         if (cells < 0).any() or (cells >= volume.shape).any() or np.abs(at - start).max() > reach:
             return at + shift, -2
+        values = volume[tuple(cells.T)]
+        if np.isnan(values).any():  # cells outside the volume of a neighbourhood cut from it
+            return at + shift, -2
         d = offs - shift
         basis = np.stack([d[:, 0] ** a * d[:, 1] ** b * d[:, 2] ** c for a, b, c in MONOMIALS], axis=1)
-        coef = np.linalg.lstsq(basis * weight[:, None], volume[tuple(cells.T)] * weight, rcond=None)[0]
+        coef = np.linalg.lstsq(basis * weight[:, None], values * weight, rcond=None)[0]
         get = dict(zip(MONOMIALS, coef))
         g = np.array([get[1, 0, 0], get[0, 1, 0], get[0, 0, 1]])
         h = np.array([[2 * get[2, 0, 0], get[1, 1, 0], get[1, 0, 1]], [get[1, 1, 0], 2 * get[0, 2, 0], get[0, 1, 1]], [get[1, 0, 1], get[0, 1, 1], 2 * get[0, 0, 2]]])

@@ -614,9 +614,9 @@ def _kernels() -> None:
 
     def peak_refine(spark: SparkSession, d: str) -> DataFrame:
         v = adapters.voxels(spark, d)
-        top = select.local_maxima(v.where("i BETWEEN 4 AND 7 AND j BETWEEN 4 AND 7 AND k BETWEEN 4 AND 7"), 0.0)
+        top = select.local_maxima(v, 0.0)
         ids = top.select(((F.col("i") * 144) + F.col("j") * 12 + F.col("k")).cast("long").alias("peak_id"), "i", "j", "k")
-        return rounded(blocks.refine_peaks(ids, v, radius=2, margin=2), "x", "y", "z", to=4)
+        return rounded(blocks.refine_peaks(ids, v), "x", "y", "z", to=4)
 
     def common_line(spark: SparkSession, d: str) -> DataFrame:
         p = adapters.pixels(spark, d).withColumn("v", F.col("v").cast("double"))

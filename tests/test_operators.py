@@ -188,6 +188,27 @@ def test_boundaries_and_seeded_kmeans(spark):
     assert cluster.seeded_kmeans(df, "x", 3)[0].select("label").distinct().count() >= 2
 
 
+def test_local_classes_settle(spark):
+    rng = np.random.default_rng(5)
+    points, labels, boxes = rng.uniform(0, 6, (150, 3)), rng.integers(0, 3, 150), rng.normal(size=(150, 2))
+    near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)) < 1.8
+    now, seen, counts = labels, {labels.tobytes()}, []
+    while True:  # one atom after another
+        far = np.full((150, 3), -1.0)
+        for i, k in np.ndindex(150, 3):
+            if (m := near[i] & (now == k)).any():
+                far[i, k] = np.round(np.sqrt(((boxes[i] - boxes[m].mean(0)) ** 2).sum()), 9)
+        new = far.argmin(1)
+        counts.append(int((new != now).sum()))
+        now = new
+        if not counts[-1] or now.tobytes() in seen or len(counts) > 5 and len(set(counts[-5:])) == 1:
+            break
+        seen.add(now.tobytes())
+    box = spark.createDataFrame([(i, o, float(boxes[i, o])) for i, o in np.ndindex(150, 2)], "atom_id long, off_id int, v double")
+    got = {r.atom_id: r.label for r in cluster.local_reclassify(atoms_frame(spark, points, labels), box, 1.8, 3).collect()}
+    assert len(counts) > 20 and [got[i] for i in range(150)] == now.tolist()
+
+
 def test_bounded_least_squares():
     t = np.linspace(0, 1, 20)
     y = 2 * np.exp(-3 * t)

@@ -94,19 +94,21 @@ def atom_or_not(box: DataFrame, mean: DataFrame, constant: float) -> DataFrame:
     return g.select("atom_id", (F.col("r1") > F.col("r2")).alias("is_atom"))
 
 
-def local_reclassify(atoms: DataFrame, box: DataFrame, radius: float, kinds: int, rounds: int = 20) -> DataFrame:
+def local_reclassify(atoms: DataFrame, box: DataFrame, radius: float, kinds: int, equal: int = 5) -> DataFrame:
     """atom_id, label: each atom takes the class whose mean box over its neighbours (itself included) is nearest.
 
     All change together; a class without neighbours comes first, as an undefined distance does in the model; it ends
-    when nothing changes, when a state comes back, or after ``rounds``.
+    when nothing changes, when a state (the first one too) comes back, or when after more than ``equal`` rounds the last
+    ``equal`` changed the same number of atoms.
     """
     spark = atoms.sparkSession
     near = pairs(atoms, radius).select("a", "b").unionByName(atoms.select(F.col("atom_id").alias("a"), F.col("atom_id").alias("b")))
     near = cut(near, spark)
     labels = cut(atoms.select("atom_id", F.col("species").alias("label")), spark)
-    seen = set()
+    state_of = lambda df: df.agg(F.sum(F.xxhash64("atom_id", "label").cast("decimal(38,0)"))).first()[0]
+    seen, counts = {state_of(labels)}, []
     classes = spark.range(kinds).select(F.col("id").cast("int").alias("label"))
-    for _ in range(rounds):
+    while True:
         means = near.join(labels.withColumnRenamed("atom_id", "b"), "b").join(box.withColumnRenamed("atom_id", "b"), "b").groupBy("a", "label", "off_id").agg(F.avg("v").alias("m"))
         far = means.join(box.withColumnRenamed("atom_id", "a"), ["a", "off_id"]).groupBy("a", "label").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))).alias("d"))
         every = atoms.select(F.col("atom_id").alias("a")).crossJoin(F.broadcast(classes)).join(far, ["a", "label"], "left")  # a row for each class
@@ -114,8 +116,9 @@ def local_reclassify(atoms: DataFrame, box: DataFrame, radius: float, kinds: int
         new = cut(pick.select(F.col("a").alias("atom_id"), "label"), spark)
         changed = new.join(labels.withColumnRenamed("label", "_l"), "atom_id").where("label <> _l").count()
         labels = new
-        state = labels.agg(F.sum(F.xxhash64("atom_id", "label").cast("decimal(38,0)"))).first()[0]
-        if not changed or state in seen:
+        counts.append(changed)
+        state = state_of(labels)
+        if not changed or state in seen or len(counts) > equal and len(set(counts[-equal:])) == 1:
             break
         seen.add(state)
     return labels

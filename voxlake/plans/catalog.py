@@ -501,7 +501,7 @@ def boundary_refinement(spark: SparkSession, d: str) -> DataFrame:
 def local_reclassify(spark: SparkSession, d: str) -> DataFrame:
     a = adapters.atoms(spark, d)
     e = adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("atom_id"), F.posexplode(F.slice("embedding", 4, 8)).alias("off_id", "v"))
-    return cluster.local_reclassify(a, e.withColumn("v", F.col("v").cast("double")), 1.5, 3, rounds=4)
+    return cluster.local_reclassify(a, e.withColumn("v", F.col("v").cast("double")), 1.5, 3)
 
 
 # gather and splat

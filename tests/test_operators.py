@@ -128,6 +128,23 @@ def test_fill_denoise_and_inverse():
     assert np.allclose(images.haar(8) @ images.haar(8).T, np.eye(8))
 
 
+def test_blocks_match_far_and_only_like_ones():
+    rng = np.random.default_rng(4)
+    image = np.kron(rng.uniform(0.1, 0.9, (12, 17)), np.ones((6, 6)))[:70, :100]
+    image[8:24, 70:86] = image[40:56, 20:36] = rng.uniform(0.1, 0.9, (16, 16))
+    for size, limit in ((8, 600 / 255**2), (16, 400 / 255**2)):
+        blocks = np.lib.stride_tricks.sliding_window_view(image, (size, size))
+        for r, c in ((8, 70), (40, 20), (0, 0), (50, 80)):
+            low, reach, dist = images._distances(image, r, size, 50)
+            got = images._matches(dist[:, :, c].ravel(), (r - low) * (2 * reach + 1) + reach, limit * size * size, 16)
+            got = [(low + k // (2 * reach + 1), c - reach + k % (2 * reach + 1)) for k in got]
+            want = sorted((((blocks[a, b] - blocks[r, c]) ** 2).sum(), (a, b) != (r, c), a, b) for a, b in np.ndindex(blocks.shape[:2]) if abs(a - r) <= 50 and abs(b - c) <= 50)
+            want = [w[2:] for w in want if w[0] < limit * size * size][:16]
+            assert got[0] == (r, c) and sorted(got) == sorted(want[: 1 << (len(want).bit_length() - 1)])
+            if (r, c) == (8, 70):
+                assert (40, 20) in got and all(((blocks[g] - blocks[r, c]) ** 2).mean() < limit for g in got)
+
+
 def test_peak_refinement():
     at = np.array([6.3, 5.8, 6.1])
     grid = np.indices((13, 13, 13)).reshape(3, -1).T

@@ -605,7 +605,7 @@ def _kernels() -> None:
     _kernel("rotate_image", lambda a: images.rotate(a, 10.0))
     _kernel("region_fill", lambda a: images.fill_region(a, a > a.mean()))
     _kernel("mask_growth", lambda a: images.grow_mask(a > a.mean(), 1.0).astype(float))
-    _kernel("bm3d_denoise", lambda a: images.block_matching_denoise(a / max(1.0, a.max()), 0.05, size=4, step=2, reach=4))
+    _kernel("bm3d_denoise", lambda a: images.block_matching_denoise(a / max(1.0, a.max()), 0.05))
     _kernel("vst_inverse", lambda a: images.inverse_vst(images.vst(a / max(1.0, a.max()) * 100, 1.0), 1.0))
 
     def frame_registration(spark: SparkSession, d: str) -> DataFrame:

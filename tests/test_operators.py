@@ -247,6 +247,24 @@ def test_reconstruction_error_falls():
     assert errors[-1] < 0.5 * errors[0]
 
 
+def test_reconstruction_of_views_with_three_angles():
+    rng = np.random.default_rng(6)
+    n, grid = 16, np.indices((16, 16, 16)).reshape(3, -1).T - 8.0
+    blob = lambda at: np.exp(-((grid - at) ** 2).sum(1) / 4).reshape(n, n, n)
+    at, degrees = np.array([2.0, -1, 3]), rng.uniform(-60, 60, (24, 3))
+    turns = [pipelines.view_rotation(*a) for a in degrees]
+    # a blob's projection is a blob where the view puts it
+    r, c = np.indices((n, n)) - 8.0
+    views = np.array([np.sqrt(4 * np.pi) * np.exp(-((r - (q := t @ at)[0]) ** 2 + (c - q[1]) ** 2) / 4) for t in turns])
+    assert np.abs(pipelines.fourier_views(blob(at), turns, 4) - views).max() < 0.05 * views.max()
+    assert np.allclose(pipelines.view_rotation(0, 30, 0) @ [1, 0, 2], [np.cos(np.pi / 6) - 2 * 0.5, 0, 0.5 + 2 * np.cos(np.pi / 6)])
+    volume, errors = pipelines.reconstruct(views, degrees)
+    assert len(errors) == 200 and errors[-1] < 0.1 and np.corrcoef(volume.ravel(), blob(at).ravel())[0, 1] > 0.95
+    for wrong in (degrees[:, :2], degrees[:5], np.zeros((24, 4))):
+        with pytest.raises(ValueError):
+            pipelines.reconstruct(views, wrong, 1)
+
+
 def test_refinement_lowers_the_error(spark):
     from voxlake.sources import adapters
 

@@ -205,6 +205,25 @@ def test_boundaries_and_seeded_kmeans(spark):
     assert cluster.seeded_kmeans(df, "x", 3)[0].select("label").distinct().count() >= 2
 
 
+def test_boundaries_of_many_skewed_values(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(m, 0.3, 1700) for m in (0, 2, 4)] + [[1e4]])  # an outlier 10,000 wide
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    v = np.sort(x)
+    s, q = (np.concatenate([[0.0], np.cumsum(y)]) for y in (v, v * v))
+    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+    for k in (3, 4):
+        cuts, before = np.linspace(0, len(v), k + 1).astype(int), None
+        while before is None or (cuts != before).any():
+            before = cuts.copy()
+            for j in range(1, k):
+                inside = np.arange(cuts[j - 1] + 1, cuts[j + 1])
+                cuts[j] = inside[np.argmin(cost(cuts[j - 1], inside) + cost(inside, cuts[j + 1]))]
+        want = [v[c - 1] for c in cuts[1:-1]]
+        assert cluster.refine_boundaries(df, "x", k) == want == cluster.refine_boundaries(df, "x", k, most=10_000)
+    assert 0 < want[0] < 2 < want[1] < 4 < want[2] < 6
+
+
 def test_local_classes_settle(spark):
     rng = np.random.default_rng(5)
     points, labels, boxes = rng.uniform(0, 6, (150, 3)), rng.integers(0, 3, 150), rng.normal(size=(150, 2))

@@ -48,34 +48,71 @@ def seeded_kmeans(df: DataFrame, value: str, k: int, seed: int = 42, rounds: int
     return kmeans(df, value, k, rounds, np.random.RandomState(seed).uniform(lo, hi, k).tolist())
 
 
-def refine_boundaries(df: DataFrame, value: str, k: int, rounds: int = 50, bins: int = 4096) -> list[float]:
+def refine_boundaries(df: DataFrame, value: str, k: int, most: int = 4096) -> list[float]:
     """Upper ends of the first k - 1 classes of sorted values with the least sum of squares within classes.
 
-    Values are summed to ``bins`` equal bins, whose count, sum and squares are all that the boundaries' descent needs;
-    with at most as many distinct values as bins each bin is a value and the result that of the single values.
+    The classes start with equally many distinct values; each boundary in turn takes the best place among the distinct
+    values between its neighbours, until none moves.  Over ``most`` distinct values stay in a table of prefix sums, and a
+    place is one aggregation over it; that changes where the search runs, not what it finds.
     """
-    distinct = df.groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    few = distinct.limit(bins + 1).count() <= bins
-    if few:
-        rows = distinct.select("x", "n", (F.col("x") * F.col("n")).alias("s"), (F.col("x") * F.col("x") * F.col("n")).alias("q")).orderBy("x").collect()
-    else:
-        lo, hi = distinct.agg(F.min("x"), F.max("x")).first()
-        b = F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) * bins / (hi - lo)))
-        x = F.col("x")
-        rows = distinct.groupBy(b.alias("b")).agg(F.max("x").alias("x"), F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("s"), F.sum(x * x * F.col("n")).alias("q")).orderBy("b").collect()
-    x = np.array([r["x"] for r in rows])
-    n, s, q = (np.concatenate([[0.0], np.cumsum([r[c] for r in rows])]) for c in ("n", "s", "q"))
-    cost = lambda a, b: np.where(n[b] > n[a], q[b] - q[a] - (s[b] - s[a]) ** 2 / np.maximum(n[b] - n[a], 1), 0.0)
-    cuts = [0, *np.linspace(0, len(x), k + 1).astype(int)[1:-1].tolist(), len(x)]
-    for _ in range(rounds):
-        before = list(cuts)
+    x, n = F.col("x"), F.col("n")
+    distinct = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    distinct = distinct.select("x", "n", (x * n).alias("s"), (x * x * n).alias("q"))
+    few = distinct.limit(most + 1).count() <= most
+    size, rows, place = _places(distinct.orderBy("x").collect()) if few else _far_places(distinct)
+    cuts = [0, *np.linspace(0, size, k + 1).astype(int)[1:-1].tolist(), size]
+    seen = set()
+    while tuple(cuts) not in seen:  # only rounding could lead back to cuts other than the last
+        seen.add(tuple(cuts))
         for j in range(1, k):
-            inside = np.arange(cuts[j - 1] + 1, cuts[j + 1])
-            if len(inside):
-                cuts[j] = int(inside[np.argmin(cost(np.full(len(inside), cuts[j - 1]), inside) + cost(inside, np.full(len(inside), cuts[j + 1])))])
-        if cuts == before:
-            break
-    return [float(x[c - 1]) for c in cuts[1:-1] if c > 0]
+            if cuts[j + 1] - cuts[j - 1] > 1:
+                cuts[j] = place(cuts[j - 1], cuts[j + 1])
+    found = rows([c for c in cuts[1:-1] if c > 0])
+    return [found[c] for c in cuts[1:-1] if c > 0]
+
+
+def _places(got: list) -> tuple:
+    """Number of distinct values, the values at numbers from 1, and the best cut between two cuts."""
+    n, s, q = (np.concatenate([[0.0], np.cumsum([r[c] for r in got])]) for c in ("n", "s", "q"))
+    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (n[b] - n[a])
+
+    def place(low: int, high: int) -> int:
+        inside = np.arange(low + 1, high)
+        return int(inside[np.argmin(cost(low, inside) + cost(inside, high))])
+
+    return len(got), lambda at: {c: float(got[c - 1]["x"]) for c in at}, place
+
+
+def _far_places(distinct: DataFrame) -> tuple:
+    """As ``_places``, by a table of prefix sums: ranges of values are summed each, and start at the sums before them."""
+    spark, sums = distinct.sparkSession, ("c", "n", "s", "q")
+    parts = cut(distinct.withColumn("c", F.lit(1)).repartitionByRange("x").withColumn("_p", F.spark_partition_id()), spark)
+    totals = parts.groupBy("_p").agg(*(F.sum(c).cast("double").alias(c) for c in sums)).orderBy("_p").collect()  # a row for each range
+    before = np.vstack([np.zeros(4), np.cumsum([[r[c] for c in sums] for r in totals], axis=0)])
+    starts = spark.createDataFrame([(r["_p"], *map(float, b)) for r, b in zip(totals, before)], "_p int, " + ", ".join(f"_{c} double" for c in sums))
+    so_far = Window.partitionBy("_p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    table = parts.join(F.broadcast(starts), "_p").select("x", *((F.sum(c).over(so_far) + F.col(f"_{c}")).alias(c) for c in sums))
+    table = cut(table.withColumn("c", F.col("c").cast("long")), spark)
+    known = {0: (None, 0.0, 0.0, 0.0)}
+
+    def at(numbers: list[int]) -> None:
+        for r in table.where(F.col("c").isin([c for c in numbers if c not in known])).collect():
+            known[r["c"]] = (r["x"], r["n"], r["s"], r["q"])
+
+    def place(low: int, high: int) -> int:
+        at([low, high])
+        (_, n0, s0, q0), (_, n1, s1, q1) = known[low], known[high]
+        n, s, q = F.col("n"), F.col("s"), F.col("q")
+        cost = (q - q0 - (s - s0) * (s - s0) / (n - n0)) + (q1 - q - (s1 - s) * (s1 - s) / (n1 - n))
+        best = table.where((F.col("c") > low) & (F.col("c") < high)).agg(F.min(F.struct(cost.alias("cost"), "c", "x", "n", "s", "q")).alias("m")).first()["m"]
+        known[best["c"]] = (best["x"], best["n"], best["s"], best["q"])
+        return best["c"]
+
+    def values(numbers: list[int]) -> dict[int, float]:
+        at(numbers)
+        return {c: float(known[c][0]) for c in numbers}
+
+    return int(before[-1][0]), values, place
 
 
 def classify_by_boundaries(df: DataFrame, value: str, ends: list[float]) -> DataFrame:

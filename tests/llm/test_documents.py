@@ -184,6 +184,28 @@ def test_token_files(spark, docs, rows):
     assert len(ids) == len(mask) == reader.length and mask.sum() == min(reader.length, shards[0][2])
 
 
+def test_packing_tears_partitions_with_gaps_only(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sizes, rounds = np.random.default_rng(0).integers(5, 16, 90), []
+    df = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    one, even = bound_packing._round, F.shiftright("sequence_id", 24) % 2 == 0
+    monkeypatch.setattr(bound_packing, "pieces", lambda docs, *_: docs)
+    need = bound_packing.lower_bound(np.bincount(sizes, minlength=31))
+    out = bound_packing.pack(df, "", 1, capacity=30, per_task=20).collect()
+    assert sorted(r.doc_id for r in out) == list(range(90)) and len({r.sequence_id for r in out}) == need
+    # partitions of even number are said to have a gap: all their pieces, and no others, come to the next round
+
+    def gaps(rows, *a):
+        rounds.append((rows, bound_packing.written(one(rows, *a), spark)))
+        return rounds[-1][1].withColumn("gap", F.when(even, 1).otherwise(0))
+
+    monkeypatch.setattr(bound_packing, "_round", gaps)
+    out = bound_packing.pack(df, "", 1, capacity=30, per_task=20).collect()
+    assert sorted(r.doc_id for r in out) == list(range(90))
+    assert {r.doc_id for r in rounds[1][0].collect()} == {r.doc_id for r in rounds[0][1].where(even).collect()}
+
+
 def test_packing(docs, rows):
     out = bound_packing.pack(docs, WORDS, 1, capacity=256, per_task=20).collect()
     want = {(d, k, a): (len(ids[a : a + 256]), crc(ids[a : a + 256])) for d, ids in reference_ids(rows, 1) for k, a in enumerate(range(0, len(ids), 256))}

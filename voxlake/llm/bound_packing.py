@@ -2,8 +2,10 @@
 
 Documents are cut into pieces of at most ``capacity`` ids, and the pieces of a partition packed by best-fit
 decreasing.  Dual feasible functions give a lower bound of the bins that any packing of them needs; a partition that
-meets it is certified.  The others, and bins that are not full, have a gap: their pieces are dealt anew among fewer
-partitions and packed again, until the count meets the bound over all pieces or a round saves nothing.
+meets it is certified and stays.  The others have a gap: all their pieces are dealt anew among fewer partitions and packed
+again, until the count meets the bound over all pieces or a round saves nothing.  If the count is still over that bound,
+as when each partition ends in a bin that is not full, bins that are not full are exchanged among all partitions likewise,
+until several rounds in succession save nothing.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives none.
 """
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import doc_slices, written
 from .word_tokens import engine, ship
 
-#: Pieces that one task packs at once, and rounds of exchange at most.
-PER_TASK, ROUNDS = 100_000, 6
+#: Pieces that one task packs at once, and exchanges in succession that may save nothing before bins that are not full stay.
+PER_TASK, PATIENCE = 100_000, 6
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
@@ -113,7 +115,7 @@ def _round(rows: DataFrame, parts: int, number: int, capacity: int) -> DataFrame
             lengths = got.column("length").to_numpy()
             bins, offsets, fills = best_fit(lengths, capacity)
             gap = len(fills) - lower_bound(np.bincount(lengths, minlength=capacity + 1))
-            base = (number << 56) + (TaskContext.get().partitionId() << 32)
+            base = (number << 44) + (TaskContext.get().partitionId() << 24)  # a task has far fewer than 2^24 bins
             more = [pa.array(x, pa.int64()) for x in (base + bins, offsets, fills[bins], np.full(len(bins), gap))]
             yield from pa.Table.from_arrays([*got.columns, *more], schema=schema).to_batches(max_chunksize=20_000)
 
@@ -130,24 +132,27 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, per_task
     for r in rows.groupBy("length").count().collect():  # at most one row for each length up to the capacity
         histogram[r["length"]] = r["count"]
     need, parts = lower_bound(histogram), max(2, -(-int(histogram.sum()) // per_task))
-    done, out = 0, []
-    for number in range(ROUNDS):
-        packed = written(_round(rows, parts, number, capacity), spark)
-        used = packed.where("offset = 0").agg(F.count(F.lit(1))).first()[0]
-        if number and used > last_used:  # the exchange saved nothing: keep the round before
-            packed, used = last, last_used
-        settled = packed.where(F.col("fill") == capacity)
-        loose = packed.where(F.col("fill") < capacity)
-        n_loose = loose.count()
-        if done + used <= need or not n_loose or number == ROUNDS - 1 or number and used == last_used and parts == 1:
-            out.append(packed)
-            break
-        out.append(settled)
-        full = settled.where("offset = 0").count()
-        done += full
-        rows, last, last_used = loose, loose, used - full
-        parts = 1 if n_loose <= per_task else max(2, -(-n_loose // per_task))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result.select(*COLUMNS, "sequence_id", "offset")
+    count = lambda df: df.where("offset = 0").count()
+    packed = written(_round(rows, parts, 0, capacity), spark)
+    out, used, number = [], count(packed), 0
+    for open_bins, patience in ((F.col("gap") > 0, 1), (F.col("fill") < capacity, PATIENCE)):
+        vain = 0
+        while used > need and vain < patience:
+            loose = packed.where(open_bins)
+            n_loose, tasks = loose.agg(F.count(F.lit(1)), F.count_distinct(F.shiftright("sequence_id", 24))).first()
+            if tasks < 2:  # alone it would be packed as it is
+                break
+            number += 1
+            parts = 1 if n_loose <= per_task else max(2, -(-n_loose // per_task))
+            again = written(_round(loose, parts, number, capacity), spark)
+            saved = count(loose) - count(again)
+            vain = 0 if saved > 0 else vain + 1
+            if saved > 0 or saved == 0 and vain < patience:
+                out.append(packed.where(~open_bins))
+                packed, used = again, used - saved
+            if saved <= 0 and parts == 1:
+                break
+        for part in out:
+            packed = packed.unionByName(part)
+        out = []
+    return packed.select(*COLUMNS, "sequence_id", "offset")

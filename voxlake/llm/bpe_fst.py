@@ -3,8 +3,8 @@
 A token sequence is the BPE encoding of its bytes exactly if every adjacent pair of it is stable: encoding the
 two tokens' bytes gives the two tokens again.  So the encoder is a nondeterministic transducer whose state is
 the last token and a place in the trie of the tokens.  It is determinised while it runs: a state is the set of
-hypotheses that are still alive, each with the tokens it has chosen beyond those all of them share.  What all
-share is emitted at once, so output trails input by at most the longest token.
+hypotheses that are still alive, and a move says which token ends at its byte.  Tokens that all hypotheses share are
+put out at the end of a piece, or every ``AHEAD`` bytes of a long one.
 
 Defined results: a null text is empty; an empty text has no ids; ids of a text don't depend on its neighbours.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CACHE_LIMIT, doc_slices
+from .common import CACHE_LIMIT, Recent, doc_slices, no_cycles, only_mine
 
-#: States that are kept before the lazily built tables start afresh.
-STATE_LIMIT = 300_000
+#: States that are kept before the lazily built tables start afresh, and bytes after which a long piece puts out tokens.
+STATE_LIMIT, AHEAD = 150_000, 1024
 NONE = -1
 
 
@@ -65,8 +66,16 @@ def compile_merges(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 class Transducer:
+    """States are tuples of hypotheses (last token, place in the trie), oldest first.
+
+    Every prefix of a piece has one encoding, so at most one hypothesis completes a token at a byte that fits the token
+    before it.  That token is what a move puts out; the tokens of the way are no part of a state, so words that
+    end alike share states however they began.
+    """
+
     def __init__(self, tokens: list[bytes], left, right):
         self.tokens = tokens
+        self.sizes = list(map(len, tokens))
         self.left, self.right = list(map(int, left)), list(map(int, right))
         self.ids = {w: i for i, w in enumerate(tokens) if w}
         self.merged = {(a, b): i for i, (a, b) in enumerate(zip(self.left, self.right)) if a >= 0}
@@ -76,7 +85,7 @@ class Transducer:
             if len(word) == 1 or self.left[i] >= 0:
                 self._insert(word, i)
         self.stable: dict[tuple[int, int], bool] = {}
-        self._reset()
+        self._reset(((NONE, 0),))
 
     def _insert(self, word: bytes, token: int) -> None:
         node = 0
@@ -89,9 +98,8 @@ class Transducer:
             node = nxt
         self.ends[node] = token
 
-    def _reset(self) -> None:
-        start = (NONE, (((), 0),))
-        self.states, self.numbers, self.moves, self.finals = [start], {start: 0}, {}, [()]
+    def _reset(self, *keys) -> None:
+        self.states, self.numbers, self.moves = list(keys), {k: i for i, k in enumerate(keys)}, {}
 
     def _is_stable(self, a: int, b: int) -> bool:
         """Whether no merge across the border between ``a`` and ``b`` comes before those that make them.
@@ -99,9 +107,6 @@ class Transducer:
         The merges that make a token finish in order of rank, so at the time of rank r its right edge is the
         part that was made before r and is taken up after r; equal ranks go from left to right.
         """
-        known = self.stable.get((a, b))
-        if known is not None:
-            return known
         out, x, x_taken = True, a, 1 << 60
         while x >= 0 and out:
             y, y_taken = b, 1 << 60
@@ -117,86 +122,84 @@ class Transducer:
         self.stable[a, b] = out
         return out
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        anchor, alive = self.states[state]
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state and the token that ends at this byte."""
         edges, ends, stable = self.edges, self.ends, self.stable
-        after, least = [], 1 << 60
-        for chosen, node in alive:
+        after, found = [], NONE
+        for last, node in self.states[state]:
             child = edges[node].get(byte)
             if child is None:
                 continue
             if edges[child]:
-                after.append((chosen, child))
-                if len(chosen) < least:
-                    least = len(chosen)
+                after.append((last, child))
             token = ends[child]
-            if token >= 0:
-                last = chosen[-1] if chosen else anchor
-                if last >= 0:
-                    fits = stable.get((last, token))
-                    if fits is None:
-                        fits = self._is_stable(last, token)
-                    if not fits:
-                        continue
-                after.append(((*chosen, token), 0))
-                if len(chosen) + 1 < least:
-                    least = len(chosen) + 1
-        emitted: tuple[int, ...] = ()
-        if least:
-            first, shared = after[0][0], 0
-            while shared < least and all(c[shared] == first[shared] for c, _ in after):
-                shared += 1
-            if shared:
-                emitted = first[:shared]
-                after = [(c[shared:], node) for c, node in after]
-                anchor, least = emitted[-1], least - shared
-        key = (NONE if least else anchor, tuple(after))  # the last emitted token matters only to those that chose none since
+            if token >= 0 and found < 0:
+                fits = last < 0 or stable.get((last, token))
+                if fits is None:
+                    fits = self._is_stable(last, token)
+                if fits:
+                    found = token
+        after.append((found, 0))
+        key = tuple(after)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.finals.append(next((c for c, node in after if node == 0), ()))
-        move = self.moves[state << 8 | byte] = (number, emitted)
+        move = self.moves[state << 8 | byte] = (number, found)
         return move
 
+    def _settled(self, ended: list[int], state: int) -> int:
+        """Bytes of the way on whose tokens all hypotheses of ``state`` agree; ``ended`` has the token that ends at each."""
+        depth = self._depths()
+        places = {len(ended) - depth[node] for _, node in self.states[state]}
+        while len(places) > 1:
+            last = max(places)
+            places.discard(last)
+            places.add(last - self.sizes[ended[last - 1]])
+        return places.pop()
+
+    def _depths(self) -> list[int]:
+        depth = [0] * len(self.edges)
+        for node, below in enumerate(self.edges):
+            for child in below.values():
+                depth[child] = depth[node] + 1
+        self._depths = lambda: depth
+        return depth
+
+    def _back(self, ended: list[int], to: int) -> list[int]:
+        out, sizes = [], self.sizes
+        while to > 0:
+            token = ended[to - 1]
+            out.append(token)
+            to -= sizes[token]
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern; one pass over its bytes, whatever its length."""
         whole = self.ids.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATE_LIMIT:
-            self._reset()
-        state, out, moves = 0, [], self.moves
-        for b in piece:
-            move = moves.get(state << 8 | b) or self._step(state, b)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-            if state > 4 * STATE_LIMIT:  # one endless piece: carry the state over into fresh tables
+        out: list[int] = []
+        state, moves, ended = 0, self.moves, []
+        for at in range(0, len(piece), AHEAD):
+            if len(self.states) > STATE_LIMIT:  # tables start afresh; the state is carried over
                 key = self.states[state]
-                self._reset()
-                moves = self.moves
-                state = self.numbers[key] = len(self.states)
-                self.states.append(key)
-                self.finals.append(next((c for c, node in key[1] if node == 0), ()))
-        out += self.finals[state]
-        return out
-
-
-class Pieces(dict):
+                self._reset(((NONE, 0),), *([key] if key != self.states[0] else []))
+                state, moves = self.numbers[key], self.moves
+            for b in piece[at : at + AHEAD]:
+                state, token = moves.get(state << 8 | b) or self._step(state, b)
+                ended.append(token)
+            if len(ended) > AHEAD:  # what all hypotheses share is put out
+                done = self._settled(ended, state)
+                out += self._back(ended, done)
+                del ended[:done]
+        return out + self._back(ended, len(ended))
+
+
+def pieces(transducer: Transducer) -> Recent:
     """Ids of a piece as little-endian 32-bit integers: the path from the start state back to it, kept whole."""
-
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_LIMIT:
-            self.clear()
-        out = np.array(self.transducer.encode(piece.encode()), dtype="<u4").tobytes()
-        if len(piece) < 256:
-            self[piece] = out
-        return out
+    return Recent(lambda piece: array("I", transducer.encode(piece.encode())).tobytes())
 
 
 def _machine() -> list[bytes]:
@@ -299,7 +302,7 @@ def _spelled(part: str, bare: bool) -> str:
 
 class Codec:
     def __init__(self, tokens, left, right, pattern: str):
-        self.pieces = Pieces(Transducer(tokens, left, right))
+        self.pieces = pieces(Transducer(tokens, left, right))
         self.split = splitter(pattern)
         self.decoder = StreamDecoder(tokens)
 
@@ -310,9 +313,6 @@ class Codec:
         return [self.decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)] + [self.decoder.finish()]
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Encodes ``text`` of each row of ``docs`` (doc_id, text) and decodes the ids again.
 
@@ -328,10 +328,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
         kind += ", ids array<int>, decoded string"
     schema = pa.schema(fields)
 
+    @no_cycles
     def run(batches):
-        codec = _CODECS.get((path, pattern))
-        if codec is None:
-            codec = _CODECS[path, pattern] = Codec(*shipped.value, pattern)
+        codec = only_mine(("bpe", path, pattern), lambda: Codec(*shipped.value, pattern))
         for batch in batches:
             for part in doc_slices(batch):
                 rows = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,10 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), spark)
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        step = labels.join(near, "a").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        step = labels.select("a", "c").join(near, "a").select("a", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         over = labels.select(F.col("a").alias("c"), F.col("c").alias("cc"))
         nxt = written(step.join(over, "c", "left").select("a", "old", F.least(F.col("c"), F.coalesce("cc", "c")).alias("c")), spark)
-        done = nxt.where("old <> c").isEmpty()
-        labels = nxt.select("a", "c")
-        if done:
+        dropped(labels)
+        labels = nxt
+        if nxt.where("old <> c").isEmpty():
+            dropped(both)
             return labels.select(F.col("a").alias("id"), F.col("c").alias("component"))

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-#: Text of a chunk, about.
-CHUNK_BYTES = 32 << 20
+#: Text of a chunk, about, and chunks up to which each gets a partition of its own; more are dealt by hash.
+CHUNK_BYTES, EVEN = 32 << 20, 4096
 #: The column that a document's chunk is in; a name that no table is likely to have.
 CHUNK = "__chunk"
 MESSAGE = "bucket long, chunk long, a binary, b binary, c binary, d binary"
@@ -47,13 +47,13 @@ class Chunks:
         spark = docs.sparkSession
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(partitions(spark), -(-total // chunk_bytes))
-        self.keys = even_keys(spark, self.n)
+        self.keys = even_keys(spark, self.n) if self.n <= EVEN else list(range(self.n))
         self.docs = docs.withColumn(CHUNK, self.place(F.col("doc_id"))).repartition(self.n, CHUNK)
 
     def place(self, doc_id: Column) -> Column:
         """The chunk of a doc_id."""
         place = F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(LAST))), F.lit(self.n))
-        return F.element_at(F.array(*(F.lit(k) for k in self.keys)), (place + 1).cast("int")).cast("long") if self.n <= 4096 else place
+        return F.element_at(F.array(*(F.lit(k) for k in self.keys)), (place + 1).cast("int")).cast("long") if self.n <= EVEN else place
 
     def send(self, make: Callable[[pa.Table], list[list]]) -> DataFrame:
         """Messages of each chunk; ``make`` gets its documents and returns [bucket number, a, b, c, d] lists."""

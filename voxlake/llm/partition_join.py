@@ -10,8 +10,9 @@ An empty content says little, so sets that still have weight over H without thei
 those; only the few others (probers) are, with all that have the same segment empty.
 
 Sets with one signature form a group.  Copies are one set.  Groups aren't expanded: each member is verified against
-the group's first, then against its best-linked member, and only members whose components still differ are compared
-with one another, by sketches in blocks that return no more than what passes.  Verification counts the exact intersection.
+the group's first, and only members whose components still differ are compared with one another, inside tasks, in
+blocks of a group, by sketches: two sets' sketches differ in no more bits than the sets do in tokens.  What passes is
+verified by the exact intersection.
 
 Defined results: null and empty texts have an empty set and no links; with fewer words than a shingle the whole
 sequence is the only shingle; repeated rows are copies; rows with one doc_id are one vertex.
@@ -23,42 +24,64 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, mix, split_by, windows, word_hashes, written
+from .common import LOWERED, doc_slices, dropped, hashed_words, mix, partitions, split_by, windows, written
 from .components import components
 from .packed import Chunks, array, ids_of
 
 #: Cost of verifying a pair, in index entries.
 PAIR_COST = 30.0
-#: Counters of a set's sketch.
-SKETCH = 512
-#: Members of a block of a family.
-FAMILY = 1024
+#: Members of a block of a group, rows of a task that compares blocks, and pairs that it looks at together.
+BLOCK, TASK_ROWS, TOGETHER = 1024, 100_000, 1 << 18
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles of each text, A-Z lower-cased."""
+    counts, (h,) = hashed_words(texts, LOWERED)
+    runs = {j: windows(h, j) ^ np.uint64(j) for j in np.unique(np.minimum(counts, k)).tolist() if j}
+    out, at = [], 0
+    for c in counts.tolist():
+        j = min(c, k)
+        s = np.sort(runs[j][at : at + c - j + 1]) if c else np.empty(0, np.uint64)
+        out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) > 1 else s)
+        at += c
+    return out
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Whether the tokens in each of about 2 to 4 cells a token are odd in number, a bit a cell.
+
+    Sketches of two sets differ in no more bits than the sets do in tokens; the halves of one, xored, are the sketch
+    of half the size.
+    """
+    cells = 64 << max(0, (len(tokens) - 1) // 32).bit_length()
+    return np.packbits((np.bincount((mix(tokens) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text, A-Z lower-cased."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(windows(np.ascontiguousarray(word_hashes(words)[:, 0]), min(k, len(words))) ^ np.uint64(min(k, len(words))))
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one a row, of ``words`` 64-bit words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def set_digests(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n and 128 bits (f1, f2) of each row's set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
+    """doc_id, n, 128 bits (f1, f2) and sketch of each row's set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("k", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in doc_slices(batch):
-                sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
+                sets = shingle_sets(part.column("text"), k)
                 prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array([sketch(s) for s in sets], pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k binary")
 
 
 def most_different(total: int, num: int, den: int) -> int:
@@ -126,28 +149,26 @@ def bands(largest: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def candidate_groups(messages: DataFrame, n: int) -> DataFrame:
+def candidate_groups(messages: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """g and x of the members of each group, and x, y (g null) of pairs of a prober and another."""
     schema = pa.schema([("g", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 
     def run(key, got):
         rows = got.to_pylist()
-        sig = np.concatenate([array(m["a"], np.uint64) for m in rows])
-        doc = np.concatenate([array(m["b"], np.int64) for m in rows])
-        kind = np.concatenate([array(m["c"], np.uint8) for m in rows])
+        sig, doc, kind, size = (np.concatenate([array(m[c], t) for m in rows]) for c, t in (("a", np.uint64), ("b", np.int64), ("c", np.uint8), ("d", np.uint32)))
         order = np.lexsort((doc, sig))
-        sig, doc, kind = sig[order], doc[order], kind[order]
+        sig, doc, kind, size = sig[order], doc[order], kind[order], size[order].astype(np.int64)
         fresh = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
-        sig, doc, kind = sig[fresh], doc[fresh], kind[fresh]
+        sig, doc, kind, size = sig[fresh], doc[fresh], kind[fresh], size[fresh]
         heads = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         ends = np.append(heads[1:], len(sig))
         g, x, y, known = [], [], [], set()
         for a, b in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist()):
             members = doc[a:b]
             if kind[a]:
-                for p in members[kind[a:b] == 2]:
-                    others = members[members != p]
-                    g.append(np.full(len(others), 0)), x.append(np.full(len(others), p)), y.append(others)
+                for p in (np.flatnonzero(kind[a:b] == 2) + a).tolist():
+                    others = members[(size[a:b] * den >= size[p] * num) & (size[p] * den >= size[a:b] * num) & (members != doc[p])]
+                    g.append(np.full(len(others), 0)), x.append(np.full(len(others), doc[p])), y.append(others)
                 continue
             name = xxhash.xxh3_64_intdigest(members.tobytes()) >> 1 or 1
             if name not in known:
@@ -161,9 +182,18 @@ def candidate_groups(messages: DataFrame, n: int) -> DataFrame:
     return messages.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, "g long, x long, y long")
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Tokens by hash in ``SKETCH`` counters of a byte.  The counters of two sets differ by no more than the sets do."""
-    return np.minimum(np.bincount((mix(tokens) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+def near(a: list[bytes], b: list[bytes], total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sketches let their sets link; ``total`` is the number of tokens of both."""
+    out = np.zeros(len(a), bool)
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    shapes, which = np.unique(la << 32 | lb, return_inverse=True)
+    for i, shape in enumerate(shapes.tolist()):
+        rows = np.flatnonzero(which == i)
+        left, right = (np.frombuffer(b"".join([x[r] for r in rows.tolist()]), np.uint64).reshape(len(rows), -1) for x in (a, b))
+        words = min(left.shape[1], right.shape[1])
+        apart = np.bitwise_count(folded(left, words) ^ folded(right, words)).sum(axis=1, dtype=np.int64)
+        out[rows] = apart <= total[rows] - 2 * -(-num * total[rows] // (num + den))
+    return out
 
 
 def _placed(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -173,19 +203,35 @@ def _placed(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return out.join(at.toDF("y", "ny", "sy"), "y")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def sieve(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that sizes and sketches let link."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+            fits = near(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), total, num, den)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], schema=schema).filter(pa.array(fits))
+
+    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
+    return _placed(pairs, reps, "k").where(fits).mapInArrow(run, "x long, y long").distinct()
+
+
+def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose sets' common part is at least num / den of their union.
 
-    Sizes and sketches, which only drop pairs that can't link, come first; whole sets are sent for the rest.
+    Only texts of documents in ``pairs`` are read again; a set that several rows of a document hold is sent once.
     """
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    sets_schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f", pa.binary()), ("s", pa.binary())])
 
-    def close(batches):
+    def own_sets(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sx", "sy"))
-            total = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
-            most = total - 2 * -(-num * total // (num + den))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], schema=schema).filter(pa.array(np.abs(a - b).sum(axis=1) <= most))
+            for part in doc_slices(batch):
+                sets = shingle_sets(part.column("text"), k)
+                blobs = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(xxhash.xxh3_128_digest, blobs), pa.binary()), pa.array(blobs, pa.binary())], schema=sets_schema)
+
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def exact(batches):
         for batch in batches:
@@ -198,53 +244,69 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * common >= num * (len(a) + len(b) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    rest = written(_placed(pairs, sets, "k").where(fits).mapInArrow(close, "x long, y long").distinct(), pairs.sparkSession)
-    return _placed(rest, sets, "s").mapInArrow(exact, "x long, y long").distinct()
-
-
-def _mixed(groups: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """x and its component c in ``linked``; and g, x, c of the groups whose members are in several components."""
-    labels = written(components(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))), linked.sparkSession)
-    named = groups.join(labels.withColumnRenamed("id", "x"), "x", "left").select("g", "x", F.coalesce("component", "x").alias("c"))
-    mixed = named.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
-    return labels, written(named.join(mixed, "g"), linked.sparkSession)
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(own_sets, "id long, n long, f binary, s binary")
+    sets = written(sets.where("n > 0").dropDuplicates(["id", "f"]), docs.sparkSession)
+    out = written(_placed(pairs, sets, "s").mapInArrow(exact, "x long, y long").distinct(), docs.sparkSession)
+    dropped(sets)
+    return out
 
 
-def within_families(tested: DataFrame, labels: DataFrame, open_rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """x, y: pairs of different components that sizes and sketches let link, among all that groups tie together.
+def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """x, y: pairs of a group that sizes and sketches let link and whose components in ``linked`` differ.
 
-    A family is what first and later members of groups join, so every pair of a group is inside one, and is looked at
-    once however many groups share it.  Families are cut into blocks of at most ``FAMILY`` members; a task holds two
-    blocks' sketches and returns only the pairs that pass.
+    A group is cut into blocks of about ``BLOCK`` members, whose pairs are units; a task gets some units' sketches and
+    returns only the pairs that pass.
     """
-    families = components(tested.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("id", "family")
-    members = families.join(labels.toDF("id", "c"), "id", "left").select("id", "family", F.coalesce("c", "id").alias("c"))
-    wanted = open_rows.select(F.col("x").alias("id")).distinct().join(families, "id").select("family").distinct()
-    sizes = members.join(wanted, "family", "left_semi").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("blocks"))
-    rows = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets.select("id", "n", "k"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).select("family", "lo", "hi", "block", "id", "c", "n", "k")
+    spark = groups.sparkSession
+    labels = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = written(groups.join(labels.withColumnRenamed("id", "x"), "x", "left").select("g", "x", F.coalesce("component", "x").alias("c")), spark)
+    mixed = named.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("c0 <> c1").select("g", "blocks")
+    rows = named.join(mixed, "g").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("g", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), F.col("x").alias("id"), "c")
+    tasks = max(partitions(spark), -(-named.count() // TASK_ROWS))
+    rows = rows.join(reps.select("id", "n", "k"), "id").withColumn("task", F.pmod("unit", F.lit(tasks)))
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(key, got):
-        block, ids, comp, n = (got.column(c).to_numpy() for c in ("block", "id", "c", "n"))
-        sketches = np.frombuffer(b"".join(got.column("k").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        left = np.flatnonzero(block == key[1].as_py())
-        right = np.flatnonzero(block == key[2].as_py())
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for i in left.tolist():
-            fits = right[(comp[right] != comp[i]) & (n[right] * den >= n[i] * num) & (n[i] * den >= n[right] * num)]
-            if key[1] == key[2]:
-                fits = fits[ids[fits] > ids[i]]
-            if len(fits):
-                total = n[fits] + n[i]
-                near = fits[np.abs(sketches[fits] - sketches[i]).sum(axis=1) <= total - 2 * -(-num * total // (num + den))]
-                found.append((np.full(len(near), ids[i]), ids[near]))
-        x, y = map(np.concatenate, zip(*found))
-        return pa.table([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], schema=schema)
-
-    return rows.groupBy("family", "lo", "hi").applyInArrow(run, "x long, y long").distinct()
+        got = got.take(pc.sort_indices(got, sort_keys=[("unit", "ascending"), ("side", "ascending"), ("id", "ascending")]))
+        unit, side, ids, comp, n = (got.column(c).to_numpy() for c in ("unit", "side", "id", "c", "n"))
+        sketches, found, waiting, have = got.column("k").to_pylist(), [np.empty((0, 2), np.int64)], [], 0
+
+        def settle():
+            i, j = (np.concatenate(c) for c in zip(*waiting))
+            fits = (comp[i] != comp[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
+            i, j = i[fits], j[fits]
+            low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            order = np.lexsort((high, low))
+            fresh = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])) if len(order) else np.empty(0, bool)
+            rows = order[fresh]
+            i, j = i[rows], j[rows]
+            passed = rows[near([sketches[r] for r in i.tolist()], [sketches[r] for r in j.tolist()], n[i] + n[j], num, den)]
+            found.append(np.column_stack([low[passed], high[passed]]))
+
+        heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        for a, b in zip(heads.tolist(), np.append(heads[1:], len(unit)).tolist()):
+            own = np.arange(a, b)
+            if side[a] == 2:
+                i, j = np.triu_indices(b - a, 1)
+                i, j = own[i], own[j]
+            else:
+                i, j = (x.ravel() for x in np.meshgrid(own[side[a:b] == 0], own[side[a:b] == 1], indexing="ij"))
+            waiting.append((i, j))
+            have += len(i)
+            if have > TOGETHER:
+                settle()
+                waiting, have = [], 0
+        if waiting:
+            settle()
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    out = written(rows.groupBy("task").applyInArrow(run, "x long, y long").distinct(), spark)
+    dropped(named)
+    return out
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -254,7 +316,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b: links between representatives (least doc_id of equal sets) that join all that are linked at all."""
     spark = docs.sparkSession
-    reps = written(digests.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id")), spark)
+    reps = written(digests.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("k").alias("k")), spark)
     edges = [b for b in bands(int(reps.agg(F.max("n")).first()[0] or 0), num, den)]
     lows = [low for low, _ in edges]
     if not lows:
@@ -265,69 +327,43 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
     chunks = Chunks(docs.select("doc_id", "text"))
     n, low = chunks.n, np.array(lows)
 
-    def own_sets(docs: pa.Table, answers: list[dict]):
-        wanted = {a["id"] for a in answers}
-        found: dict[int, np.ndarray] = {}
-        numbers = ids_of(docs).tolist()
-        texts = docs.column("text")
-        seen = set()
-        for i, number in enumerate(numbers):
-            if number in wanted:
-                text = texts[i].as_py()
-                if (number, text) not in seen:
-                    seen.add((number, text))
-                    found.setdefault(number, []).append(shingle_set(text, k))
-        return [(number, s) for number, all_sets in found.items() for s in all_sets if len(s)]
-
-    def send(docs: pa.Table, answers: list[dict]):
-        sets = own_sets(docs, answers)
-        if not sets:
-            return []
-        numbers, lengths = np.array([x for x, _ in sets]), np.array([len(s) for _, s in sets])
+    def signatures(sets: list[np.ndarray], numbers: np.ndarray):
+        lengths = np.array([len(s) for s in sets])
         of = np.searchsorted(low, lengths, side="right") - 1
-        parts = []
         for scheme in schemes:
             rows = np.flatnonzero((of == scheme.number) | (of == scheme.number - 1))
-            if scheme.differ < 1 or not len(rows):
-                continue
-            for at in range(0, len(rows), 512):
-                some = rows[at : at + 512]
-                tokens = np.concatenate([sets[i][1] for i in some])
-                sig, own, kind = scheme.signatures(tokens, np.repeat(np.arange(len(some)), lengths[some]), len(some))
-                parts.append((sig, numbers[some][own], kind))
+            if scheme.differ >= 1 and len(rows):
+                sig, own, kind = scheme.signatures(np.concatenate([sets[i] for i in rows]), np.repeat(np.arange(len(rows)), lengths[rows]), len(rows))
+                yield sig, numbers[rows][own], kind, lengths[rows][own].astype(np.uint32)
+
+    def send(docs: pa.Table, answers: list[dict]):
+        numbers = ids_of(docs)
+        docs = docs.filter(pa.array(np.isin(numbers, [a["id"] for a in answers])))
+        parts = []
+        for batch in docs.to_batches():
+            for part in doc_slices(batch):
+                sets = shingle_sets(part.column("text"), k)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    parts += signatures([sets[i] for i in full], ids_of(part)[full])
         if not parts:
             return []
-        sig, doc, kind = map(np.concatenate, zip(*parts))
-        return [[b, sig[rows], doc[rows], kind[rows]] for b, rows in split_by((sig % np.uint64(n)).astype(np.int64), n)]
-
-    def receive(docs: pa.Table, answers: list[dict]):
-        sets = own_sets(docs, answers)
-        return pa.table({"id": pa.array([x for x, _ in sets], pa.int64()), "n": pa.array([len(s) for _, s in sets], pa.int64()), "s": pa.array([s.tobytes() for _, s in sets], pa.binary()), "k": pa.array([sketch(s) for _, s in sets], pa.binary())})
+        sig, doc, kind, size = map(np.concatenate, zip(*parts))
+        return [[b, sig[rows], doc[rows], kind[rows], size[rows]] for b, rows in split_by((sig % np.uint64(n)).astype(np.int64), n)]
 
-    def at_chunks(ids: DataFrame) -> DataFrame:
-        return ids.select("id", chunks.place(F.col("id")).alias("chunk")).repartition(n, "chunk")
-
-    found = written(candidate_groups(chunks.send_after(at_chunks(reps), send), n), spark)
+    at_chunks = reps.select("id", chunks.place(F.col("id")).alias("chunk")).distinct().repartition(n, "chunk")
+    found = written(candidate_groups(chunks.send_after(at_chunks, send), n, num, den), spark)
     groups = written(found.where("g IS NOT NULL").select("g", "x").distinct(), spark)
-    pairs = _ordered(found.where("g IS NULL").select("x", "y"))
-    ids = groups.select("x").union(found.where("g IS NULL").select("x")).union(found.where("g IS NULL").select("y")).distinct().withColumnRenamed("x", "id")
-    sets = written(chunks.receive(at_chunks(ids), receive, "id long, n long, s binary, k binary"), spark)
-
     hub = groups.groupBy("g").agg(F.min("x").alias("y"))
-    tested = written(_ordered(groups.join(hub, "g").select("x", "y").unionByName(pairs)), spark)
-    linked = written(verify(tested, sets, num, den), spark)
-    labels, open_rows = _mixed(groups, linked)
-    if not open_rows.isEmpty():
-        degree = linked.select(F.explode(F.array("x", "y")).alias("x")).groupBy("x").count()
-        best = open_rows.join(degree, "x", "left").groupBy("g").agg(F.max(F.struct(F.coalesce("count", F.lit(0)).alias("k"), (-F.col("x")).alias("m"), F.col("c").alias("d"))).alias("top"))
-        more = open_rows.join(best.select("g", (-F.col("top.m")).alias("y"), F.col("top.d").alias("d")), "g").where("c <> d")
-        fresh = written(_ordered(more.select("x", "y")).join(tested, ["x", "y"], "left_anti"), spark)
-        linked = written(linked.unionByName(verify(fresh, sets, num, den)), spark)
-        labels, open_rows = _mixed(groups, linked)
-        if not open_rows.isEmpty():
-            rest = written(within_families(tested, labels, open_rows, sets, num, den), spark)
-            linked = written(linked.unionByName(verify(rest, sets, num, den)), spark)
-    return linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tested = _ordered(groups.join(hub, "g").select("x", "y").unionByName(found.where("g IS NULL").select("x", "y")))
+    likely = written(sieve(tested, reps, num, den), spark)
+    dropped(found)
+    linked = verify(likely, docs, k, num, den)
+    rest = within_groups(groups, linked, reps, num, den)
+    dropped(likely, groups, reps)
+    more = verify(rest, docs, k, num, den)
+    dropped(rest)
+    return linked.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -345,5 +381,5 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each class, that with the least doc_id, and all documents without shingles."""
-    dropped = written(classes(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct(), docs.sparkSession)
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped_ids = written(classes(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct(), docs.sparkSession)
+    return docs.join(dropped_ids, "doc_id", "left_anti")

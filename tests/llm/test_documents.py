@@ -6,12 +6,13 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from voxlake.llm import block_naming, bound_packing, bpe_fst, bwt_dedup, cover_dedup, partition_join, token_files
+from voxlake.llm import block_naming, bound_packing, bpe_fst, bwt_dedup, cover_dedup, partition_join, token_files, word_tokens
 from voxlake.llm.common import shared_dir
 from voxlake.llm.word_tokens import WordIds
 
@@ -35,6 +36,7 @@ def corpus(seed=7, n=60):
                 w[rng.randrange(len(w))] = word()
         rows.append((i, " ".join(w)))
     rows += [(100, None), (101, ""), (102, " \n\t"), (103, "Same Text"), (104, "same text"), (105, "ÄB same"), (106, "äb same"), (107, "one")]
+    rows += [(112, "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|> d")]
     rows += [(108, "lang " * 3000), (109, "lang " * 3001), (110, "ab" * 9000), (111, "Z" * 5000 + "😀" * 800)]
     return rows
 
@@ -153,18 +155,25 @@ def test_schemes_cover_every_pair():
             assert s.single + 2 * s.double > s.differ
 
 
-def test_word_ids_are_the_librarys():
+def test_word_ids_are_the_librarys(monkeypatch):
     coder, tok = WordIds(open(WORDS, encoding="utf-8").read()), Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     rng = random.Random(3)
-    letters = list("abXY09'.,!-_$é ßÄ²ÀİǅȺσΣ\n\t\x85\xa0\x1c­日é×") + ["<|endoftext|>", "'s", "'T", " "]
+    letters = list("abXY09'.,!-_$é ßÄ²ÀİǅȺσΣ\n\t\x85\xa0\x1c­日é×") + ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'s", "'T", " "]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
-    assert coder.cuts and [x.tolist() for x in coder.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert coder.cuts and any(49407 in x for x in want)
+    for keep in (word_tokens.KEEP, 40):  # the second forgets again and again
+        monkeypatch.setattr(word_tokens, "KEEP", keep)
+        got = []
+        for i in range(0, len(texts), 100):
+            ids, ends = coder.encode(pa.array([*texts[i : i + 100], None], pa.string()))
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+            assert got.pop() == [] and len(coder.words.names) <= max(keep, 3000)
+        assert got == want
 
 
 def reference_ids(rows, end):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     return [(d, tok.encode(t or "", add_special_tokens=False).ids + [end]) for d, t in rows]
 
 

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, written
-from .word_tokens import engine, ship
+from .common import doc_slices, no_cycles, written
+from .word_tokens import SLICE, engine, ship
 
 #: Pieces that one task packs at once, and exchanges in succession that may save nothing before bins that are not full stay.
 PER_TASK, PATIENCE = 100_000, 6
@@ -32,17 +32,21 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     shipped = ship(docs.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
+    @no_cycles
     def run(batches):
         coder = None
         for batch in batches:
             coder = coder or engine(path, shipped.value)
-            for part in doc_slices(batch):
-                rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
-                    raw = np.append(ids, coder.dtype.type(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(raw), capacity)):
-                        cut = raw[at : at + capacity]
-                        rows.append((doc, k, at, len(cut), zlib.crc32(cut.tobytes())))
+            end = np.array([end_id], "<u4")
+            for part in doc_slices(batch, SLICE):
+                ids, ends = coder.encode(part.column("text"))
+                rows, at = [], 0
+                for doc, to in zip(part.column("doc_id").to_pylist(), ends.tolist()):
+                    raw = np.concatenate([ids[at:to], end])
+                    at = to
+                    for k, cut in enumerate(range(0, len(raw), capacity)):
+                        some = raw[cut : cut + capacity]
+                        rows.append((doc, k, cut, len(some), zlib.crc32(some)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, partitions, shared_dir
-from .word_tokens import engine, ship
+from .common import doc_slices, no_cycles, partitions, shared_dir
+from .word_tokens import SLICE, engine, ship
 
 LENGTH, ROWS = 2048, 256
 
@@ -114,25 +114,27 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, uri: str, shards: int
     schema = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
+    @no_cycles
     def run(batches):
         coder, shard = None, TaskContext.get().partitionId()
         suffix = f".{TaskContext.get().taskAttemptId()}.tmp"
         docs_seen = 0
         for batch in batches:
-            for part in doc_slices(batch):
+            for part in doc_slices(batch, SLICE):
                 if coder is None:
                     coder = engine(path, shipped.value)
-                    end = np.array([end_id], coder.dtype)
                     writer = ShardWriter(f"{uri}/tokens-{shard}.arrow{suffix}", coder.dtype)
                     index_out = writer.store.open_output_stream(f"{writer.path}.docs")
                     index = pa.ipc.new_file(index_out, index_schema)
-                starts, sizes = [], []
-                for ids in coder.encode(part.column("text").to_pylist()):
-                    starts.append(writer.total)
-                    sizes.append(len(ids) + 1)
-                    writer.add(ids)
-                    writer.add(end)
-                index.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=index_schema))
+                ids, ends = coder.encode(part.column("text"))
+                ends += np.arange(1, len(ends) + 1)  # with the end ids
+                starts = np.append(0, ends[:-1])
+                flat = np.full(len(ids) + len(ends), end_id, coder.dtype)
+                real = np.ones(len(flat), bool)
+                real[ends - 1] = False
+                flat[real] = ids
+                index.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(starts + writer.total, pa.int64()), pa.array(ends - starts, pa.int64())], schema=index_schema))
+                writer.add(flat)
                 docs_seen += part.num_rows
         if coder is not None:
             writer.close()
@@ -168,7 +170,7 @@ def read_digests(spark, uri: str, shards: list[tuple[int, int, int]]) -> DataFra
                         for start, n in zip(part.column("start").to_pylist(), part.column("n_tokens").to_pylist()):
                             crc = 0
                             for ids in reader.tokens(start, n):
-                                crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
+                                crc = zlib.crc32(ids.astype("<u4"), crc)
                             sums.append(crc)
                         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(part.column("start").to_numpy() + base, pa.int64()), part.column("n_tokens"), pa.array(sums, pa.int64())], schema=schema)
 

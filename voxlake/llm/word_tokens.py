@@ -12,9 +12,11 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-from .common import CACHE_LIMIT
+from .common import only_mine
 
 
 @lru_cache(maxsize=4)
@@ -26,10 +28,14 @@ def read_json(path: str) -> str:
 #: A normaliser and pattern for which words of simple characters can be cut here.
 KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 KNOWN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Below U+0250: no character that NFC changes, letters and digits written out, no white space.
+#: Below U+0250: no character that NFC changes, letters and digits written out, no white space, and none whose small
+#: letter is elsewhere.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-SIMPLE = re.compile("[!-~¡-įı-ɏ]*").fullmatch
-CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+").findall
+SIMPLE = "^[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if not chr(c).isspace() and c not in range(0x7F, 0xA1) and max(map(ord, chr(c).lower())) < 0x250 and len(chr(c).lower()) == 1) + "]*$"
+#: Pieces of words that a line feed ends each.
+CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|\\n|[^{LETTERS}{DIGITS}\\n]+").findall
+#: Strings that a store keeps at most, and bytes of text that are encoded at a time.
+KEEP, SLICE = 400_000, 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -42,70 +48,114 @@ def byte_letters() -> list[str]:
 BYTE_LETTERS = byte_letters()
 
 
+class Store:
+    """Strings with their ids, in Arrow memory.  ``make`` gives the ids, one string after another, and their numbers.
+
+    When there are over ``KEEP`` strings, those that were asked for last stay, so frequent ones do.
+    """
+
+    def __init__(self, make, dtype):
+        self.make, self.clock = make, 0
+        self.names, self.ids = pa.array([], pa.string()), np.empty(0, dtype)
+        self.offsets, self.used = np.zeros(1, np.int64), np.empty(0, np.int64)
+
+    def of(self, coded: pa.DictionaryArray) -> pa.ListArray:
+        """The ids of each entry."""
+        names, self.clock = coded.dictionary, self.clock + 1
+        rows = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int32)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = np.arange(len(new)) + len(self.names)
+            fresh = names.take(pa.array(new))
+            ids, numbers = self.make(fresh)
+            self.names = pa.concat_arrays([self.names, fresh])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(numbers)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.used[rows] = self.clock
+        out = self._lists().take(pa.array(rows[coded.indices.to_numpy()]))
+        if len(self.names) > KEEP:
+            self._forget()
+        return out
+
+    def _lists(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.offsets.astype(np.int32)), pa.array(self.ids))
+
+    def _forget(self) -> None:
+        cut = np.partition(self.used, -(KEEP // 2))[-(KEEP // 2)]
+        stay = self.used >= cut
+        rows = pa.array(np.flatnonzero(stay if stay.sum() <= KEEP else self.used > cut))
+        lists = self._lists().take(rows)
+        self.names, self.used = self.names.take(rows), self.used[rows.to_numpy()]
+        self.ids, self.offsets = lists.flatten().to_numpy().copy(), lists.offsets.to_numpy().astype(np.int64)
+
+
 class WordIds:
-    """``encode(texts)``: ids of each text as an array; null is empty.
+    """``encode(texts)``: the ids of all texts one after another, and where each text's end; null is empty.
 
-    With the normaliser and pattern above, a new word of simple characters is cut into the pattern's pieces here, and
-    only new pieces go through the tokenizer's model; other words go through the whole tokenizer.
+    With the normaliser and pattern above, new words of simple characters are cut into the pattern's pieces here, and
+    only new pieces go through the tokenizer's model; other words, and those that hold the string of a special
+    token, go through the whole tokenizer, with the library's default for such strings.
     """
 
-    def __init__(self, json: str, specials_are_text: bool = True):
+    def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = specials_are_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Store(self._words, self.dtype), Store(self._pieces, self.dtype)
         parts = json_module.loads(json)
         normal, split = parts.get("normalizer") or {}, (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        added = parts.get("added_tokens") or []
+        self.marks = [t["content"] for t in added]
         self.cuts = (
             normal.get("normalizers") == KNOWN_NORMALIZER and len(split) == 2 and split[0].get("pattern") == {"Regex": KNOWN_PATTERN}
             and split[0].get("behavior") == "Removed" and split[0].get("invert") and split[1].get("type") == "ByteLevel" and not split[1].get("use_regex") and not split[1].get("add_prefix_space")
-            and (specials_are_text or not parts.get("added_tokens"))
+            and not any(t["normalized"] or re.search(r"\s", t["content"]) for t in added)
         )
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE_LIMIT:
-                self.pieces.clear()
+    def _pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found, tokenize = [], self.tokenizer.model.tokenize
+        for piece in names.to_pylist():
             letters = piece if piece.isascii() else "".join(map(BYTE_LETTERS.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype=self.dtype).tobytes()
-        return ids
-
-    def _words(self, words: list[str]) -> None:
-        rest, known, piece = [], self.known, self._piece
-        for word in words:
-            if self.cuts and SIMPLE(word) and SIMPLE(low := word.lower()):
-                known[word] = b"".join(map(piece, CUT(low)))
-            else:
-                rest.append(word)
-        for i in range(0, len(rest), 8192):
-            part = rest[i : i + 8192]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > CACHE_LIMIT:
-            self.known = {"": b""}
-            new = set().union(*words)
-        self._words(list(new))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), dtype=self.dtype) for w in words]
-
-
-_ENGINES: dict[str, WordIds] = {}
+            found.append([] if piece == "\n" else [t.id for t in tokenize(letters)])
+        return np.array([i for ids in found for i in ids], self.dtype), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        simple = pc.match_substring_regex(names, SIMPLE) if self.cuts else pa.array(np.zeros(len(names), bool))
+        for mark in self.marks:
+            simple = pc.and_(simple, pc.invert(pc.match_substring(names, mark)))
+        plain = simple.to_numpy(zero_copy_only=False)
+        numbers, parts = np.zeros(len(names), np.int64), []
+        if plain.any():
+            cut = pa.array(CUT("\n".join(names.filter(simple).to_pylist()).lower() + "\n"), pa.string()).dictionary_encode()
+            lists = self.pieces.of(cut)
+            ends = lists.offsets.to_numpy()[np.flatnonzero(cut.indices.to_numpy() == pc.index(cut.dictionary, "\n").as_py()) + 1]
+            numbers[plain] = np.diff(ends, prepend=0)
+            parts.append((np.flatnonzero(plain), lists.flatten().to_numpy()))
+        if not plain.all():
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(names.filter(pc.invert(simple)).to_pylist(), add_special_tokens=False)]
+            numbers[~plain] = list(map(len, found))
+            parts.append((np.flatnonzero(~plain), np.array([i for ids in found for i in ids], self.dtype)))
+        if len(parts) == 1:
+            return parts[0][1], numbers
+        kind, out = np.repeat(plain, numbers), np.empty(numbers.sum(), self.dtype)
+        out[kind], out[~kind] = parts[0][1], parts[1][1]
+        return out, numbers
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        lists = self.words.of(words.flatten().dictionary_encode())
+        if not len(lists):
+            return np.empty(0, self.dtype), np.zeros(len(texts), np.int64)
+        at = words.offsets.to_numpy()
+        return lists.flatten().to_numpy(), lists.offsets.to_numpy()[at[1:] - at[0]].astype(np.int64)
 
 
 def engine(key: str, json: str) -> WordIds:
     """The worker's encoder for the file ``key``; made once a worker."""
-    if key not in _ENGINES:
-        _ENGINES[key] = WordIds(json)
-    return _ENGINES[key]
+    return only_mine(("words", key), lambda: WordIds(json))
 
 
 def ship(spark: SparkSession, path: str):

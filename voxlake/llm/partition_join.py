@@ -95,22 +95,19 @@ class Scheme:
     def __init__(self, number: int, low: int, high: int, sets: int, num: int, den: int):
         self.number, self.low, self.high = number, low, high
         self.differ = max(max(most_different(t, num, den) for t in range(max(2, 2 * high - 40), 2 * high + 1)), 0)
-        need, best = self.differ + 1, None
-        for double in range(0, (need + 1) // 2 + 1):
-            for spare in range(0, 6):
-                single = need + spare - 2 * double
-                if single < 0 and 2 * double > need + 1:
-                    continue
-                single = max(0, single)
-                unit = low / (single + 2 * double)
-                empty = single * math.exp(-unit) + double * math.exp(-2 * unit) * (1 + 2 * unit)
-                slack = single + 2 * double - need
-                probers = sets * (1 - sum(math.exp(-empty) * empty**j / math.factorial(j) for j in range(slack + 1)))
-                pairs = max(0.0, probers) * (slack + 1) * sets * max(math.exp(-unit) if single else 0.0, math.exp(-2 * unit))
-                cost = sets * (single + double * (1 + 2 * unit)) + PAIR_COST * pairs
-                if best is None or cost < best[0]:
-                    best = (cost, single, double)
-        _, self.single, self.double = best
+        need = self.differ + 1
+        double, spare = (g.ravel() for g in np.meshgrid(np.unique(np.linspace(0, (need + 1) // 2, 33).astype(int)), np.unique([*range(8), *(need * np.arange(1, 17) // 128)])))
+        single = np.maximum(0, need + spare - 2 * double)
+        units, slack = single + 2 * double, single + 2 * double - need
+        unit = low / units
+        empty = np.maximum(single * np.exp(-unit) + double * np.exp(-2 * unit) * (1 + 2 * unit), 1e-300)
+        j = np.arange(slack.max() + 1)[:, None]
+        logs = np.array([math.lgamma(i + 1) for i in range(len(j))])[:, None]
+        within = np.where(j <= slack, np.exp(j * np.log(empty) - empty - logs), 0).sum(axis=0)
+        probers = sets * np.maximum(0, 1 - within)
+        pairs = probers * (slack + 1) * sets * np.maximum(np.where(single > 0, np.exp(-unit), 0), np.exp(-2 * unit))
+        best = int(np.argmin(sets * (single + double * (1 + 2 * unit)) + PAIR_COST * pairs))
+        self.single, self.double = int(single[best]), int(double[best])
         self.units = self.single + 2 * self.double
         self.count = self.single + self.double
 
@@ -155,9 +152,11 @@ def candidate_groups(messages: DataFrame, n: int, num: int, den: int) -> DataFra
 
     def run(key, got):
         rows = got.to_pylist()
-        sig, doc, kind, size = (np.concatenate([array(m[c], t) for m in rows]) for c, t in (("a", np.uint64), ("b", np.int64), ("c", np.uint8), ("d", np.uint32)))
+        sig, doc, kind, sizes = (np.concatenate([array(m[c], t) for m in rows]) for c, t in (("a", np.uint64), ("b", np.int64), ("c", np.uint8), ("d", np.uint32)))
+        size = np.zeros(len(sig), np.int64)  # only those with an empty content send theirs
+        size[kind > 0] = sizes
         order = np.lexsort((doc, sig))
-        sig, doc, kind, size = sig[order], doc[order], kind[order], size[order].astype(np.int64)
+        sig, doc, kind, size = sig[order], doc[order], kind[order], size[order]
         fresh = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))
         sig, doc, kind, size = sig[fresh], doc[fresh], kind[fresh], size[fresh]
         heads = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
@@ -349,7 +348,7 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
         if not parts:
             return []
         sig, doc, kind, size = map(np.concatenate, zip(*parts))
-        return [[b, sig[rows], doc[rows], kind[rows], size[rows]] for b, rows in split_by((sig % np.uint64(n)).astype(np.int64), n)]
+        return [[b, sig[rows], doc[rows], kind[rows], size[rows][kind[rows] > 0]] for b, rows in split_by((sig % np.uint64(n)).astype(np.int64), n)]
 
     at_chunks = reps.select("id", chunks.place(F.col("id")).alias("chunk")).distinct().repartition(n, "chunk")
     found = written(candidate_groups(chunks.send_after(at_chunks, send), n, num, den), spark)

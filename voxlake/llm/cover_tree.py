@@ -3,15 +3,18 @@
 Vectors are scaled to length one, so that a cosine is a distance.  The top of a cover tree, nested levels of centres
 with halving radii, is built on a bounded sample; every vector is then indexed under its nearest centre of the lowest
 such level, and each cell gets its true covering radius.  Cells are cut into blocks, and block pairs of cells that are
-too far apart for any link are pruned.  A task builds the trees of its two blocks and descends both: a pair of nodes
-is dropped when their covering radii prove that nothing in it links, counted whole when they prove that all of it
-does, split otherwise, and compared vector by vector (double precision) at the leaves.  A node is a leaf when it is
-small or when halving its radius doesn't gather its points any more.
+too far apart for any link are pruned.  The levels below are built block by block: a node's children are a net of its
+vectors at half its level's radius, its own centre first, down to single vectors or equal directions.  A task gets
+the trees of two blocks and descends both: a pair of nodes is dropped when their covering radii prove that nothing in
+it links, counted whole when they prove that all of it does, and split into the pairs of their children otherwise.
+Children are kept in order of their distance from the node's centre, so tiles of them that the triangle inequality
+parts aren't even measured.  What is left at the leaves is compared by cosine in double precision.
 
 Tasks return a count for each vector and a spanning forest of what links, never the pairs.
 
 Defined results: null vectors, null or non-finite components, zero vectors and vectors of another length link with
-nothing; equal vectors are one point with a count; rows with one vec_id are one vertex.
+nothing; equal vectors are one point with a count; rows with one vec_id are one vertex; a null vec_id is a row like
+others, but its ``kept`` is null.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, give_back, written
 from .components import components
 
-#: Rows that the top of the tree is built on, its centres at most, points of a leaf, and points of a block.
-SAMPLE, CENTRES, LEAF, BLOCK = 4096, 256, 128, 4096
-#: Slack for rounding in bounds; pairs within it are compared one by one.
-SLACK = 1e-9
+#: Rows that the top of the tree is built on, its centres at most, points of a block, and children of a tile.
+SAMPLE, CENTRES, BLOCK, TILE = 4096, 256, 8192, 512
+#: Slack for rounding in bounds (a distance is a root, so it is coarser than a cosine); pairs within it are split.
+SLACK = 1e-6
 
 
 def vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -76,24 +79,81 @@ def cover(x: np.ndarray, radius: float, most: int, start: list[int] = ()) -> tup
         centres.append(c)
 
 
-class Node:
-    __slots__ = ("rows", "centre", "radius", "children")
-
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray, level: float):
-        self.rows, self.centre, self.children = rows, centre, []
-        self.radius = float(distances(x[rows], centre[None]).max())
-        if len(rows) <= LEAF or self.radius == 0.0:
-            return
-        while level > self.radius:
-            level /= 2
-        found = cover(x[rows], level / 2 if level == self.radius else level, max(2, len(rows) // 8))
-        if found and len(found[0]) > 1:
-            centres, of, _ = found
-            self.children = [Node(x, rows[of == k], x[rows[c]], level / 2) for k, c in enumerate(centres)]
-
-
-def tree(x: np.ndarray) -> Node:
-    return Node(x, np.arange(len(x)), x[0], 2.0)
+def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x``, the first one first, over ``radius`` apart and such that every row is within it of one; and the
+    nearest of them for each row."""
+    chosen = np.zeros(1, np.int64)
+    for at in range(0, len(x), TILE):
+        rows = np.arange(at, min(at + TILE, len(x)))
+        far = np.ones(len(rows), bool)
+        for k in range(0, len(chosen), 8 * TILE):
+            far &= (distances(x[rows], x[chosen[k : k + 8 * TILE]]) > radius).all(axis=1)
+        rows = rows[far]
+        apart, more = distances(x[rows], x[rows]) > radius, []
+        left = np.ones(len(rows), bool)
+        for i in range(len(rows)):
+            if left[i]:
+                more.append(rows[i])
+                left &= apart[i]
+        chosen = np.append(chosen, np.array(more, np.int64))
+    of = np.empty(len(x), np.int64)
+    for at in range(0, len(x), TILE):
+        of[at : at + TILE] = (x[at : at + TILE] @ x[chosen].T).argmax(axis=1)
+    of[chosen] = np.arange(len(chosen))
+    return chosen, of
+
+
+class Tree:
+    """Nodes as arrays: covering radius, first and one past the last child, place and end of its points; a node's
+    centre is its first point, and points lie in order of the tree."""
+
+    FIELDS = (("radius", np.float64), ("first", np.int64), ("stop", np.int64), ("low", np.int64), ("high", np.int64))
+
+    def __init__(self, nodes: np.ndarray):
+        for i, (name, kind) in enumerate(self.FIELDS):
+            setattr(self, name, nodes[i].astype(kind))
+        self.leaf = self.first == self.stop
+        #: Nodes that a node is split into, from ``start`` on: its children, or a leaf itself.
+        self.kids = np.where(self.leaf, 1, self.stop - self.first)
+        self.start = np.where(self.leaf, np.arange(len(self.leaf)), self.first)
+
+    @classmethod
+    def plant(cls, x: np.ndarray) -> tuple[Tree, np.ndarray]:
+        """The tree of the rows of ``x`` and the order in which it has them."""
+        order = np.arange(len(x))
+        nodes = [[0.0, 0, 0, 0, len(x)]]
+        levels, at = [2.0], 0
+        while at < len(nodes):
+            node, level = nodes[at], levels[at]
+            low, high = node[3], node[4]
+            rows = order[low:high]
+            far = distances(x[rows], x[rows[:1]])[:, 0] if high - low > 1 else np.zeros(1)
+            node[0] = float(far.max())
+            node[1] = node[2] = len(nodes)
+            if node[0] > SLACK:
+                while level >= node[0]:
+                    level /= 2
+                chosen, of = net(x[rows], level)
+                by_far = np.argsort(far[chosen], kind="stable")  # the node's own centre stays first
+                rank = np.empty(len(chosen), np.int64)
+                rank[by_far] = np.arange(len(chosen))
+                centre = np.ones(len(rows), bool)
+                centre[chosen] = False
+                place = np.lexsort((centre, rank[of]))
+                order[low:high] = rows[place]
+                ends = low + np.cumsum(np.bincount(rank[of], minlength=len(chosen)))
+                nodes += [[0.0, 0, 0, a, b] for a, b in zip([low, *ends[:-1].tolist()], ends.tolist())]
+                levels += [level] * len(chosen)
+                node[2] = len(nodes)
+            at += 1
+        return cls(np.array(nodes, np.float64).T), order
+
+    def blob(self) -> bytes:
+        return np.array([getattr(self, name) for name, _ in self.FIELDS], np.float64).tobytes()
+
+    @classmethod
+    def read(cls, blob: bytes) -> Tree:
+        return cls(np.frombuffer(blob, np.float64).reshape(len(cls.FIELDS), -1))
 
 
 class Joined:
@@ -104,6 +164,8 @@ class Joined:
         self.reach = math.sqrt(2.0 - 2.0 * threshold)
         self.counts = np.zeros(len(weights), np.int64)
         self.label = np.arange(len(weights))
+        #: Node pairs that were skipped in tiles, whose distance was measured, that the radii let stay; vector pairs compared.
+        self.skipped = self.measured = self.survived = self.compared = 0
 
     def union(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
@@ -127,35 +189,93 @@ class Joined:
         rest = np.concatenate([a, b])
         self.union(rest, np.full(len(rest), rest[0]))
 
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Single links."""
+        np.add.at(self.counts, left, self.weights[right])
+        np.add.at(self.counts, right, self.weights[left])
+        self.union(left, right)
+
     def leaves(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         for i in range(0, len(a), 1024):
             some = a[i : i + 1024]
             r, c = np.nonzero(x[some] @ x[b].T >= self.threshold)
             left, right = some[r], b[c]
             keep = left < right if same else np.ones(len(left), bool)
-            left, right = left[keep], right[keep]
-            np.add.at(self.counts, left, self.weights[right])
-            np.add.at(self.counts, right, self.weights[left])
-            self.union(left, right)
-
-    def descend(self, x: np.ndarray, first: Node, second: Node) -> None:
-        todo = [(first, second)]
-        while todo:
-            a, b = todo.pop()
-            same = a is b
-            d = 0.0 if same else float(distances(a.centre[None], b.centre[None])[0, 0])
-            if d > a.radius + b.radius + self.reach + SLACK:
+            self.pairs(left[keep], right[keep])
+            self.compared += len(some) * len(b)
+
+    def descend(self, x: np.ndarray, one: Tree, two: Tree, shift: int) -> None:
+        """Joins the points of ``one``, which come first, and those of ``two``, from row ``shift`` on; the same tree
+        twice, with no shift, joins its points with one another."""
+        same = one is two
+        stack, waiting = [], []
+        singles: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sort_out(m: np.ndarray, n: np.ndarray, d: np.ndarray) -> None:
+            """Settles what bounds settle of node pairs, and puts the others where they are split."""
+            near = d <= one.radius[m] + two.radius[n] + self.reach + SLACK
+            self.measured += len(d)
+            self.survived += int(near.sum())
+            m, n, d = m[near], n[near], d[near]
+            own = (m == n) & same
+            ends = one.leaf[m] & two.leaf[n]
+            alone = ends & ~own & (one.high[m] - one.low[m] == 1) & (two.high[n] - two.low[n] == 1)
+            singles.append((one.low[m[alone]], two.low[n[alone]] + shift))
+            linked = ~alone & (np.where(own, 0.0, d) + one.radius[m] + two.radius[n] <= self.reach - SLACK)
+            for i in np.flatnonzero(linked).tolist():
+                self.whole(np.arange(one.low[m[i]], one.high[m[i]]), np.arange(two.low[n[i]], two.high[n[i]]) + shift, bool(own[i]))
+            for i in np.flatnonzero(ends & ~alone & ~linked).tolist():
+                self.leaves(x, np.arange(one.low[m[i]], one.high[m[i]]), np.arange(two.low[n[i]], two.high[n[i]]) + shift, bool(own[i]))
+            split = ~ends & ~linked
+            many = split & (own | (one.kids[m] * two.kids[n] >= 8 * TILE))
+            stack.extend(zip(m[many].tolist(), n[many].tolist()))
+            few = split & ~many
+            if few.any():
+                waiting.append((m[few], n[few]))
+
+        sort_out(np.zeros(1, np.int64), np.zeros(1, np.int64), distances(x[:1], x[shift : shift + 1])[0])
+        while stack or waiting:
+            if waiting:
+                m, n = (np.concatenate(c) for c in zip(*waiting))
+                waiting.clear()
+                sizes = one.kids[m] * two.kids[n]
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (64 * TILE))) + 1
+                for u, v, size in zip(np.split(m, cuts), np.split(n, cuts), np.split(sizes, cuts)):
+                    k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    u, v = np.repeat(u, size), np.repeat(v, size)
+                    u, v = one.start[u] + k // two.kids[v], two.start[v] + k % two.kids[v]
+                    sort_out(u, v, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x[one.low[u]], x[two.low[v] + shift]))))
                 continue
-            if d + a.radius + b.radius <= self.reach - SLACK:
-                self.whole(a.rows, b.rows, same)
-            elif same and a.children:
-                todo += [(p, q) for i, p in enumerate(a.children) for q in a.children[i:]]
-            elif a.children and (a.radius >= b.radius or not b.children):
-                todo += [(p, b) for p in a.children]
-            elif b.children:
-                todo += [(a, q) for q in b.children]
-            else:
-                self.leaves(x, a.rows, b.rows, same)
+            p, q = stack.pop()
+            alike = same and p == q
+            left, right = one.start[p] + np.arange(one.kids[p]), two.start[q] + np.arange(two.kids[q])
+            base = float(distances(x[one.low[p]][None], x[two.low[q] + shift][None])[0, 0])
+            for i in range(0, len(left), TILE):
+                a = left[i : i + TILE]
+                for j in range(i if alike else 0, len(right), TILE):
+                    b = right[j : j + TILE]
+                    if self._parted(x, one, two, p, q, a, b, shift, base):
+                        self.skipped += len(a) * len(b)
+                        continue
+                    d = distances(x[one.low[a]], x[two.low[b] + shift])
+                    r, c = np.nonzero(d <= one.radius[a][:, None] + two.radius[b] + self.reach + SLACK)
+                    if alike and i == j:
+                        r, c = r[r <= c], c[r <= c]
+                    self.measured += d.size - len(r)
+                    sort_out(a[r], b[c], d[r, c])
+        for left, right in singles:
+            for k in range(0, len(left), 8192):
+                l, r = left[k : k + 8192], right[k : k + 8192]
+                hit = np.einsum("ij,ij->i", x[l], x[r]) >= self.threshold
+                self.compared += len(l)
+                self.pairs(l[hit], r[hit])
+
+    def _parted(self, x, one: Tree, two: Tree, p: int, q: int, a: np.ndarray, b: np.ndarray, shift: int, base: float) -> bool:
+        """Whether distances from the parents' centres alone keep all of ``a`` from all of ``b``."""
+        ends = lambda tree, node, kids, by: distances(x[tree.low[node] + by][None], x[tree.low[kids[[0, -1]]] + by])[0]
+        (a0, a1), (b0, b1) = ends(one, p, a, 0), ends(two, q, b, shift)
+        gap = max(base - a1 - b1, a0 - b1 - base, b0 - a1 - base)
+        return gap > one.radius[a].max() + two.radius[b].max() + self.reach + SLACK
 
 
 def top_cells(sample: np.ndarray) -> np.ndarray:
@@ -216,53 +336,52 @@ def linked(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
 
     placed = written(reps.select("id", "weight", "v").mapInArrow(place, "id long, weight long, v binary, cell int, far double"), spark)
     cells = {r["cell"]: (r["far"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}  # at most CENTRES rows
-    # small cells are gathered into blocks, large ones cut; a block knows the cells it holds
-    order = sorted(cells, key=lambda c: distances(centres[c : c + 1], centres[:1])[0, 0])
-    block_of, cells_of, fill = {}, [[]], 0
-    for c in order:
+    # a large cell is cut into blocks from ``base`` on; small cells that follow one another share a block
+    spans, base, fill = {}, 0, 0
+    for c in sorted(cells, key=lambda c: distances(centres[c : c + 1], centres[:1])[0, 0]):
         parts = -(-cells[c][1] // size)
-        if parts > 1 or fill + cells[c][1] > size:
-            if cells_of[-1]:
-                cells_of.append([])
-            fill = 0
-        block_of[c] = (len(cells_of) - 1, parts)
-        for _ in range(parts - 1):
-            cells_of[-1].append(c)
-            cells_of.append([])
-        cells_of[-1].append(c)
-        fill += cells[c][1] if parts == 1 else size
+        if fill and (parts > 1 or fill + cells[c][1] > size):
+            base, fill = base + 1, 0
+        spans[c] = (base, parts)
+        base, fill = (base + parts, 0) if parts > 1 else (base, fill + cells[c][1])
     reach = math.sqrt(2.0 - 2.0 * threshold)
     gap = distances(centres, centres)
-    far = np.array([cells.get(c, (0.0, 0))[0] for c in range(len(centres))])
-    near = gap <= far[:, None] + far[None] + reach + SLACK
-    held = np.zeros((len(cells_of), len(centres)), bool)
-    for b, inside in enumerate(cells_of):
-        held[b, inside] = True
-    meet = held.astype(int) @ near.astype(int) @ held.T.astype(int) > 0
-    pairs = [(i, j) for i in range(len(cells_of)) for j in range(i, len(cells_of)) if meet[i, j]]
-    tasks = spark.createDataFrame([(b, t, i == j, b == i) for t, (i, j) in enumerate(pairs) for b in sorted({i, j})], "block int, task int, same boolean, first boolean")
-    lookup = spark.createDataFrame([(c, b, p) for c, (b, p) in block_of.items()], "cell int, base int, parts int")
-    blocks = placed.join(F.broadcast(lookup), "cell").withColumn("block", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")).drop("cell", "far", "base", "parts")
+    meets = [(c, d) for c in cells for d in cells if gap[c, d] <= cells[c][0] + cells[d][0] + reach + SLACK]
+    lookup = spark.createDataFrame([(c, b, p) for c, (b, p) in spans.items()], "cell int, base int, parts int")
+    partners = spark.createDataFrame([(c, *spans[d]) for c, d in meets], "cell int, other int, others int")
+    # block pairs are made where they are used: a row for each block, turned into a row for each partner
+    own = lookup.select("cell", F.explode(F.sequence("base", F.col("base") + F.col("parts") - 1)).alias("lo")).repartition("lo")
+    pairs = own.join(F.broadcast(partners), "cell").where(F.col("lo") < F.col("other") + F.col("others"))
+    pairs = pairs.select("lo", F.explode(F.sequence(F.greatest("lo", "other"), F.col("other") + F.col("others") - 1)).alias("hi")).distinct()
+    blocks = placed.join(F.broadcast(lookup), "cell").withColumn("block", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")).select("block", "id", "weight", "v")
+
+    def plant(key, got):
+        got = got.sort_by("id")
+        x = unit(_matrix(got.column("v"), dim))
+        tree, order = Tree.plant(x)
+        packed = [got.column(c).to_numpy()[order].tobytes() for c in ("id", "weight")]
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [packed[0]], "weights": [packed[1]], "x": [x[order].tobytes()], "nodes": [tree.blob()]})
+
+    planted = written(blocks.groupBy("block").applyInArrow(plant, "block int, ids binary, weights binary, x binary, nodes binary"), spark)
 
     def run(key, got):
-        x = unit(_matrix(got.column("v"), dim))
-        joined = Joined(got.column("weight").to_numpy(), threshold)
-        if got.column("same")[0].as_py():
-            root = tree(x)
-            joined.descend(x, root, root)
-        else:
-            first = got.column("first").to_numpy()
-            a, b = np.flatnonzero(first), np.flatnonzero(~first)
-            if len(a) and len(b):
-                joined.descend(x, Node(x, a, x[a[0]], 2.0), Node(x, b, x[b[0]], 2.0))
-        ids, hit = got.column("id").to_numpy(), joined.counts > 0
-        joined.union(np.array([0]), np.array([0]))
-        label = joined.label
+        got = got.sort_by("block")
+        ids, weights = (np.concatenate([np.frombuffer(b, np.int64) for b in got.column(c).to_pylist()]) for c in ("ids", "weights"))
+        x = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, dim) for b in got.column("x").to_pylist()])
+        trees = [Tree.read(b) for b in got.column("nodes").to_pylist()]
+        joined = Joined(weights, threshold)
+        joined.descend(x, trees[0], trees[-1], int(trees[0].high[0]) if len(trees) == 2 else 0)
+        hit, label = joined.counts > 0, joined.label
         while (label[label] != label).any():
             label = label[label]
-        return pa.table({"id": pa.array(ids[hit]), "n": pa.array(joined.counts[hit]), "root": pa.array(ids[label[hit]])})
+        out = pa.table({"id": pa.array(ids[hit]), "n": pa.array(joined.counts[hit]), "root": pa.array(ids[label[hit]])})
+        give_back()
+        return out
 
-    return blocks.join(tasks, "block").groupBy("task").applyInArrow(run, "id long, n long, root long")
+    sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    found = written(planted.join(sides, "block").groupBy("lo", "hi").applyInArrow(run, "id long, n long, root long"), spark)
+    dropped(placed, planted)
+    return found
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -275,7 +394,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     for dim in dims:
         part = linked(reps.where(F.col("dim") == dim), dim, threshold)
         found = part if found is None else found.unionByName(part)
-    found = written(found if found is not None else spark.createDataFrame([], "id long, n long, root long"), spark)
+    found = found if found is not None else spark.createDataFrame([], "id long, n long, root long")
     labels = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("id").agg(F.sum("n").alias("n")).join(labels, "id", "left")
     reps = reps.select("k1", "k2", "id", "weight").join(sums, "id", "left")

@@ -74,6 +74,23 @@ def test_greedy_distance_is_the_sequential_loop(spark):
     assert {i for i, f in got.items() if f == 0} == {int(i) for i in kept} and set(got.values()) == {0, -3}
 
 
+def test_atoms_at_one_place_and_outside(spark):
+    df = atoms_frame(spark, [(1, 1, 1), (1, 1, 1), (4, 4, 4)], values=[2, 3, 1])
+    assert {r.atom_id: r.flag for r in select.greedy_min_distance(df, 0.5).collect()} == {0: -3, 1: 0, 2: 0}
+    cube = spark.createDataFrame([(i, j, k) for i in range(5) for j in range(5) for k in range(5)], "i int, j int, k int")
+    far = atoms_frame(spark, [(3, 3, 3), (1, 1, 1), (100, 3, 3), (0, 3, 3)])
+    assert {r.atom_id for r in neighbours.inside_eroded(far, cube, [(0, 0, 0), *select.FACES], (5, 5, 5)).collect()} == {0, 1}
+    box = spark.createDataFrame([(0, 0, 0.0), (1, 0, 4.0), (2, 0, 10.0)], "atom_id long, off_id int, v double")
+    got = {r.atom_id: r.label for r in cluster.local_reclassify(atoms_frame(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0)], [0, 1, 0]), box, 2.0, 2).collect()}
+    assert got[2] in (0, 1)
+
+
+def test_rounding_is_exact(spark):
+    x = [0.4999999999999, 0.49999999999999994, 0.5, 1e-13, -0.5, 2.5, -2.4999999999999996, 4503599627370497.5]
+    r = spark.createDataFrame([(v,) for v in x], "x double").select(scalar.half_up(F.col("x")).alias("u")).collect()
+    assert [v.u for v in r] == [0, 0, 1, 0, -1, 3, -2, 4503599627370498]
+
+
 def test_periodic_pairs_and_matches(spark):
     df = atoms_frame(spark, [(0, 0, 0), (9.9, 0, 0), (10, 10, 10)])
     assert {(r.a, r.b) for r in neighbours.periodic_pairs(df, 0.5).collect()} >= {(0, 1), (1, 0)}
@@ -227,7 +244,8 @@ def test_boundaries_of_many_skewed_values(spark):
 def test_local_classes_settle(spark):
     rng = np.random.default_rng(5)
     points, labels, boxes = rng.uniform(0, 6, (150, 3)), rng.integers(0, 3, 150), rng.normal(size=(150, 2))
-    near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)) < 1.8
+    near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    near = (near < 1.8) & (near > 0)  # not the atom itself
     now, seen, counts = labels, {labels.tobytes()}, []
     while True:  # one atom after another
         far = np.full((150, 3), -1.0)
@@ -242,7 +260,7 @@ def test_local_classes_settle(spark):
         seen.add(now.tobytes())
     box = spark.createDataFrame([(i, o, float(boxes[i, o])) for i, o in np.ndindex(150, 2)], "atom_id long, off_id int, v double")
     got = {r.atom_id: r.label for r in cluster.local_reclassify(atoms_frame(spark, points, labels), box, 1.8, 3).collect()}
-    assert len(counts) > 20 and [got[i] for i in range(150)] == now.tolist()
+    assert len(counts) > 5 and [got[i] for i in range(150)] == now.tolist()
 
 
 def test_bounded_least_squares():

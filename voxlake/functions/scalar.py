@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def half_up(x: Column) -> Column:
-    """Half away from zero, on a decimal of the value; integers."""
-    return F.round(x.cast("decimal(30,12)"), 0).cast("long")
+    """Half away from zero, exactly: the part behind the point of a double is itself a double; integers."""
+    whole = F.floor(F.abs(x))
+    return (F.signum(x) * (whole + F.when(F.abs(x) - whole >= 0.5, 1).otherwise(0))).cast("long")
 
 
 def half_away(x: Column) -> Column:

@@ -132,15 +132,16 @@ def atom_or_not(box: DataFrame, mean: DataFrame, constant: float) -> DataFrame:
 
 
 def local_reclassify(atoms: DataFrame, box: DataFrame, radius: float, kinds: int, equal: int = 5) -> DataFrame:
-    """atom_id, label: each atom takes the class whose mean box over its neighbours (itself included) is nearest.
+    """atom_id, label: each atom takes the class whose mean box over its neighbours is nearest.
+
+    Neighbours lie within the radius but not at the atom's own place, so its own box doesn't hold it in its class.
 
     All change together; a class without neighbours comes first, as an undefined distance does in the model; it ends
     when nothing changes, when a state (the first one too) comes back, or when after more than ``equal`` rounds the last
     ``equal`` changed the same number of atoms.
     """
     spark = atoms.sparkSession
-    near = pairs(atoms, radius).select("a", "b").unionByName(atoms.select(F.col("atom_id").alias("a"), F.col("atom_id").alias("b")))
-    near = cut(near, spark)
+    near = cut(pairs(atoms, radius).select("a", "b"), spark)
     labels = cut(atoms.select("atom_id", F.col("species").alias("label")), spark)
     state_of = lambda df: df.agg(F.sum(F.xxhash64("atom_id", "label").cast("decimal(38,0)"))).first()[0]
     seen, counts = {state_of(labels)}, []

@@ -245,12 +245,17 @@ def inverse_table(sigma: float, highest: float = 500.0, n: int = 400) -> tuple[n
     return np.array(out), means
 
 
-def inverse_vst(d, sigma: float, table=None):
-    """Exact unbiased inverse: table, its asymptote above, 0 below."""
+def inverse_vst(d, sigma: float, table=None, alpha: float = 1.0, mean: float = 0.0):
+    """Exact unbiased inverse: a table of expected transforms, its asymptote above, 0 below; then gain and offset.
+
+    ``sigma`` is in units of the gain.  The table is computed for this sigma rather than read between stored ones.
+    """
+    if sigma < 0:
+        raise ValueError("sigma must not be negative")
     e, m = table or inverse_table(sigma)
     d = np.asarray(d, float)
-    high = (d / 2) ** 2 + np.sqrt(1.5) / (4 * np.maximum(d, 1e-9)) - 11 / (8 * np.maximum(d, 1e-9) ** 2) + 5 / 8 * np.sqrt(1.5) / np.maximum(d, 1e-9) ** 3 - 1 / 8 - sigma * sigma
-    return np.where(d < e[0], 0.0, np.where(d > e[-1], high, np.interp(d, e, m)))
+    out = np.where(d < e[0], 0.0, np.where(d > e[-1], (d / 2) ** 2 - 1 / 8 - sigma * sigma, np.interp(d, e, m)))
+    return out * alpha + mean
 
 
 # block matching

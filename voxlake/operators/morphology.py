@@ -102,27 +102,54 @@ def line_opening(df: DataFrame, half: int, axis: str, by: list[str]) -> DataFram
     return df.withColumn("v", F.min("v").over(w)).withColumn("v", F.max("v").over(w))
 
 
-def octagon_opening(df: DataFrame, straight: int, diagonal: int) -> DataFrame:
-    """Grey opening with an octagon from four lines: rows, columns and both diagonals.
+#: Radius of a disk, and half lengths of the straight and diagonal lines whose sum stands for it.
+OCTAGONS = {6: (3, 1), 10: (5, 2), 12: (5, 3), 20: (9, 5), 140: (61, 39)}
 
-    Least over all four lines, then greatest over all four; what lies outside is +inf for the first and absent for the
-    second, where the edge's own value stands in.
+
+def _padded(df: DataFrame, extent: int, rows: int, columns: int) -> DataFrame:
+    """An image with its edge repeated ``extent`` times on every side."""
+    for axis, n in (("r", rows), ("c", columns)):
+        first = F.when(F.col(axis) == 0, -extent).otherwise(F.col(axis))
+        last = F.when(F.col(axis) == n - 1, n - 1 + extent).otherwise(F.col(axis))
+        df = df.withColumn(axis, F.explode(F.sequence(first, last)))
+    return df
+
+
+def octagon_opening(df: DataFrame, straight: int, diagonal: int, rows: int, columns: int) -> DataFrame:
+    """Grey opening of dense images with an octagon, the sum of four lines: rows, columns and both diagonals.
+
+    Outside the image is +inf for the least, and the repeated edge of the eroded image for the greatest.  Each line is
+    a window over the padded image.
     """
-    lines = [("c", ["view", "r"], straight), ("r", ["view", "c"], straight)]
-    out = df.withColumns({"_p": F.col("r") - F.col("c"), "_q": F.col("r") + F.col("c")})
-    lines += [("r", ["view", "_p"], diagonal), ("r", ["view", "_q"], diagonal)]
+    extent = straight + 2 * diagonal
+    inside = F.col("r").between(0, rows - 1) & F.col("c").between(0, columns - 1)
+    out, kind = df.select("view", "r", "c", F.col("v").cast("double").alias("v")), df.schema["v"].dataType
     for f in (F.min, F.max):
-        for axis, by, half in lines:
+        out = _padded(out, extent, rows, columns)
+        if f is F.min:
+            out = out.withColumn("v", F.when(inside, F.col("v")).otherwise(F.lit(float("inf"))))
+        out = out.withColumns({"_p": F.col("r") - F.col("c"), "_q": F.col("r") + F.col("c")})
+        for axis, by, half in (("c", ["view", "r"], straight), ("r", ["view", "c"], straight), ("r", ["view", "_p"], diagonal), ("r", ["view", "_q"], diagonal)):
             out = out.withColumn("v", f("v").over(Window.partitionBy(*by).orderBy(axis).rowsBetween(-half, half)))
-    return out.drop("_p", "_q")
+        out = out.where(inside).drop("_p", "_q")
+    return out.withColumn("v", F.col("v").cast(kind))
 
 
-def edge_preserving(df: DataFrame, half: int) -> DataFrame:
-    """Each pixel takes the mean of the window (of those that hold it) with the least variance; first by column, then row."""
+def disk_opening(df: DataFrame, radius: int, rows: int, columns: int) -> DataFrame:
+    """Opening with the octagon that stands for a disk of one of the radii in ``OCTAGONS``."""
+    return octagon_opening(df, *OCTAGONS[radius], rows, columns)
+
+
+def edge_preserving(df: DataFrame, half: int, rows: int, columns: int) -> DataFrame:
+    """Each pixel takes the mean of the window (of those that hold it) with the least variance; first by column, then row.
+
+    Pixels nearer than 2 half to the border, some of whose windows leave the image, stay as they are.
+    """
     offs = [(r, c) for r in range(-half, half + 1) for c in range(-half, half + 1)]
     sent = spread(df, offs, ["r", "c"], ["r", "c"])
     stats = sent.groupBy("view", "r", "c").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(offs))
     seen = spread(stats.withColumns({"_r": F.col("r"), "_c": F.col("c")}), offs, ["r", "c"], ["r", "c"])
+    seen = seen.where(F.col("r").between(2 * half, rows - 1 - 2 * half) & F.col("c").between(2 * half, columns - 1 - 2 * half))
     best = seen.groupBy("view", "r", "c").agg(F.min_by("m", F.struct(F.round("s", 9), "_c", "_r")).alias("v"))
     return df.select("view", "r", "c", F.col("v").alias("_v")).join(best, ["view", "r", "c"], "left").select("view", "r", "c", F.coalesce("v", "_v").alias("v"))
 

@@ -20,8 +20,9 @@ def _cells(df: DataFrame, width: float) -> DataFrame:
     return df.withColumns({f"_{a}": F.floor(F.col(a) / width).cast("int") for a in "xyz"})
 
 
-def pairs(df: DataFrame, radius: float, carry: list[str] = ()) -> DataFrame:
-    """a, b, d, dx, dy, dz (and ``carry`` of both as a_*, b_*) of ordered pairs with 0 < d < radius."""
+def pairs(df: DataFrame, radius: float, carry: list[str] = (), coincident: bool = False) -> DataFrame:
+    """a, b, d, dx, dy, dz (and ``carry`` of both as a_*, b_*) of ordered pairs with 0 < d < radius; with ``coincident``
+    also those of two atoms at one place."""
     keep = ["atom_id", "x", "y", "z", *carry]
     left = _cells(df.select(*keep), radius)
     left = left.select(*(F.col(c).alias(f"a_{c}") for c in keep), "_x", "_y", "_z")
@@ -30,7 +31,8 @@ def pairs(df: DataFrame, radius: float, carry: list[str] = ()) -> DataFrame:
     j = left.join(right, ["_x", "_y", "_z"])
     delta = {f"d{a}": F.col(f"b_{a}") - F.col(f"a_{a}") for a in "xyz"}
     j = j.withColumns(delta).withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
-    return j.where((F.col("d") > 0) & (F.col("d") < radius)).select(F.col("a_atom_id").alias("a"), F.col("b_atom_id").alias("b"), "d", "dx", "dy", "dz", *(f"{s}_{c}" for s in "ab" for c in carry))
+    apart = F.col("a_atom_id") != F.col("b_atom_id") if coincident else F.col("d") > 0
+    return j.where(apart & (F.col("d") < radius)).select(F.col("a_atom_id").alias("a"), F.col("b_atom_id").alias("b"), "d", "dx", "dy", "dz", *(f"{s}_{c}" for s in "ab" for c in carry))
 
 
 def bounding_box(df: DataFrame) -> DataFrame:
@@ -78,8 +80,13 @@ def inside_mask(df: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def inside_eroded(df: DataFrame, mask: DataFrame, offsets: list[tuple[int, int, int]], sizes: tuple[int, int, int]) -> DataFrame:
-    """Atoms inside the mask eroded by ``offsets``, without building it; outside the volume counts as inside."""
+    """Atoms inside the mask eroded by ``offsets``, without building it.
+
+    An atom whose own cell lies outside the volume is not inside; offsets that lead outside don't count against one.
+    """
     at = df.select("atom_id", *((F.rint(a) - 1).cast("int").alias(n) for n, a in zip("ijk", "xyz")))
+    for n, size in zip("ijk", sizes):
+        at = at.where(F.col(n).between(0, size - 1))
     probes = spread(at, offsets, ["i", "j", "k"], ["i", "j", "k"])
     out = F.lit(False)
     for n, size in zip("ijk", sizes):

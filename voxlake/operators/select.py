@@ -27,11 +27,11 @@ def local_maxima(df: DataFrame, threshold: float, top: int | None = None) -> Dat
 def greedy_min_distance(df: DataFrame, radius: float, value: str = "v") -> DataFrame:
     """``df`` with flag 0 for accepted atoms and -3 for those nearer than ``radius`` to an accepted one of higher rank.
 
-    Rank is by value, then atom_id.  Rounds accept what has only rejected neighbours above it and reject the neighbours
+    Rank is by value, then atom_id; of two atoms at one place the second is rejected.  Rounds accept what has only rejected neighbours above it and reject the neighbours
     of what is accepted; that ends in the result of the sequential loop, and rejected atoms block nothing.
     """
     spark = df.sparkSession
-    p = pairs(df, radius, [value])
+    p = pairs(df, radius, [value], coincident=True)
     above = cut(p.where((F.col(f"b_{value}") > F.col(f"a_{value}")) | ((F.col(f"b_{value}") == F.col(f"a_{value}")) & (F.col("b") < F.col("a")))).select("a", "b"), spark)
     state = cut(df.select("atom_id", F.lit(None).cast("int").alias("flag")), spark)
     while True:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -320,6 +321,7 @@ def periodic_species_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.col("a_species").alias("ti"), F.col("b_species").alias("tj")).agg(F.count(F.lit(1)).alias("n"))
 
 
+WIDE_ATM = "watm AS (SELECT atom_id, 2 * x + 6 AS x, 2 * y + 6 AS y, 2 * z + 6 AS z FROM atm)"
 GRID_ATM = "gatm AS (SELECT atom_id, x + 6 AS x, y + 6 AS y, z + 6 AS z FROM atm)"
 
 
@@ -332,10 +334,12 @@ def point_in_mask_semi(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.inside_mask(_grid_atoms(spark, d), mask3(spark, d)).select("atom_id")
 
 
-@query("""SELECT atom_id FROM (SELECT atom_id, round_even(x,0)-1+o.a AS pi, round_even(y,0)-1+o.b AS pj, round_even(z,0)-1+o.c AS pk FROM gatm, (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(a,b,c)) p LEFT JOIN msk ON i = pi AND j = pj AND k = pk
- GROUP BY atom_id HAVING bool_and(i IS NOT NULL OR pi < 0 OR pi > 11 OR pj < 0 OR pj > 11 OR pk < 0 OR pk > 11)""", VOX, MSK, ATM, GRID_ATM)
+@query("""SELECT atom_id FROM (SELECT atom_id, round_even(x,0)-1+o.a AS pi, round_even(y,0)-1+o.b AS pj, round_even(z,0)-1+o.c AS pk FROM watm, (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(a,b,c)) p LEFT JOIN msk ON i = pi AND j = pj AND k = pk
+ WHERE atom_id IN (SELECT atom_id FROM watm WHERE round_even(x,0) BETWEEN 1 AND 12 AND round_even(y,0) BETWEEN 1 AND 12 AND round_even(z,0) BETWEEN 1 AND 12) GROUP BY atom_id HAVING bool_and(i IS NOT NULL OR pi < 0 OR pi > 11 OR pj < 0 OR pj > 11 OR pk < 0 OR pk > 11)""", VOX, MSK, ATM, WIDE_ATM)
 def eroded_point_query(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.inside_eroded(_grid_atoms(spark, d), mask3(spark, d), [(0, 0, 0), *select.FACES], (12, 12, 12)).select("atom_id")
+    """Atoms spread so wide that many lie outside the volume."""
+    wide = adapters.atoms(spark, d).select("atom_id", *((F.col(a) * 2 + 6).alias(a) for a in "xyz"))
+    return neighbours.inside_eroded(wide, mask3(spark, d), [(0, 0, 0), *select.FACES], (12, 12, 12)).select("atom_id")
 
 
 # selection
@@ -417,17 +421,20 @@ def grey_opening_row(spark: SparkSession, d: str) -> DataFrame:
     return morphology.line_opening(adapters.pixels(spark, d), 2, "c", ["view", "r"])
 
 
-def _octagon() -> str:
-    sql = "pix"
-    for f in ("MIN", "MAX"):
-        for by, order, half in (("view, r", "c", 2), ("view, c", "r", 2), ("view, r - c", "r", 1), ("view, r + c", "r", 1)):
-            sql = f"(SELECT view, r, c, {f}(v) OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) v FROM {sql})"
-    return f"SELECT * FROM {sql}"
+OCTAGON = "(SELECT CAST(a.x AS INT) dr, CAST(b.x AS INT) dc FROM range(-4, 5) a(x), range(-4, 5) b(x) WHERE abs(a.x) + abs(b.x) <= 6)"
+FULL = "full2 AS (SELECT w.view, CAST(a.x AS INT) r, CAST(b.x AS INT) c, coalesce(p.v, 0) v FROM (SELECT DISTINCT view FROM pix) w CROSS JOIN range(16) a(x) CROSS JOIN range(16) b(x) LEFT JOIN pix p ON p.view = w.view AND p.r = a.x AND p.c = b.x)"
 
 
-@query(_octagon(), PIX)
+def _full(spark, d):
+    """Dense images; a missing pixel is 0."""
+    p = adapters.pixels(spark, d)
+    grid = shape.grid(spark, {a: (0, 15) for a in "rc"})
+    return p.select("view").distinct().crossJoin(F.broadcast(grid)).join(p, ["view", "r", "c"], "left").select("view", "r", "c", F.coalesce("v", F.lit(0)).alias("v"))  # 256 rows
+
+
+@query(f"SELECT e.view, e.r, e.c, MAX(n.v) AS v FROM full2 e CROSS JOIN {OCTAGON} o JOIN low n ON n.view = e.view AND n.r = least(15, greatest(0, e.r + dr)) AND n.c = least(15, greatest(0, e.c + dc)) GROUP BY 1, 2, 3", PIX, FULL, f"low AS (SELECT e.view, e.r, e.c, MIN(n.v) v FROM full2 e CROSS JOIN {OCTAGON} o JOIN full2 n ON n.view = e.view AND n.r = e.r + dr AND n.c = e.c + dc GROUP BY 1, 2, 3)")
 def grey_opening_octagon(spark: SparkSession, d: str) -> DataFrame:
-    return morphology.octagon_opening(adapters.pixels(spark, d), 2, 1).select("view", "r", "c", "v")
+    return morphology.octagon_opening(_full(spark, d), 2, 1, 16, 16).select("view", "r", "c", "v")
 
 
 DENSE = "dns AS (SELECT CAST(a.x AS INT) i, CAST(b.x AS INT) j, CAST(c.x AS INT) k, CAST(coalesce(v, 0) AS DOUBLE) v FROM range(12) a(x) CROSS JOIN range(12) b(x) CROSS JOIN range(12) c(x) LEFT JOIN vox ON i = a.x AND j = b.x AND k = c.x)"
@@ -597,11 +604,12 @@ def _kernel(name: str, kernel):
 def _kernels() -> None:
     from ..operators import blocks, images
 
-    _kernel("fft_roundtrip", lambda a: images.centred_ifft(images.centred_fft(a)).real)
+    _kernel("power_spectrum", lambda a: np.log1p(np.abs(images.centred_fft(a)) ** 2))
+    _kernel("inverse_spectrum", lambda a: images.centred_ifft(images.centred_fft(a) * (1 + np.abs(np.indices(a.shape).sum(axis=0) - 16)) ** -1.0).real)
     _kernel("gaussian_filter", lambda a: images.gaussian(a, 1.0, 4))
     _kernel("fourier_shift", lambda a: images.fourier_shift(a, 1.25, -0.5))
     _kernel("spline_upsample", images.upsample)
-    _kernel("bicubic_resample", lambda a: images.bicubic(a, *[x * 0.5 for x in __import__("numpy").indices((31, 31))]))
+    _kernel("bicubic_resample", lambda a: images.bicubic(a, *[x * 0.5 for x in np.indices((31, 31))]))
     _kernel("rotate_image", lambda a: images.rotate(a, 10.0))
     _kernel("region_fill", lambda a: images.fill_region(a, a > a.mean()))
     _kernel("mask_growth", lambda a: images.grow_mask(a > a.mean(), 1.0).astype(float))
@@ -622,7 +630,7 @@ def _kernels() -> None:
         p = adapters.pixels(spark, d).withColumn("v", F.col("v").cast("double"))
         angles = [x / 2 for x in range(-10, 11)]
         mean = p.groupBy("c").agg((F.sum("v") / F.count_distinct("view")).alias("m")).orderBy("c").limit(16).collect()  # a detector row
-        line = __import__("numpy").array([r["m"] for r in mean])
+        line = np.array([r["m"] for r in mean])
 
         def kernel(a):
             scores = images.common_line_scores(a, angles, line)
@@ -652,6 +660,19 @@ def tight_support(spark: SparkSession, d: str) -> DataFrame:
     return morphology.tight_support(_dense(spark, d), [12] * 3, half=1, small=3, ball=1, least=5, eroded=3)
 
 
-@query()
+@query("""SELECT view, r, c, round(coalesce(arg_min(m, key), any_value(v)), 6) AS v FROM (SELECT f.view, f.r, f.c, CAST(f.v AS DOUBLE) v, w.m, CASE WHEN w.m IS NULL THEN NULL ELSE row(w.s, w.c, w.r) END AS key FROM full2 f
+ LEFT JOIN win w ON w.view = f.view AND abs(w.r - f.r) <= 1 AND abs(w.c - f.c) <= 1 AND f.r BETWEEN 2 AND 13 AND f.c BETWEEN 2 AND 13) GROUP BY view, r, c""", PIX, FULL,
+ "win AS (SELECT a.view, a.r, a.c, AVG(b.v) m, round(var_pop(b.v), 9) s FROM full2 a JOIN full2 b ON a.view = b.view AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY 1, 2, 3 HAVING COUNT(*) = 9)")
 def edge_preserving(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(morphology.edge_preserving(adapters.pixels(spark, d), 1), "v")
+    return rounded(morphology.edge_preserving(_full(spark, d), 1, 16, 16), "v")
+
+
+TAPS = "tap AS (SELECT CAST(x AS INT) t, exp(-x * x / 2.0) / (SELECT SUM(exp(-x * x / 2.0)) FROM range(-4, 5) s(x)) AS w FROM range(-4, 5) s(x))"
+#: Spectra as sums over all pixels: what a transform is, without its fast form.
+WAVE = "wave AS (SELECT view, CAST(a.x AS INT) kr, CAST(b.x AS INT) kc, SUM(v * cos(2 * pi() * ((a.x - 8) * (r - 8) + (b.x - 8) * (c - 8)) / 16)) re, -SUM(v * sin(2 * pi() * ((a.x - 8) * (r - 8) + (b.x - 8) * (c - 8)) / 16)) im FROM full2 CROSS JOIN range(16) a(x) CROSS JOIN range(16) b(x) GROUP BY 1, 2, 3)"
+ORACLE_SQL["gaussian_filter"] = f"WITH {PIX}, {FULL}, {TAPS} SELECT f.view, f.r, f.c, round(SUM(a.w * b.w * n.v), 6) AS v FROM full2 f CROSS JOIN tap a CROSS JOIN tap b JOIN full2 n ON n.view = f.view AND n.r = least(15, greatest(0, f.r + a.t)) AND n.c = least(15, greatest(0, f.c + b.t)) GROUP BY 1, 2, 3"
+ORACLE_SQL["power_spectrum"] = f"WITH {PIX}, {FULL}, {WAVE} SELECT view, kr AS r, kc AS c, round(ln(1 + re * re + im * im), 6) AS v FROM wave"
+ORACLE_SQL["fourier_shift"] = f"""WITH {PIX}, {FULL}, {WAVE} SELECT f.view, f.r, f.c, round(SUM(re * cos(t) - im * sin(t)) / 256, 6) AS v FROM (SELECT f.view, f.r, f.c, re, im, 2 * pi() * ((kr - 8) * (f.r - 8 - 1.25E0) + (kc - 8) * (f.c - 8 + 0.5E0)) / 16 AS t FROM full2 f JOIN wave w ON w.view = f.view) f GROUP BY 1, 2, 3"""
+ORACLE_SQL["mask_growth"] = f"""WITH {PIX}, {FULL}, cov AS (SELECT view, r, c, CAST(v > AVG(v) OVER (PARTITION BY view) AS INT) m FROM full2),
+ ker AS (SELECT CAST(d.x AS INT) d, SUM(exp(-2 * pi() * pi() * (k.x - 8) * (k.x - 8) / 256.0) * cos(2 * pi() * (k.x - 8) * d.x / 16)) / 16 AS w FROM range(-15, 16) d(x) CROSS JOIN range(16) k(x) GROUP BY 1)
+ SELECT f.view, f.r, f.c, CASE WHEN SUM(m * a.w * b.w) > 0.1 THEN 1E0 ELSE 0E0 END AS v FROM full2 f JOIN cov n ON n.view = f.view JOIN ker a ON a.d = f.r - n.r JOIN ker b ON b.d = f.c - n.c GROUP BY 1, 2, 3"""

@@ -6,8 +6,8 @@ principle two such sets agree wholly on a segment of weight 1, or differ by at m
 first is met by an index of the segments' contents, the second by contents with one token deleted.  How many segments
 of either kind a band has, and how much weight to spare, is chosen by cost from the band's count of sets.
 
-An empty content says little, so sets that still have weight over H without their empty segments aren't paired by
-those; only the few others (probers) are, with all that have the same segment empty.
+An empty content says little, so sets that still have more weight without their empty segments than their own size lets
+partners differ aren't paired by those; only the few others (probers) are, with all that have the same segment empty.
 
 Sets with one signature form a group.  Copies are one set.  Groups aren't expanded: each member is verified against
 the group's first, and only members whose components still differ are compared with one another, inside tasks, in
@@ -93,24 +93,30 @@ class Scheme:
     """Segments for pairs whose larger set is in one band of sizes."""
 
     def __init__(self, number: int, low: int, high: int, sets: int, num: int, den: int):
-        self.number, self.low, self.high = number, low, high
+        self.number, self.low, self.high, self.num, self.den = number, low, high, num, den
         self.differ = max(max(most_different(t, num, den) for t in range(max(2, 2 * high - 40), 2 * high + 1)), 0)
         need = self.differ + 1
         double, spare = (g.ravel() for g in np.meshgrid(np.unique(np.linspace(0, (need + 1) // 2, 33).astype(int)), np.unique([*range(8), *(need * np.arange(1, 17) // 128)])))
         single = np.maximum(0, need + spare - 2 * double)
-        units, slack = single + 2 * double, single + 2 * double - need
-        unit = low / units
-        empty = np.maximum(single * np.exp(-unit) + double * np.exp(-2 * unit) * (1 + 2 * unit), 1e-300)
-        j = np.arange(slack.max() + 1)[:, None]
-        logs = np.array([math.lgamma(i + 1) for i in range(len(j))])[:, None]
-        within = np.where(j <= slack, np.exp(j * np.log(empty) - empty - logs), 0).sum(axis=0)
-        probers = sets * np.maximum(0, 1 - within)
-        pairs = probers * (slack + 1) * sets * np.maximum(np.where(single > 0, np.exp(-unit), 0), np.exp(-2 * unit))
-        best = int(np.argmin(sets * (single + double * (1 + 2 * unit)) + PAIR_COST * pairs))
+        units, cost = single + 2 * double, 0.0
+        for size in (max(1, low * num // den), low, high):  # the smallest set of the band below, and the band's own ends
+            unit = size / units
+            slack = np.maximum(0, units - int(self.most(np.array([size]))[0]) - 1)
+            empty = np.maximum(single * np.exp(-unit) + double * np.exp(-2 * unit) * (1 + 2 * unit), 1e-300)
+            j = np.arange(slack.max() + 1)[:, None]
+            logs = np.array([math.lgamma(i + 1) for i in range(len(j))])[:, None]
+            within = np.where(j <= slack, np.exp(j * np.log(empty) - empty - logs), 0).sum(axis=0)
+            pairs = sets * np.maximum(0, 1 - within) * (slack + 1) * sets * np.maximum(np.where(single > 0, np.exp(-unit), 0), np.exp(-2 * unit))
+            cost = cost + (sets * (single + double * (1 + 2 * unit)) + PAIR_COST * pairs) / 3
+        best = int(np.argmin(cost))
         self.single, self.double = int(single[best]), int(double[best])
         self.units = self.single + 2 * self.double
         self.count = self.single + self.double
 
+    def most(self, sizes: np.ndarray) -> np.ndarray:
+        """Tokens by which sets of these sizes and their partners here differ at most."""
+        return (sizes + np.minimum(self.high, sizes * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
+
     def signatures(self, tokens: np.ndarray, owner: np.ndarray, n: int):
         """(signature, owner, kind) of ``n`` sets; kind 0 has a content, 1 is empty, 2 is empty and of a prober."""
         salt = np.uint64((self.number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -123,7 +129,7 @@ class Scheme:
         counts = np.bincount(at, minlength=n * self.count)
         weight = np.where(np.arange(self.count) < self.single, 1, 2)
         strong = (counts.reshape(n, -1) >= weight) @ weight
-        prober = strong <= self.differ
+        prober = strong <= self.most(np.bincount(owner, minlength=n))
         place = np.tile(np.arange(self.count, dtype=np.uint64), n)
         full = mix(sums ^ mix(place + salt))
         sigs, owners, empty = [full], [np.repeat(np.arange(n), self.count)], [counts == 0]
@@ -181,17 +187,31 @@ def candidate_groups(messages: DataFrame, n: int, num: int, den: int) -> DataFra
     return messages.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, "g long, x long, y long")
 
 
-def near(a: list[bytes], b: list[bytes], total: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs of sketches let their sets link; ``total`` is the number of tokens of both."""
-    out = np.zeros(len(a), bool)
-    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-    shapes, which = np.unique(la << 32 | lb, return_inverse=True)
-    for i, shape in enumerate(shapes.tolist()):
-        rows = np.flatnonzero(which == i)
-        left, right = (np.frombuffer(b"".join([x[r] for r in rows.tolist()]), np.uint64).reshape(len(rows), -1) for x in (a, b))
-        words = min(left.shape[1], right.shape[1])
-        apart = np.bitwise_count(folded(left, words) ^ folded(right, words)).sum(axis=1, dtype=np.int64)
-        out[rows] = apart <= total[rows] - 2 * -(-num * total[rows] // (num + den))
+class Sketches:
+    """Sketches of rows, as a matrix for each width."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.words = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+        self.place, self.of = np.empty(len(blobs), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.place[rows] = np.arange(len(rows))
+            self.of[w] = np.frombuffer(b"".join([blobs[r] for r in rows.tolist()]), np.uint64).reshape(-1, w)
+
+
+def near(one: Sketches, i: np.ndarray, two: Sketches, j: np.ndarray, total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of rows i and j let their sets link; ``total`` is the number of tokens of both."""
+    out = np.zeros(len(i), bool)
+    most = total - 2 * -(-num * total // (num + den))
+    shapes, which = np.unique(one.words[i] << 32 | two.words[j], return_inverse=True)
+    for shape_number, shape in enumerate(shapes.tolist()):
+        rows, a, b = np.flatnonzero(which == shape_number), one.of[shape >> 32], two.of[shape & (1 << 32) - 1]
+        words = min(a.shape[1], b.shape[1])
+        step = max(1, (1 << 18) // max(a.shape[1], b.shape[1]))  # 2 MB of either side
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            apart = np.bitwise_count(folded(a[one.place[i[some]]], words) ^ folded(b[two.place[j[some]]], words)).sum(axis=1, dtype=np.int64)
+            out[some] = apart <= most[some]
     return out
 
 
@@ -209,7 +229,8 @@ def sieve(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             total = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
-            fits = near(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), total, num, den)
+            all_rows = np.arange(batch.num_rows)
+            fits = near(Sketches(batch.column("sx").to_pylist()), all_rows, Sketches(batch.column("sy").to_pylist()), all_rows, total, num, den)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], schema=schema).filter(pa.array(fits))
 
     fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
@@ -271,7 +292,7 @@ def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: in
     def run(key, got):
         got = got.take(pc.sort_indices(got, sort_keys=[("unit", "ascending"), ("side", "ascending"), ("id", "ascending")]))
         unit, side, ids, comp, n = (got.column(c).to_numpy() for c in ("unit", "side", "id", "c", "n"))
-        sketches, found, waiting, have = got.column("k").to_pylist(), [np.empty((0, 2), np.int64)], [], 0
+        sketches, found, waiting, have = Sketches(got.column("k").to_pylist()), [np.empty((0, 2), np.int64)], [], 0
 
         def settle():
             i, j = (np.concatenate(c) for c in zip(*waiting))
@@ -282,7 +303,7 @@ def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: in
             fresh = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])) if len(order) else np.empty(0, bool)
             rows = order[fresh]
             i, j = i[rows], j[rows]
-            passed = rows[near([sketches[r] for r in i.tolist()], [sketches[r] for r in j.tolist()], n[i] + n[j], num, den)]
+            passed = rows[near(sketches, i, sketches, j, n[i] + n[j], num, den)]
             found.append(np.column_stack([low[passed], high[passed]]))
 
         heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))

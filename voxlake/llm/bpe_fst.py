@@ -14,15 +14,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CACHE_LIMIT, Recent, doc_slices, no_cycles, only_mine
+from .common import CACHE_LIMIT, doc_slices, no_cycles, only_mine
+from .id_store import Store
 
 #: States that are kept before the lazily built tables start afresh, and bytes after which a long piece puts out tokens.
 STATE_LIMIT, AHEAD = 150_000, 1024
@@ -197,11 +198,6 @@ class Transducer:
         return out + self._back(ended, len(ended))
 
 
-def pieces(transducer: Transducer) -> Recent:
-    """Ids of a piece as little-endian 32-bit integers: the path from the start state back to it, kept whole."""
-    return Recent(lambda piece: array("I", transducer.encode(piece.encode())).tobytes())
-
-
 def _machine() -> list[bytes]:
     """Next state by state and byte: 0 accepts, 8 rejects, 1-3 wait for so many continuation bytes, and 4-7 are
     those after E0, ED, F0 and F4, whose next byte has a narrower range."""
@@ -302,12 +298,31 @@ def _spelled(part: str, bare: bool) -> str:
 
 class Codec:
     def __init__(self, tokens, left, right, pattern: str):
-        self.pieces = pieces(Transducer(tokens, left, right))
+        self.transducer = Transducer(tokens, left, right)
+        self.pieces = Store(self._pieces, np.dtype("<u4"))
         self.split = splitter(pattern)
         self.decoder = StreamDecoder(tokens)
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
+    def _pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of the pattern, each from the start state on."""
+        found, encode = [], self.transducer.encode
+        for piece in names.to_pylist():
+            found.append(encode(piece.encode()))
+        return np.array(list(chain.from_iterable(found)), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; a piece that was met before isn't run through the transducer again."""
+        pieces, ends = [], []
+        for text in texts:
+            if text:
+                pieces += self.split(text)
+            ends.append(len(pieces))
+        if not pieces:
+            return [np.empty(0, "<u4") for _ in texts]
+        lists = self.pieces.of(pa.array(pieces, pa.string()).dictionary_encode())
+        at = lists.offsets.to_numpy()[[0, *ends]].tolist()
+        flat = lists.flatten().to_numpy()
+        return [flat[a:b] for a, b in zip(at, at[1:])]
 
     def decode(self, ids: np.ndarray, step: int = 1 << 16) -> list[bytes]:
         return [self.decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)] + [self.decoder.finish()]
@@ -334,14 +349,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
         for batch in batches:
             for part in doc_slices(batch):
                 rows = []
-                for text in part.column("text").to_pylist():
-                    ids = codec.encode(text)
-                    numbers = np.frombuffer(ids, dtype="<u4")
+                for numbers in codec.encode(part.column("text").to_pylist()):
                     decoded = codec.decode(numbers)
                     digest = hashlib.sha256()
                     for piece in decoded:
                         digest.update(piece)
-                    row = [len(numbers), hashlib.sha256(ids).hexdigest(), digest.hexdigest()]
+                    row = [len(numbers), hashlib.sha256(numbers).hexdigest(), digest.hexdigest()]
                     rows.append(row + [numbers.astype(np.int32).tolist(), b"".join(decoded).decode()] if with_ids else row)
                 columns = [part.column("doc_id").cast(pa.int64())] + [pa.array(c, type=f.type) for c, f in zip(zip(*rows), fields[1:])]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)

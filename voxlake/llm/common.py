@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries of a generation of a worker's cache, and characters of a key that is kept.
-CACHE_LIMIT, KEY_LIMIT = 150_000, 64
+#: Entries of a worker's table of known answers before it starts afresh.
+CACHE_LIMIT = 150_000
 #: Bytes of text that a kernel turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
 
@@ -83,26 +83,6 @@ def doc_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
             yield batch.slice(a, b - a)
 
 
-class Recent(dict):
-    """What ``make`` gives for a key.  When ``CACHE_LIMIT`` entries are in use they become the older generation, and
-    what was in that one and hasn't been asked for since goes, so memory is bounded and frequent keys stay."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= KEY_LIMIT:
-            if len(self) >= CACHE_LIMIT:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 _OWN: dict = {}
 
 

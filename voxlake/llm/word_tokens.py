@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from .common import only_mine
+from .id_store import Store
 
 
 @lru_cache(maxsize=4)
@@ -34,8 +35,8 @@ LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 SIMPLE = "^[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if not chr(c).isspace() and c not in range(0x7F, 0xA1) and max(map(ord, chr(c).lower())) < 0x250 and len(chr(c).lower()) == 1) + "]*$"
 #: Pieces of words that a line feed ends each.
 CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|\\n|[^{LETTERS}{DIGITS}\\n]+").findall
-#: Strings that a store keeps at most, and bytes of text that are encoded at a time.
-KEEP, SLICE = 400_000, 8 << 20
+#: Bytes of text that are encoded at a time.
+SLICE = 8 << 20
 
 
 def byte_letters() -> list[str]:
@@ -48,48 +49,6 @@ def byte_letters() -> list[str]:
 BYTE_LETTERS = byte_letters()
 
 
-class Store:
-    """Strings with their ids, in Arrow memory.  ``make`` gives the ids, one string after another, and their numbers.
-
-    When there are over ``KEEP`` strings, those that were asked for last stay, so frequent ones do.
-    """
-
-    def __init__(self, make, dtype):
-        self.make, self.clock = make, 0
-        self.names, self.ids = pa.array([], pa.string()), np.empty(0, dtype)
-        self.offsets, self.used = np.zeros(1, np.int64), np.empty(0, np.int64)
-
-    def of(self, coded: pa.DictionaryArray) -> pa.ListArray:
-        """The ids of each entry."""
-        names, self.clock = coded.dictionary, self.clock + 1
-        rows = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int32)
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            rows[new] = np.arange(len(new)) + len(self.names)
-            fresh = names.take(pa.array(new))
-            ids, numbers = self.make(fresh)
-            self.names = pa.concat_arrays([self.names, fresh])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(numbers)])
-            self.ids = np.concatenate([self.ids, ids])
-            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
-        self.used[rows] = self.clock
-        out = self._lists().take(pa.array(rows[coded.indices.to_numpy()]))
-        if len(self.names) > KEEP:
-            self._forget()
-        return out
-
-    def _lists(self) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(self.offsets.astype(np.int32)), pa.array(self.ids))
-
-    def _forget(self) -> None:
-        cut = np.partition(self.used, -(KEEP // 2))[-(KEEP // 2)]
-        stay = self.used >= cut
-        rows = pa.array(np.flatnonzero(stay if stay.sum() <= KEEP else self.used > cut))
-        lists = self._lists().take(rows)
-        self.names, self.used = self.names.take(rows), self.used[rows.to_numpy()]
-        self.ids, self.offsets = lists.flatten().to_numpy().copy(), lists.offsets.to_numpy().astype(np.int64)
-
-
 class WordIds:
     """``encode(texts)``: the ids of all texts one after another, and where each text's end; null is empty.
 

@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 
-from voxlake.llm import cover_tree, queries, site_quality, url_automaton
+from voxlake.llm import cover_tree, partition_join, queries, site_quality, url_automaton
 
 
 def judge(url):
@@ -98,6 +98,86 @@ def test_strength_shrinks_sparse_sites(spark):
     assert shifts["bad"] < shifts["tiny"] < 0 < shifts["big"]
 
 
+def test_combination_is_empirical_bayes(spark):
+    """The whole combination again in numpy: sums, moments, shrinkage of sites and then of paths."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{rng.integers(12)}" if rng.random() > 0.1 else None, f"p{rng.integers(4)}" if rng.random() > 0.1 else None, float(rng.normal())) for _ in range(900)]
+    rows += [("alone", "p", 2.0), ("alone", "q", -2.0)]
+    got = {(r._site, r._path): r.good_shift for r in site_quality.combine(spark.createDataFrame(rows, "site string, path string, good double"), "good").collect()}
+    p = 1 / (1 + np.exp(-np.array([g for *_, g in rows])))
+    prior = p.mean()
+    logit = lambda x: np.log(x / (1 - x))
+
+    def shrink(groups, above):
+        n, mean = (np.array([f(p[rows_]) for rows_ in groups.values()]) for f in (len, np.mean))
+        level = np.array([above(k) for k in groups])
+        within = sum(((p[r] - p[r].mean()) ** 2).sum() for r in groups.values()) / (n.sum() - len(n))
+        spread = n.sum() - (n**2).sum() / n.sum()
+        between = max(0.0, ((n * (mean - level) ** 2).sum() - (len(n) - 1) * within) / spread)
+        k = min(site_quality.STRONGEST, within / between) if between > 0 else site_quality.STRONGEST
+        return dict(zip(groups, (n * mean + k * level) / (n + k)))
+
+    def grouped(keys):
+        return {k: np.array([i for i, x in enumerate(keys) if x == k]) for k in dict.fromkeys(keys)}
+
+    sites = shrink(grouped([r[0] for r in rows]), lambda k: prior)
+    paths = shrink(grouped([r[:2] for r in rows]), lambda k: sites[k[0]])
+    assert set(got) == set(paths)
+    assert all(abs(got[k] - (logit(v) - logit(prior))) < 1e-9 for k, v in paths.items())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, chunk string, id int, key string, cell int"
+
+
+def odd_docs(spark, rows):
+    return spark.createDataFrame([(d, t, *more, None if t is None else len(t), "c", 1, "k", None) for d, t, *more in rows], ODD)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and repeated rows, shared doc_ids, clashing names, and no rows at all."""
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.001"
+    good = [r.text for r in cp.table(spark, d, "documents").join(cp.table(spark, d, "labels").where("quality = 1 AND toxic = 0"), "doc_id").orderBy("doc_id").limit(6).collect()]
+    rows = [(i, t, "en", "s") for i, t in enumerate(good)] + [(0, good[0], "en", "s"), (None, good[1], None, None), (None, None, None, None), (9, "", "en", "s"), (9, None, "en", "s"), (3, good[2], "en", "s"), (10, good[4] + " tail", None, "s")]
+    docs = odd_docs(spark, rows)
+    for name, stage in cp.STAGES:
+        nxt = cp.written(stage(spark, docs, d), spark)
+        out = nxt.collect()
+        if name == "quality_classifier":
+            assert len(out) == len(rows)
+        if name == "exact_dedup":
+            keys = [r.text.lower() if r.text else "" for r in out]
+            assert len(set(keys)) == len(keys) == len({(t or "").lower() for _, t, *_ in rows})
+        if name == "ngram_jaccard":
+            assert sorted((r.doc_id, r.text or "") for r in out if r.text) == sorted((r.doc_id, r.text or "") for r in before if r.text and r.doc_id != 10)
+        if name != "best_fit_packing":
+            assert nxt.columns == docs.columns
+            docs, before = nxt, out
+        else:
+            assert {r.doc_id for r in out} == {r.doc_id for r in before}
+    docs = odd_docs(spark, [])
+    for name, stage in cp.STAGES:
+        out = cp.written(stage(spark, docs, d), spark)
+        assert out.isEmpty(), name
+        docs = out if name != "best_fit_packing" else docs
+
+
+def test_rows_are_judged_and_kept_each(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = odd_docs(spark, [(1, text, "en", "s"), (1, text, "en", "s"), (1, "other words that are long enough here", "en", "s"), (None, text.upper(), "en", "s"), (2, text + " x", "en", "s"), (3, None, "en", "s"), (3, "", "en", "s"), (None, "some words of its own in a row", "en", "s")])
+    out = partition_join.keep_one(docs, 5, 80, 100).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in out if r.doc_id != 1) == [(-1, "some words of its own in a row"), (3, ""), (3, "")]
+    assert sorted(r.text for r in out if r.doc_id == 1) == sorted([text, "other words that are long enough here"])
+    judged = site_quality.classify
+    site_quality.classify = lambda *a, key, **o: a[0].select("doc_id", key, (a[0]["text"] == text).alias("bad")).selectExpr("doc_id", key, "NOT coalesce(bad, false) AS kept")
+    try:
+        left = site_quality.keep_good(docs, None).collect()
+    finally:
+        site_quality.classify = judged
+    assert len(left) == 6 and all(r.text != text for r in left)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 

@@ -15,7 +15,8 @@ blocks of a group, by sketches: two sets' sketches differ in no more bits than t
 verified by the exact intersection.
 
 Defined results: null and empty texts have an empty set and no links; with fewer words than a shingle the whole
-sequence is the only shingle; repeated rows are copies; rows with one doc_id are one vertex.
+sequence is the only shingle; repeated rows are copies; rows with one doc_id are one vertex; a row without a doc_id
+belongs to the class of a row with an equal set, if there is one, and links with nothing else.
 """
 
 from __future__ import annotations
@@ -71,17 +72,17 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_digests(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, 128 bits (f1, f2) and sketch of each row's set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("k", pa.binary())])
+    """doc_id, key (a hash of the text), n, 128 bits (f1, f2) and sketch of each row's set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("k", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in doc_slices(batch):
                 sets = shingle_sets(part.column("text"), k)
                 prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array([sketch(s) for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array([sketch(s) for s in sets], pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, key long, n long, f1 long, f2 long, k binary")
 
 
 def most_different(total: int, num: int, den: int) -> int:
@@ -386,20 +387,36 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
     return linked.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    digests = written(set_digests(docs, k), docs.sparkSession)
+    labels = components(links(docs, digests, k, num, den))
+    reps = digests.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    out = digests.join(reps, ["n", "f1", "f2"]).select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text).
 
     Rows are linked when num / den of the union of their sets of k-word shingles is common, and copies always.
     """
-    digests = written(set_digests(docs, k), docs.sparkSession)
-    labels = components(links(docs, digests, k, num, den))
-    reps = digests.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    out = digests.join(reps, ["n", "f1", "f2"]).select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _classes(docs, k, num, den).drop("key")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each class, that with the least doc_id, and all documents without shingles."""
-    dropped_ids = written(classes(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct(), docs.sparkSession)
-    return docs.join(dropped_ids, "doc_id", "left_anti")
+    """``docs`` with one document of each class, that with the least doc_id, and all rows without shingles.
+
+    Rows that share that doc_id stay as its parts, equal ones once.
+    """
+    spark, own = docs.sparkSession, "__key"
+    rows = written(_classes(docs, k, num, den).where("n_shingles > 0").groupBy("doc_id", "key", "component_id").agg(F.count(F.lit(1)).alias("n")), spark)
+    out = docs.withColumn(own, F.xxhash64("text"))
+    same = lambda keys: out["doc_id"].eqNullSafe(keys["doc_id"]) & (out[own] == keys["key"])
+    gone = rows.where("component_id IS NOT NULL AND NOT component_id <=> doc_id").select("doc_id", "key").distinct()
+    kept = out.join(gone, same(gone), "left_anti")
+    twins = rows.where("component_id = doc_id AND n > 1").select("doc_id", "key")
+    if not twins.isEmpty():
+        once = kept.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", own])
+        kept = kept.join(twins, same(twins), "left_anti").unionByName(once)
+    return kept.drop(own)

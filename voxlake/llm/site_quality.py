@@ -25,6 +25,8 @@ from .common import doc_slices, written
 
 #: Labelled rows that the models are fitted on, words in the lexicon, and strength of shrinkage at most.
 SAMPLE, LEXICON, STRONGEST = 4000, 200, 1e6
+#: Rounding within which a probability is at a limit; what is at one stays, so neutral evidence rejects nothing.
+EVEN = 1e-9
 MARKS = b"&#$%*|!=+~^<>@_{}[]\\"
 
 
@@ -120,19 +122,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model([(r.text, r.quality, r.toxic) for r in rows.select("text", "quality", "toxic").toLocalIterator()])
 
 
-def evidence(docs: DataFrame, model: Model, site: Column, path: Column) -> DataFrame:
-    """doc_id, site, path, good and toxic (log odds) of each row of ``docs``."""
+def evidence(docs: DataFrame, model: Model, site: Column, path: Column, key: str | None = None) -> DataFrame:
+    """doc_id, site, path, good and toxic (log odds) of each row of ``docs``, and its column ``key``, a long."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("site", pa.string()), ("path", pa.string()), ("good", pa.float64()), ("toxic", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("site", pa.string()), ("path", pa.string()), ("good", pa.float64()), ("toxic", pa.float64()), *([(key, pa.int64())] if key else [])])
 
     def run(batches):
         model = shipped.value
         for batch in batches:
             for part in doc_slices(batch):
                 scores = [model.score(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("site"), part.column("path"), *(pa.array(s, pa.float64()) for s in zip(*scores))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("site"), part.column("path"), *(pa.array(s, pa.float64()) for s in zip(*scores)), *([part.column(key)] if key else [])], schema=schema)
 
-    return docs.select("doc_id", site.cast("string").alias("site"), path.cast("string").alias("path"), "text").mapInArrow(run, "doc_id long, site string, path string, good double, toxic double")
+    return docs.select("doc_id", site.cast("string").alias("site"), path.cast("string").alias("path"), "text", *([key] if key else [])).mapInArrow(run, "doc_id long, site string, path string, good double, toxic double" + (f", {key} long" if key else ""))
 
 
 def sigmoid(x: Column) -> Column:
@@ -174,18 +176,23 @@ def combine(scored: DataFrame, of: str) -> DataFrame:
     return paths.select(F.col("site").alias("_site"), F.col("path").alias("_path"), (logit(posterior) - logit(F.lit(prior))).alias(f"{of}_shift"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, keep_at: float = 0.5, toxic_at: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, site, path, p_good, p_toxic, kept of each row of ``docs``; kept: good enough and not toxic."""
-    scored = written(evidence(docs, fit(docs, labels, sample), site, path), docs.sparkSession)
+def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, keep_at: float = 0.5, toxic_at: float = 0.5, sample: int = SAMPLE, key: str | None = None) -> DataFrame:
+    """doc_id, site, path, p_good, p_toxic, kept (good enough and not toxic) and ``key`` of each row of ``docs``."""
+    scored = written(evidence(docs, fit(docs, labels, sample), site, path, key), docs.sparkSession)
     for of in ("good", "toxic"):
         shifts = combine(scored.select("site", "path", of), of)
         scored = scored.join(shifts, scored["site"].eqNullSafe(shifts["_site"]) & scored["path"].eqNullSafe(shifts["_path"])).drop("_site", "_path")
-    out = scored.select("doc_id", "site", "path", sigmoid(F.col("good") + F.col("good_shift")).alias("p_good"), sigmoid(F.col("toxic") + F.col("toxic_shift")).alias("p_toxic"))
-    return out.withColumn("kept", (F.col("p_good") >= keep_at) & (F.col("p_toxic") < toxic_at))
+    out = scored.select("doc_id", "site", "path", *([key] if key else []), sigmoid(F.col("good") + F.col("good_shift")).alias("p_good"), sigmoid(F.col("toxic") + F.col("toxic_shift")).alias("p_toxic"))
+    return out.withColumn("kept", (F.col("p_good") >= keep_at - EVEN) & (F.col("p_toxic") <= toxic_at + EVEN))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, source) that aren't rejected, with all their columns."""
-    judged = classify(docs, labels, F.col("source"), F.col("lang"), **options)
-    rejected = judged.where("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """The rows of ``docs`` (doc_id, text, lang, source) that aren't rejected, with all their columns.
+
+    Each row is judged by itself, those that share a doc_id or have none too.
+    """
+    key = "__key"
+    out = docs.withColumn(key, F.xxhash64("text", "source", "lang"))
+    judged = classify(out, labels, F.col("source"), F.col("lang"), key=key, **options)
+    rejected = judged.where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col(key).alias("_key")).distinct()
+    return out.join(rejected, out["doc_id"].eqNullSafe(F.col("_doc")) & (out[key] == F.col("_key")), "left_anti").drop(key)

@@ -122,6 +122,15 @@ def test_covers_are_difference_covers():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
+def test_hot_byte_runs(spark, rows):
+    passage = "the line that everybody has, over and over again"
+    more = [(200 + i, f"{i * 7919 % 1009} {i} {passage} {i * 104729 % 1013} and {passage} {i % 7}") for i in range(80)]
+    every = rows + more
+    for most in (30, 1):
+        got = bwt_dedup.remove(frame(spark, every).repartition(3), 40, most=most).collect()
+        assert sorted(map(tuple, got), key=str) == brute.byte_runs(every, 40)
+
+
 @pytest.mark.parametrize("length", [100, 40])
 def test_byte_runs(docs, rows, length):
     got = bwt_dedup.remove(docs, length).collect()

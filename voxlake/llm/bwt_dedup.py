@@ -2,12 +2,17 @@
 
 Every string of ``length`` bytes is dealt by its minimiser, the k bytes in it with the least hash; the strings that
 follow one another with the same minimiser form a segment.  Minimisers that occur once in the corpus hold no repeat.
-The others' segments, each content once, meet in a bucket.  There the suffixes are sorted, and the intervals of rows
-that share a prefix are expanded breadth first by backward extension: a row's interval for prefixes of l + 1 bytes is
+The others' segments, each content once, meet in a bucket.  There the suffixes are sorted by doubling as far as
+``length`` symbols; of the transform only the last-first map is kept, inverted.  Intervals of rows that share a prefix
+of up to seven symbols come from packed integers, and are then expanded breadth first by backward extension: a row's interval for prefixes of l + 1 bytes is
 its first byte with the interval of l bytes of the row one byte on, which the inverse of the transform's last-first
 map gives.  So common prefixes come out in increasing length, and the expansion stops at ``length``.  Rows that still
 share an interval are occurrences of one string; the earliest of them stays.
 
+A minimiser that has over ``HOT`` segments, such as a line that very many documents hold in different surroundings,
+would fill one bucket.  Its strings are dealt one by one instead, by 96 bits of their hash, and equal names are equal
+strings; which minimisers these are is counted over all documents.
+
 Defined results: a null text is empty; rows with one doc_id are ordered by their text; a null doc_id comes last.
 """
 
@@ -20,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import split_by, windows
-from .packed import Chunks, array, ids_of, shared_flags
+from .packed import Chunks, array, ids_of
 
+#: Segments over which a minimiser's strings are dealt one by one.
+HOT = 50_000
 #: Bytes of a minimiser, of a block of text that is hashed at once, and of a block that is sorted at once.
 K, BLOCK, SORTED = 20, 1 << 17, 1 << 17
 #: Symbols of nine bits in a 64-bit integer.
@@ -76,7 +83,52 @@ def segments(text: Bytes, length: int, k: int = K) -> tuple[np.ndarray, np.ndarr
 def _distinct(keys: np.ndarray, buckets: int):
     unique, counts = np.unique(keys, return_counts=True)
     for b, rows in split_by((unique % np.uint64(buckets)).astype(np.int64), buckets):
-        yield b, unique[rows], counts[rows] > 1
+        yield b, unique[rows], counts[rows]
+
+
+def judge_keys(messages: list[dict], hot: int) -> list[tuple]:
+    """For messages of distinct keys (64 bit) and of the power of two that their count in the chunk is within: packed
+    bits of the keys that occur more than once, and of those that have over ``hot`` segments."""
+    keys = [array(m["a"], np.uint64) for m in messages]
+    flat = np.concatenate(keys)
+    counts = 1 << np.concatenate([array(m["b"], np.uint8) for m in messages]).astype(np.int64)
+    unique, inverse = np.unique(flat, return_inverse=True)
+    total = np.bincount(inverse, counts, len(unique))[inverse]
+    ends = np.cumsum([0, *map(len, keys)])
+    return [(i, np.packbits(total[a:b] > 1), np.packbits(total[a:b] > hot) if (total[a:b] > hot).any() else None) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+
+def string_names(text: Bytes, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, and 64 and 32 bits of the hash, of each string of the segments from ``low`` to ``high``."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32))]
+    cuts = np.flatnonzero(np.diff(np.cumsum(high - low + length) // BLOCK)) + 1
+    for lo, hi in zip(np.split(low, cuts), np.split(high, cuts)):
+        sizes = hi - lo + length - 1
+        if not len(sizes):
+            continue
+        begins = np.cumsum(sizes) - sizes
+        offset = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+        at = np.repeat(lo, sizes) + offset
+        first = np.flatnonzero(offset < np.repeat(hi - lo, sizes))
+        bytes_ = text.flat[at].astype(np.uint64)
+        a, b = (windows(bytes_ * np.uint64(m) + np.uint64(c), length)[first] for m, c in ((0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D), (0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D)))
+        out.append((at[first], a, (b >> np.uint64(32)).astype(np.uint32)))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def settle_names(messages: list[dict]) -> list[tuple]:
+    """Runs of starts of those named strings that start earlier elsewhere."""
+    a, b = (np.concatenate([array(m[c], t) for m in messages]) for c, t in (("a", np.uint64), ("b", np.uint32)))
+    places = np.concatenate([array(m["d"], np.int64).reshape(-1, 2) for m in messages])
+    order = np.lexsort((places[:, 1], places[:, 0], b, a))
+    fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    later = np.zeros(len(a), bool)
+    later[order] = ~fresh
+    ends = np.cumsum([0, *(len(array(m["b"], np.uint32)) for m in messages)])
+    for i, (x, y) in enumerate(zip(ends, ends[1:])):
+        starts = places[x:y, 1][later[x:y]]
+        if len(starts):
+            yield i, np.column_stack([starts, starts + 1])
 
 
 def packed(symbols: np.ndarray) -> np.ndarray:
@@ -194,24 +246,29 @@ def settle_segments(messages: list[dict], length: int) -> list[tuple]:
     return [(i, np.concatenate([np.array(r, np.int64).reshape(-1, 2), o])) for i, (r, o) in enumerate(zip(runs, own)) if r or len(o)]
 
 
-def remove(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = 100, with_text: bool = False, most: int = HOT) -> DataFrame:
     """Removes each byte of a ``length``-byte string that also starts earlier: in a smaller doc_id, or before in the same.
 
     Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text), and with
-    ``with_text`` also spans (array of start and end in bytes) and kept (binary).
+    ``with_text`` also spans (array of start and end in bytes) and kept (binary).  Strings of a minimiser that has over
+    ``most`` segments are dealt one by one.
     """
     chunks = Chunks(docs.select("doc_id", "text"))
     n, names = chunks.n, chunks.keys
 
     def send_keys(docs: pa.Table):
-        return [[b, unique, np.packbits(many)] for b, unique, many in _distinct(segments(Bytes(docs), length)[0], n)]
+        return [[b, unique, np.ceil(np.log2(counts)).astype(np.uint8)] for b, unique, counts in _distinct(segments(Bytes(docs), length)[0], n)]
 
     def send_segments(docs: pa.Table, answers: list[dict]):
         text, numbers = Bytes(docs), ids_of(docs)
         keys, low, high = segments(text, length)
-        flags = {m["bucket"]: m["a"] for m in answers}
-        shared = [unique[np.unpackbits(array(flags[names[b]], np.uint8), count=len(unique)).astype(bool)] for b, unique, _ in _distinct(keys, n) if names[b] in flags]
-        common = np.sort(np.concatenate(shared)) if shared else np.empty(0, np.uint64)
+        flags = {m["bucket"]: m for m in answers}
+        shared, hot = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for b, unique, _ in _distinct(keys, n):
+            for found, bits in zip((shared, hot), (flags[names[b]]["a"], flags[names[b]]["b"]) if names[b] in flags else ()):
+                if bits is not None:
+                    found.append(unique[np.unpackbits(array(bits, np.uint8), count=len(unique)).astype(bool)])
+        common, hot = np.sort(np.concatenate(shared)), np.sort(np.concatenate(hot))
         if not len(common):
             return []
         hit = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
@@ -227,12 +284,27 @@ def remove(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataF
         del seen
         fresh = np.array(fresh)
         keys, low, high = keys[fresh], low[fresh], high[fresh]
+        named = []
+        if len(hot):
+            dealt = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+            starts, a, b = string_names(text, low[dealt], high[dealt], length)
+            keys, low, high = keys[~dealt], low[~dealt], high[~dealt]
+            order = np.lexsort((starts, b, a))
+            head = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])) if len(order) else np.empty(0, bool)
+            again += [(s, s + 1) for s in starts[order[~head]].tolist()]
+            first = order[head]
+            starts, a, b = starts[first], a[first], b[first]
+            places = np.column_stack([numbers[text.doc_of(starts)], starts])
+            named = [[k, a[rows], b[rows], None, places[rows]] for k, rows in split_by((a % np.uint64(n)).astype(np.int64), n)]
         tags = np.column_stack([numbers[text.doc_of(low)], keys.view(np.int64)])
         spans, out = np.column_stack([low, high]), []
         for b, rows in split_by((keys % np.uint64(n)).astype(np.int64), n):
             raw = b"".join(text.buffer[lo : hi + length - 1] for lo, hi in spans[rows].tolist())
-            out.append([b, spans[rows], np.array(again, np.int64) if not out else None, np.frombuffer(raw, np.uint8), tags[rows]])
-        return out
+            out.append([b, spans[rows], None, np.frombuffer(raw, np.uint8), tags[rows]])
+        if again:  # strings that the chunk itself has before go with any message
+            out = out or [[0, spans[:0], None, np.empty(0, np.uint8), tags[:0]]]
+            out[0][2] = np.array(again, np.int64)
+        return out + named
 
     def receive(docs: pa.Table, answers: list[dict]):
         text = Bytes(docs)
@@ -255,6 +327,12 @@ def remove(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataF
             out["kept"] = pa.array(columns[5], pa.binary())
         return pa.table(out)
 
-    flags = chunks.settle(chunks.send(send_keys), shared_flags)
-    answers = chunks.settle(chunks.send_after(flags, send_segments), lambda messages: settle_segments(messages, length))
+    def settle(messages: list[dict]):
+        for kind, judge in ((False, lambda some: settle_segments(some, length)), (True, settle_names)):
+            rows = [i for i, m in enumerate(messages) if (m["c"] is None) == kind]
+            for i, *answer in judge([messages[i] for i in rows]) if rows else ():
+                yield rows[i], *answer
+
+    flags = chunks.settle(chunks.send(send_keys), lambda messages: judge_keys(messages, most))
+    answers = chunks.settle(chunks.send_after(flags, send_segments), settle)
     return chunks.receive(answers, receive, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, kept binary" * with_text)

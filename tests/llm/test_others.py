@@ -30,6 +30,13 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule, r.verdict) == judge(urls[r.page_id])
 
 
+def test_urls_of_no_table_and_single_bytes(spark):
+    assert not url_automaton.judge(spark.createDataFrame([], "page_id long, url string"), queries.RULES, queries.BLOCKED_HOSTS).collect()
+    pages = spark.createDataFrame([(None, "http://ab/c"), (1, "http://a/b"), (1, "http://a/b")], "page_id long, url string")
+    got = url_automaton.judge(pages, [], ["a?"]).collect()
+    assert sorted((r.page_id or -1, r.verdict) for r in got) == [(-1, "block"), (1, "allow"), (1, "allow")]
+
+
 def test_automaton_over_many_words():
     rng = random.Random(6)
     patterns = [[rng.choice([97, 98, url_automaton.PATH_STAR, url_automaton.ANY]) for _ in range(rng.randint(1, 9))] for _ in range(40)]

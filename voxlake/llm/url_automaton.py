@@ -38,7 +38,7 @@ class Rule:
 
 
 def host_glob(glob: str) -> list[int]:
-    """A glob for the whole host: ``*`` any run, ``?`` any one byte; any path."""
+    """A glob for the whole host: ``*`` any run, ``?`` any one byte of it; any path."""
     out = [ord(".")]
     for c in glob:
         out += [{"*": HOST_STAR, "?": ANY}[c]] if c in "*?" else c.encode()
@@ -65,7 +65,7 @@ class ShiftAnd:
         for at in starts:
             self.first[at // 64] |= self._bit(at)
         for at, s in masks:
-            for c in range(256) if s == ANY else (s,):
+            for c in (x for x in range(256) if x != SEPARATOR) if s == ANY else (s,):
                 self.match[c, at // 64] |= self._bit(at)
         for at, s in stays:
             for c in range(256):
@@ -112,7 +112,8 @@ def judge(pages: DataFrame, rules: list[Rule], blocked: list[str], url: str = "u
     """page_id, host, path, rule, verdict of each row of ``pages``.
 
     The longest rule that fits decides.  Where none fits, the automaton's globs of blocked hosts do: a host that one
-    of them fits is blocked, and so is a URL without a host; others are allowed.  One pass without a shuffle.
+    of them fits is blocked, and so is a URL without a host; others are allowed.  One pass without a shuffle.  A null
+    URL has an empty host and path; repeated rows and those without a page_id are judged each; no rows give none.
     """
     automaton = ShiftAnd([r.symbols() for r in rules] + [host_glob(g) for g in blocked])
     order = sorted(range(len(rules)), key=lambda k: len(rules[k].text))

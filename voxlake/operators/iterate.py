@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
     """``df`` checkpointed in the folder that all executors share (``spark.checkpoint.dir``).
 
-    A temporary folder takes its place only where none is set, as in tests on one machine.
+    A temporary folder takes its place only where none is set and Spark runs in one process, as in tests.
     """
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="voxlake-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="voxlake-"))
     return df.checkpoint()

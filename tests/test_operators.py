@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, cluster, images, morphology, neighbours, project, select, shape, voronoi
-from voxlake.plans import pipelines
+from voxlake.operators import aggregate, cluster, images, morphology, neighbours, particles, project, select, shape, voronoi
+from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
 
@@ -363,3 +363,121 @@ def test_small_pipeline(spark):
     angles = spark.createDataFrame([(1, 0.0), (2, 10.0)], "view int, theta double")
     out = pipelines.preprocess(df, angles, pipelines.Preprocess(16, 16, 12, denoise=False))
     assert out["projections"].count() == 2 * 12 * 12 and out["angles"].columns == ["view", "phi", "theta", "psi"]
+
+
+def disc(n=96, at=(40, 55), radius=20):
+    y, x = np.indices((n, n))
+    return np.where((y - at[0]) ** 2 + (x - at[1]) ** 2 <= radius**2, 100.0, 0.0)
+
+
+def test_particles_are_found_and_centred():
+    image = disc() + np.random.default_rng(0).random((96, 96))
+    assert particles.particle_centre(image, 40, 2.0) == pytest.approx((40, 55), abs=0.3)
+    assert particles.particle_centre(np.zeros((20, 20)), 8) == (9.5, 9.5)
+    inside = disc() > 0
+    mask = particles.otsu_mask(image)
+    assert mask[inside].all() and mask.sum() < 1.8 * inside.sum()
+    out = particles.centred_particle(image, 0.9, (100, 100))
+    assert out["first"][inside].mean() > 0.99 and out["before"][inside].mean() > 0.97
+    assert particles.centre_of_mass(out["aligned"]) == pytest.approx((49, 49), abs=0.2)
+    shifted = particles.centre_of_mass(out["shifted"] * out["mask"])
+    assert shifted == pytest.approx((49, 49), abs=1.0)
+    dark = particles.background_mask(image, 100)
+    assert not dark[inside].any() and dark[:8, :8].all() and particles.background_mask(np.zeros((30, 30))).all()
+
+
+def test_labels_and_smoothing_of_images(spark):
+    rng = np.random.default_rng(4)
+    mask = rng.random((30, 40)) > 0.55
+    for full in (True, False):
+        name = particles.labelled(mask, full)
+        seen = np.zeros(mask.shape, int)
+        for start in np.argwhere(mask):  # flood fill
+            if seen[tuple(start)]:
+                continue
+            todo, mark = [tuple(start)], start[0] * 40 + start[1] + 1
+            while todo:
+                r, c = todo.pop()
+                if 0 <= r < 30 and 0 <= c < 40 and mask[r, c] and not seen[r, c]:
+                    seen[r, c] = mark
+                    todo += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if full or not (a and b)]
+        assert (name == seen).all()
+    sizes = np.bincount(particles.labelled(mask).ravel())
+    assert (particles.without_small(mask, 5) == ((sizes >= 5)[particles.labelled(mask)] & mask)).all()
+    image = rng.integers(0, 9, (16, 16)).astype(float)
+    rows = spark.createDataFrame([(1, int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(image)], "view int, r int, c int, v double")
+    got = morphology.edge_preserving(rows, 1, 16, 16).collect()
+    assert all(r.v == pytest.approx(particles.edge_preserved(image, 1)[r.r, r.c]) for r in got)
+    assert (particles.edge_preserved(image, 1)[:2] == image[:2]).all()
+    assert set(particles.disk_offsets(6)) == {(r, c) for r in range(-5, 6) for c in range(-5, 6) if abs(r) + abs(c) <= 8}
+
+
+def test_ordered_sums_are_the_fixed_tree(spark):
+    rng = np.random.default_rng(9)
+
+    def tree(v):
+        if len(v) >= 89000:
+            return tree_serial([tree(v[i : i + 4096]) for i in range(0, len(v), 4096)])
+        return tree_serial(v) if len(v) < 44 else tree_serial([tree_serial(v[k::4]) for k in range(4)])
+
+    def tree_serial(v):
+        total = 0.0
+        for x in v:
+            total += x
+        return total
+
+    rows = [(n, (rng.normal(size=n) * 10.0 ** rng.integers(-8, 8, n)).tolist()) for n in (0, 1, 43, 44, 47, 4097, 90_001)]
+    got = {r.n: r.s for r in spark.createDataFrame(rows, "n int, a array<double>").select("n", scalar.ordered_sum(F.col("a")).alias("s")).collect()}
+    assert got == {n: tree(v) for n, v in rows}
+
+
+def test_dark_fit_keeps_its_bounds(spark):
+    theta = np.linspace(-60, 60, 9)
+    for a, b in ((0.3, 0.7), (1.4, 0.2), (-0.5, 0.4), (0.2, 3.0)):
+        dark = a * 1e4 / np.cos(np.radians(theta)) + b * 1e4
+        df = spark.createDataFrame([(float(t), float(v)) for t, v in zip(theta, dark)], "theta double, dark double")
+        got = aggregate.dark_fit(df)
+        ga, gb = np.meshgrid(np.linspace(0, 1, 101), np.linspace(0, 1.5, 151))
+        cost = ((ga[..., None] * 1e4 / np.cos(np.radians(theta)) + gb[..., None] * 1e4 - dark) ** 2).sum(-1)
+        k = np.unravel_index(cost.argmin(), cost.shape)
+        assert got[:2] == pytest.approx((ga[k], gb[k]), abs=0.011) and got[2] <= cost[k] + 1e-3
+
+
+def test_spectra_and_angles_are_checked(spark, tmp_path):
+    a = np.random.default_rng(1).normal(size=(5, 6))
+    assert np.allclose(images.half_spectrum(a), np.fft.fft2(a)[:, :4]) and np.allclose(images.from_half_spectrum(images.half_spectrum(a), a.shape), a)
+    with pytest.raises(ValueError):
+        images.half_spectrum(a * 1j)
+    still = images.rotate(disc(), 0.0, 0.0)
+    assert 0 < np.abs(still - disc()).max() < 2.0
+    with pytest.raises(ValueError):
+        shape.angle_table(spark.createDataFrame([(1, 2.0, 3.0)], "view int, theta double, phi double"))
+    stack = np.arange(24.0).reshape(2, 4, 3)
+    np.save(tmp_path / "p.npy", stack)
+    np.save(tmp_path / "a.npy", np.array([-10.0, 0.0, 10.0]))
+    px, angles = files.read_projections(spark, str(tmp_path / "p.npy"), str(tmp_path / "a.npy"))
+    assert px.count() == 24 and sorted((r.view, r.phi, r.theta, r.psi) for r in angles.collect()) == [(0, 0, -10, 0), (1, 0, 0, 0), (2, 0, 10, 0)]
+    np.save(tmp_path / "b.npy", np.zeros(2))
+    with pytest.raises(ValueError):
+        files.read_projections(spark, str(tmp_path / "p.npy"), str(tmp_path / "b.npy"))
+    files.convert_arrays(spark, str(tmp_path / "p.npy"), ["r", "c", "view"], str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("v")).first()[0] == stack.sum()
+    files.write_reconstruction(str(tmp_path / "rec"), px, spark.range(1), spark.range(3))
+    files.write_refinement(str(tmp_path / "ref"), px, spark.range(1), spark.range(3))
+    assert spark.read.csv(str(tmp_path / "rec/iter_timing"), header=True).count() == 3 and spark.read.parquet(str(tmp_path / "ref/err_history")).count() == 3
+    z = files.with_coefficients(spark.createDataFrame([(1, 6)], "atom_id long, z int"), spark.createDataFrame([(6, 0.5)], "z int, a1 double")).first()
+    assert (z.atom_id, z.a1) == (1, 0.5)
+
+
+def test_late_steps(spark):
+    rows = [(v, int(r), int(c), float(x)) for v in (1, 2) for (r, c), x in np.ndenumerate(disc(48, (20, 26), 9))]
+    px = spark.createDataFrame(rows, "view int, r int, c int, v double")
+    inside = disc(48, (20, 26), 9) > 0
+    assert steps.step_24_initial_mask(px, 48, 48, 20).agg(F.sum("v")).first()[0] >= 2 * inside.sum()
+    middle = steps.step_25_integer_com(px, 48, 48, 20).groupBy("view").agg((F.sum(F.col("r") * F.col("v")) / F.sum("v")).alias("m")).collect()
+    assert all(m.m == pytest.approx(24, abs=1) for m in middle)
+    assert steps.step_26_refined_mask(px, 48, 48, 0.9, (20, 20)).where("v = 1").count() >= 2 * inside.sum()
+    aligned = steps.step_27_subpixel_com(px, 48, 48, 0.9, (20, 20)).groupBy("view").agg((F.sum(F.col("c") * F.col("v")) / F.sum("v")).alias("m")).collect()
+    assert all(m.m == pytest.approx(24, abs=0.2) for m in aligned)
+    scores = steps.step_30_estimate_commonline(px, 48, 48, -2, 2, 1.0).collect()
+    assert sorted(r.angle for r in scores) == [-2, -1, 0, 1, 2] and all(abs(r.score) < 1e-6 for r in scores)  # equal views

@@ -56,7 +56,8 @@ def from_unit(y: Column, low: Column, high: Column, start: float = 0.15, stop: f
 def form_factor(q: Column, a: list, b: list, c: list, d: list) -> Column:
     """Electron form factor: three Lorentzians a / (q^2 + b) and three Gaussians c exp(-d q^2)."""
     q2 = q * q
-    return sum((F.lit(x) / (q2 + F.lit(y)) for x, y in zip(a, b)), F.lit(0.0)) + sum((F.lit(x) * F.exp(-F.lit(y) * q2) for x, y in zip(c, d)), F.lit(0.0))
+    a, b, c, d = ([x if isinstance(x, Column) else F.lit(x) for x in part] for part in (a, b, c, d))
+    return sum((x / (q2 + y) for x, y in zip(a, b)), F.lit(0.0)) + sum((x * F.exp(-y * q2) for x, y in zip(c, d)), F.lit(0.0))
 
 
 def axis_rotation(axis: tuple[float, float, float], degrees: Column) -> list[list[Column]]:
@@ -78,6 +79,36 @@ def gauss3(x: Column, y: Column, z: Column, height: float, widths: tuple[float,
     return F.lit(height) * F.exp(-sum(((v - c) * (v - c) / (2 * w * w) for v, c, w in zip((x, y, z), centre, widths)), F.lit(0.0)))
 
 
+def gauss3_turned(x: Column, y: Column, z: Column, height: float, spreads: tuple[float, float, float], degrees: tuple[float, float, float], centre=(0.0, 0.0, 0.0), floor: float = 0.0) -> Column:
+    """floor + height exp(-sum u^2 / spread), where u is the place turned about z, then y, then z."""
+    u = [v - c for v, c in zip((x, y, z), centre)]
+    for axis, angle in zip(((0, 0, 1), (0, 1, 0), (0, 0, 1)), degrees):
+        u = rotated(axis_rotation(axis, F.lit(float(angle))), *u)
+    return F.lit(floor) + F.lit(height) * F.exp(-sum((v * v / w for v, w in zip(u, spreads)), F.lit(0.0)))
+
+
+def ordered_sum(values: Column) -> Column:
+    """Sum of an array of doubles in a fixed order, so that its last bits don't depend on how rows were dealt.
+
+    Fixed values: under 44 values one after another; otherwise every fourth value in one of four lanes, which are then
+    added; from 89000 on blocks of 4096 that are summed so and added one after another.
+    """
+    fold = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    lanes = lambda a: fold(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: fold(F.filter(a, lambda _, i: i % 4 == k))))
+    one = lambda a: F.when(F.size(a) < 44, fold(a)).otherwise(lanes(a))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(values) - 1), F.lit(4096))
+    return F.when(F.size(values) < 89000, one(values)).otherwise(fold(F.transform(starts, lambda s: one(F.slice(values, s + 1, 4096)))))
+
+
+def ordered_mean(values: Column) -> Column:
+    return ordered_sum(values) / F.size(values)
+
+
+def ordered_variance(values: Column, mean: Column) -> Column:
+    """About ``mean``, over one less than the number of values (1 at least)."""
+    return ordered_sum(F.transform(values, lambda v: (v - mean) * (v - mean))) / F.greatest(F.lit(1), F.size(values) - 1)
+
+
 def stationary_point(g: list[Column], h: dict[str, Column]) -> tuple[list[Column], Column]:
     """Where g + H d = 0, each part clamped to 0.5, and whether H is that of a maximum.
 

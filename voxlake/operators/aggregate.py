@@ -52,6 +52,17 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] = ()) -> DataF
     return df.crossJoin(F.broadcast(ends)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row
 
 
+def class_histograms(df: DataFrame, value: str, bins: int, by: str, centres_as_edges: bool = False) -> DataFrame:
+    """``by``, bin, n: each class on the bins of all; with ``centres_as_edges`` a class's bins lie between the centres
+    of those, so there is one less and what is outside the first and last centre isn't counted."""
+    if not centres_as_edges:
+        return histogram(df, value, bins, [by])
+    ends = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    at = (F.col(value) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")) - 0.5
+    b = F.when(at == bins - 1, bins - 2).otherwise(F.floor(at)).cast("int")
+    return df.crossJoin(F.broadcast(ends)).where("_hi > _lo").select(by, b.alias("bin")).where(F.col("bin").between(0, bins - 2)).groupBy(by, "bin").agg(F.count(F.lit(1)).alias("n"))  # one row
+
+
 def box_sum(box: DataFrame) -> DataFrame:
     return box.groupBy("atom_id").agg(F.sum("v").alias("intensity"))
 
@@ -149,6 +160,23 @@ def noise_parameters(df: DataFrame) -> DataFrame:
     return g.select("view", "alpha", F.greatest(F.lit(0.0), F.col("_s") - F.col("alpha") * F.col("_m")).alias("sigma2"))
 
 
+def background_noise(frames: DataFrame, background: DataFrame) -> DataFrame:
+    """view, alpha, sigma2 as ``noise_parameters``, from blocks of 2 x 2 pixels over all frames, with the constant part
+    from where ``background`` (view, r, c) has no particle.
+
+    A block's pixels weigh by how many of them are background; 0 after that isn't counted.
+    """
+    block = [F.floor(F.col(a) / 2).cast("int").alias(f"_{a}") for a in "rc"]
+    px = frames.select("view", *block, F.col("v").cast("double").alias("v"))
+    means = px.groupBy("view", "_r", "_c").agg(F.avg("v").alias("m"), F.var_samp("v").alias("s"))
+    least = means.groupBy("view").agg(F.min("m").alias("_least"))
+    gain = means.join(least, "view").where("m > _least AND s IS NOT NULL").groupBy("view").agg((F.sum(F.col("s") * F.col("m")) / F.sum(F.col("m") * F.col("m"))).alias("alpha"))
+    weight = background.groupBy("view", *block).agg((F.count(F.lit(1)) / 4).alias("_w"))
+    rest = px.join(weight, ["view", "_r", "_c"]).withColumn("v", F.col("v") * F.col("_w")).where("v <> 0").groupBy("view").agg(F.avg("v").alias("_m"), F.var_samp("v").alias("_s"))
+    out = gain.join(rest, "view", "left")
+    return out.select("view", "alpha", F.greatest(F.lit(0.0), F.coalesce("_s", F.lit(0.0)) - F.col("alpha") * F.coalesce("_m", F.lit(0.0))).alias("sigma2"))
+
+
 def average_noise(df: DataFrame) -> DataFrame:
     """alpha, sigma2 averaged over views whose sigma isn't 0."""
     use = F.col("sigma2") != 0
@@ -168,6 +196,28 @@ def first_differences(df: DataFrame, by: str, order: str, value: str) -> DataFra
     return df.withColumn("diff", F.col(value) - F.lag(value).over(w)).where("diff IS NOT NULL").select(by, order, "diff")
 
 
+def dark_fit(df: DataFrame, most: tuple[float, float] = (1.0, 1.5), unit: float = 1e4) -> tuple[float, float, float]:
+    """a, b and the sum of squares of dark = a unit / cos(theta) + b unit with 0 <= a, b <= ``most``.
+
+    Two unknowns: the best is the free one if it is inside, else the best of the four sides.
+    """
+    r = dark_fit_sums(df).crossJoin(df.agg(F.sum(F.col("dark") * F.col("dark")).alias("yy"))).first()  # one row each
+    n, su, suu, sy, suy, yy = ((r[c] or 0.0) for c in ("n", "su", "suu", "sy", "suy", "yy"))
+    cost = lambda a, b: yy - 2 * (a * suy + b * sy) + a * a * suu + 2 * a * b * su + b * b * n
+    top = [x * unit for x in most]
+    det = suu * n - su * su
+    found = []
+    if det > 1e-12 * max(1.0, suu * n):
+        free = ((suy * n - sy * su) / det, (sy * suu - suy * su) / det)
+        if all(0 <= x <= t for x, t in zip(free, top)):
+            found.append(free)
+    clip = lambda x, t: min(max(x, 0.0), t)
+    if not found:
+        found = [(a, clip((sy - a * su) / n if n else 0.0, top[1])) for a in (0.0, top[0])] + [(clip((suy - b * su) / suu if suu else 0.0, top[0]), b) for b in (0.0, top[1])]
+    a, b = min(found, key=lambda p: cost(*p))
+    return a / unit, b / unit, max(0.0, cost(a, b))
+
+
 def dark_fit_sums(df: DataFrame) -> DataFrame:
     """Normal-equation sums of dark = a / cos(theta) + b (columns theta in degrees, dark)."""
     u = 1 / F.cos(F.radians("theta"))

@@ -37,6 +37,17 @@ def fourier_shift(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
     return np.fft.ifft2(np.fft.fft2(image) * np.exp(-2j * np.pi * (ky * dy + kx * dx))).real
 
 
+def half_spectrum(a: np.ndarray, axes=None) -> np.ndarray:
+    """Spectrum of a real array without the half of the last axis that the other half repeats."""
+    if np.iscomplexobj(a):
+        raise ValueError("a half spectrum needs real values")
+    return np.fft.rfftn(a, axes=_axes(a, axes)).astype(np.complex64 if a.dtype == np.float32 else complex)
+
+
+def from_half_spectrum(a: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    return np.fft.irfftn(a, shape, axes=tuple(range(-len(shape), 0)))
+
+
 def apply_filter(image: np.ndarray, response: np.ndarray) -> np.ndarray:
     """``response`` is centred."""
     return centred_ifft(centred_fft(image) * response).real
@@ -144,10 +155,19 @@ def upsample(volume: np.ndarray, factor: int = 3) -> np.ndarray:
 
 def rotate(image: np.ndarray, degrees: float, background: float | None = None) -> np.ndarray:
     """Rotation about the middle as three Fourier shears, on a frame padded with the background (default: a low
-    order statistic of the image)."""
+    order statistic of the image).  A rotation by nothing passes through that frame as well, as in the model: it loses
+    the highest frequencies of either axis."""
     if background is None:
         v = np.sort(image, axis=None)
         background = float(v[max(0, round(v.size / 128) - 1)])
+    if abs(np.sin(np.radians(degrees))) < 1e-15:
+        rows, cols = image.shape
+        frame = np.full((2 * rows, 2 * cols), background)
+        inside = np.s_[rows // 2 - 1 : rows // 2 - 1 + rows, cols // 2 - 1 : cols // 2 - 1 + cols]
+        frame[inside] = image
+        spectrum = np.fft.fft2(frame)
+        spectrum[rows, :], spectrum[:, cols] = 0, 0
+        return np.fft.ifft2(spectrum).real[inside]
     turns = int(np.rint(degrees / 90.0))
     image, rest = np.rot90(image, turns % 4), np.radians(degrees - 90.0 * turns)
     pad = [(n // 2, n // 2) for n in image.shape]
@@ -167,23 +187,22 @@ def common_line_scores(image: np.ndarray, degrees: list[float], mean_line: np.nd
 
 
 # filters
-def gaussian(image: np.ndarray, sigma: float, radius: int | None = None) -> np.ndarray:
-    """Separable Gaussian with ``radius`` taps to each side, edges repeated."""
+def gaussian(image: np.ndarray, sigma: float, radius: int | None = None, border: str = "edge") -> np.ndarray:
+    """Separable Gaussian with ``radius`` taps to each side; the border is repeated (edge) or mirrored (symmetric)."""
     radius = int(4 * sigma + 0.5) if radius is None else radius
     w = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma * sigma))
     w /= w.sum()
     out = image.astype(float)
     for axis in range(out.ndim):
-        p = np.pad(out, [(radius, radius) if a == axis else (0, 0) for a in range(out.ndim)], mode="edge")
+        p = np.pad(out, [(radius, radius) if a == axis else (0, 0) for a in range(out.ndim)], mode=border)
         out = sum(x * np.take(p, range(i, i + out.shape[axis]), axis=axis) for i, x in enumerate(w))
     return out
 
 
 def grow_mask(mask: np.ndarray, half_width: float, threshold: float = 0.1) -> np.ndarray:
-    """Mask blurred by a Gaussian in Fourier space and cut again."""
-    ky, kx = np.fft.fftfreq(mask.shape[0])[:, None], np.fft.fftfreq(mask.shape[1])[None]
-    g = np.exp(-2 * (np.pi * half_width) ** 2 * (ky * ky + kx * kx))
-    return np.fft.ifft2(np.fft.fft2(mask.astype(float)) * g).real > threshold
+    """Mask blurred by a Gaussian that is 1 in its middle and a half at ``half_width``, and cut again."""
+    rows, cols = (np.exp(-(np.subtract.outer(np.arange(n), np.arange(n)) ** 2) * np.log(2) / half_width**2) for n in mask.shape)
+    return rows @ mask.astype(float) @ cols > threshold
 
 
 def fill_region(image: np.ndarray, mask: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import axis_rotation, half_away, rotated
+from ..functions.scalar import axis_rotation, form_factor, half_away, rotated
 
 
 def gather(points: DataFrame, cells: DataFrame, axes: dict[str, tuple[str, int]], key: str = "id") -> DataFrame:
@@ -32,6 +32,25 @@ def gather(points: DataFrame, cells: DataFrame, axes: dict[str, tuple[str, int]]
     return points.select(key).join(got, key, "left").select(key, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def gather_complex(points: DataFrame, cells: DataFrame, axes: dict[str, tuple[str, int]], key: str = "id") -> DataFrame:
+    """key, re, im: as ``gather`` for cells with a real and an imaginary part."""
+    parts = [gather(points, cells.withColumn("v", F.col(c)), axes, key).withColumnRenamed("v", c) for c in ("re", "im")]
+    return parts[0].join(parts[1], key)
+
+
+def mean_form_factor(coefficients: DataFrame, rows: int, cols: int, resolution: float) -> DataFrame:
+    """r, c, v: the mean over the elements of ``coefficients`` (z, a1-a3 ... d1-d3) of the form factor at each frequency.
+
+    ``resolution`` is the size of a pixel; the middle of an axis of n is the rounded half (to even) of n + 1, from 1.
+    """
+    from .shape import grid
+
+    cells = grid(coefficients.sparkSession, {"r": (0, rows - 1), "c": (0, cols - 1)})
+    q = F.sqrt(sum((((F.col(a) + 1 - int(np.rint((n + 1) / 2))) / (n * resolution)) ** 2 for a, n in (("r", rows), ("c", cols))), F.lit(0.0)))
+    value = form_factor(q, *([F.col(f"{k}{i}") for i in (1, 2, 3)] for k in "abcd"))
+    return cells.crossJoin(F.broadcast(coefficients)).groupBy("r", "c").agg(F.avg(value).alias("v"))  # a row for each element
+
+
 def box_samples(atoms: DataFrame, cells: DataFrame, offsets: list[tuple[int, int, int]], size: int) -> DataFrame:
     """atom_id, off_id, v: intensities at offsets around each atom."""
     items = F.array(*(F.struct(F.lit(n).alias("n"), *(F.lit(float(x)).alias(a) for x, a in zip(o, "xyz"))) for n, o in enumerate(offsets)))

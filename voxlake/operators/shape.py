@@ -134,7 +134,12 @@ def octagon(radius: int, corner: int) -> list[tuple[int, int]]:
 
 
 def angle_table(df: DataFrame) -> DataFrame:
-    """view, theta to the three-angle form [0, theta, 0]."""
+    """view, theta to the three-angle form [0, theta, 0]; a table with all three angles stays, any other is refused."""
+    have = [c for c in ("phi", "theta", "psi") if c in df.columns]
+    if len(have) == 3:
+        return df.select("view", *have)
+    if have != ["theta"]:
+        raise ValueError(f"angles need theta alone or phi, theta and psi, not {have}")
     return df.select("view", F.lit(0.0).alias("phi"), "theta", F.lit(0.0).alias("psi"))
 
 

@@ -602,10 +602,13 @@ def _kernel(name: str, kernel):
 
 
 def _kernels() -> None:
-    from ..operators import blocks, images
+    from ..operators import blocks, images, particles
 
     _kernel("power_spectrum", lambda a: np.log1p(np.abs(images.centred_fft(a)) ** 2))
     _kernel("inverse_spectrum", lambda a: images.centred_ifft(images.centred_fft(a) * (1 + np.abs(np.indices(a.shape).sum(axis=0) - 16)) ** -1.0).real)
+    _kernel("half_spectrum", lambda a: np.log1p(np.abs(images.half_spectrum(a)) ** 2))
+    _kernel("particle_mask", lambda a: particles.otsu_mask(a).astype(float))
+    _kernel("centred_particle", lambda a: particles.centred_particle(a, 0.9, (4, 4))["shifted"])
     _kernel("gaussian_filter", lambda a: images.gaussian(a, 1.0, 4))
     _kernel("fourier_shift", lambda a: images.fourier_shift(a, 1.25, -0.5))
     _kernel("spline_upsample", images.upsample)
@@ -673,6 +676,55 @@ WAVE = "wave AS (SELECT view, CAST(a.x AS INT) kr, CAST(b.x AS INT) kc, SUM(v *
 ORACLE_SQL["gaussian_filter"] = f"WITH {PIX}, {FULL}, {TAPS} SELECT f.view, f.r, f.c, round(SUM(a.w * b.w * n.v), 6) AS v FROM full2 f CROSS JOIN tap a CROSS JOIN tap b JOIN full2 n ON n.view = f.view AND n.r = least(15, greatest(0, f.r + a.t)) AND n.c = least(15, greatest(0, f.c + b.t)) GROUP BY 1, 2, 3"
 ORACLE_SQL["power_spectrum"] = f"WITH {PIX}, {FULL}, {WAVE} SELECT view, kr AS r, kc AS c, round(ln(1 + re * re + im * im), 6) AS v FROM wave"
 ORACLE_SQL["fourier_shift"] = f"""WITH {PIX}, {FULL}, {WAVE} SELECT f.view, f.r, f.c, round(SUM(re * cos(t) - im * sin(t)) / 256, 6) AS v FROM (SELECT f.view, f.r, f.c, re, im, 2 * pi() * ((kr - 8) * (f.r - 8 - 1.25E0) + (kc - 8) * (f.c - 8 + 0.5E0)) / 16 AS t FROM full2 f JOIN wave w ON w.view = f.view) f GROUP BY 1, 2, 3"""
-ORACLE_SQL["mask_growth"] = f"""WITH {PIX}, {FULL}, cov AS (SELECT view, r, c, CAST(v > AVG(v) OVER (PARTITION BY view) AS INT) m FROM full2),
- ker AS (SELECT CAST(d.x AS INT) d, SUM(exp(-2 * pi() * pi() * (k.x - 8) * (k.x - 8) / 256.0) * cos(2 * pi() * (k.x - 8) * d.x / 16)) / 16 AS w FROM range(-15, 16) d(x) CROSS JOIN range(16) k(x) GROUP BY 1)
- SELECT f.view, f.r, f.c, CASE WHEN SUM(m * a.w * b.w) > 0.1 THEN 1E0 ELSE 0E0 END AS v FROM full2 f JOIN cov n ON n.view = f.view JOIN ker a ON a.d = f.r - n.r JOIN ker b ON b.d = f.c - n.c GROUP BY 1, 2, 3"""
+ORACLE_SQL["mask_growth"] = f"""WITH {PIX}, {FULL}, cov AS (SELECT view, r, c, CAST(v > AVG(v) OVER (PARTITION BY view) AS INT) m FROM full2)
+ SELECT f.view, f.r, f.c, CASE WHEN SUM(m * exp(-((f.r - n.r) * (f.r - n.r) + (f.c - n.c) * (f.c - n.c)) * ln(2))) > 0.1 THEN 1E0 ELSE 0E0 END AS v FROM full2 f JOIN cov n ON n.view = f.view GROUP BY 1, 2, 3"""
+ORACLE_SQL["half_spectrum"] = f"WITH {PIX}, {FULL}, {WAVE} SELECT view, CAST((kr + 8) % 16 AS INT) AS r, CAST((kc + 8) % 16 AS INT) AS c, round(ln(1 + re * re + im * im), 6) AS v FROM wave WHERE (kc + 8) % 16 <= 8"
+
+
+@query("SELECT view, round(SUM(v), 6) AS total, round(AVG(v), 6) AS mean, round(var_samp(v), 6) AS variance FROM pix GROUP BY view", PIX)
+def ordered_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Sums whose last bits don't depend on partitions."""
+    rows = adapters.pixels(spark, d).groupBy("view").agg(F.sort_array(F.collect_list(F.struct("r", "c", F.col("v").cast("double").alias("v")))).alias("a"))  # one image
+    rows = rows.select("view", F.transform("a", lambda x: x["v"]).alias("a")).withColumn("mean", fn.ordered_mean(F.col("a")))
+    return rounded(rows.select("view", fn.ordered_sum(F.col("a")).alias("total"), "mean", fn.ordered_variance(F.col("a"), F.col("mean")).alias("variance")), "total", "mean", "variance")
+
+
+COEFFICIENTS = [(6, *(0.1 * k for k in range(1, 13))), (14, *(0.2 + 0.05 * k for k in range(1, 13)))]
+COEF = "coef AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"{x!r}E0" if isinstance(x, float) else str(x) for x in row) + ")" for row in COEFFICIENTS) + ") t(z, a1, a2, a3, b1, b2, b3, c1, c2, c3, d1, d2, d3))"
+
+
+@query("SELECT CAST(y AS INT) AS r, CAST(x AS INT) AS c, round(AVG(a1/(q+b1) + a2/(q+b2) + a3/(q+b3) + c1*exp(-d1*q) + c2*exp(-d2*q) + c3*exp(-d3*q)), 8) AS v FROM (SELECT y, x, ((y - 7) / 8.0) * ((y - 7) / 8.0) + ((x - 7) / 8.0) * ((x - 7) / 8.0) AS q FROM range(16) i(y) CROSS JOIN range(16) j(x)) CROSS JOIN coef GROUP BY 1, 2", COEF)
+def mean_form_factor(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of half a unit; one filter for all elements."""
+    names = ["z", *(f"{k}{n}" for k in "abcd" for n in (1, 2, 3))]
+    table = spark.createDataFrame(COEFFICIENTS, "z int, " + ", ".join(f"{n} double" for n in names[1:]))
+    return rounded(project.mean_form_factor(table, 16, 16, 0.5), "v", to=8)
+
+
+@query("SELECT atom_id, round(0.5E0 + 3*exp(-(u*u/2 + v*v/4 + w*w/8)), 8) AS g FROM (SELECT atom_id, x*cos(radians(30)) + y*sin(radians(30)) AS u, -x*sin(radians(30)) + y*cos(radians(30)) AS v, z AS w FROM atm)", ATM)
+def gaussian_3d_turned(spark: SparkSession, d: str) -> DataFrame:
+    """Turned by 10 and 20 degrees about z, which add up to 30."""
+    return rounded(adapters.atoms(spark, d).select("atom_id", fn.gauss3_turned(*(F.col(a) for a in "xyz"), 3.0, (2.0, 4.0, 8.0), (10.0, 0.0, 20.0), floor=0.5).alias("g")), "g", to=8)
+
+
+@query("""SELECT id, round(coalesce(SUM(w * v), 0), 6) AS re, round(coalesce(SUM(w * (i - j) * v), 0), 6) AS im FROM (SELECT id, s.x, s.y, bi + a.x pi, bj + b.x pj, (CASE WHEN a.x = 0 THEN 1 - (s.x - bi) ELSE s.x - bi END) * (CASE WHEN b.x = 0 THEN 1 - (s.y - bj) ELSE s.y - bj END) w
+ FROM (SELECT atom_id id, x+5.5E0 x, y+5.5E0 y, least(14, floor(x+5.5E0)) bi, least(14, floor(y+5.5E0)) bj FROM atm) s CROSS JOIN range(2) a(x) CROSS JOIN range(2) b(x)) s
+ LEFT JOIN (SELECT r i, c j, v FROM pix WHERE view = 1) p ON i = pi AND j = pj AND s.x BETWEEN 0 AND 15 AND s.y BETWEEN 0 AND 15 GROUP BY id""", PIX, ATM)
+def complex_gather(spark: SparkSession, d: str) -> DataFrame:
+    cells = adapters.pixels(spark, d).where("view = 1").select("r", "c", F.col("v").cast("double").alias("re"), ((F.col("r") - F.col("c")) * F.col("v")).cast("double").alias("im"))
+    return rounded(project.gather_complex(_samples(spark, d, "xy"), cells, {"x": ("r", 16), "y": ("c", 16)}), "re", "im")
+
+
+@query("SELECT species, CAST(CASE WHEN t = 19 THEN 18 ELSE floor(t) END AS INT) AS bin, COUNT(*) AS n FROM (SELECT species, (x-lo)*20/(hi-lo) - 0.5 AS t FROM atm, (SELECT MIN(x) lo, MAX(x) hi FROM atm)) WHERE t >= 0 AND t <= 19 GROUP BY 1, 2", ATM)
+def histogram_between_centres(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.class_histograms(adapters.atoms(spark, d), "x", 20, "species", centres_as_edges=True)
+
+
+@query("""SELECT view, round(alpha, 6) AS alpha, round(greatest(0, coalesce(s2, 0) - alpha * coalesce(m2, 0)), 6) AS sigma2 FROM (SELECT view, SUM(s * m) / SUM(m * m) AS alpha FROM blk JOIN (SELECT view, MIN(m) lo FROM blk GROUP BY 1) USING (view) WHERE m > lo AND s IS NOT NULL GROUP BY 1)
+ LEFT JOIN (SELECT view, AVG(v * w) m2, var_samp(v * w) s2 FROM (SELECT view, r // 2 br, c // 2 bc, v FROM frm) JOIN (SELECT view, r // 2 br, c // 2 bc, COUNT(*) / 4.0 w FROM full2 JOIN (SELECT view, AVG(v) a FROM full2 GROUP BY 1) USING (view) WHERE v <= a GROUP BY 1, 2, 3) USING (view, br, bc) WHERE v * w <> 0 GROUP BY 1) USING (view)""",
+ FRM, PIX, FULL, "blk AS (SELECT view, r // 2 br, c // 2 bc, AVG(v) m, var_samp(v) s FROM frm GROUP BY 1, 2, 3)")
+def background_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Background: pixels up to their view's mean."""
+    full = _full(spark, d)
+    dark = full.join(full.groupBy("view").agg(F.avg("v").alias("a")), "view").where("v <= a").select("view", "r", "c")
+    return rounded(aggregate.background_noise(adapters.frames(spark, d), dark), "alpha", "sigma2")

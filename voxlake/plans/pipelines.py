@@ -51,7 +51,7 @@ def denoised(image: np.ndarray, alpha: float, sigma: float, factor: float = 1.0)
     if hi <= lo:
         return np.maximum(image, 0)
     scaled = (stable - lo) / (hi - lo) * 0.7 + 0.15
-    clean = images.block_matching_denoise(scaled, 0.7 / (hi - lo) * factor)
+    clean = images.block_matching_denoise(scaled, 0.96 * 0.7 / (hi - lo) * factor)
     out = images.inverse_vst((clean - 0.15) / 0.7 * (hi - lo) + lo, s, images.inverse_table(s, highest=max(50.0, float(unit.max()) * 1.2)))
     power = float((out * out).sum())
     return out * (float((out * np.maximum(image, 0)).sum()) / power if power else 1.0)

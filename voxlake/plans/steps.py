@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, images, select, shape
+from ..operators import aggregate, blocks, images, particles, select, shape
 from . import pipelines
 
 
@@ -116,6 +116,26 @@ def step_23_subtract(px: DataFrame, background: DataFrame) -> DataFrame:
     return both.select("view", "r", "c", fn.clamp_zero(F.col("v") - F.col("_b")).alias("v"))
 
 
+def step_24_initial_mask(px: DataFrame, rows: int, cols: int, least: int = 3000) -> DataFrame:
+    """view, r, c, v: 1 inside the mask."""
+    return blocks.map_images(px, lambda a: particles.initial_mask(a, least)[1].astype(float), rows, cols)
+
+
+def step_25_integer_com(px: DataFrame, rows: int, cols: int, least: int = 3000) -> DataFrame:
+    """The images, rolled so that their particle is in the middle."""
+    return blocks.map_images(px, lambda a: particles.integer_centred(*particles.initial_mask(a, least))[0], rows, cols)
+
+
+def step_26_refined_mask(px: DataFrame, rows: int, cols: int, scale: float = 0.9, least: tuple[int, int] = (3000, 10000)) -> DataFrame:
+    """view, r, c, v: 1 inside the mask of the centred image."""
+    return blocks.map_images(px, lambda a: particles.centred_particle(a, scale, least)["mask"].astype(float), rows, cols)
+
+
+def step_27_subpixel_com(px: DataFrame, rows: int, cols: int, scale: float = 0.9, least: tuple[int, int] = (3000, 10000)) -> DataFrame:
+    """The masked images with their centre of mass in the middle."""
+    return blocks.map_images(px, lambda a: particles.centred_particle(a, scale, least)["aligned"], rows, cols)
+
+
 def step_28_transpose_image(px: DataFrame) -> DataFrame:
     return shape.transpose(px)
 
@@ -124,6 +144,24 @@ def step_29_normalize_intensity(px: DataFrame) -> DataFrame:
     return aggregate.normalise(px)
 
 
+def step_30_estimate_commonline(px: DataFrame, rows: int, cols: int, start: float = -5.0, stop: float = 5.0, step: float = 0.1) -> DataFrame:
+    """angle, score: for each angle, how far the views' lines (sums over rows) are from their mean line."""
+    import numpy as np
+    import pyarrow as pa
+
+    angles = [start + k * step for k in range(int(np.floor((stop - start) / step + 0.5)) + 1)]
+
+    def lines(key, got):
+        image = blocks.image_of(got, rows, cols)
+        found = np.array([images.rotate(image, a).sum(axis=0) for a in angles])
+        k, c = np.indices(found.shape)
+        return pa.table({"angle": np.array(angles)[k.ravel()], "c": pa.array(c.ravel(), pa.int32()), "v": found.ravel()})
+
+    turned = px.select("view", "r", "c", "v").groupBy("view").applyInArrow(lines, "angle double, c int, v double")
+    means = turned.groupBy("angle", "c").agg(F.avg("v").alias("m"))
+    return turned.join(means, ["angle", "c"]).groupBy("angle").agg(F.sum(F.abs(F.col("v") - F.col("m"))).alias("score"))
+
+
 def step_30_31_common_line(scores: DataFrame) -> DataFrame:
     """view, angle: the least score (view, angle, score)."""
     return select.best(scores, ["view"], "score", "angle")

@@ -105,6 +105,50 @@ def read_emd(spark: SparkSession, path: str, data: str = "/data/raw/data") -> Da
     return rows.select("frame", "view", "r", "c", "v")
 
 
+def read_emd_angles(spark: SparkSession, path: str, table: str = "/data/raw/imageSetParameters", column: int = 4) -> DataFrame:
+    """view, theta: a column of the table of image parameters; its axes are stored in reverse."""
+    rows = read_arrays(spark, path, ["part", "view"], table)
+    return rows.where(F.col("part") == column).select("view", F.col("v").alias("theta"))
+
+
+def read_projections(spark: SparkSession, images: str, angles: str) -> tuple[DataFrame, DataFrame]:
+    """view, r, c, v of a stack of images (rows, columns, views) and view, phi, theta, psi of its angles.
+
+    The angles are a list of tilts or three columns; their number must be that of the views.
+    """
+    px = read_arrays(spark, images, ["r", "c", "view"]).select("view", "r", "c", "v")
+    listed = spark.read.format("binaryFile").load(angles).select("path", "content").collect()  # one file, three numbers a view
+    table = decode_array(listed[0]["path"], bytes(listed[0]["content"]))
+    table = table.reshape(len(table), -1) if table.ndim < 2 or table.shape[1] in (1, 3) else table.reshape(-1, 1)
+    views = px.agg(F.max("view")).first()[0]
+    if views is None or len(table) != views + 1 or table.shape[1] not in (1, 3):
+        raise ValueError(f"{len(table)} x {table.shape[1]} angles for {0 if views is None else views + 1} views")
+    full = table if table.shape[1] == 3 else np.column_stack([0 * table[:, 0], table[:, 0], 0 * table[:, 0]])
+    return px, spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(full)], "view int, phi double, theta double, psi double")
+
+
+def convert_arrays(spark: SparkSession, path: str, axes: list[str], out: str, variable: str | None = None) -> None:
+    """Arrays of any readable format at ``path`` as a table of their cells at ``out``."""
+    read_arrays(spark, path, axes, variable).write.mode("errorifexists").parquet(out)
+
+
+def write_reconstruction(path: str, volume: DataFrame, summary: DataFrame, timing: DataFrame) -> None:
+    """A volume, its summary (one row) and the seconds of each round; the last two as csv with a header."""
+    volume.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/volume")
+    for name, df in (("summary", summary), ("iter_timing", timing)):
+        df.coalesce(1).write.mode("errorifexists").csv(f"{path}/{name}", header=True)
+
+
+def write_refinement(path: str, model: DataFrame, parameters: DataFrame, errors: DataFrame) -> None:
+    """A refined model with the history of its heights and widths and of its error."""
+    write_result({"model_refined": model, "hb_history": parameters, "err_history": errors}, path)
+
+
+def with_coefficients(atoms: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """``atoms`` (z) with the scattering coefficients of their element; the table has a row for each element."""
+    return atoms.join(F.broadcast(coefficients), "z")
+
+
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """file, atom_id, element, x, y, z; the first two lines of a file are its count and comment."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("n >= 2 AND trim(line) <> ''")

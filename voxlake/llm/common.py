@@ -90,14 +90,15 @@ def only_mine(key, make):
     """The worker's object ``key``, made at first use.  What another operator left in the worker goes before that."""
     if key not in _OWN:
         _OWN.clear()
-        give_back()
+        gc.collect()
+        trim()
         _OWN[key] = make()
     return _OWN[key]
 
 
 def no_cycles(kernel):
     """``kernel`` (a generator function that makes no cyclic garbage) without Python's search for such garbage, which
-    would walk all caches again and again."""
+    would walk all caches again and again; at its end the worker's free memory goes back."""
 
     @functools.wraps(kernel)
     def run(*args):
@@ -106,13 +107,13 @@ def no_cycles(kernel):
             yield from kernel(*args)
         finally:
             gc.enable()
+            trim()
 
     return run
 
 
-def give_back() -> None:
-    """Returns a worker's free memory to the system."""
-    gc.collect()
+def trim() -> None:
+    """Returns a worker's free memory to the system: workers outlive their task, and the next may be another's."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, give_back, written
+from .common import dropped, trim, written
 from .components import components
 
 #: Rows that the top of the tree is built on, its centres at most, points of a block, and children of a tile.
@@ -375,7 +375,7 @@ def linked(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
         while (label[label] != label).any():
             label = label[label]
         out = pa.table({"id": pa.array(ids[hit]), "n": pa.array(joined.counts[hit]), "root": pa.array(ids[label[hit]])})
-        give_back()
+        trim()
         return out
 
     sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, trim
 
 #: Text of a chunk, about, and chunks up to which each gets a partition of its own; more are dealt by hash.
 CHUNK_BYTES, EVEN = 32 << 20, 4096
@@ -60,7 +60,7 @@ class Chunks:
         keys = self.keys
 
         def run(key, docs):
-            return message_table(make(in_order(docs)), keys, key[0].as_py())
+            return trimmed(message_table(make(in_order(docs)), keys, key[0].as_py()))
 
         return self.docs.groupBy(CHUNK).applyInArrow(run, MESSAGE)
 
@@ -68,7 +68,7 @@ class Chunks:
         keys = self.keys
 
         def run(key, docs, got):
-            return message_table(make(in_order(docs), answer_rows(got)) if docs.num_rows else [], keys, key[0].as_py())
+            return trimmed(message_table(make(in_order(docs), answer_rows(got)) if docs.num_rows else [], keys, key[0].as_py()))
 
         return self.docs.groupBy(CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(run, MESSAGE)
 
@@ -79,18 +79,23 @@ class Chunks:
             got = got.sort_by("chunk")
             chunks = got.column("chunk").to_pylist()
             out = [[key[0].as_py(), chunks[i], *(None if x is None else np.ascontiguousarray(x).tobytes() for x in rest), *[None] * (4 - len(rest))] for i, *rest in judge(answer_rows(got))]
-            return rows_table(out)
+            return trimmed(rows_table(out))
 
         answers = messages.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
         return answers.repartition(self.n, "chunk")
 
     def receive(self, answers: DataFrame, make: Callable[[pa.Table, list[dict]], pa.Table], kind: str) -> DataFrame:
         def run(key, docs, got):
-            return make(in_order(docs), answer_rows(got))
+            return trimmed(make(in_order(docs), answer_rows(got)))
 
         return self.docs.groupBy(CHUNK).cogroup(answers.groupBy("chunk")).applyInArrow(run, kind)
 
 
+def trimmed(out: pa.Table) -> pa.Table:
+    trim()
+    return out
+
+
 def in_order(docs: pa.Table) -> pa.Table:
     """By doc_id, then text; a null doc_id last."""
     docs = docs.combine_chunks()

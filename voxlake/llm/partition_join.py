@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, doc_slices, dropped, hashed_words, mix, partitions, split_by, windows, written
+from .common import LOWERED, doc_slices, dropped, hashed_words, mix, no_cycles, partitions, split_by, windows, written
 from .components import components
 from .packed import Chunks, array, ids_of
 
@@ -75,6 +75,7 @@ def set_digests(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, key (a hash of the text), n, 128 bits (f1, f2) and sketch of each row's set."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("k", pa.binary())])
 
+    @no_cycles
     def run(batches):
         for batch in batches:
             for part in doc_slices(batch):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, written
+from .common import doc_slices, no_cycles, written
 
 #: Labelled rows that the models are fitted on, words in the lexicon, and strength of shrinkage at most.
 SAMPLE, LEXICON, STRONGEST = 4000, 200, 1e6
@@ -127,6 +127,7 @@ def evidence(docs: DataFrame, model: Model, site: Column, path: Column, key: str
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("site", pa.string()), ("path", pa.string()), ("good", pa.float64()), ("toxic", pa.float64()), *([(key, pa.int64())] if key else [])])
 
+    @no_cycles
     def run(batches):
         model = shipped.value
         for batch in batches:

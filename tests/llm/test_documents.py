@@ -158,6 +158,22 @@ def test_jaccard_chain_and_keep(spark):
     assert kept == {0, 50, 51}
 
 
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 60):
+        pairs = rng.integers(0, 40, (size, 2))
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        margin = rng.integers(-5, 0, len(pairs)).astype(float)
+        rows = partition_join.forest(pairs, pairs[:, 0], pairs[:, 1], margin)
+        whole, part = brute.Forest(range(40)), brute.Forest(range(40))
+        for a, b in pairs.tolist():
+            whole.join(a, b)
+        for a, b in pairs[rows].tolist():
+            assert part.find(a) != part.find(b)
+            part.join(a, b)
+        assert [whole.find(i) for i in range(40)] == [part.find(i) for i in range(40)]
+
+
 def test_schemes_cover_every_pair():
     for low, high in partition_join.bands(3000, 85, 100):
         for sets in (10, 10**5, 10**9):

@@ -11,8 +11,9 @@ partners differ aren't paired by those; only the few others (probers) are, with
 
 Sets with one signature form a group.  Copies are one set.  Groups aren't expanded: each member is verified against
 the group's first, and only members whose components still differ are compared with one another, inside tasks, in
-blocks of a group, by sketches: two sets' sketches differ in no more bits than the sets do in tokens.  What passes is
-verified by the exact intersection.
+blocks of a group, by sketches: two sets' sketches differ in no more bits than the sets do in tokens.  Of the pairs that
+pass a task first returns a spanning forest of the components, likeliest links first; when these are verified by the
+exact intersection, most components are one, and all pairs that still pass between different ones are verified too.
 
 Defined results: null and empty texts have an empty set and no links; with fewer words than a shingle the whole
 sequence is the only shingle; repeated rows are copies; rows with one doc_id are one vertex; a row without a doc_id
@@ -202,8 +203,11 @@ class Sketches:
 
 
 def near(one: Sketches, i: np.ndarray, two: Sketches, j: np.ndarray, total: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs of rows i and j let their sets link; ``total`` is the number of tokens of both."""
-    out = np.zeros(len(i), bool)
+    """By how many tokens pairs of rows i and j may differ beyond what their sketches show; below 0 they can't link.
+
+    ``total`` is the number of tokens of both.
+    """
+    out = np.zeros(len(i), np.int64)
     most = total - 2 * -(-num * total // (num + den))
     shapes, which = np.unique(one.words[i] << 32 | two.words[j], return_inverse=True)
     for shape_number, shape in enumerate(shapes.tolist()):
@@ -213,7 +217,7 @@ def near(one: Sketches, i: np.ndarray, two: Sketches, j: np.ndarray, total: np.n
         for k in range(0, len(rows), step):
             some = rows[k : k + step]
             apart = np.bitwise_count(folded(a[one.place[i[some]]], words) ^ folded(b[two.place[j[some]]], words)).sum(axis=1, dtype=np.int64)
-            out[some] = apart <= most[some]
+            out[some] = most[some] - apart
     return out
 
 
@@ -232,7 +236,7 @@ def sieve(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             total = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
             all_rows = np.arange(batch.num_rows)
-            fits = near(Sketches(batch.column("sx").to_pylist()), all_rows, Sketches(batch.column("sy").to_pylist()), all_rows, total, num, den)
+            fits = near(Sketches(batch.column("sx").to_pylist()), all_rows, Sketches(batch.column("sy").to_pylist()), all_rows, total, num, den) >= 0
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], schema=schema).filter(pa.array(fits))
 
     fits = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
@@ -274,11 +278,39 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     return out
 
 
-def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """x, y: pairs of a group that sizes and sketches let link and whose components in ``linked`` differ.
-
-    A group is cut into blocks of about ``BLOCK`` members, whose pairs are units; a task gets some units' sketches and
-    returns only the pairs that pass.
+def forest(pairs: np.ndarray, one: np.ndarray, two: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Rows of ``pairs`` that join all components (``one`` and ``two`` of each pair) which the pairs join, those with the
+    least margin first: each round every component takes its best pair to another."""
+    names, ends = np.unique(np.concatenate([one, two]), return_inverse=True)
+    label, chosen = np.arange(len(names)), []
+    rows = np.lexsort((pairs[:, 1], pairs[:, 0], margin))
+    a, b = ends[: len(one)], ends[len(one) :]
+    while len(rows):
+        la, lb = label[a[rows]], label[b[rows]]
+        rows, la, lb = rows[la != lb], la[la != lb], lb[la != lb]
+        if not len(rows):
+            break
+        both = np.column_stack([la, lb]).ravel()
+        best = np.unique(np.unique(both, return_index=True)[1] // 2)
+        for k in best.tolist():  # at most one for each component
+            x, y = int(la[k]), int(lb[k])
+            while label[x] != x:
+                x = int(label[x])
+            while label[y] != y:
+                y = int(label[y])
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                chosen.append(rows[k])
+        while (label[label] != label).any():
+            label = label[label]
+    return np.array(chosen, np.int64)
+
+
+def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """x, y: pairs of a group that sizes and sketches let link and whose components in ``linked`` differ; ``every`` such
+    pair, or those of a spanning forest in each task.
+
+    A group is cut into blocks of about ``BLOCK`` members, whose pairs are units; a task gets some units' sketches.
     """
     spark = groups.sparkSession
     labels = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -294,9 +326,11 @@ def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: in
     def run(key, got):
         got = got.take(pc.sort_indices(got, sort_keys=[("unit", "ascending"), ("side", "ascending"), ("id", "ascending")]))
         unit, side, ids, comp, n = (got.column(c).to_numpy() for c in ("unit", "side", "id", "c", "n"))
-        sketches, found, waiting, have = Sketches(got.column("k").to_pylist()), [np.empty((0, 2), np.int64)], [], 0
+        sketches, waiting, have = Sketches(got.column("k").to_pylist()), [], 0
+        found, ends, margins = np.empty((0, 2), np.int64), np.empty((0, 2), np.int64), np.empty(0)
 
         def settle():
+            nonlocal found, ends, margins
             i, j = (np.concatenate(c) for c in zip(*waiting))
             fits = (comp[i] != comp[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
             i, j = i[fits], j[fits]
@@ -305,8 +339,15 @@ def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: in
             fresh = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])) if len(order) else np.empty(0, bool)
             rows = order[fresh]
             i, j = i[rows], j[rows]
-            passed = rows[near(sketches, i, sketches, j, n[i] + n[j], num, den)]
-            found.append(np.column_stack([low[passed], high[passed]]))
+            spare = near(sketches, i, sketches, j, n[i] + n[j], num, den)
+            fit = spare >= 0
+            rows, i, j = rows[fit], i[fit], j[fit]
+            found = np.concatenate([found, np.column_stack([low[rows], high[rows]])])
+            ends = np.concatenate([ends, np.column_stack([comp[i], comp[j]])])
+            margins = np.concatenate([margins, -spare[fit] / (n[i] + n[j])])
+            if not every and len(found):
+                stay = forest(found, ends[:, 0], ends[:, 1], margins)
+                found, ends, margins = found[stay], ends[stay], margins[stay]
 
         heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         for a, b in zip(heads.tolist(), np.append(heads[1:], len(unit)).tolist()):
@@ -323,7 +364,7 @@ def within_groups(groups: DataFrame, linked: DataFrame, reps: DataFrame, num: in
                 waiting, have = [], 0
         if waiting:
             settle()
-        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = np.unique(found, axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     out = written(rows.groupBy("task").applyInArrow(run, "x long, y long").distinct(), spark)
@@ -381,11 +422,13 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
     likely = written(sieve(tested, reps, num, den), spark)
     dropped(found)
     linked = verify(likely, docs, k, num, den)
-    rest = within_groups(groups, linked, reps, num, den)
+    for every in (False, True):
+        rest = within_groups(groups, linked, reps, num, den, every)
+        if not rest.isEmpty():
+            linked = linked.unionByName(verify(rest, docs, k, num, den))
+        dropped(rest)
     dropped(likely, groups, reps)
-    more = verify(rest, docs, k, num, den)
-    dropped(rest)
-    return linked.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return linked.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -74,6 +74,13 @@ ORACLE_SQL = {
         g AS (SELECT doc_id, i, word, coalesce(max(CASE WHEN least < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM r LEFT JOIN m USING (run)),
         s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM g GROUP BY doc_id)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN s USING (doc_id)""",
+    "op7_cover_tree": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        g AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, reach.c FROM reach JOIN p ON p.a = reach.id WHERE reach.c < p.b),
+        l AS (SELECT id, min(c) AS component FROM reach GROUP BY id), n AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+        SELECT vec_id, coalesce(links, 0) AS n_links, component AS component_id, vec_id = component AS kept FROM v JOIN l ON l.id = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op9_partition_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda p: array_to_string(ws[p:p+3], ' ')) END) AS sh FROM w),

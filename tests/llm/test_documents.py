@@ -281,6 +281,23 @@ def test_lower_bound_is_sound():
     assert bound_packing.lower_bound(np.bincount([11] * 5, minlength=21)) == 5
 
 
+def test_repeated_rows_and_rows_without_id(spark):
+    rows = [(7, "Same words here"), (7, "Same words here"), (None, "no name"), (None, None), (3, ""), (3, None)]
+    docs = frame(spark, rows)
+    got = bpe_fst.encode_decode(docs, RANKS, public.PATTERN).collect()
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe_fst.read_ranks(RANKS), special_tokens={})
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((d or -1, len(enc.encode_ordinary(t or ""))) for d, t in rows)
+    packed = bound_packing.pack(docs, WORDS, 1, capacity=16)
+    out = packed.collect()
+    assert len(out) == 6 and sum(r.length for r in out) == sum(len(ids) for _, ids in reference_ids(rows, 1))
+    assert packed.certificate == (len({r.sequence_id for r in out}), 1)
+    files = sorted(token_files.round_trip(docs, WORDS, 2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in files] == [None, None, 3, 3, 7, 7] and sum(r.n_tokens for r in files) == files[-1].start + files[-1].n_tokens
+    assert sorted(r.ids_crc32 for r in files) == sorted(crc(ids) for _, ids in reference_ids(rows, 2))
+    classes = partition_join.classes(frame(spark, [(1, "a b c d e"), (1, "a b c d e"), (1, "x y z v w"), (None, "A b c d e"), (2, "x y z v w"), (None, "q r s t u")]), 4, 85, 100)
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in classes.collect()) == [(-1, -1), (-1, 1), (1, 1), (1, 1), (1, 1), (2, 1)]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert not bpe_fst.encode_decode(none, RANKS, public.PATTERN).collect()

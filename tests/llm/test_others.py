@@ -71,8 +71,30 @@ def test_cover_tree(spark):
 
 
 def test_cover_tree_float_tables(spark):
-    got = queries.op7_cover_tree(spark, "/root/testdata/sf0.001").collect()
-    assert len(got) == 500 and all(r.n_links >= 0 for r in got)
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.001/embeddings.parquet")
+    x = cover_tree.unit(np.array(t["embedding"].to_pylist(), float))
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in queries.op7_cover_tree(spark, "/root/testdata/sf0.001").collect()}
+    assert got == dict(zip(t["vec_id"].to_pylist(), links.tolist()))
+    rows = [(None, [1.0, 2.0]), (None, [1.0, 2.0]), (4, [2.0, 4.0]), (4, [1.0, -9.0])]
+    out = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(out) == 4 and all(r.kept is None for r in out if r.vec_id is None)
+
+
+def test_cover_tree_prunes(spark):
+    """Vectors of few dimensions in tight groups: nearly all pairs go by radii, whole nodes or tiles."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 4))
+    x = cover_tree.unit(np.repeat(centres, 40, axis=0) + rng.normal(0, 0.01, (2400, 4)))
+    tree, order = cover_tree.Tree.plant(x)
+    x = x[order]
+    assert (tree.radius >= [cover_tree.distances(x[a:b], x[a : a + 1]).max() - 1e-7 for a, b in zip(tree.low, tree.high)]).all()
+    joined = cover_tree.Joined(np.ones(2400, np.int64), 0.9)
+    joined.descend(x, tree, tree, 0)
+    assert joined.counts.tolist() == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert joined.measured + joined.compared < 0.25 * 2400 * 2399 / 2
 
 
 def test_quality_held_out(spark):

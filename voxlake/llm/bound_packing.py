@@ -129,7 +129,10 @@ def _round(rows: DataFrame, parts: int, number: int, capacity: int) -> DataFrame
 
 
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, per_task: int = PER_TASK) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of ``docs`` (doc_id, text)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of ``docs`` (doc_id, text).
+
+    The result's attribute ``certificate`` holds the number of sequences and the lower bound of any packing.
+    """
     spark = docs.sparkSession
     rows = written(pieces(docs, path, end_id, capacity), spark)
     histogram = np.zeros(capacity + 1, np.int64)
@@ -159,4 +162,6 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, per_task
         for part in out:
             packed = packed.unionByName(part)
         out = []
-    return packed.select(*COLUMNS, "sequence_id", "offset")
+    out = packed.select(*COLUMNS, "sequence_id", "offset")
+    out.certificate = (used, need)
+    return out

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import doc_slices, no_cycles, partitions, shared_dir
 from .word_tokens import SLICE, engine, ship
 
-LENGTH, ROWS = 2048, 256
+#: Ids of a sequence, sequences of a record batch, and bytes of text of a shard, about.
+LENGTH, ROWS, SHARD_BYTES = 2048, 256, 256 << 20
 
 
 def open_store(uri: str):
@@ -107,9 +108,12 @@ class ShardReader:
 def write_tokens(docs: DataFrame, path: str, end_id: int, uri: str, shards: int | None = None) -> list[tuple[int, int, int]]:
     """Writes shards of ``docs`` (doc_id, text) under ``uri``; returns (shard, documents, ids) of each in order.
 
-    Rows are dealt by ranges of doc_id, so a hot range is cut like any other; only equal doc_ids stay together.
+    Rows are dealt by ranges of doc_id, so a hot range is cut like any other; only equal doc_ids stay together.  The
+    number of shards follows the texts' bytes.
     """
     spark = docs.sparkSession
+    if shards is None:
+        shards = max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     shipped = ship(spark, path)
     schema = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -147,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, uri: str, shards: int
 
     store, folder = open_store(uri)
     store.create_dir(folder, recursive=True)
-    dealt = docs.select("doc_id", "text").repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     found = dealt.mapInArrow(run, "shard long, n_docs long, n_ids long").collect()  # a row for each shard
     return sorted((r.shard, r.n_docs, r.n_ids) for r in found)
 

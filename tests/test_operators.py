@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, cluster, images, morphology, neighbours, particles, project, select, shape, voronoi
+from voxlake.operators import aggregate, blocks, cluster, images, morphology, neighbours, particles, project, select, shape, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -481,3 +481,58 @@ def test_late_steps(spark):
     assert all(m.m == pytest.approx(24, abs=0.2) for m in aligned)
     scores = steps.step_30_estimate_commonline(px, 48, 48, -2, 2, 1.0).collect()
     assert sorted(r.angle for r in scores) == [-2, -1, 0, 1, 2] and all(abs(r.score) < 1e-6 for r in scores)  # equal views
+
+
+def blobs(n=16):
+    at = np.array([(4.3, 4.1, 5.2), (11.2, 4.4, 10.8), (5.1, 11.3, 9.9), (10.7, 10.6, 4.6)])
+    grid = np.stack(np.indices((n, n, n)), axis=-1)
+    height = np.array([2.0, 2.0, 4.0, 4.0])
+    return at, sum(h * np.exp(-((grid - p) ** 2).sum(-1) / 2.5) for h, p in zip(height, at))
+
+
+def volume_rows(spark, volume):
+    return spark.createDataFrame([(int(i), int(j), int(k), float(v)) for (i, j, k), v in np.ndenumerate(volume)], "i int, j int, k int, v double")
+
+
+def test_volumes_are_made_finer_in_lines(spark):
+    volume = np.random.default_rng(3).normal(size=(5, 6, 7))
+    got = np.zeros((15, 18, 21))
+    for r in blocks.upsample_cells(volume_rows(spark, volume), {"i": 5, "j": 6, "k": 7}).collect():
+        got[r.i, r.j, r.k] = r.v
+    assert np.allclose(got, images.upsample(volume))
+
+
+def test_atoms_are_traced_and_classified(spark):
+    at, volume = blobs()
+    cells = volume_rows(spark, volume).cache()
+    found = pipelines.trace(cells, 16, 1.0, 2.0).collect()
+    places = np.array([(r.x, r.y, r.z) for r in found])
+    gaps = np.sqrt(((places[:, None] - at[None]) ** 2).sum(2))
+    assert len(found) == 4 and gaps.min(0).max() < 0.2
+    atoms = atoms_frame(spark, [*map(tuple, at), (8.0, 8.0, 8.0), (2.0, 13.0, 13.0)])
+    got = {r.atom_id: r.species for r in pipelines.classify(atoms, cells, 16, 2, background=0.0).collect()}
+    assert {k: got[k] for k in range(4)} == {0: 1, 1: 1, 2: 2, 3: 2}
+    every = {r.atom_id: r.species for r in pipelines.classify(atoms, cells, 16, 3, radius=9.0).collect()}
+    assert set(every) == set(range(6)) and set(every.values()) <= {1, 2, 3}
+
+
+def test_heights_widths_and_positions_are_refined(spark):
+    rng = np.random.default_rng(6)
+    places, kinds = rng.uniform(-6, 6, (12, 3)), [0, 1] * 6
+    atoms = atoms_frame(spark, places, kinds).cache()
+    angles = spark.createDataFrame([(v, 10.0 * v, 25.0 * v, 5.0 * v) for v in range(4)], "view int, phi double, theta double, psi double")
+    at = project.view_positions(atoms.select("atom_id", "species", "x", "y", "z"), angles)
+    measured = project.combined(project.splat(at, {0: 3.0, 1: 6.0}, {0: 0.5, 1: 0.8}, 32)).cache()
+    planes = project.parameter_planes(at, {0: 3.0, 1: 6.0}, {0: 0.5, 1: 0.8}, 32)
+    more = project.combined(project.splat(at, {0: 3.0, 1: 6.0}, {0: 0.5, 1: 0.8 + 1e-5}, 32))
+    j = planes.join(measured.withColumnRenamed("v", "a"), ["view", "r", "c"]).join(more.withColumnRenamed("v", "b"), ["view", "r", "c"])
+    worst = j.agg(F.max(F.abs((F.col("b") - F.col("a")) / 1e-5 - F.col("b1"))), F.max(F.abs(3 * F.col("h0") + 6 * F.col("h1") - F.col("a")))).first()
+    assert worst[0] < 1e-3 and worst[1] < 1e-9
+    stats, last = project.parameter_stats(at, measured, 32, [0, 1])
+    p, value = project.bounded_least_squares(stats, [1, 1.2, 0.6, 0.6], [1, 1, 0.1, 0.1], [1, 3, 2, 2], rounds=12)
+    assert p == pytest.approx([1, 2, 0.5, 0.8], abs=1e-3) and last["scale"] == pytest.approx(3, abs=1e-2)
+    _, _, errors = project.descend_heights_widths(at, measured, {0: 1.0, 1: 1.7}, {0: 0.5, 1: 0.8}, 32, rounds=4)
+    assert errors[-1] < errors[0]
+    start = atoms_frame(spark, places + rng.normal(0, 0.1, places.shape), kinds)
+    out = pipelines.refine_all(start, measured, angles, 32, {0: 1.0, 1: 1.5}, {0: 0.6, 1: 0.6}, {"height": (1, 3), "width": (0.1, 2)}, rounds=1, inner=3, step=0.05)
+    assert out["history"][-1][1] < out["history"][0][1] and out["height"][0] == 1 and out["model"].count() == 12

@@ -68,8 +68,9 @@ def view_positions(atoms: DataFrame, angles: DataFrame) -> DataFrame:
     return at.select("atom_id", "species", "view", *(c.alias(a) for c, a in zip(p, "xyz")))
 
 
-def splat(at: DataFrame, height: dict[int, float], width: dict[int, float], size: int, patch: int = 4, scale: float = 1.0) -> DataFrame:
-    """view, r, c, species, v: Gaussians of the atoms summed on pixels, the beam's direction integrated out.
+def splat(at: DataFrame, height: dict[int, float], width: dict[int, float], size: int, patch: int = 4, scale: float = 1.0, power: bool = False) -> DataFrame:
+    """view, r, c, species, v: Gaussians of the atoms summed on pixels, the beam's direction integrated out; with
+    ``power`` each times its squared distance.
 
     Each atom is sent to its (2 patch + 1)^2 pixels and summed there before the shuffle; pixels outside are left out.
     """
@@ -81,11 +82,75 @@ def splat(at: DataFrame, height: dict[int, float], width: dict[int, float], size
     span = F.sequence(F.lit(-patch), F.lit(patch))
     at = at.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
     dx, dy = F.col("_rx") + F.col("_dx") - F.col("_px"), F.col("_ry") + F.col("_dy") - F.col("_py")
-    v = F.col("_h") * F.sqrt(F.lit(math.pi) / F.col("_b")) * F.exp(-F.col("_b") * (dx * dx + dy * dy))
+    v = F.col("_h") * F.sqrt(F.lit(math.pi) / F.col("_b")) * F.exp(-F.col("_b") * (dx * dx + dy * dy)) * (dx * dx + dy * dy if power else F.lit(1.0))
     at = at.select("view", (F.col("_rx") + F.col("_dx") + mid).cast("int").alias("r"), (F.col("_ry") + F.col("_dy") + mid).cast("int").alias("c"), "species", v.alias("v"))
     return at.where(F.col("r").between(0, size - 1) & F.col("c").between(0, size - 1)).groupBy("view", "r", "c", "species").agg(F.sum("v").alias("v"))
 
 
+def parameter_planes(at: DataFrame, height: dict[int, float], width: dict[int, float], size: int, patch: int = 4) -> DataFrame:
+    """view, r, c and for each species s: h<s>, b<s>, the derivatives of the projection by its height and width."""
+    species = sorted(height)
+    unit = {s: 1.0 for s in species}
+    planes = splat(at, unit, width, size, patch)
+    moments = splat(at, unit, width, size, patch, power=True)
+    both = planes.join(moments.withColumnRenamed("v", "_m"), ["view", "r", "c", "species"])
+    # d/db of sqrt(pi / b) exp(-b d^2) is -(d^2 + 1 / (2 b)) times it
+    of = lambda s, c: F.sum(F.when(F.col("species") == s, c).otherwise(0.0))
+    return both.groupBy("view", "r", "c").agg(*(of(s, F.col("v")).alias(f"h{s}") for s in species), *(of(s, -F.lit(height[s]) * (F.col("_m") + F.col("v") / (2 * width[s]))).alias(f"b{s}") for s in species))
+
+
+def parameter_stats(at: DataFrame, measured: DataFrame, size: int, species: list[int], patch: int = 4):
+    """A function of (heights, widths) for ``bounded_least_squares``: sums over all pixels of the residual with the best
+    overall scale, one row to the driver; and a dictionary that holds the last scale and error."""
+    last: dict[str, float] = {}
+    y = measured.select("view", "r", "c", F.col("v").cast("double").alias("_y"))
+
+    def stats(p):
+        n = len(species)
+        height, width = dict(zip(species, map(float, p[:n]))), dict(zip(species, map(float, p[n:])))
+        planes = parameter_planes(at, height, width, size, patch).join(y, ["view", "r", "c"], "full").na.fill(0.0)
+        model = sum((F.col(f"h{s}") * height[s] for s in species), F.lit(0.0))
+        rows = planes.withColumn("_p", model)
+        scale = rows.agg((F.sum(F.col("_p") * F.col("_y")) / F.sum(F.col("_p") * F.col("_p"))).alias("k")).first()["k"] or 1.0
+        columns = rows.select((F.col("_p") * scale - F.col("_y")).alias("res"), *((F.col(f"{a}{s}") * scale).alias(f"j{k}") for k, (a, s) in enumerate((a, s) for a in "hb" for s in species)), "_p", "_y")
+        along = [F.sum(F.col(f"j{k}") * F.col("_p")).alias(f"m{k}") for k in range(2 * n)]
+        more = columns.agg((F.sum(F.abs("res")) / F.sum(F.abs("_y"))).alias("error"), F.sum(F.col("_p") * F.col("_p")).alias("mm"), *along)
+        got = residual_sums(columns, 2 * n).crossJoin(more).first()  # one row each
+        last.update(scale=float(scale), error=float(got["error"] or 0.0))
+        jj = np.zeros((2 * n, 2 * n))
+        for a in range(2 * n):
+            for b in range(a, 2 * n):
+                jj[a, b] = jj[b, a] = got[f"jj{a}_{b}"] or 0.0
+        if got["mm"]:  # what the best scale takes up of a change isn't seen
+            along = np.array([got[f"m{k}"] or 0.0 for k in range(2 * n)])
+            jj -= np.outer(along, along) / got["mm"]
+        return got["rr"] or 0.0, np.array([got[f"jr{k}"] or 0.0 for k in range(2 * n)]), jj
+
+    return stats, last
+
+
+def descend_heights_widths(at: DataFrame, measured: DataFrame, height: dict[int, float], width: dict[int, float], size: int, rounds: int = 10, step: float = 1.0, patch: int = 4) -> tuple[dict, dict, list[float]]:
+    """Heights and widths after ``rounds`` gradient steps, and each round's error.
+
+    A species' step is over its atoms, the views and the pixels; heights are relative to the first species', and
+    neither falls below 0.
+    """
+    species = sorted(height)
+    counts = {r["species"]: r["n"] for r in at.groupBy("species").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each species
+    stats, last = parameter_stats(at, measured, size, species, patch)
+    h, b, errors = np.array([height[s] for s in species]), np.array([width[s] for s in species]), []
+    h = h / h[0]
+    for _ in range(rounds):
+        _, g, jj = stats(np.concatenate([h, b]))
+        errors.append(last["error"])
+        power = np.where(np.diag(jj) > 1e-9 * np.diag(jj).max(), np.diag(jj), np.inf)  # a change that the scale takes up is no step
+        active = np.array([counts.get(s, 0) > 0 for s in species])
+        h = np.where(active, np.maximum(h - step * 0.5 * g[: len(h)] / power[: len(h)], 0.0), h)
+        b = np.where(active, np.maximum(b - step * 0.5 * g[len(h) :] / power[len(h) :], 1e-6), b)
+        h = h / h[0] if h[0] > 0 else h
+    return dict(zip(species, h.tolist())), dict(zip(species, b.tolist())), errors
+
+
 def combined(planes: DataFrame) -> DataFrame:
     return planes.groupBy("view", "r", "c").agg(F.sum("v").alias("v"))
 

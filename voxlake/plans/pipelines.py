@@ -176,33 +176,58 @@ def small_reconstruction(spark: SparkSession, sf_dir: str, rounds: int = 200) ->
     return p.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(run, "i int, j int, k int, v double")
 
 
-def trace(cells: DataFrame, size: int, threshold: float, least_distance: float, support: DataFrame | None = None, most: int = 100_000) -> DataFrame:
-    """atom_id, x, y, z, v: local maxima refined to a fraction of a cell, thinned to a distance, inside the support."""
+def trace(cells: DataFrame, size: int, threshold: float, least_distance: float, support: DataFrame | None = None, most: int = 100_000, factor: int = 3) -> DataFrame:
+    """atom_id, x, y, z, v: local maxima of the volume made ``factor`` times finer, refined to a fraction of a cell,
+    thinned to a distance, inside the support; places and ``least_distance`` are in cells of the volume."""
     spark = cells.sparkSession
-    tops = select.local_maxima(cells, threshold, most)
-    ids = cut(tops.select((F.col("i").cast("long") * size * size + F.col("j") * size + F.col("k")).alias("peak_id"), "i", "j", "k", "v"), spark)
-    fine = blocks.refine_peaks(ids, cells).where("flag = 0").join(ids.select("peak_id", "v"), "peak_id").withColumnRenamed("peak_id", "atom_id").drop("flag")
-    kept = select.greedy_min_distance(cut(fine, spark), least_distance).where("flag = 0").drop("flag")
+    fine_size = size * factor
+    fine = cut(blocks.upsample_cells(cells, {a: size for a in "ijk"}, factor), spark) if factor > 1 else cells
+    tops = select.local_maxima(fine, threshold, most)
+    ids = cut(tops.select((F.col("i").cast("long") * fine_size * fine_size + F.col("j") * fine_size + F.col("k")).alias("peak_id"), "i", "j", "k", "v"), spark)
+    found = blocks.refine_peaks(ids, fine).where("flag = 0").join(ids.select("peak_id", "v"), "peak_id").withColumnRenamed("peak_id", "atom_id").drop("flag")
+    found = found.withColumns({a: (F.col(a) - (fine_size - 1) / 2) / factor + (size - 1) / 2 for a in "xyz"})
+    kept = select.greedy_min_distance(cut(found, spark), least_distance).where("flag = 0").drop("flag")
     if support is not None:
         kept = neighbours.inside_mask(kept.withColumns({a: F.col(a) + 1 for a in "xyz"}), support).withColumns({a: F.col(a) - 1 for a in "xyz"})
     return kept
 
 
-def classify(atoms: DataFrame, cells: DataFrame, size: int, kinds: int, half: int = 1, radius: float | None = None) -> DataFrame:
-    """``atoms`` with species 1..kinds: k-means of the boxes' intensity, then by the mean boxes of the neighbourhood."""
+def _by_intensity(box: DataFrame, kinds: int, seed: int | None) -> DataFrame:
+    """atom_id, label (from 1, in order of the mean intensity): k-means, then the boundaries that part classes best."""
+    sums = cut(aggregate.box_sum(box), box.sparkSession)
+    labelled, _ = cluster.kmeans(sums, "intensity", kinds) if seed is None else cluster.seeded_kmeans(sums, "intensity", kinds, seed)
+    ends = cluster.refine_boundaries(sums, "intensity", kinds)
+    if len(ends) == kinds - 1:
+        labelled = cluster.classify_by_boundaries(sums, "intensity", ends)
+    return cut(cluster.order_labels(labelled, "intensity").select("atom_id", "label"), box.sparkSession)
+
+
+def classify(atoms: DataFrame, cells: DataFrame, size: int, kinds: int, half: int = 1, radius: float | None = None, background: float | None = None, seed: int | None = None) -> DataFrame:
+    """``atoms`` with species 1..kinds: classes of the boxes' intensity, then by the mean boxes of the neighbourhood.
+
+    With ``background`` there is one class more at first, the faintest, of what may be no atoms; those whose box is
+    nearer to that constant than to the mean box of the next class go, and the rest are classified anew.
+    """
     spark = atoms.sparkSession
     box = cut(project.box_samples(atoms.select("atom_id", *"xyz"), cells, shape.ball_offsets(half), size), spark)
-    sums = aggregate.box_sum(box)
-    labelled, _ = cluster.kmeans(sums, "intensity", kinds)
-    species = cluster.order_labels(labelled, "intensity").select("atom_id", F.col("label").alias("species"))
+    labels = _by_intensity(box, kinds + (background is not None), seed)
+    if background is not None:
+        faint = cluster.mean_box(box, labels.where("label = 2")).select("off_id", "v")
+        real = cut(cluster.atom_or_not(box, faint, background).where("is_atom").select("atom_id"), spark)
+        box = cut(box.join(real, "atom_id", "left_semi"), spark)
+        labels = _by_intensity(box, kinds, seed)
+    species = labels.select("atom_id", F.col("label").alias("species"))
     if radius:
-        local = cluster.local_reclassify(atoms.join(species.withColumn("species", F.col("species") - 1), "atom_id"), box, radius, kinds)
+        local = cluster.local_reclassify(atoms.drop("species").join(species.withColumn("species", F.col("species") - 1), "atom_id"), box, radius, kinds)
         species = local.select("atom_id", (F.col("label") + 1).alias("species"))
     return atoms.drop("species").join(species, "atom_id")
 
 
 def refine(atoms: DataFrame, measured: DataFrame, angles: DataFrame, size: int, height: dict, width: dict, rounds: int = 5, step: float = 0.1, most: float = 1.0) -> tuple[DataFrame, list[float]]:
-    """Positions moved down the gradient of the squared difference of projections, at most ``most`` from where they began."""
+    """Positions moved down the gradient of the squared difference of projections, at most ``most`` from where they began.
+
+    A view's gradient is turned back by its three angles.
+    """
     spark = atoms.sparkSession
     now, errors = cut(atoms.withColumns({f"{a}0": F.col(a) for a in "xyz"}), spark), []
     for _ in range(rounds):
@@ -211,9 +236,11 @@ def refine(atoms: DataFrame, measured: DataFrame, angles: DataFrame, size: int,
         fit = project.scale_to(model, measured).first()
         errors.append(float(fit["error"]))
         res = model.join(measured.withColumnRenamed("v", "_y"), ["view", "r", "c"], "full").na.fill(0.0, ["v", "_y"]).select("view", "r", "c", (F.col("v") - F.col("_y") / (fit["scale"] or 1.0)).alias("v"))
-        g = project.position_gradient(at, res, height, width, size).join(angles.select("view", "theta"), "view")
-        t = F.radians("theta")
-        moved = g.groupBy("atom_id").agg(F.avg(F.col("gx") * F.cos(t)).alias("mx"), F.avg("gy").alias("my"), F.avg(-F.col("gx") * F.sin(t)).alias("mz"))
+        g = project.position_gradient(at, res, height, width, size).join(F.broadcast(angles.select("view", "phi", "theta", "psi")), "view")  # a row for each view
+        back = [F.col("gx"), F.col("gy"), F.lit(0.0)]
+        for axis, angle in (((0, 0, 1), "phi"), ((0, 1, 0), "theta"), ((1, 0, 0), "psi")):
+            back = fn.rotated(fn.axis_rotation(axis, -F.col(angle)), *back)
+        moved = g.groupBy("atom_id").agg(*(F.avg(v).alias(f"m{a}") for v, a in zip(back, "xyz")))
         nxt = now.join(moved, "atom_id", "left").na.fill(0.0, ["mx", "my", "mz"])
         for a in "xyz":
             nxt = nxt.withColumn(a, F.greatest(F.col(f"{a}0") - most, F.least(F.col(f"{a}0") + most, F.col(a) - step * F.col(f"m{a}"))))
@@ -221,6 +248,30 @@ def refine(atoms: DataFrame, measured: DataFrame, angles: DataFrame, size: int,
     return now.drop("x0", "y0", "z0"), errors
 
 
+def refine_all(atoms: DataFrame, measured: DataFrame, angles: DataFrame, size: int, height: dict, width: dict, bounds: dict, rounds: int = 10, inner: int = 10, step: float = 0.1, most: float = 1.0) -> dict:
+    """``rounds`` times: heights and widths by bounded least squares, then down their gradient, then positions.
+
+    ``bounds`` has (least, greatest) of "height" and "width"; heights are relative to the first species'.  Returns the
+    model (DataFrame), height, width, and the errors of each step in order.
+    """
+    species, history = sorted(height), []
+    now = atoms
+    for _ in range(rounds):
+        at = cut(project.view_positions(now.select("atom_id", "species", *"xyz"), angles), atoms.sparkSession)
+        stats, last = project.parameter_stats(at, measured, size, species)
+        start = np.array([height[s] / height[species[0]] for s in species] + [width[s] for s in species])
+        n = len(species)
+        low, high = (np.array([1.0] + [bounds["height"][k]] * (n - 1) + [bounds["width"][k]] * n) for k in (0, 1))
+        found, _ = project.bounded_least_squares(stats, start, low, high, rounds=inner)
+        history.append(("least squares", last["error"]))
+        height, width = dict(zip(species, found[:n].tolist())), dict(zip(species, found[n:].tolist()))
+        height, width, errors = project.descend_heights_widths(at, measured, height, width, size, inner)
+        history += [("heights and widths", e) for e in errors]
+        now, errors = refine(now, measured, angles, size, height, width, inner, step, most)
+        history += [("positions", e) for e in errors]
+    return {"model": now, "height": height, "width": width, "history": history}
+
+
 def initial_support(cells: DataFrame, size: int, **options) -> DataFrame:
     return morphology.tight_support(cells, [size] * 3, **options)
 

@@ -728,3 +728,21 @@ def background_noise(spark: SparkSession, d: str) -> DataFrame:
     full = _full(spark, d)
     dark = full.join(full.groupBy("view").agg(F.avg("v").alias("a")), "view").where("v <= a").select("view", "r", "c")
     return rounded(aggregate.background_noise(adapters.frames(spark, d), dark), "alpha", "sigma2")
+ORACLE_SQL["inverse_spectrum"] = f"WITH {PIX}, {FULL}, {WAVE} SELECT view, r, c, round(SUM((re * cos(t) - im * sin(t)) / (1 + abs(kr + kc - 16))) / 256, 6) AS v FROM (SELECT f.view, f.r, f.c, kr, kc, re, im, 2 * pi() * ((kr - 8) * (f.r - 8) + (kc - 8) * (f.c - 8)) / 16 AS t FROM full2 f JOIN wave w ON w.view = f.view) GROUP BY 1, 2, 3"
+ORACLE_SQL["box_intensity"] = f"""WITH {VOX}, {ATM}, s AS (SELECT atom_id, atm.x + 5.5E0 + p.x AS x, y + 5.5E0 + q.x AS y, z + 5.5E0 + r.x AS z FROM atm CROSS JOIN range(-1, 2) p(x) CROSS JOIN range(-1, 2) q(x) CROSS JOIN range(-1, 2) r(x) WHERE p.x * p.x + q.x * q.x + r.x * r.x <= 2.25),
+ t AS (SELECT *, least(10, floor(x)) bi, least(10, floor(y)) bj, least(10, floor(z)) bk FROM s)
+ SELECT atom_id, round(coalesce(SUM((CASE WHEN a.x = 0 THEN 1 - (t.x - bi) ELSE t.x - bi END) * (CASE WHEN b.x = 0 THEN 1 - (t.y - bj) ELSE t.y - bj END) * (CASE WHEN c.x = 0 THEN 1 - (t.z - bk) ELSE t.z - bk END) * v), 0), 6) AS intensity
+ FROM t CROSS JOIN range(2) a(x) CROSS JOIN range(2) b(x) CROSS JOIN range(2) c(x) LEFT JOIN vox ON i = bi + a.x AND j = bj + b.x AND k = bk + c.x AND t.x BETWEEN 0 AND 11 AND t.y BETWEEN 0 AND 11 AND t.z BETWEEN 0 AND 11 GROUP BY atom_id"""
+ORACLE_SQL["radial_distribution"] = f"""WITH {ATM}, ext AS (SELECT MAX(x) - MIN(x) xw, MAX(y) - MIN(y) yw, MAX(z) - MIN(z) zw, COUNT(*) AS n FROM atm),
+ far AS (SELECT sqrt((b.x + p.s * xw - a.x) ** 2 + (b.y + q.s * yw - a.y) ** 2 + (b.z + r.s * zw - a.z) ** 2) d FROM atm a CROSS JOIN atm b CROSS JOIN ext CROSS JOIN (VALUES (-1), (0), (1)) p(s) CROSS JOIN (VALUES (-1), (0), (1)) q(s) CROSS JOIN (VALUES (-1), (0), (1)) r(s)),
+ cnt AS (SELECT floor(d / 0.1E0) AS bin, COUNT(*) AS k FROM far WHERE d > 0 AND d < 2.0 GROUP BY 1),
+ raw AS (SELECT g.x AS bin, coalesce(k, 0) / (4E0 / 3 * pi() * (((g.x + 1) * 0.1E0) ** 3 - (g.x * 0.1E0) ** 3) * n / (xw * yw * zw) * n) AS g FROM range(20) g(x) CROSS JOIN ext LEFT JOIN cnt ON bin = g.x),
+ tap AS (SELECT x AS t, exp(-x * x / 2.0) / (SELECT SUM(exp(-x * x / 2.0)) FROM range(-4, 5) s(x)) AS w FROM range(-4, 5) s(x))
+ SELECT round((a.bin + 0.5E0) * 0.1E0, 6) AS r, round(SUM(w * coalesce(b.g, a.g)), 6) AS g FROM raw a CROSS JOIN tap LEFT JOIN raw b ON b.bin = a.bin + t GROUP BY a.bin"""
+#: By the addition theorem: harmonics of all bonds around an atom only enter through the angles between bonds.
+ORACLE_SQL["bond_order"] = f"""WITH {ATM}, pr AS (SELECT a.atom_id a, b.atom_id b, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) d FROM atm a JOIN atm b ON a.atom_id <> b.atom_id),
+ nb AS (SELECT a, b, dx / d u, dy / d v, dz / d w, COUNT(*) OVER (PARTITION BY a) n FROM pr WHERE d > 0 AND d < 1.0),
+ hood AS (SELECT atom_id i, atom_id j FROM atm UNION ALL SELECT a, b FROM nb), size AS (SELECT i, COUNT(*) h FROM hood GROUP BY 1),
+ bond AS (SELECT hood.i, u, v, w, 1E0 / (h * n) f FROM hood JOIN size USING (i) JOIN nb ON nb.a = hood.j),
+ ang AS (SELECT p.i, p.f * q.f f, p.u * q.u + p.v * q.v + p.w * q.w o FROM bond p JOIN bond q ON p.i = q.i)
+ SELECT atom_id, round(sqrt(greatest(0, coalesce(SUM(f * (35 * o ** 4 - 30 * o ** 2 + 3) / 8), 0))), 6) AS q4, round(sqrt(greatest(0, coalesce(SUM(f * (231 * o ** 6 - 315 * o ** 4 + 105 * o ** 2 - 5) / 16), 0))), 6) AS q6 FROM atm LEFT JOIN ang ON i = atom_id GROUP BY atom_id"""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined_back, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a block.
@@ -90,11 +90,11 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, key=route_key) -> DataFrame
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.  Of equal texts the row with the
     largest doc_id stays, a null doc_id counting as smallest; of repeated rows with that doc_id just one is kept.
-    Groups are counted before they are shuffled, and joined back by a join whose large partitions Spark can split.
+    Groups are counted before they are shuffled; the rows of very large ones aren't shuffled to be joined back.
     """
     ident = written(identities(docs, block, key), docs.sparkSession)
     groups = ident.groupBy("n_bytes", "name").agg(F.max(F.struct(F.col("doc_id"), F.col("rid"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    out = ident.join(groups, ["n_bytes", "name"])
+    out = joined_back(ident, written(groups, docs.sparkSession), ["n_bytes", "name"], "group_size")
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
 
 

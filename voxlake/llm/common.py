@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries of a worker's table of known answers before it starts afresh.
 CACHE_LIMIT = 150_000
@@ -67,6 +68,26 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Groups that are joined back by broadcast, at most.
+HOT_GROUPS = 1000
+
+
+def joined_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group; null keys are equal.
+
+    ``groups`` is a written table with a row for each group and its number of rows in ``size``.  Groups with over a
+    thousandth of all rows, of which there are at most ``HOT_GROUPS``, are broadcast, so that their rows stay where
+    they are; the others meet in a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    groups = groups.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = functools.reduce(lambda a, b: a & b, (rows[k].eqNullSafe(F.col(f"_{k}")) for k in keys))
+    hot = F.col(size) > total // HOT_GROUPS
+    near = rows.join(F.broadcast(groups.where(hot)), same)
+    far = rows.join(F.broadcast(groups.where(hot).select(*(f"_{k}" for k in keys))), same, "left_anti").join(groups.where(~hot), same)
+    return near.unionByName(far).drop(*(f"_{k}" for k in keys))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

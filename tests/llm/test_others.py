@@ -123,7 +123,7 @@ def test_quality_edges(spark):
 
 def test_strength_shrinks_sparse_sites(spark):
     rows = [("big", "a", 1.0)] * 200 + [("bad", "a", -3.0)] * 200 + [("tiny", "a", -3.0)] + [(f"s{i}", "a", 1.0 + i % 3) for i in range(30)] * 3
-    shifts = {r._site: r.good_shift for r in site_quality.combine(spark.createDataFrame(rows, "site string, path string, good double"), "good").collect()}
+    shifts = {r.site: r.good_shift for r in site_quality.combine(spark.createDataFrame(rows, "site string, path string, good double"), "good").collect()}
     assert shifts["bad"] < shifts["tiny"] < 0 < shifts["big"]
 
 
@@ -132,7 +132,7 @@ def test_combination_is_empirical_bayes(spark):
     rng = np.random.default_rng(3)
     rows = [(f"s{rng.integers(12)}" if rng.random() > 0.1 else None, f"p{rng.integers(4)}" if rng.random() > 0.1 else None, float(rng.normal())) for _ in range(900)]
     rows += [("alone", "p", 2.0), ("alone", "q", -2.0)]
-    got = {(r._site, r._path): r.good_shift for r in site_quality.combine(spark.createDataFrame(rows, "site string, path string, good double"), "good").collect()}
+    got = {(r.site, r.path): r.good_shift for r in site_quality.combine(spark.createDataFrame(rows, "site string, path string, good double"), "good").collect()}
     p = 1 / (1 + np.exp(-np.array([g for *_, g in rows])))
     prior = p.mean()
     logit = lambda x: np.log(x / (1 - x))

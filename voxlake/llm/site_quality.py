@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_slices, no_cycles, written
+from .common import doc_slices, joined_back, no_cycles, written
 
 #: Labelled rows that the models are fitted on, words in the lexicon, and strength of shrinkage at most.
 SAMPLE, LEXICON, STRONGEST = 4000, 200, 1e6
@@ -160,7 +160,7 @@ def _strength(groups: DataFrame, above: str) -> float:
 
 
 def combine(scored: DataFrame, of: str) -> DataFrame:
-    """site, path, <of>_prior: log-odds shift of each path's posterior from the global prior.
+    """site, path, n, <of>_shift: log-odds shift of each path's posterior from the global prior.
 
     Groups are summed before the shuffle, so a site with a third of all rows is a handful of sums.
     """
@@ -174,15 +174,15 @@ def combine(scored: DataFrame, of: str) -> DataFrame:
     paths = paths.join(sites, F.col("site").eqNullSafe(F.col("_site"))).drop("_site")
     k2 = _strength(paths, "above")
     posterior = (F.col("s") + k2 * F.col("above")) / (F.col("n") + k2)
-    return paths.select(F.col("site").alias("_site"), F.col("path").alias("_path"), (logit(posterior) - logit(F.lit(prior))).alias(f"{of}_shift"))
+    return paths.select("site", "path", "n", (logit(posterior) - logit(F.lit(prior))).alias(f"{of}_shift"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, keep_at: float = 0.5, toxic_at: float = 0.5, sample: int = SAMPLE, key: str | None = None) -> DataFrame:
     """doc_id, site, path, p_good, p_toxic, kept (good enough and not toxic) and ``key`` of each row of ``docs``."""
     scored = written(evidence(docs, fit(docs, labels, sample), site, path, key), docs.sparkSession)
     for of in ("good", "toxic"):
-        shifts = combine(scored.select("site", "path", of), of)
-        scored = scored.join(shifts, scored["site"].eqNullSafe(shifts["_site"]) & scored["path"].eqNullSafe(shifts["_path"])).drop("_site", "_path")
+        shifts = written(combine(scored.select("site", "path", of), of), docs.sparkSession)
+        scored = joined_back(scored, shifts, ["site", "path"], "n").drop("n")
     out = scored.select("doc_id", "site", "path", *([key] if key else []), sigmoid(F.col("good") + F.col("good_shift")).alias("p_good"), sigmoid(F.col("toxic") + F.col("toxic_shift")).alias("p_toxic"))
     return out.withColumn("kept", (F.col("p_good") >= keep_at - EVEN) & (F.col("p_toxic") <= toxic_at + EVEN))
 

@@ -33,8 +33,8 @@ def test_fcc_neighbours_and_bond_order(spark):
     q = {r.atom_id: r for r in neighbours.bond_order(df, 3.0, periodic=False).collect()}
     core = min(inside, key=lambda i: ((points[i] - points.mean(0)) ** 2).sum())
     own = images.np.linalg.norm(points - points[core], axis=1)
-    if all(n[j] == 12 for j in np.flatnonzero(own < 3.0)):
-        assert q[core].q4 == pytest.approx(0.190941, abs=1e-5) and q[core].q6 == pytest.approx(0.574524, abs=1e-5)
+    assert all(n[j] == 12 for j in np.flatnonzero(own < 3.0))
+    assert q[core].q4 == pytest.approx(0.190941, abs=1e-5) and q[core].q6 == pytest.approx(0.574524, abs=1e-5)
     alpha = neighbours.short_range_order(df, 3.0).collect()
     assert len(alpha) == 1 and alpha[0].alpha == pytest.approx(0)
 
@@ -358,11 +358,14 @@ def test_stream_of_frames(spark, tmp_path):
 
 def test_small_pipeline(spark):
     rng = np.random.default_rng(2)
-    rows = [(f, v, r, c, float(100 * math.exp(-((r - 8) ** 2 + (c - 8) ** 2) / 10) + rng.poisson(5))) for f in range(2) for v in (1, 2) for r in range(16) for c in range(16)]
+    rows = [(f, v, r, c, float(100 * math.exp(-((r - 22) ** 2 + (c - 26) ** 2) / 60) + rng.poisson(5) + 1)) for f in range(2) for v in (1, 2) for r in range(48) for c in range(48)]
     df = spark.createDataFrame(rows, "frame int, view int, r int, c int, v double")
     angles = spark.createDataFrame([(1, 0.0), (2, 10.0)], "view int, theta double")
-    out = pipelines.preprocess(df, angles, pipelines.Preprocess(16, 16, 12, denoise=False))
-    assert out["projections"].count() == 2 * 12 * 12 and out["angles"].columns == ["view", "phi", "theta", "psi"]
+    out = pipelines.preprocess(df, angles, pipelines.Preprocess(48, 48, 40, disk=20, least=(20, 20), dark_least=0.0, denoise=False))
+    assert out["projections"].count() == 2 * 40 * 40 and out["angles"].columns == ["view", "phi", "theta", "psi"]
+    at = out["projections"].groupBy("view").agg(*((F.sum(F.col(a) * F.col("v")) / F.sum("v")).alias(a) for a in "rc"), F.sum("v").alias("s")).orderBy("view").collect()
+    assert all(x.r == pytest.approx(20, abs=0.5) and x.c == pytest.approx(20, abs=0.5) for x in at) and at[0].s == pytest.approx(at[1].s, rel=0.05)
+    assert out["masks"].count() > 2 * 60 and out["noise"].count() == 2
 
 
 def disc(n=96, at=(40, 55), radius=20):
@@ -386,6 +389,20 @@ def test_particles_are_found_and_centred():
     assert not dark[inside].any() and dark[:8, :8].all() and particles.background_mask(np.zeros((30, 30))).all()
 
 
+def test_openings_of_images(spark):
+    image = np.random.default_rng(7).integers(0, 50, (16, 16)).astype(float)
+    rows = spark.createDataFrame([(1, int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(image)], "view int, r int, c int, v double")
+    got = np.zeros((16, 16))
+    for r in morphology.disk_opening(rows, 6, 16, 16).collect():
+        got[r.r, r.c] = r.v
+    offsets = particles.disk_offsets(6)
+    low = np.array([[min(image[r + a, c + b] for a, b in offsets if 0 <= r + a < 16 and 0 <= c + b < 16) for c in range(16)] for r in range(16)])
+    want = np.array([[max(low[min(15, max(0, r + a)), min(15, max(0, c + b))] for a, b in offsets) for c in range(16)] for r in range(16)])
+    assert (got == want).all() and (particles.opened(image, 6) == want).all()
+    assert (particles.opened(image, 2) <= image).all()
+    assert particles.without_smooth(np.full((20, 20), 7.0), 6).max() < 1e-9
+
+
 def test_labels_and_smoothing_of_images(spark):
     rng = np.random.default_rng(4)
     mask = rng.random((30, 40)) > 0.55

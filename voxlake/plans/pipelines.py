@@ -9,37 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, cluster, images, morphology, neighbours, project, select, shape
+from ..operators import aggregate, blocks, cluster, images, morphology, neighbours, particles, project, select, shape
 from ..operators.iterate import cut
 from ..sources import adapters
 
 
 @dataclass(frozen=True)
 class Preprocess:
+    """Sizes of the frames and of the result, and the stages' parameters; ``least`` are the pixels of the two masks."""
+
     rows: int
     cols: int
     size: int
-    disk: int = 5
-    mask_scale: float = 1.0
+    disk: int = 140
+    mask_scale: float = 0.9
+    least: tuple[int, int] = (3000, 10000)
+    dark_least: float = 1000.0
     factor: float = 1.0
     denoise: bool = True
 
 
+def noise_of(frames: DataFrame, config: Preprocess) -> tuple[DataFrame, DataFrame]:
+    """``frames`` without their view's dark current, and alpha and sigma2 of each view."""
+    spark, n = frames.sparkSession, (config.rows, config.cols)
+    level = frames.withColumn("v", fn.dark_floor(F.col("v"), config.dark_least))
+    each = level.select(F.col("frame").alias("_f"), F.col("view").alias("_v"), "r", "c", "v").withColumn("view", (F.col("_v") * 65536 + F.col("_f")).cast("int"))
+    smooth = blocks.map_images(each, lambda a: images.gaussian(a, 6.0, 12), *n)
+    dark = smooth.groupBy(F.shiftright("view", 16).alias("view")).agg(F.min("v").alias("dark"))
+    clean = cut(frames.join(F.broadcast(dark), "view").withColumn("v", fn.subtract_dark(F.col("v"), F.col("dark"))).drop("dark"), spark)  # a row for each view
+    empty = blocks.map_images(clean.where("frame = 0"), lambda a: particles.background_mask(a, config.least[0]).astype(float), *n).where("v = 1")
+    return clean, cut(aggregate.background_noise(clean, empty.select("view", "r", "c")), spark)
+
+
 def preprocess(frames: DataFrame, angles: DataFrame, config: Preprocess) -> dict[str, DataFrame]:
-    """frames (frame, view, r, c, v) to projections, angles, masks and noise: registration, dark current, noise
-    parameters, denoising, background, normalisation and export, a table for each member."""
+    """frames (frame, view, r, c, v) to projections, angles, masks and noise, a table for each member: dark current and
+    noise, registration, denoising, background, centring, transposed and brought to the first view's intensity."""
     spark, n = frames.sparkSession, (config.rows, config.cols)
-    frames = frames.withColumn("v", F.col("v").cast("double"))
-    noise = cut(aggregate.noise_parameters(frames), spark)
+    frames, noise = noise_of(frames.withColumn("v", F.col("v").cast("double")), config)
     summed = blocks.map_stacks(frames, lambda a: images.correct_drift(*images.register_frames(a)), *n)
     if config.denoise:
         mean = aggregate.average_noise(noise).first()
         alpha, sigma = float(mean["alpha"] or 1.0), float(mean["sigma2"] or 0.0) ** 0.5
         summed = blocks.map_images(summed, lambda a: denoised(a, alpha, sigma, config.factor), *n)
-    flat = cut(blocks.map_images(summed, lambda a: without_background(a, config.disk, config.mask_scale), *n), spark)
-    level = aggregate.normalise(flat)
-    out = shape.crop_or_pad(level, {"r": (config.rows, config.size), "c": (config.cols, config.size)})
-    return {"projections": cut(out, spark), "angles": shape.angle_table(angles), "noise": noise, "masks": out.where("v > 0").select("view", "r", "c")}
+    summed = cut(summed, spark)
+    found = {k: (lambda a, k=k: particles.without_background(a, config.disk, config.mask_scale, config.least)[k].astype(float)) for k in ("aligned", "mask")}
+    flat, mask = (shape.transpose(blocks.map_images(summed, found[k], *n)) for k in ("aligned", "mask"))
+    window = {"r": (config.cols, config.size), "c": (config.rows, config.size)}
+    out = shape.crop_or_pad(aggregate.normalise(cut(flat, spark)), window)
+    return {"projections": cut(out, spark), "angles": shape.angle_table(angles), "noise": noise, "masks": shape.crop_or_pad(mask, window).where("v = 1").select("view", "r", "c")}
 
 
 def denoised(image: np.ndarray, alpha: float, sigma: float, factor: float = 1.0) -> np.ndarray:
@@ -57,19 +74,6 @@ def denoised(image: np.ndarray, alpha: float, sigma: float, factor: float = 1.0)
     return out * (float((out * np.maximum(image, 0)).sum()) / power if power else 1.0)
 
 
-def without_background(image: np.ndarray, disk: int, scale: float) -> np.ndarray:
-    """Smooth background by a grey opening, then Laplace's equation inside the object's mask; both subtracted, 0 at least."""
-    smooth = images.gaussian(image, max(1.0, disk / 4))
-    offs = shape.disk(disk)
-    pad = np.pad(smooth, disk, mode="edge")
-    view = lambda p, o: p[disk + o[0] : disk + o[0] + image.shape[0], disk + o[1] : disk + o[1] + image.shape[1]]
-    low = np.min([view(pad, o) for o in offs], axis=0)
-    pad = np.pad(low, disk, mode="edge")
-    first = np.maximum(image - np.max([view(pad, o) for o in offs], axis=0), 0)
-    mask = images.grow_mask(first > first.mean() * scale, 1.0)
-    return np.maximum(image - images.fill_region(image, mask), 0) * mask
-
-
 def view_rotation(phi: float, theta: float, psi: float) -> np.ndarray:
     """From volume to view: degrees about the third, second and first axis."""
     out = np.eye(3)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import aggregate, blocks, images, particles, select, shape
-from . import pipelines
 
 
 def step_01_register_frames(frames: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -84,23 +83,17 @@ def step_15_restore_intensity(px: DataFrame, before: DataFrame) -> DataFrame:
     return px.join(k, "view").withColumn("v", F.col("v") * F.col("_k")).drop("_k")
 
 
-def step_16_17_smooth_background(px: DataFrame, disk: int, scale: float, rows: int, cols: int) -> DataFrame:
-    return blocks.map_images(px, lambda a: pipelines.without_background(a, disk, scale), rows, cols)
+def step_16_17_smooth_background(px: DataFrame, disk: int, rows: int, cols: int) -> DataFrame:
+    """Opening with a disk between two blurs, subtracted."""
+    return blocks.map_images(px, lambda a: particles.without_smooth(a, disk), rows, cols)
 
 
-def step_18_19_mask_and_centre(px: DataFrame, rows: int, cols: int) -> DataFrame:
-    return aggregate.centroid(px, rows, cols)
+def step_18_19_mask_and_centre(px: DataFrame, rows: int, cols: int, least: int = 3000) -> DataFrame:
+    return step_25_integer_com(px, rows, cols, least)
 
 
-def step_20_21_subpixel_centre(px: DataFrame, rows: int, cols: int) -> DataFrame:
-    def moved(a):
-        total = a.sum()
-        if not total:
-            return a
-        cy, cx = (a.sum(axis=1) @ range(rows)) / total, (a.sum(axis=0) @ range(cols)) / total
-        return images.fourier_shift(a, (rows - 1) / 2 - cy, (cols - 1) / 2 - cx)
-
-    return blocks.map_images(px, moved, rows, cols)
+def step_20_21_subpixel_centre(px: DataFrame, rows: int, cols: int, scale: float = 0.9, least: tuple[int, int] = (3000, 10000)) -> DataFrame:
+    return step_27_subpixel_com(px, rows, cols, scale, least)
 
 
 def step_22_laplacian_background(px: DataFrame, mask: DataFrame, rows: int, cols: int) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from voxlake.llm import block_naming, bound_packing, cover_dedup, partition_join, site_quality
-from voxlake.llm.common import table, written
+from voxlake.llm.common import dropped, table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -47,8 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what the next one has read is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), spark)
+    for k, (_, stage) in enumerate(STAGES):
+        kept = written(stage(spark, docs, sf_dir), spark)
+        if k:
+            dropped(docs)
+        docs = kept
     return docs

@@ -64,25 +64,45 @@ def normalised_correlation(template: np.ndarray, image: np.ndarray) -> np.ndarra
     return np.where(power > 1e-12 * max(1.0, float(power.max())), num / np.sqrt(np.maximum(power, 1e-300)), 0.0)
 
 
-def register(reference: np.ndarray, image: np.ndarray, resolution: float = 0.05, reach: int = 20) -> tuple[float, float, float]:
-    """(dy, dx) that moves ``image`` onto ``reference`` and their correlation: the best whole shift within ``reach``,
-    then grids of 4 x 4 shifts around it, four times finer each round, down to ``resolution``."""
-    a, b = reference - reference.mean(), image - image.mean()
-    cross = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real
-    ys, xs = (np.rint(np.fft.fftfreq(n) * n).astype(int) for n in a.shape)
-    allowed = (np.abs(ys)[:, None] <= reach) & (np.abs(xs)[None] <= reach)
-    at = np.unravel_index(np.argmax(np.where(allowed, cross, -np.inf)), cross.shape)
-    dy, dx, span = float(ys[at[0]]), float(xs[at[1]]), 1.0
-    scale = np.sqrt((a * a).sum() * (b * b).sum()) or 1.0
-    spectrum = np.fft.fft2(a) * np.conj(np.fft.fft2(b)) / a.size / scale
-    ky, kx = 2j * np.pi * np.fft.fftfreq(a.shape[0]), 2j * np.pi * np.fft.fftfreq(a.shape[1])
-    while span > resolution:
-        steps = np.linspace(-span, span, 9)
-        sy, sx = dy + steps, dx + steps
-        score = (np.exp(np.outer(sy, ky)) @ spectrum @ np.exp(np.outer(kx, sx))).real
-        k = np.unravel_index(np.argmax(score), score.shape)
-        dy, dx, span = float(sy[k[0]]), float(sx[k[1]]), span / 4
-    return dy, dx, float((np.exp(dy * ky) @ spectrum @ np.exp(dx * kx)).real)
+def whole_shift(reference: np.ndarray, image: np.ndarray) -> tuple[float, float]:
+    """The whole (dy, dx) that moves ``image`` onto ``reference``, by the peak of their circular correlation."""
+    cross = np.fft.ifft2(np.fft.fft2(reference - reference.mean()) * np.conj(np.fft.fft2(image - image.mean())))
+    at = np.unravel_index(np.argmax(np.abs(cross)), cross.shape)
+    return tuple(float(k - n if k > n // 2 else k) for k, n in zip(at, cross.shape))
+
+
+def register(reference: np.ndarray, image: np.ndarray, resolution: float = 0.05, reach: int = 20, half: int = 210) -> tuple[float, float, float]:
+    """(dy, dx) that moves ``image`` onto ``reference``, and their normalised correlation there.
+
+    Both are cut to a square 20 off the border; the template is the middle of the reference, up to ``half`` to each side
+    and small enough to stay inside at every shift.  Fractions of a pixel are searched on grids of 4 x 4, four times finer each round, and each is
+    scored by the best whole shift within ``reach``.  Images too small for the cut get a whole shift and no correlation.
+    """
+    if reference.shape != image.shape:
+        raise ValueError("images to register must have one shape")
+    if not 0 < resolution < 0.5:
+        raise ValueError("the resolution must lie between 0 and 0.5")
+    middle = [int(np.floor((n + 1) / 2 + 0.5)) - 1 for n in image.shape]
+    edge = min(middle) + 1 - 20
+    if edge <= 0:
+        return (*whole_shift(reference, image), float("nan"))
+    cut = tuple(slice(m - edge, m + edge + 1) for m in middle)
+    reference, image = reference[cut].astype(float), image[cut].astype(float)
+    side = min(half, max(edge - reach, edge // 2))
+    template = reference[edge - side : edge + side + 1, edge - side : edge + side + 1]
+    still, span = edge + side, min(reach, edge - side)  # where the template's own place is in a full correlation
+    near = np.s_[still - span : still + span + 1, still - span : still + span + 1]
+    scored = lambda dy, dx: normalised_correlation(template, fourier_shift(image, dy, dx))[near]
+    low, width, best = np.array([-0.5, -0.5]), 1.0, np.zeros(2)
+    for _ in range(abs(int(np.floor(np.log(resolution) / np.log(4))))):
+        width /= 4
+        places = [low + width * (np.array([r, c]) + 0.5) for c in range(4) for r in range(4)]  # rows first, which decides ties
+        scores = [scored(*p).max() for p in places]
+        best = places[int(np.argmax(scores))]
+        low = best - width / 2
+    found = scored(*best)
+    c, r = np.unravel_index(np.argmax(found.T), found.shape)
+    return float(best[0] - (r - span)), float(best[1] - (c - span)), float(found[r, c])
 
 
 def register_frames(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

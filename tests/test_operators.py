@@ -389,6 +389,20 @@ def test_particles_are_found_and_centred():
     assert not dark[inside].any() and dark[:8, :8].all() and particles.background_mask(np.zeros((30, 30))).all()
 
 
+def test_filters_and_inside_grids(spark):
+    from voxlake.operators.shape import grid
+
+    image = np.random.default_rng(3).normal(size=(8, 8))
+    rows = spark.createDataFrame([(1, int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(image)], "view int, r int, c int, v double")
+    ones = grid(spark, {"r": (0, 7), "c": (0, 7)}).withColumn("v", F.lit(2.0))
+    assert all(r.v == pytest.approx(2 * image[r.r, r.c]) for r in blocks.filter_images(rows, ones, 8, 8).collect())
+    low = ones.withColumn("v", F.when((F.col("r") == 4) & (F.col("c") == 4), 1.0).otherwise(0.0))
+    assert all(r.v == pytest.approx(image.mean()) for r in blocks.filter_images(rows, low, 8, 8).collect())
+    places = np.arange(2, 22) / 3
+    assert np.allclose(images.spline_weights(8, inside=True) @ np.arange(8.0) ** 3, places**3)
+    assert images.upsample(np.ones((5, 6, 7)), inside=True).shape == (11, 14, 17)
+
+
 def test_openings_of_images(spark):
     image = np.random.default_rng(7).integers(0, 50, (16, 16)).astype(float)
     rows = spark.createDataFrame([(1, int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(image)], "view int, r int, c int, v double")

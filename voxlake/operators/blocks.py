@@ -31,6 +31,16 @@ def map_images(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], rows:
     return df.select("view", "r", "c", "v").groupBy("view").applyInArrow(run, IMAGE)
 
 
+def filter_images(df: DataFrame, response: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Each image filtered in Fourier space by ``response`` (r, c, v; centred), for instance a mean form factor."""
+    from .images import apply_filter
+
+    centred = np.zeros((rows, cols))
+    for r in response.select("r", "c", "v").toLocalIterator():  # one image
+        centred[r["r"], r["c"]] = r["v"]
+    return map_images(df, lambda a: apply_filter(a, centred), rows, cols)
+
+
 def map_stacks(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], rows: int, cols: int) -> DataFrame:
     """``kernel`` on each view's frames (frame, r, c), giving one image."""
 

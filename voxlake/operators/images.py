@@ -149,9 +149,12 @@ def correct_drift(frames: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     return sum(bicubic(f, r - slope_y * r, c - slope_x * r) for f in frames)
 
 
-def spline_weights(n: int, factor: int = 3) -> np.ndarray:
-    """(factor * n, n) weights of a not-a-knot cubic spline at a grid centred on the samples."""
+def spline_weights(n: int, factor: int = 3, inside: bool = False) -> np.ndarray:
+    """(factor * n, n) weights of a not-a-knot cubic spline at a grid centred on the samples; with ``inside`` the grid
+    begins one step before the second sample and ends at the last one."""
     x, t = np.arange(n, dtype=float), (np.arange(factor * n) - (factor * n - 1) / 2) / factor + (n - 1) / 2
+    if inside:
+        t = np.arange(factor - 1, factor * (n - 1) + 1) / factor
     if n < 4:
         return np.array([[np.prod([(u - x[m]) / (x[k] - x[m]) for m in range(n) if m != k]) for k in range(n)] for u in t])
     a, b = np.zeros((n, n)), np.zeros((n, n))
@@ -165,11 +168,11 @@ def spline_weights(n: int, factor: int = 3) -> np.ndarray:
     return (1 - u) * e[i] + u * e[i + 1] + ((1 - u) ** 3 - (1 - u)) / 6 * m[i] + (u**3 - u) / 6 * m[i + 1]
 
 
-def upsample(volume: np.ndarray, factor: int = 3) -> np.ndarray:
+def upsample(volume: np.ndarray, factor: int = 3, inside: bool = False) -> np.ndarray:
     """Cubic-spline upsampling along every axis; NaN counts as 0."""
     out = np.nan_to_num(volume.astype(float))
     for axis in range(out.ndim):
-        out = np.moveaxis(np.tensordot(spline_weights(out.shape[axis], factor), out, axes=(1, axis)), 0, axis)
+        out = np.moveaxis(np.tensordot(spline_weights(out.shape[axis], factor, inside), out, axes=(1, axis)), 0, axis)
     return out
 
 

@@ -746,3 +746,56 @@ ORACLE_SQL["bond_order"] = f"""WITH {ATM}, pr AS (SELECT a.atom_id a, b.atom_id
  bond AS (SELECT hood.i, u, v, w, 1E0 / (h * n) f FROM hood JOIN size USING (i) JOIN nb ON nb.a = hood.j),
  ang AS (SELECT p.i, p.f * q.f f, p.u * q.u + p.v * q.v + p.w * q.w o FROM bond p JOIN bond q ON p.i = q.i)
  SELECT atom_id, round(sqrt(greatest(0, coalesce(SUM(f * (35 * o ** 4 - 30 * o ** 2 + 3) / 8), 0))), 6) AS q4, round(sqrt(greatest(0, coalesce(SUM(f * (231 * o ** 6 - 315 * o ** 4 + 105 * o ** 2 - 5) / 16), 0))), 6) AS q6 FROM atm LEFT JOIN ang ON i = atom_id GROUP BY atom_id"""
+
+
+AXES = {"i": "jk", "j": "ik", "k": "ij"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS axis, {o[0]} AS p, {o[1]} AS q, MAX(v) AS v FROM vox GROUP BY {o[0]}, {o[1]}" for a, o in AXES.items()), VOX)
+def mip_axes(spark: SparkSession, d: str) -> DataFrame:
+    v = adapters.voxels(spark, d)
+    parts = [aggregate.projection_max(v, a).select(F.lit(a).alias("axis"), F.col(o[0]).alias("p"), F.col(o[1]).alias("q"), "v") for a, o in AXES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS axis, {o[0]} AS p, {o[1]} AS q, v FROM vox WHERE {a} = 6" for a, o in AXES.items()), VOX)
+def mid_slices(spark: SparkSession, d: str) -> DataFrame:
+    v = adapters.voxels(spark, d)
+    parts = [aggregate.middle_slice(v, a, 12).select(F.lit(a).alias("axis"), F.col(o[0]).alias("p"), F.col(o[1]).alias("q"), "v") for a, o in AXES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT atom_id, view, round(x * cos(f) + y * sin(f), 6) AS x, round(-x * sin(f) + y * cos(f), 6) AS y, round(z, 6) AS z FROM
+ (SELECT atom_id, view, f, x * cos(t) - z * sin(t) AS x, y, x * sin(t) + z * cos(t) AS z FROM
+ (SELECT atom_id, view, f, t, x, y * cos(p) + z * sin(p) AS y, -y * sin(p) + z * cos(p) AS z FROM atm, (SELECT CAST(v AS INT) AS view, radians(v * 7E0) f, radians(v * 10E0 - 30) t, radians(v * 5E0 - 12) p FROM range(1, 8) r(v))))""", ATM)
+def rotate_points_three_angles(spark: SparkSession, d: str) -> DataFrame:
+    view = F.col("id")
+    angles = spark.range(1, 8).select(view.cast("int").alias("view"), (view * 7.0).alias("phi"), (view * 10.0 - 30.0).alias("theta"), (view * 5.0 - 12.0).alias("psi"))
+    return rounded(project.view_positions(adapters.atoms(spark, d), angles).select("atom_id", "view", "x", "y", "z"), "x", "y", "z")
+
+
+FINITE = """odd AS (SELECT c.x AS kind, CASE WHEN c.x = 0 AND p_partkey % 3 = 0 THEN 'NaN'::DOUBLE WHEN c.x = 0 AND p_partkey % 3 = 1 THEN 'Infinity'::DOUBLE WHEN c.x = 1 THEN '-Infinity'::DOUBLE WHEN c.x = 2 THEN 4.5 ELSE p_retailprice END AS v FROM part CROSS JOIN range(3) c(x))"""
+
+
+@query("SELECT CAST(kind AS INT) AS kind, CASE WHEN lo IS NULL THEN 0 ELSE lo END AS lo, CASE WHEN lo IS NULL THEN 1 WHEN lo = hi THEN lo + 1 ELSE hi END AS hi FROM (SELECT kind, MIN(CASE WHEN isfinite(v) THEN v END) lo, MAX(CASE WHEN isfinite(v) THEN v END) hi FROM odd GROUP BY kind)", FINITE)
+def finite_min_max_odd(spark: SparkSession, d: str) -> DataFrame:
+    """Kind 0 has NaN and infinities, 1 nothing else, 2 one value."""
+    p = adapters.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    kinds = [p.withColumn("v", F.when(F.col("k") % 3 == 0, nan).when(F.col("k") % 3 == 1, inf).otherwise(F.col("v"))), p.withColumn("v", -inf), p.withColumn("v", F.lit(4.5))]
+    parts = [aggregate.finite_range(x).select(F.lit(n).alias("kind"), "lo", "hi") for n, x in enumerate(kinds)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT a.ti, a.tj, round((a.alpha + b.alpha) / 2 * 3, 6) AS alpha FROM al a JOIN al b ON a.ti = b.tj AND a.tj = b.ti""", ATM, NEAR,
+ "al AS (SELECT ti, tj, 1 - n / CAST(SUM(n) OVER (PARTITION BY ti) AS DOUBLE) / x AS alpha FROM (SELECT ta ti, tb tj, COUNT(*) n FROM near WHERE d > 0 AND d < 1.0 GROUP BY 1, 2) JOIN (SELECT species tj, COUNT(*) / CAST((SELECT COUNT(*) FROM atm) AS DOUBLE) x FROM atm GROUP BY 1) USING (tj))")
+def symmetric_order(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(neighbours.symmetric_order(neighbours.short_range_order(adapters.atoms(spark, d), 1.0)), "alpha")
+
+
+#: One atom after another in order of rank, with the list of those accepted so far.
+ORACLE_SQL["dedup_min_distance"] = f"""WITH RECURSIVE {ATM}, {NEAR}, rk AS (SELECT *, atom_id * 7919 % 1009 AS v FROM atm), o AS (SELECT atom_id, row_number() OVER (ORDER BY v DESC, atom_id) k FROM rk),
+ nb AS (SELECT o.atom_id, o.k, coalesce(list(b) FILTER (WHERE d < 1.0), []) l FROM o LEFT JOIN near ON a = o.atom_id GROUP BY 1, 2),
+ go(k, done) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT nb.k, CASE WHEN list_has_any(done, l) THEN done ELSE list_append(done, atom_id) END FROM go JOIN nb ON nb.k = go.k + 1),
+ top AS (SELECT unnest(done) AS id FROM (SELECT done FROM go ORDER BY k DESC LIMIT 1))
+ SELECT atom_id, x, y, z, species, v, CASE WHEN atom_id IN (SELECT id FROM top) THEN 0 ELSE -3 END AS flag FROM rk"""

@@ -681,7 +681,7 @@ ORACLE_SQL["mask_growth"] = f"""WITH {PIX}, {FULL}, cov AS (SELECT view, r, c, C
 ORACLE_SQL["half_spectrum"] = f"WITH {PIX}, {FULL}, {WAVE} SELECT view, CAST((kr + 8) % 16 AS INT) AS r, CAST((kc + 8) % 16 AS INT) AS c, round(ln(1 + re * re + im * im), 6) AS v FROM wave WHERE (kc + 8) % 16 <= 8"
 
 
-@query("SELECT view, round(SUM(v), 6) AS total, round(AVG(v), 6) AS mean, round(var_samp(v), 6) AS variance FROM pix GROUP BY view", PIX)
+@query("SELECT view, round(CAST(SUM(v) AS DOUBLE), 6) AS total, round(AVG(v), 6) AS mean, round(var_samp(v), 6) AS variance FROM pix GROUP BY view", PIX)
 def ordered_moments(spark: SparkSession, d: str) -> DataFrame:
     """Sums whose last bits don't depend on partitions."""
     rows = adapters.pixels(spark, d).groupBy("view").agg(F.sort_array(F.collect_list(F.struct("r", "c", F.col("v").cast("double").alias("v")))).alias("a"))  # one image

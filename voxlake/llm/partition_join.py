@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, doc_slices, dropped, hashed_words, mix, no_cycles, partitions, split_by, windows, written
+from .common import LOWERED, doc_slices, dropped, hashed_words, joined_back, mix, no_cycles, partitions, split_by, windows, written
 from .components import components
 from .packed import Chunks, array, ids_of
 
@@ -434,8 +434,8 @@ def links(docs: DataFrame, digests: DataFrame, k: int, num: int, den: int) -> Da
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     digests = written(set_digests(docs, k), docs.sparkSession)
     labels = components(links(docs, digests, k, num, den))
-    reps = digests.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    out = digests.join(reps, ["n", "f1", "f2"]).select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    reps = written(digests.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), docs.sparkSession)
+    out = joined_back(digests.drop("k"), reps, ["n", "f1", "f2"], "copies").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, trim, written
+from .common import dropped, partitions, trim, written
 from .components import components
 
 #: Rows that the top of the tree is built on, its centres at most, points of a block, and children of a tile.
@@ -105,9 +105,12 @@ def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 class Tree:
     """Nodes as arrays: covering radius, first and one past the last child, place and end of its points; a node's
-    centre is its first point, and points lie in order of the tree."""
+    centre is its first point, ``far`` the distance from its parent's, and points lie in order of the tree.
 
-    FIELDS = (("radius", np.float64), ("first", np.int64), ("stop", np.int64), ("low", np.int64), ("high", np.int64))
+    Children come as the one with the parent's centre, those of several points, and single points, each by ``far``.
+    """
+
+    FIELDS = (("radius", np.float64), ("first", np.int64), ("stop", np.int64), ("low", np.int64), ("high", np.int64), ("far", np.float64))
 
     def __init__(self, nodes: np.ndarray):
         for i, (name, kind) in enumerate(self.FIELDS):
@@ -121,7 +124,7 @@ class Tree:
     def plant(cls, x: np.ndarray) -> tuple[Tree, np.ndarray]:
         """The tree of the rows of ``x`` and the order in which it has them."""
         order = np.arange(len(x))
-        nodes = [[0.0, 0, 0, 0, len(x)]]
+        nodes = [[0.0, 0, 0, 0, len(x), 0.0]]
         levels, at = [2.0], 0
         while at < len(nodes):
             node, level = nodes[at], levels[at]
@@ -134,7 +137,9 @@ class Tree:
                 while level >= node[0]:
                     level /= 2
                 chosen, of = net(x[rows], level)
-                by_far = np.argsort(far[chosen], kind="stable")  # the node's own centre stays first
+                alone = np.bincount(of, minlength=len(chosen)) == 1
+                alone[0] = False  # the node's own centre stays first
+                by_far = np.lexsort((far[chosen], np.arange(len(chosen)) > 0, alone))
                 rank = np.empty(len(chosen), np.int64)
                 rank[by_far] = np.arange(len(chosen))
                 centre = np.ones(len(rows), bool)
@@ -142,7 +147,7 @@ class Tree:
                 place = np.lexsort((centre, rank[of]))
                 order[low:high] = rows[place]
                 ends = low + np.cumsum(np.bincount(rank[of], minlength=len(chosen)))
-                nodes += [[0.0, 0, 0, a, b] for a, b in zip([low, *ends[:-1].tolist()], ends.tolist())]
+                nodes += [[0.0, 0, 0, a, b, f] for a, b, f in zip([low, *ends[:-1].tolist()], ends.tolist(), far[chosen[by_far]].tolist())]
                 levels += [level] * len(chosen)
                 node[2] = len(nodes)
             at += 1
@@ -254,15 +259,18 @@ class Joined:
                 a = left[i : i + TILE]
                 for j in range(i if alike else 0, len(right), TILE):
                     b = right[j : j + TILE]
-                    if self._parted(x, one, two, p, q, a, b, shift, base):
+                    if self._parted(one, two, a, b, base):
                         self.skipped += len(a) * len(b)
                         continue
-                    d = distances(x[one.low[a]], x[two.low[b] + shift])
-                    r, c = np.nonzero(d <= one.radius[a][:, None] + two.radius[b] + self.reach + SLACK)
+                    cosine = x[one.low[a]] @ x[two.low[b] + shift].T
+                    ra, rb = one.radius[a], two.radius[b]
+                    span = ra[0] + rb[0] if (ra == ra[0]).all() and (rb == rb[0]).all() else ra[:, None] + rb
+                    span = np.minimum(span + (self.reach + SLACK), 2.0)
+                    r, c = np.nonzero(cosine >= 1.0 - 0.5 * span * span - SLACK * SLACK)
                     if alike and i == j:
                         r, c = r[r <= c], c[r <= c]
-                    self.measured += d.size - len(r)
-                    sort_out(a[r], b[c], d[r, c])
+                    self.measured += cosine.size - len(r)
+                    sort_out(a[r], b[c], np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine[r, c])))
         for left, right in singles:
             for k in range(0, len(left), 8192):
                 l, r = left[k : k + 8192], right[k : k + 8192]
@@ -270,11 +278,10 @@ class Joined:
                 self.compared += len(l)
                 self.pairs(l[hit], r[hit])
 
-    def _parted(self, x, one: Tree, two: Tree, p: int, q: int, a: np.ndarray, b: np.ndarray, shift: int, base: float) -> bool:
-        """Whether distances from the parents' centres alone keep all of ``a`` from all of ``b``."""
-        ends = lambda tree, node, kids, by: distances(x[tree.low[node] + by][None], x[tree.low[kids[[0, -1]]] + by])[0]
-        (a0, a1), (b0, b1) = ends(one, p, a, 0), ends(two, q, b, shift)
-        gap = max(base - a1 - b1, a0 - b1 - base, b0 - a1 - base)
+    def _parted(self, one: Tree, two: Tree, a: np.ndarray, b: np.ndarray, base: float) -> bool:
+        """Whether distances from the parents' centres, ``base`` apart, keep all of ``a`` from all of ``b``."""
+        fa, fb = one.far[a], two.far[b]
+        gap = max(base - fa.max() - fb.max(), fa.min() - fb.max() - base, fb.min() - fa.max() - base)
         return gap > one.radius[a].max() + two.radius[b].max() + self.reach + SLACK
 
 
@@ -378,8 +385,10 @@ def linked(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
         trim()
         return out
 
+    blocks_in_all = base + (fill > 0)
+    tasks = max(partitions(spark), min(blocks_in_all * (blocks_in_all + 1), 16 * partitions(spark)))
     sides = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    found = written(planted.join(sides, "block").groupBy("lo", "hi").applyInArrow(run, "id long, n long, root long"), spark)
+    found = written(planted.join(sides, "block").repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInArrow(run, "id long, n long, root long"), spark)
     dropped(placed, planted)
     return found
 

@@ -127,32 +127,54 @@ def test_strength_shrinks_sparse_sites(spark):
     assert shifts["bad"] < shifts["tiny"] < 0 < shifts["big"]
 
 
-def test_combination_is_empirical_bayes(spark):
-    """The whole combination again in numpy: sums, moments, shrinkage of sites and then of paths."""
-    rng = np.random.default_rng(3)
-    rows = [(f"s{rng.integers(12)}" if rng.random() > 0.1 else None, f"p{rng.integers(4)}" if rng.random() > 0.1 else None, float(rng.normal())) for _ in range(900)]
-    rows += [("alone", "p", 2.0), ("alone", "q", -2.0)]
-    got = {(r.site, r.path): r.good_shift for r in site_quality.combine(spark.createDataFrame(rows, "site string, path string, good double"), "good").collect()}
-    p = 1 / (1 + np.exp(-np.array([g for *_, g in rows])))
+def shifts(keys, log_odds):
+    """(site, path) to the shift of log odds, in numpy: sums, moments, shrinkage of sites and then of paths."""
+    p = 1 / (1 + np.exp(-np.array(log_odds)))
     prior = p.mean()
     logit = lambda x: np.log(x / (1 - x))
 
     def shrink(groups, above):
-        n, mean = (np.array([f(p[rows_]) for rows_ in groups.values()]) for f in (len, np.mean))
+        n, mean = (np.array([f(p[rows]) for rows in groups.values()]) for f in (len, np.mean))
         level = np.array([above(k) for k in groups])
-        within = sum(((p[r] - p[r].mean()) ** 2).sum() for r in groups.values()) / (n.sum() - len(n))
-        spread = n.sum() - (n**2).sum() / n.sum()
-        between = max(0.0, ((n * (mean - level) ** 2).sum() - (len(n) - 1) * within) / spread)
-        k = min(site_quality.STRONGEST, within / between) if between > 0 else site_quality.STRONGEST
+        k = site_quality.STRONGEST
+        if n.sum() > len(n) >= 2:
+            within = sum(((p[r] - p[r].mean()) ** 2).sum() for r in groups.values()) / (n.sum() - len(n))
+            spread = n.sum() - (n**2).sum() / n.sum()
+            between = max(0.0, ((n * (mean - level) ** 2).sum() - (len(n) - 1) * within) / spread)
+            k = min(k, within / between) if between > 0 else k
         return dict(zip(groups, (n * mean + k * level) / (n + k)))
 
     def grouped(keys):
         return {k: np.array([i for i, x in enumerate(keys) if x == k]) for k in dict.fromkeys(keys)}
 
-    sites = shrink(grouped([r[0] for r in rows]), lambda k: prior)
-    paths = shrink(grouped([r[:2] for r in rows]), lambda k: sites[k[0]])
-    assert set(got) == set(paths)
-    assert all(abs(got[k] - (logit(v) - logit(prior))) < 1e-9 for k, v in paths.items())
+    sites = shrink(grouped([k[0] for k in keys]), lambda k: prior)
+    return {k: logit(v) - logit(prior) for k, v in shrink(grouped(keys), lambda k: sites[k[0]]).items()}
+
+
+def test_combination_is_empirical_bayes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{rng.integers(12)}" if rng.random() > 0.1 else None, f"p{rng.integers(4)}" if rng.random() > 0.1 else None, float(rng.normal())) for _ in range(900)]
+    rows += [("alone", "p", 2.0), ("alone", "q", -2.0)]
+    got = {(r.site, r.path): r.good_shift for r in site_quality.combine(spark.createDataFrame(rows, "site string, path string, good double"), "good").collect()}
+    want = shifts([r[:2] for r in rows], [g for *_, g in rows])
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_site_quality_query_is_its_plain_version(spark):
+    """Every row of the query again: scores of whole texts by the fitted model, then the combination in numpy."""
+    from voxlake.llm.common import table
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model, rows = site_quality.fit(docs, labels), docs.collect()
+    scores = [model.score(r.text) for r in rows]
+    good, toxic = (shifts([(r.source, r.lang) for r in rows], [s[k] for s in scores]) for k in (0, 1))
+    got = {r.doc_id: r for r in queries.op4_site_quality(spark, d).collect()}
+    assert len(got) == len(rows)
+    for r, (g, t) in zip(rows, scores):
+        p_good, p_toxic = (1 / (1 + np.exp(-(x + by[r.source, r.lang]))) for x, by in ((g, good), (t, toxic)))
+        assert abs(got[r.doc_id].p_good - p_good) < 1e-9 and abs(got[r.doc_id].p_toxic - p_toxic) < 1e-9
+        assert got[r.doc_id].kept == (p_good >= 0.5 and p_toxic <= 0.5)
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, chunk string, id int, key string, cell int"
@@ -226,4 +248,19 @@ def test_pipeline_stages(spark):
             want = {i: n - g for i, n, g, _ in brute.word_runs(rows, 50)}
             assert {i: len(brute.raw(t).split()) for i, t in got.items()} == want
         docs = nxt
-    assert cp.written(cp.STAGES[4][1](spark, docs, d), spark).select("doc_id").distinct().count() == docs.count()
+    # pieces, their ids and their places, from the library
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tok, want = Tokenizer.from_file(cp.WORD_BPE), {}
+    for r in docs.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want |= {(r.doc_id, k): (at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096))}
+    out = cp.written(cp.STAGES[4][1](spark, docs, d), spark).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in out} == want and len(out) == len(want)
+    places = {}
+    for r in sorted(out, key=lambda r: r.offset):
+        assert places.get(r.sequence_id, 0) == r.offset
+        places[r.sequence_id] = r.offset + r.length
+    assert max(places.values()) <= 4096

@@ -185,7 +185,8 @@ def drawn(docs, target, buckets, seed, least, percent):
     for counts, texts in ((s, [x for _, x in docs]), (t, target)):
         for f in (f for x in texts for f in runs_of(x)):
             counts[zlib.crc32(f) % buckets] += 1
-    gain = [math.floor(1000 * math.log((float(b + 1) * (sum(s) + buckets)) / (float(a + 1) * (sum(t) + buckets)))) for a, b in zip(s, t)]
+    raw, aim = sum(s) + buckets, sum(t) + buckets
+    gain = [math.floor(1000 * math.log((float(b + 1) * raw) / (float(a + 1) * aim))) for a, b in zip(s, t)]
     out = []
     for d, x in docs:
         f = runs_of(x)

@@ -83,6 +83,34 @@ def test_cover_tree_float_tables(spark):
     assert len(out) == 4 and all(r.kept is None for r in out if r.vec_id is None)
 
 
+def test_cover_tree_ids_of_all_kinds(spark):
+    """Null, repeated and shared ids among linked vectors, against all pairs."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(12, 6))
+    x = np.concatenate([base[k] + rng.normal(0, 0.02, (n, 6)) for k, n in enumerate([1, 2, 5, 9, 3, 1, 1, 4, 2, 6, 7, 2])])
+    x[5] = x[4]
+    ids = [None if rng.random() < 0.3 else int(rng.integers(0, 30)) for _ in x]
+    ids[-2:] = [None, None]  # a component without an id
+    u = cover_tree.unit(x)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    forest = brute.Forest(range(len(x)))
+    for a, b in np.argwhere(link):
+        forest.join(int(a), int(b))
+    least = {}
+    for k, i in enumerate(ids):
+        least.setdefault(forest.find(k), []).append(i)
+    want = []
+    for k, i in enumerate(ids):
+        c = min((j for j in least[forest.find(k)] if j is not None), default=None)
+        want.append((i, int(link[k].sum()), c, None if i is None or c is None else i == c))
+    for shift in (0, 10**12):  # ids don't have to be small
+        moved = [(None if i is None else i + shift, v.tolist()) for i, v in zip(ids, x)]
+        got = cover_tree.near_duplicates(spark.createDataFrame([*moved, (None, [0.0] * 6)], "vec_id long, embedding array<double>")).collect()
+        back = [(None if r.vec_id is None else r.vec_id - shift, r.n_links, None if r.component_id is None else r.component_id - shift, r.kept) for r in got]
+        assert sorted(back, key=str) == sorted([*want, (None, 0, None, None)], key=str)
+
+
 def test_cover_tree_prunes(spark):
     """Vectors of few dimensions in tight groups: nearly all pairs go by radii, whole nodes or tiles."""
     rng = np.random.default_rng(1)

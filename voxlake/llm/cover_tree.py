@@ -13,8 +13,9 @@ parts aren't even measured.  What is left at the leaves is compared by cosine in
 Tasks return a count for each vector and a spanning forest of what links, never the pairs.
 
 Defined results: null vectors, null or non-finite components, zero vectors and vectors of another length link with
-nothing; equal vectors are one point with a count; rows with one vec_id are one vertex; a null vec_id is a row like
-others, but its ``kept`` is null.
+nothing; equal vectors are one point with a count; rows with one vec_id are vectors of their own; a row with a null
+vec_id links like any other, but never names a component, and its ``kept`` is null; a component of such rows alone has
+a null component_id.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, trim, written
+from .common import dropped, joined_back, partitions, trim, written
 from .components import components
 
 #: Rows that the top of the tree is built on, its centres at most, points of a block, and children of a tile.
@@ -397,7 +398,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     """vec_id, n_links, component_id and kept of each row of ``rows``."""
     spark = rows.sparkSession
     all_points = written(points(rows, key, column), spark)
-    reps = written(all_points.where("k1 IS NOT NULL").groupBy("dim", "k1", "k2").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")), spark)
+    # a vector's id is a number of its own: vec_ids may be null or shared
+    distinct = all_points.where("k1 IS NOT NULL").groupBy("dim", "k1", "k2").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
+    reps = written(distinct.withColumn("id", F.monotonically_increasing_id()), spark)
     dims = [r["dim"] for r in reps.select("dim").distinct().collect()]
     found = None
     for dim in dims:
@@ -405,9 +408,13 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, key: str = "vec_id"
         found = part if found is None else found.unionByName(part)
     found = found if found is not None else spark.createDataFrame([], "id long, n long, root long")
     labels = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    sums = found.groupBy("id").agg(F.sum("n").alias("n")).join(labels, "id", "left")
-    reps = reps.select("k1", "k2", "id", "weight").join(sums, "id", "left")
+    # a component is named after its least vec_id
+    members = written(labels.join(reps.select("id", "least"), "id"), spark)
+    names = written(members.groupBy("component").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("size")), spark)
+    named = joined_back(members.select("id", "component"), names, ["component"], "size").select("id", "name")
+    sums = found.groupBy("id").agg(F.sum("n").alias("n")).join(named, "id", "left")
+    reps = reps.select("k1", "k2", "id", "least", "weight").join(sums, "id", "left")
     out = all_points.select(key, "k1", "k2").join(reps, ["k1", "k2"], "left")
-    component = F.coalesce("component", "id", key)
+    component = F.coalesce("name", "least", key)
     links = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
     return out.select(key, links.cast("long").alias("n_links"), component.alias("component_id"), (F.col(key) == component).alias("kept"))

@@ -100,7 +100,7 @@ def in_order(docs: pa.Table) -> pa.Table:
     """By doc_id, then text; a null doc_id last."""
     docs = docs.combine_chunks()
     order = pc.sort_indices(docs.column("doc_id"), null_placement="at_end").to_numpy().copy()
-    ids = pc.fill_null(docs.column("doc_id"), LAST).to_numpy()[order]
+    ids = ids_of(docs)[order]
     ties = np.flatnonzero(ids[1:] == ids[:-1])
     if len(ties):
         texts = docs.column("text")
@@ -112,7 +112,7 @@ def in_order(docs: pa.Table) -> pa.Table:
 
 
 def ids_of(docs: pa.Table) -> np.ndarray:
-    return pc.fill_null(docs.column("doc_id"), LAST).to_numpy()
+    return pc.fill_null(docs.column("doc_id").cast(pa.int64()), LAST).to_numpy()
 
 
 def rows_table(rows: list[list]) -> pa.Table:

@@ -5,11 +5,12 @@ import struct
 import zlib
 
 import numpy as np
+import plain_tomography
 import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, blocks, cluster, images, morphology, neighbours, particles, project, select, shape, voronoi
+from voxlake.operators import aggregate, blocks, cluster, fill, images, morphology, neighbours, particles, project, select, shape, tomography, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -280,7 +281,7 @@ def test_reconstruction_error_falls():
     volume = np.zeros((16, 16, 16))
     volume[5:10, 6:11, 7:12] = 1
     degrees = list(range(-70, 71, 10))
-    _, errors = pipelines.reconstruct(np.array([pipelines.turned(volume, d).sum(axis=2) for d in degrees]), degrees, 10)
+    _, errors = plain_tomography.reconstruct(np.array([plain_tomography.turned(volume, d).sum(axis=2) for d in degrees]), degrees, 10)
     assert errors[-1] < 0.5 * errors[0]
 
 
@@ -289,17 +290,17 @@ def test_reconstruction_of_views_with_three_angles():
     n, grid = 16, np.indices((16, 16, 16)).reshape(3, -1).T - 8.0
     blob = lambda at: np.exp(-((grid - at) ** 2).sum(1) / 4).reshape(n, n, n)
     at, degrees = np.array([2.0, -1, 3]), rng.uniform(-60, 60, (24, 3))
-    turns = [pipelines.view_rotation(*a) for a in degrees]
+    turns = [tomography.view_rotation(*a) for a in degrees]
     # a blob's projection is a blob where the view puts it
     r, c = np.indices((n, n)) - 8.0
     views = np.array([np.sqrt(4 * np.pi) * np.exp(-((r - (q := t @ at)[0]) ** 2 + (c - q[1]) ** 2) / 4) for t in turns])
-    assert np.abs(pipelines.fourier_views(blob(at), turns, 4) - views).max() < 0.05 * views.max()
-    assert np.allclose(pipelines.view_rotation(0, 30, 0) @ [1, 0, 2], [np.cos(np.pi / 6) - 2 * 0.5, 0, 0.5 + 2 * np.cos(np.pi / 6)])
-    volume, errors = pipelines.reconstruct(views, degrees)
+    assert np.abs(plain_tomography.fourier_views(blob(at), turns, 4) - views).max() < 0.05 * views.max()
+    assert np.allclose(tomography.view_rotation(0, 30, 0) @ [1, 0, 2], [np.cos(np.pi / 6) - 2 * 0.5, 0, 0.5 + 2 * np.cos(np.pi / 6)])
+    volume, errors = plain_tomography.reconstruct(views, degrees)
     assert len(errors) == 200 and errors[-1] < 0.1 and np.corrcoef(volume.ravel(), blob(at).ravel())[0, 1] > 0.95
     for wrong in (degrees[:, :2], degrees[:5], np.zeros((24, 4))):
         with pytest.raises(ValueError):
-            pipelines.reconstruct(views, wrong, 1)
+            plain_tomography.reconstruct(views, wrong, 1)
 
 
 def test_refinement_lowers_the_error(spark):
@@ -567,3 +568,71 @@ def test_heights_widths_and_positions_are_refined(spark):
     start = atoms_frame(spark, places + rng.normal(0, 0.1, places.shape), kinds)
     out = pipelines.refine_all(start, measured, angles, 32, {0: 1.0, 1: 1.5}, {0: 0.6, 1: 0.6}, {"height": (1, 3), "width": (0.1, 2)}, rounds=1, inner=3, step=0.05)
     assert out["history"][-1][1] < out["history"][0][1] and out["height"][0] == 1 and out["model"].count() == 12
+
+
+def pixel_frame(spark, stack, first=1):
+    view, r, c = (x.ravel().tolist() for x in np.indices(stack.shape))
+    return spark.createDataFrame(list(zip([v + first for v in view], r, c, stack.ravel().tolist())), "view int, r int, c int, v double")
+
+
+def angle_frame(spark, degrees, first=1):
+    return spark.createDataFrame([(n + first, *map(float, row)) for n, row in enumerate(degrees)], "view int, phi double, theta double, psi double")
+
+
+def dense(rows, columns, shape_):
+    out = np.zeros(shape_)
+    for r in rows.collect():
+        out[tuple(r[c] for c in columns)] += r["v"]
+    return out
+
+
+def test_projection_and_back_projection_are_the_plain_ones(spark):
+    rng = np.random.default_rng(17)
+    n, degrees = 9, rng.uniform(-70, 70, (5, 3))
+    turns = tomography.turns_of(angle_frame(spark, degrees, 0))
+    volume, stack = rng.uniform(0, 5, (n, n, n)), rng.uniform(-3, 3, (5, n, n))
+    cells = spark.createDataFrame([(*map(int, p), float(volume[p])) for p in np.ndindex(volume.shape)], "i int, j int, k int, v double")
+    for oversampling, thick in ((3, 4), (2.2, 7), (3, 100)):
+        got = dense(tomography.project(cells, turns, n, oversampling, thick), ("view", "r", "c"), stack.shape)
+        assert np.allclose(got, plain_tomography.fourier_views(volume, [turns[v] for v in range(5)], oversampling))
+    want = plain_tomography.back_projected(stack, [turns[v] for v in range(5)])
+    for block in (2, 4, 16):
+        assert np.allclose(dense(tomography.back_project(pixel_frame(spark, stack, 0), turns, n, block), "ijk", volume.shape), want)
+    assert not tomography.back_project(pixel_frame(spark, stack, 0).where("false"), turns, n, 4).where("v <> 0").collect()
+    assert not tomography.project(cells.where("false"), turns, n).collect()
+
+
+def test_reconstruction_is_the_plain_one(spark):
+    volume = np.zeros((8, 8, 8))
+    volume[2:5, 3:6, 2:6] = 1
+    degrees = [(3.0 * d, 10.0 * d, -5.0) for d in range(-6, 7, 2)]
+    turns = [tomography.view_rotation(*a) for a in degrees]
+    stack = plain_tomography.fourier_views(volume, turns, 3)
+    want, want_errors = plain_tomography.reconstruct(stack, degrees, 4)
+    got, errors = tomography.reconstruct(pixel_frame(spark, stack), angle_frame(spark, degrees), 8, 4, block=5, thick=6)
+    assert np.allclose(errors, want_errors) and errors[-1] < 0.7 * errors[0]
+    assert np.allclose(dense(got, "ijk", volume.shape), want)
+    with pytest.raises(ValueError):
+        tomography.reconstruct(pixel_frame(spark, stack), angle_frame(spark, degrees[:3]), 8, 1)
+    with pytest.raises(ValueError):
+        tomography.turns_of(angle_frame(spark, degrees).unionByName(angle_frame(spark, degrees[:1])))
+
+
+def test_filled_regions_solve_laplaces_equation(spark):
+    rng = np.random.default_rng(18)
+    stack = rng.uniform(0, 9, (4, 7, 6))
+    mask = rng.random(stack.shape) < 0.5
+    mask[2], mask[3] = False, True
+    where = spark.createDataFrame([tuple(map(int, p)) for p in np.argwhere(mask)] + [(0, 99, 0)], "view int, r int, c int")
+    got = dense(fill.fill_region(pixel_frame(spark, stack, 0), where, 7, 6, 1e-11), ("view", "r", "c"), stack.shape)
+    assert np.array_equal(got[2], stack[2]) and not got[3].any()
+    for v in (0, 1):
+        a, b = np.eye(42), np.where(mask[v], 0, stack[v]).ravel()
+        for r, c in np.argwhere(mask[v]):
+            near = [(r + x, c + y) for x, y in fill.SIDES if 0 <= r + x < 7 and 0 <= c + y < 6]
+            a[r * 6 + c, r * 6 + c] = len(near)
+            for p, q in near:
+                a[r * 6 + c, p * 6 + q] = -1
+        assert np.allclose(got[v].ravel(), np.linalg.solve(a, b))
+    with pytest.raises(ValueError):
+        fill.fill_region(pixel_frame(spark, stack, 0), where, 7, 6, 1e-11, rounds=2)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, cluster, morphology, neighbours, project, select, shape
+from ..operators import aggregate, cluster, fill, morphology, neighbours, project, select, shape, tomography
 from ..sources import adapters
 
 FLAGSHIP = "otsu_threshold"
@@ -799,3 +799,46 @@ ORACLE_SQL["dedup_min_distance"] = f"""WITH RECURSIVE {ATM}, {NEAR}, rk AS (SELE
  go(k, done) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT nb.k, CASE WHEN list_has_any(done, l) THEN done ELSE list_append(done, atom_id) END FROM go JOIN nb ON nb.k = go.k + 1),
  top AS (SELECT unnest(done) AS id FROM (SELECT done FROM go ORDER BY k DESC LIMIT 1))
  SELECT atom_id, x, y, z, species, v, CASE WHEN atom_id IN (SELECT id FROM top) THEN 0 ELSE -3 END AS flag FROM rk"""
+
+
+# tomography and region filling
+THREE = "three AS (SELECT CAST(v AS INT) AS view, radians(v * 7E0) f, radians(v * 10E0 - 30) t, radians(v * 5E0 - 12) p FROM range(1, 8) r(v))"
+
+
+def _three_angles(spark: SparkSession) -> DataFrame:
+    view = F.col("id")
+    return spark.range(1, 8).select(view.cast("int").alias("view"), (view * 7.0).alias("phi"), (view * 10.0 - 30.0).alias("theta"), (view * 5.0 - 12.0).alias("psi"))
+
+
+@query("SELECT i, j, k, round(SUM((CASE WHEN a.x = 0 THEN 1 - (q.x - lx) ELSE q.x - lx END) * (CASE WHEN b.x = 0 THEN 1 - (q.y - ly) ELSE q.y - ly END) * v), 6) AS v FROM low q CROSS JOIN range(2) a(x) CROSS JOIN range(2) b(x) JOIN full2 s ON s.view = q.view AND s.r = lx + a.x AND s.c = ly + b.x GROUP BY i, j, k",
+ PIX, FULL, THREE, """turn AS (SELECT i, j, k, view, x * cos(t) - z * sin(t) + 8 AS x, y * cos(p) + (x * sin(t) + z * cos(t)) * sin(p) + 8 AS y FROM
+ (SELECT CAST(a.x AS INT) i, CAST(b.x AS INT) j, CAST(c.x AS INT) k, view, t, p, (a.x - 8) * cos(f) + (b.x - 8) * sin(f) AS x, (b.x - 8) * cos(f) - (a.x - 8) * sin(f) AS y, c.x - 8 AS z FROM range(16) a(x) CROSS JOIN range(16) b(x) CROSS JOIN range(16) c(x) CROSS JOIN three))""",
+ "low AS (SELECT *, least(14, floor(x)) lx, least(14, floor(y)) ly FROM turn WHERE x BETWEEN 0 AND 15 AND y BETWEEN 0 AND 15)")
+def back_projection(spark: SparkSession, d: str) -> DataFrame:
+    """R1, R2: all views carried back into a cube of 16, three angles a view."""
+    return rounded(tomography.back_project(adapters.pixels(spark, d), tomography.turns_of(_three_angles(spark)), 16, block=6), "v")
+
+
+@query("""SELECT CAST(ka AS INT) AS i, CAST(kb AS INT) AS j, CAST(kc AS INT) AS k, round(ln(1 + SUM(v * cos(w)) ** 2 + SUM(v * sin(w)) ** 2), 6) AS v FROM
+ (SELECT v, a.x ka, b.x kb, c.x kc, 2 * pi() * ((a.x - 8) * (i - 6) + (b.x - 8) * (j - 6) + (c.x - 8) * (k - 6)) / 16 AS w FROM vox CROSS JOIN range(16) a(x) CROSS JOIN range(16) b(x) CROSS JOIN range(16) c(x)) GROUP BY 1, 2, 3""", VOX)
+def volume_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """R3: power of the transform of the padded volume."""
+    s = tomography.spectrum(adapters.voxels(spark, d), 12, 16, thick=3)
+    return rounded(s.select("i", "j", "k", F.log1p(F.col("re") ** 2 + F.col("im") ** 2).alias("v")), "v")
+
+
+HOLES = "(r BETWEEN 5 AND 8 AND c BETWEEN 4 + view % 3 AND 9) OR (r = 0 AND c < 3) OR (r = 15 AND c = 15)"
+
+
+@query("""SELECT view, CAST(i // 16 AS INT) AS r, CAST(i % 16 AS INT) AS c, round(vals[i + 1], 5) AS v FROM go CROSS JOIN range(256) t(i) WHERE n = 250""", PIX, FULL,
+ f"grid AS (SELECT view, list(CAST(v AS DOUBLE) ORDER BY r, c) AS vals, list({HOLES} ORDER BY r, c) AS hole FROM full2 GROUP BY view)",
+ """go(n, view, vals, hole) AS (SELECT 0, view, list_transform(vals, lambda v, i: CASE WHEN hole[i] THEN 0 ELSE v END), hole FROM grid UNION ALL
+ SELECT n + 1, view, list_transform(range(256), lambda i: CASE WHEN hole[i + 1] THEN (CASE WHEN i >= 16 THEN vals[i - 15] ELSE 0 END + CASE WHEN i < 240 THEN vals[i + 17] ELSE 0 END + CASE WHEN i % 16 > 0 THEN vals[i] ELSE 0 END + CASE WHEN i % 16 < 15 THEN vals[i + 2] ELSE 0 END)
+ / ((i >= 16)::INT + (i < 240)::INT + (i % 16 > 0)::INT + (i % 16 < 15)::INT) ELSE vals[i + 1] END), hole FROM go WHERE n < 250)""")
+def laplace_fill(spark: SparkSession, d: str) -> DataFrame:
+    """C10: holes inside, at a side and in a corner, by conjugate gradients; SQL relaxes step by step."""
+    full = _full(spark, d)
+    return rounded(fill.fill_region(full, full.where(HOLES).select("view", "r", "c"), 16, 16, tolerance=1e-12), "v", to=5)
+
+
+ORACLE_SQL["laplace_fill"] = ORACLE_SQL["laplace_fill"].replace("WITH ", "WITH RECURSIVE ", 1)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, blocks, cluster, fill, images, morphology, neighbours, particles, project, select, shape, tomography, voronoi
+from voxlake.operators import aggregate, blocks, cluster, fill, images, lines, masks, morphology, neighbours, project, select, shape, tomography, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -128,12 +128,7 @@ def test_registration_and_resampling():
     assert np.allclose(images.rotate(image, 90, 0.0), np.rot90(image))
 
 
-def test_fill_denoise_and_inverse():
-    y, x = np.mgrid[:12, :12].astype(float)
-    mask = np.zeros((12, 12), bool)
-    mask[3:8, 4:9] = True
-    assert np.allclose(images.fill_region(x + y, mask), x + y, atol=1e-7)
-    assert (images.fill_region(x, np.ones_like(mask)) == 0).all()
+def test_denoise_and_inverse():
     rng = np.random.default_rng(1)
     clean = np.kron([[0.2, 0.8], [0.6, 0.4]], np.ones((16, 16)))
     noisy = clean + rng.normal(0, 0.05, clean.shape)
@@ -374,20 +369,64 @@ def disc(n=96, at=(40, 55), radius=20):
     return np.where((y - at[0]) ** 2 + (x - at[1]) ** 2 <= radius**2, 100.0, 0.0)
 
 
-def test_particles_are_found_and_centred():
-    image = disc() + np.random.default_rng(0).random((96, 96))
-    assert particles.particle_centre(image, 40, 2.0) == pytest.approx((40, 55), abs=0.3)
-    assert particles.particle_centre(np.zeros((20, 20)), 8) == (9.5, 9.5)
-    inside = disc() > 0
-    mask = particles.otsu_mask(image)
-    assert mask[inside].all() and mask.sum() < 1.8 * inside.sum()
-    out = particles.centred_particle(image, 0.9, (100, 100))
-    assert out["first"][inside].mean() > 0.99 and out["before"][inside].mean() > 0.97
-    assert particles.centre_of_mass(out["aligned"]) == pytest.approx((49, 49), abs=0.2)
-    shifted = particles.centre_of_mass(out["shifted"] * out["mask"])
-    assert shifted == pytest.approx((49, 49), abs=1.0)
-    dark = particles.background_mask(image, 100)
-    assert not dark[inside].any() and dark[:8, :8].all() and particles.background_mask(np.zeros((30, 30))).all()
+def mask_array(mask, shape_):
+    out = np.zeros(shape_, bool)
+    for r in mask.collect():
+        out[r.view, r.r, r.c] = True
+    return out
+
+
+def test_particles_are_found_and_centred(spark):
+    rng = np.random.default_rng(0)
+    discs = [disc(48, (20, 27), 9), disc(48, (26, 21), 7), disc(48, (24, 24), 8)]
+    stack = np.array([d + rng.random((48, 48)) for d in discs])
+    stack[2] = 0
+    px, inside = pixel_frame(spark, stack, 0).cache(), np.array(discs) > 0
+    at = {r.view: (r.cr, r.cc) for r in masks.centres(px, 20, 48, 48, 2.0).collect()}
+    assert at[0] == pytest.approx((20, 27), abs=0.3) and at[1] == pytest.approx((26, 21), abs=0.3) and at[2] == (23.5, 23.5)
+    mask = mask_array(masks.blob_mask(px, 48, 48), stack.shape)
+    assert mask[:2][inside[:2]].all() and mask[:2].sum() < 3 * inside[:2].sum() and not mask[2].any()
+    out = masks.centred(px.where("view < 2"), 48, 48, 0.9, (20, 20))
+    assert mask_array(out["first"], stack.shape)[:2][inside[:2]].mean() > 0.99 and mask_array(out["before"], stack.shape)[:2][inside[:2]].mean() > 0.97
+    for r in out["aligned"].groupBy("view").agg(*((F.sum(F.col(a) * F.col("v")) / F.sum("v")).alias(a) for a in "rc")).collect():
+        assert (r.r, r.c) == pytest.approx((24, 24), abs=0.2)
+    dark = mask_array(masks.background(px, 20, 48, 48), stack.shape)
+    assert not dark[:2][inside[:2]].any() and dark[2].all()
+
+
+def test_line_filters(spark):
+    rng = np.random.default_rng(20)
+    stack = rng.normal(size=(2, 9, 12))
+    px = pixel_frame(spark, stack, 0)
+    for sigma, radius, border in ((2.0, None, "symmetric"), (1.5, 3, "edge")):
+        got = dense(lines.gaussian(px, sigma, 9, 12, radius, border), ("view", "r", "c"), stack.shape)
+        assert np.allclose(got, [images.gaussian(a, sigma, radius, border) for a in stack])
+    moves = spark.createDataFrame([(0, 1.25, -0.5), (1, -2.2, 3.0)], "view int, dy double, dx double")
+    got = dense(lines.fourier_shift(px, moves, 9, 12), ("view", "r", "c"), stack.shape)
+    assert np.allclose(got, [images.fourier_shift(stack[0], 1.25, -0.5), images.fourier_shift(stack[1], -2.2, 3.0)])
+    got = dense(masks.low_passed(px, 9, 12), ("view", "r", "c"), stack.shape)
+    assert np.allclose(got, [images.rotate(a, 0.0) for a in stack])
+
+
+def test_octagons_and_holes(spark):
+    rng = np.random.default_rng(21)
+    mask = np.zeros((1, 30, 30), bool)
+    mask[0, 3, 4] = mask[0, 15:24, 10:22] = True
+    where = spark.createDataFrame([tuple(map(int, p)) for p in np.argwhere(mask)], "view int, r int, c int")
+    offsets = [(r, c) for r in range(-5, 6) for c in range(-5, 6) if abs(r) + abs(c) <= 8]
+    wide = np.array([[any(0 <= r + a < 30 and 0 <= c + b < 30 and mask[0, r + a, c + b] for a, b in offsets) for c in range(30)] for r in range(30)])
+    assert (mask_array(masks.widened(where, 6, 30, 30), mask.shape)[0] == wide).all()
+    back = spark.createDataFrame([(0, *map(int, p)) for p in np.argwhere(wide)], "view int, r int, c int")
+    small = np.array([[all(0 <= r + a < 30 and 0 <= c + b < 30 and wide[r + a, c + b] for a, b in offsets) for c in range(30)] for r in range(30)])
+    assert (mask_array(masks.narrowed(back, 6), mask.shape)[0] == small).all()
+    ring = np.zeros((1, 12, 12), bool)
+    ring[0, 2:9, 2:9], ring[0, 4:7, 4:7], ring[0, 10, 0] = True, False, True
+    ring[0, 3, 3] = rng.random() < 0  # a hole that only a corner joins with the next
+    full = pixel_frame(spark, np.zeros(ring.shape), 0)
+    got = mask_array(masks.holes_filled(spark.createDataFrame([tuple(map(int, p)) for p in np.argwhere(ring)], "view int, r int, c int"), full, 12, 12), ring.shape)
+    want = ring.copy()
+    want[0, 2:9, 2:9] = True
+    assert (got == want).all()
 
 
 def test_filters_and_inside_grids(spark):
@@ -410,38 +449,42 @@ def test_openings_of_images(spark):
     got = np.zeros((16, 16))
     for r in morphology.disk_opening(rows, 6, 16, 16).collect():
         got[r.r, r.c] = r.v
-    offsets = particles.disk_offsets(6)
+    offsets = [(r, c) for r in range(-5, 6) for c in range(-5, 6) if abs(r) + abs(c) <= 8]
     low = np.array([[min(image[r + a, c + b] for a, b in offsets if 0 <= r + a < 16 and 0 <= c + b < 16) for c in range(16)] for r in range(16)])
     want = np.array([[max(low[min(15, max(0, r + a)), min(15, max(0, c + b))] for a, b in offsets) for c in range(16)] for r in range(16)])
-    assert (got == want).all() and (particles.opened(image, 6) == want).all()
-    assert (particles.opened(image, 2) <= image).all()
-    assert particles.without_smooth(np.full((20, 20), 7.0), 6).max() < 1e-9
+    assert (got == want).all()
+    for r in masks.opened(rows, 2, 16, 16).collect():
+        assert r.v <= image[r.r, r.c]
+    even = pixel_frame(spark, np.full((1, 20, 20), 7.0))
+    assert masks.minus(even, masks.smooth_background(even, 6, 20, 20)).agg(F.max("v")).first()[0] < 1e-9
 
 
-def test_labels_and_smoothing_of_images(spark):
-    rng = np.random.default_rng(4)
-    mask = rng.random((30, 40)) > 0.55
+def test_components_by_flood_fill(spark):
+    mask = np.random.default_rng(4).random((9, 11)) > 0.5
+    where = spark.createDataFrame([(0, *map(int, p)) for p in np.argwhere(mask)], "view int, r int, c int")
     for full in (True, False):
-        name = particles.labelled(mask, full)
-        seen = np.zeros(mask.shape, int)
-        for start in np.argwhere(mask):  # flood fill
-            if seen[tuple(start)]:
-                continue
-            todo, mark = [tuple(start)], start[0] * 40 + start[1] + 1
+        seen, todo = {}, []
+        for start in map(tuple, np.argwhere(mask)):
+            todo.append((start, start))
             while todo:
-                r, c = todo.pop()
-                if 0 <= r < 30 and 0 <= c < 40 and mask[r, c] and not seen[r, c]:
-                    seen[r, c] = mark
-                    todo += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if full or not (a and b)]
-        assert (name == seen).all()
-    sizes = np.bincount(particles.labelled(mask).ravel())
-    assert (particles.without_small(mask, 5) == ((sizes >= 5)[particles.labelled(mask)] & mask)).all()
-    image = rng.integers(0, 9, (16, 16)).astype(float)
-    rows = spark.createDataFrame([(1, int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(image)], "view int, r int, c int, v double")
-    got = morphology.edge_preserving(rows, 1, 16, 16).collect()
-    assert all(r.v == pytest.approx(particles.edge_preserved(image, 1)[r.r, r.c]) for r in got)
-    assert (particles.edge_preserved(image, 1)[:2] == image[:2]).all()
-    assert set(particles.disk_offsets(6)) == {(r, c) for r in range(-5, 6) for c in range(-5, 6) if abs(r) + abs(c) <= 8}
+                at, name = todo.pop()
+                r, c = at
+                if at not in seen and 0 <= r < 9 and 0 <= c < 11 and mask[at]:
+                    seen[at] = name
+                    todo += [((r + a, c + b), name) for a in (-1, 0, 1) for b in (-1, 0, 1) if full or not (a and b)]
+        got = {(r.r, r.c): divmod(r.comp, 65536) for r in morphology.components(where, ["r", "c"], full).collect()}
+        assert got == {k: tuple(map(int, v)) for k, v in seen.items()}
+
+
+def test_binned_phases_of_odd_sizes(spark):
+    stack = np.arange(35.0).reshape(1, 5, 7)
+    got = {(r.phase, r.r, r.c): r.v for r in aggregate.binned_phases(pixel_frame(spark, stack).withColumn("frame", F.lit(0)), 5, 7).collect()}
+    want = {}
+    for a in (0, 1):
+        for b in (0, 1):
+            for (r, c), v in np.ndenumerate(np.roll(stack[0], (-a, -b), (0, 1))[::2, ::2]):
+                want[2 * a + b, r, c] = v
+    assert got == want
 
 
 def test_ordered_sums_are_the_fixed_tree(spark):

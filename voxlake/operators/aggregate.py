@@ -9,40 +9,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def otsu(df: DataFrame, value: str = "v", bins: int = 256) -> DataFrame:
-    """threshold: one more than the first bin with the largest between-class variance; values in unit-wide bins from 0.
+def _beside(df: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of ``few``, which has a row for each group, or one."""
+    return df.join(F.broadcast(few), by) if by else df.crossJoin(F.broadcast(few))
 
-    A constant image separates nothing and has a null threshold.
+
+def otsu(df: DataFrame, value: str = "v", bins: int = 256, by: list[str] = ()) -> DataFrame:
+    """threshold (and ``by``): one more than the first bin with the largest between-class variance; values in unit-wide
+    bins from 0.
+
+    A constant image separates nothing and has a null threshold; a constant group has no row.
     """
     bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(value))).cast("int")
-    counts = df.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return _best_split(counts).select((F.col("b") + 1).alias("threshold"))
+    counts = df.groupBy(*by, bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return _best_split(counts, by).select(*by, (F.col("b") + 1).alias("threshold"))
 
 
-def _best_split(counts: DataFrame) -> DataFrame:
-    """b of the best split of a table (b, n) of at most a few hundred bins, or one row of null."""
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
+def _best_split(counts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """b of the best split of a table (b, n) of at most a few hundred bins, or one row of null; or of each group's."""
+    every = Window.partitionBy(*by)
+    w = every.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     m = F.col("n") * (F.col("b") + 1)
-    at = counts.select("b", F.sum("n").over(w).alias("w"), F.sum(m).over(w).alias("m"), F.sum("n").over(every).alias("wt"), F.sum(m).over(every).alias("mt")).where("w < wt")
+    at = counts.select(*by, "b", F.sum("n").over(w).alias("w"), F.sum(m).over(w).alias("m"), F.sum("n").over(every).alias("wt"), F.sum(m).over(every).alias("mt")).where("w < wt")
     gap = F.col("mt").cast("double") * F.col("w") - F.col("m").cast("double") * F.col("wt")
     score = gap * gap / (F.col("w").cast("double") * (F.col("wt") - F.col("w")))
-    return at.agg(F.max_by(F.col("b"), F.struct(score.alias("s"), (-F.col("b")).alias("o"))).alias("b"))
+    return at.groupBy(*by).agg(F.max_by(F.col("b"), F.struct(score.alias("s"), (-F.col("b")).alias("o"))).alias("b"))
 
 
-def otsu_scaled(df: DataFrame, value: str = "v") -> DataFrame:
+def otsu_scaled(df: DataFrame, value: str = "v", by: list[str] = ()) -> DataFrame:
     """threshold on the data's scale, of values stretched to 0..255; 0 if nothing is positive."""
-    top = df.agg(F.max(value).alias("_top"))
-    scaled = df.crossJoin(F.broadcast(top)).where("_top > 0").select((F.col(value) * 255.0 / F.col("_top")).alias("v"))  # one row
-    return otsu(scaled).crossJoin(F.broadcast(top)).select(F.when(F.col("_top") > 0, F.col("threshold") * F.col("_top") / 255.0).otherwise(0.0).alias("threshold"))
+    top = df.groupBy(*by).agg(F.max(value).alias("_top"))
+    scaled = _beside(df, top, by).where("_top > 0").select(*by, (F.col(value) * 255.0 / F.col("_top")).alias("v"))
+    return _beside(otsu(scaled, by=by), top, by).select(*by, F.when(F.col("_top") > 0, F.col("threshold") * F.col("_top") / 255.0).otherwise(0.0).alias("threshold"))
 
 
-def otsu_range(df: DataFrame, value: str = "v", bins: int = 256) -> DataFrame:
+def otsu_range(df: DataFrame, value: str = "v", bins: int = 256, by: list[str] = ()) -> DataFrame:
     """threshold: left edge of the best of ``bins`` equal bins between the least and greatest value."""
-    ends = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    ends = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     b = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))).cast("int")
-    counts = df.crossJoin(F.broadcast(ends)).where("_hi > _lo").groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"))  # one row
-    return _best_split(counts).crossJoin(F.broadcast(ends)).select((F.col("_lo") + F.col("b") * (F.col("_hi") - F.col("_lo")) / bins).alias("threshold"))
+    counts = _beside(df, ends, by).where("_hi > _lo").groupBy(*by, b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return _beside(_best_split(counts, by), ends, by).select(*by, (F.col("_lo") + F.col("b") * (F.col("_hi") - F.col("_lo")) / bins).alias("threshold"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: list[str] = ()) -> DataFrame:
@@ -141,11 +147,17 @@ def frame_sum(df: DataFrame, clamp: bool = False) -> DataFrame:
 
 
 def binned_phases(df: DataFrame, rows: int, cols: int) -> DataFrame:
-    """frame, view, phase, r, c, v: 2 x 2 sums of each of the four circular shifts."""
-    shifted = df.withColumn("_p", F.explode(F.array(*(F.lit(p) for p in range(4)))))
-    r = F.pmod(F.col("r") + F.shiftright("_p", 1), F.lit(rows))
-    c = F.pmod(F.col("c") + F.col("_p") % 2, F.lit(cols))
-    return shifted.groupBy("frame", "view", F.col("_p").alias("phase"), F.floor(r / 2).cast("int").alias("r"), F.floor(c / 2).cast("int").alias("c")).agg(F.sum("v").alias("v"))
+    """frame, view, phase, r, c, v: every second pixel of the image rolled back by 0 or 1 rows (2 in ``phase``) and columns.
+
+    With an odd number of rows or columns the last pixel of a rolled image is the first of the image.
+    """
+    places = []
+    for axis, n in (("r", rows), ("c", cols)):
+        own = F.struct((F.col(axis) % 2).cast("int").alias("p"), F.floor(F.col(axis) / 2).cast("int").alias("at"))
+        wrapped = F.struct(F.lit(1).alias("p"), F.lit(n // 2).alias("at"))
+        places.append(F.when((F.col(axis) == 0) & F.lit(n % 2 == 1), F.array(own, wrapped)).otherwise(F.array(own)))
+    out = df.withColumn("_r", F.explode(places[0])).withColumn("_c", F.explode(places[1]))
+    return out.select("frame", "view", (2 * F.col("_r.p") + F.col("_c.p")).alias("phase"), F.col("_r.at").alias("r"), F.col("_c.at").alias("c"), "v")
 
 
 def noise_parameters(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _per_view(spark, numbers: dict[int, dict[str, float]], names: list[str]) ->
     return F.broadcast(spark.createDataFrame([(v, *(float(n[k]) for k in names)) for v, n in numbers.items()], "view int, " + ", ".join(f"{k} double" for k in names)))
 
 
-def fill_region(pixels: DataFrame, mask: DataFrame, rows: int, cols: int, tolerance: float = 1e-9, rounds: int = 2000) -> DataFrame:
+def fill_region(pixels: DataFrame, mask: DataFrame, rows: int, cols: int, tolerance: float = 1e-6, rounds: int = 2000) -> DataFrame:
     """view, r, c, v of ``pixels`` (absent ones are 0), those of ``mask`` (view, r, c) by Laplace's equation with the
     others as boundary and nothing flowing over the frame; a view that is masked whole is 0 there.
 

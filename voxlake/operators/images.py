@@ -222,49 +222,6 @@ def gaussian(image: np.ndarray, sigma: float, radius: int | None = None, border:
     return out
 
 
-def grow_mask(mask: np.ndarray, half_width: float, threshold: float = 0.1) -> np.ndarray:
-    """Mask blurred by a Gaussian that is 1 in its middle and a half at ``half_width``, and cut again."""
-    rows, cols = (np.exp(-(np.subtract.outer(np.arange(n), np.arange(n)) ** 2) * np.log(2) / half_width**2) for n in mask.shape)
-    return rows @ mask.astype(float) @ cols > threshold
-
-
-def fill_region(image: np.ndarray, mask: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
-    """Masked pixels from Laplace's equation with the others as boundary, by conjugate gradients; a full mask gives 0."""
-    mask = mask.astype(bool)
-    if not mask.any():
-        return image.astype(float).copy()
-    if mask.all():
-        return np.zeros(image.shape)
-    known = np.where(mask, 0.0, image)
-    degree = np.full(image.shape, 4.0)
-    degree[[0, -1], :] -= 1
-    degree[:, [0, -1]] -= 1
-
-    def around(x):
-        out = np.zeros_like(x)
-        out[1:] += x[:-1]
-        out[:-1] += x[1:]
-        out[:, 1:] += x[:, :-1]
-        out[:, :-1] += x[:, 1:]
-        return out
-
-    apply = lambda x: np.where(mask, degree * x - around(x), 0.0)
-    b = np.where(mask, around(known), 0.0)
-    x = np.zeros(image.shape)
-    r = b.copy()
-    p, rr = r.copy(), float((r * r).sum())
-    goal = tolerance**2 * max(rr, 1e-300)
-    for _ in range(4 * int(mask.sum())):
-        if rr <= goal:
-            break
-        ap = apply(p)
-        step = rr / float((p * ap).sum())
-        x += step * p
-        r -= step * ap
-        p, rr = r + (new := float((r * r).sum())) / rr * p, new
-    return known + x
-
-
 # variance stabilisation
 def vst(x, sigma: float):
     """Anscombe transform for unit gain."""

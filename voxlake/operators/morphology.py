@@ -18,15 +18,15 @@ def dilate(mask: DataFrame, offsets: list[tuple[int, ...]], axes: list[str], siz
     return out.select(*keys, *axes).distinct()
 
 
-def erode(mask: DataFrame, offsets: list[tuple[int, ...]], axes: list[str], sizes: list[int]) -> DataFrame:
-    """Cells whose every offset is in the mask or outside the frame.
+def erode(mask: DataFrame, offsets: list[tuple[int, ...]], axes: list[str], sizes: list[int], outside: bool = True) -> DataFrame:
+    """Cells whose every offset is in the mask or, with ``outside``, beyond the frame.
 
     Each mask cell votes for the cells that need it; a cell stays if it has all the votes it needs, which the distance
     to the frame's edge tells without looking at cells outside.
     """
     keys = [c for c in mask.columns if c not in axes]
     votes = spread(mask, [tuple(-x for x in o) for o in offsets], axes, axes).groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("_n"))
-    need = sum((F.when(_inside(o, axes, sizes), 1).otherwise(0) for o in offsets), F.lit(0))
+    need = sum((F.when(_inside(o, axes, sizes), 1).otherwise(0) for o in offsets), F.lit(0)) if outside else F.lit(len(offsets))
     return mask.join(votes, [*keys, *axes]).where(F.col("_n") == need).select(*keys, *axes)
 
 
@@ -106,7 +106,7 @@ def line_opening(df: DataFrame, half: int, axis: str, by: list[str]) -> DataFram
 OCTAGONS = {6: (3, 1), 10: (5, 2), 12: (5, 3), 20: (9, 5), 140: (61, 39)}
 
 
-def _padded(df: DataFrame, extent: int, rows: int, columns: int) -> DataFrame:
+def padded(df: DataFrame, extent: int, rows: int, columns: int) -> DataFrame:
     """An image with its edge repeated ``extent`` times on every side."""
     for axis, n in (("r", rows), ("c", columns)):
         first = F.when(F.col(axis) == 0, -extent).otherwise(F.col(axis))
@@ -125,7 +125,7 @@ def octagon_opening(df: DataFrame, straight: int, diagonal: int, rows: int, colu
     inside = F.col("r").between(0, rows - 1) & F.col("c").between(0, columns - 1)
     out, kind = df.select("view", "r", "c", F.col("v").cast("double").alias("v")), df.schema["v"].dataType
     for f in (F.min, F.max):
-        out = _padded(out, extent, rows, columns)
+        out = padded(out, extent, rows, columns)
         if f is F.min:
             out = out.withColumn("v", F.when(inside, F.col("v")).otherwise(F.lit(float("inf"))))
         out = out.withColumns({"_p": F.col("r") - F.col("c"), "_q": F.col("r") + F.col("c")})

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, cluster, fill, morphology, neighbours, project, select, shape, tomography
+from ..operators import aggregate, cluster, fill, lines, masks, morphology, neighbours, project, select, shape, tomography
 from ..sources import adapters
 
 FLAGSHIP = "otsu_threshold"
@@ -154,9 +154,10 @@ def average_noise(spark: SparkSession, d: str) -> DataFrame:
     return rounded(aggregate.average_noise(aggregate.noise_parameters(adapters.frames(spark, d))), "alpha", "sigma2")
 
 
-@query("SELECT frame, view, CAST(p AS INT) AS phase, CAST(((r + p // 2) % 16) // 2 AS INT) AS r, CAST(((c + p % 2) % 16) // 2 AS INT) AS c, CAST(SUM(v) AS BIGINT) AS v FROM frm, range(4) t(p) GROUP BY 1,2,3,4,5", FRM)
+@query("""SELECT frame, view, CAST(2 * p + q AS INT) AS phase, CAST(a.x AS INT) AS r, CAST(b.x AS INT) AS c, v FROM range(2) s(p) CROSS JOIN range(2) t(q) CROSS JOIN range(8) a(x) CROSS JOIN range(8) b(x) JOIN frm ON frm.r = (2 * a.x + p) % 15 AND frm.c = 2 * b.x + q""", FRM)
 def binned_phases(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.binned_phases(adapters.frames(spark, d), 16, 16)
+    """A19 on 15 rows, where a rolled image's last row is the first, and 16 columns."""
+    return aggregate.binned_phases(adapters.frames(spark, d).where("r < 15"), 15, 16)
 
 
 @query("SELECT view, v FROM (SELECT view, v, row_number() OVER (PARTITION BY view ORDER BY v) k, COUNT(*) OVER (PARTITION BY view) n FROM pix) WHERE k = greatest(1, CAST(round(n / 128E0) AS BIGINT))", PIX)
@@ -602,20 +603,14 @@ def _kernel(name: str, kernel):
 
 
 def _kernels() -> None:
-    from ..operators import blocks, images, particles
+    from ..operators import blocks, images
 
     _kernel("power_spectrum", lambda a: np.log1p(np.abs(images.centred_fft(a)) ** 2))
     _kernel("inverse_spectrum", lambda a: images.centred_ifft(images.centred_fft(a) * (1 + np.abs(np.indices(a.shape).sum(axis=0) - 16)) ** -1.0).real)
     _kernel("half_spectrum", lambda a: np.log1p(np.abs(images.half_spectrum(a)) ** 2))
-    _kernel("particle_mask", lambda a: particles.otsu_mask(a).astype(float))
-    _kernel("centred_particle", lambda a: particles.centred_particle(a, 0.9, (4, 4))["shifted"])
-    _kernel("gaussian_filter", lambda a: images.gaussian(a, 1.0, 4))
-    _kernel("fourier_shift", lambda a: images.fourier_shift(a, 1.25, -0.5))
     _kernel("spline_upsample", images.upsample)
     _kernel("bicubic_resample", lambda a: images.bicubic(a, *[x * 0.5 for x in np.indices((31, 31))]))
     _kernel("rotate_image", lambda a: images.rotate(a, 10.0))
-    _kernel("region_fill", lambda a: images.fill_region(a, a > a.mean()))
-    _kernel("mask_growth", lambda a: images.grow_mask(a > a.mean(), 1.0).astype(float))
     _kernel("bm3d_denoise", lambda a: images.block_matching_denoise(a / max(1.0, a.max()), 0.05))
     _kernel("vst_inverse", lambda a: images.inverse_vst(images.vst(a / max(1.0, a.max()) * 100, 1.0), 1.0))
 
@@ -827,18 +822,100 @@ def volume_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("i", "j", "k", F.log1p(F.col("re") ** 2 + F.col("im") ** 2).alias("v")), "v")
 
 
-HOLES = "(r BETWEEN 5 AND 8 AND c BETWEEN 4 + view % 3 AND 9) OR (r = 0 AND c < 3) OR (r = 15 AND c = 15)"
+def _real(spark: SparkSession, d: str) -> DataFrame:
+    return _full(spark, d).withColumn("v", F.col("v").cast("double"))
 
 
-@query("""SELECT view, CAST(i // 16 AS INT) AS r, CAST(i % 16 AS INT) AS c, round(vals[i + 1], 5) AS v FROM go CROSS JOIN range(256) t(i) WHERE n = 250""", PIX, FULL,
- f"grid AS (SELECT view, list(CAST(v AS DOUBLE) ORDER BY r, c) AS vals, list({HOLES} ORDER BY r, c) AS hole FROM full2 GROUP BY view)",
+#: Laplace's equation by relaxing step by step: a view's pixels as a list, the bright ones unknown.
+@query("SELECT view, CAST(i // 16 AS INT) AS r, CAST(i % 16 AS INT) AS c, round(vals[i + 1], 4) AS v FROM go CROSS JOIN range(256) t(i) WHERE n = 1500", PIX, FULL,
+ "cov AS (SELECT view, r, c, v, v > 1.2E0 * AVG(v) OVER (PARTITION BY view) AS hole FROM full2)", "grid AS (SELECT view, list(CAST(v AS DOUBLE) ORDER BY r, c) AS vals, list(hole ORDER BY r, c) AS hole FROM cov GROUP BY view)",
  """go(n, view, vals, hole) AS (SELECT 0, view, list_transform(vals, lambda v, i: CASE WHEN hole[i] THEN 0 ELSE v END), hole FROM grid UNION ALL
  SELECT n + 1, view, list_transform(range(256), lambda i: CASE WHEN hole[i + 1] THEN (CASE WHEN i >= 16 THEN vals[i - 15] ELSE 0 END + CASE WHEN i < 240 THEN vals[i + 17] ELSE 0 END + CASE WHEN i % 16 > 0 THEN vals[i] ELSE 0 END + CASE WHEN i % 16 < 15 THEN vals[i + 2] ELSE 0 END)
- / ((i >= 16)::INT + (i < 240)::INT + (i % 16 > 0)::INT + (i % 16 < 15)::INT) ELSE vals[i + 1] END), hole FROM go WHERE n < 250)""")
-def laplace_fill(spark: SparkSession, d: str) -> DataFrame:
-    """C10: holes inside, at a side and in a corner, by conjugate gradients; SQL relaxes step by step."""
-    full = _full(spark, d)
-    return rounded(fill.fill_region(full, full.where(HOLES).select("view", "r", "c"), 16, 16, tolerance=1e-12), "v", to=5)
+ / ((i >= 16)::INT + (i < 240)::INT + (i % 16 > 0)::INT + (i % 16 < 15)::INT) ELSE vals[i + 1] END), hole FROM go WHERE n < 1500)""")
+def region_fill(spark: SparkSession, d: str) -> DataFrame:
+    """C10: pixels over 1.2 times their view's mean from the others, by conjugate gradients."""
+    full = _real(spark, d)
+    mask = full.join(full.groupBy("view").agg(F.avg("v").alias("a")), "view").where("v > 1.2D * a").select("view", "r", "c")
+    return rounded(fill.fill_region(full, mask, 16, 16, tolerance=1e-12), "v", to=4)
+
+
+ORACLE_SQL["region_fill"] = ORACLE_SQL["region_fill"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _image(px: DataFrame, mask: DataFrame) -> DataFrame:
+    marked = px.select("view", "r", "c").join(mask.withColumn("_in", F.lit(1.0)), ["view", "r", "c"], "left")
+    return marked.select("view", "r", "c", F.coalesce("_in", F.lit(0.0)).alias("v"))
+
+
+def _morphology_steps(start: str, steps: str) -> tuple[list[str], str]:
+    """SQL of erosions (e) and dilations (d) by a cross from the mask ``start`` on, and the last one's name."""
+    out, now = [], start
+    for n, step in enumerate(steps):
+        name = f"{start}_{n}"
+        if step == "e":
+            out.append(f"{name} AS (SELECT m.view, m.r, m.c FROM {now} m JOIN {now} n ON n.view = m.view AND abs(n.r - m.r) + abs(n.c - m.c) <= 1 GROUP BY ALL HAVING COUNT(*) = 5)")
+        else:
+            out.append(f"{name} AS (SELECT DISTINCT f.view, f.r, f.c FROM full2 f JOIN {now} n ON n.view = f.view AND abs(n.r - f.r) + abs(n.c - f.c) <= 1)")
+        now = name
+    return out, now
+
+
+def _particle_sql() -> str:
+    first, last = _morphology_steps("m", "eedd" + "dddd" + "eeee")
+    then, end = _morphology_steps("h", "ddd")
+    mirror = lambda a, t: f"CASE WHEN f.{a} + {t} < 0 THEN -1 - f.{a} - {t} WHEN f.{a} + {t} > 15 THEN 31 - f.{a} - {t} ELSE f.{a} + {t} END"
+    parts = [
+        PIX, FULL, "tap AS (SELECT CAST(x AS INT) t, exp(-x * x / 8.0) / (SELECT SUM(exp(-x * x / 8.0)) FROM range(-8, 9) s(x)) AS w FROM range(-8, 9) s(x))",
+        f"sm AS (SELECT f.view, f.r, f.c, SUM(a.w * b.w * n.v) AS v FROM full2 f CROSS JOIN tap a CROSS JOIN tap b JOIN full2 n ON n.view = f.view AND n.r = {mirror('r', 'a.t')} AND n.c = {mirror('c', 'b.t')} GROUP BY 1, 2, 3)",
+        "ext AS (SELECT view, MIN(v) lo, MAX(v) hi FROM sm GROUP BY view)", "cnt AS (SELECT view, CAST(least(255, floor((v - lo) * 256 / (hi - lo))) AS INT) b, COUNT(*) n FROM sm JOIN ext USING (view) GROUP BY 1, 2)",
+        "run AS (SELECT view, b, SUM(n) OVER w AS w, SUM(n * (b + 1)) OVER w AS m, SUM(n) OVER (PARTITION BY view) AS wt, SUM(n * (b + 1)) OVER (PARTITION BY view) AS mt FROM cnt WINDOW w AS (PARTITION BY view ORDER BY b ROWS UNBOUNDED PRECEDING))",
+        "best AS (SELECT view, arg_max(b, row((CAST(mt AS DOUBLE) * w - CAST(m AS DOUBLE) * wt) ** 2 / (CAST(w AS DOUBLE) * (wt - w)), -b)) AS b FROM run WHERE w < wt GROUP BY view)",
+        "m AS (SELECT view, r, c FROM sm JOIN ext USING (view) JOIN best USING (view) WHERE v > (lo + b * (hi - lo) / 256) * 0.9E0)", *first,
+        f"rest AS (SELECT view, r, c FROM full2 ANTI JOIN {last} USING (view, r, c))",
+        "out_(view, r, c) AS (SELECT view, r, c FROM rest WHERE r IN (0, 15) OR c IN (0, 15) UNION SELECT rest.view, rest.r, rest.c FROM out_ JOIN rest ON rest.view = out_.view AND abs(rest.r - out_.r) + abs(rest.c - out_.c) = 1)",
+        "h AS (SELECT view, r, c FROM full2 ANTI JOIN out_ USING (view, r, c))", *then,
+    ]
+    return "WITH RECURSIVE " + ", ".join(parts) + f" SELECT f.view, f.r, f.c, CASE WHEN k.view IS NULL THEN 0E0 ELSE 1E0 END AS v FROM full2 f LEFT JOIN {end} k USING (view, r, c)"
+
+
+@query()
+def particle_mask(spark: SparkSession, d: str) -> DataFrame:
+    """C15: blurred, cut, opened, closed, filled and dilated."""
+    px = _real(spark, d)
+    return _image(px, masks.blob_mask(px, 16, 16))
+
+
+ORACLE_SQL["particle_mask"] = _particle_sql()
+
+
+@query()
+def centred_particle(spark: SparkSession, d: str) -> DataFrame:
+    """C9: rolled to the middle."""
+    return rounded(masks.centred(_real(spark, d), 16, 16, 0.9, (4, 4))["shifted"], "v")
+
+
+@query()
+def particle_centres(spark: SparkSession, d: str) -> DataFrame:
+    """C14."""
+    return rounded(masks.centres(_real(spark, d), 6, 16, 16, 1.0), "cr", "cc")
+
+
+def gaussian_filter(spark: SparkSession, d: str) -> DataFrame:
+    """W7 as two line filters."""
+    return rounded(lines.gaussian(_real(spark, d), 1.0, 16, 16, 4), "v")
+
+
+def fourier_shift(spark: SparkSession, d: str) -> DataFrame:
+    """T4 as two complex line maps."""
+    px = _real(spark, d)
+    return rounded(lines.fourier_shift(px, px.select("view").distinct().select("view", F.lit(1.25).alias("dy"), F.lit(-0.5).alias("dx")), 16, 16), "v")
+
+
+def mask_growth(spark: SparkSession, d: str) -> DataFrame:
+    """C8 by sends along both axes."""
+    px = _real(spark, d)
+    mask = px.join(px.groupBy("view").agg(F.avg("v").alias("a")), "view").where("v > a").select("view", "r", "c")
+    return _image(px, masks.grown(mask, 1.0, 16, 16))
 
 
-ORACLE_SQL["laplace_fill"] = ORACLE_SQL["laplace_fill"].replace("WITH ", "WITH RECURSIVE ", 1)
+QUERIES.update({f.__name__: f for f in (gaussian_filter, fourier_shift, mask_growth)})

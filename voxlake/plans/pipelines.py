@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, cluster, images, neighbours, particles, project, select, shape, tomography
+from ..operators import aggregate, blocks, cluster, images, lines, masks, neighbours, project, select, shape, tomography
 from ..operators.iterate import cut
 from ..sources import adapters
 
@@ -34,11 +34,11 @@ def noise_of(frames: DataFrame, config: Preprocess) -> tuple[DataFrame, DataFram
     spark, n = frames.sparkSession, (config.rows, config.cols)
     level = frames.withColumn("v", fn.dark_floor(F.col("v"), config.dark_least))
     each = level.select(F.col("frame").alias("_f"), F.col("view").alias("_v"), "r", "c", "v").withColumn("view", (F.col("_v") * 65536 + F.col("_f")).cast("int"))
-    smooth = blocks.map_images(each, lambda a: images.gaussian(a, 6.0, 12), *n)
+    smooth = lines.gaussian(each.select("view", "r", "c", "v"), 6.0, *n, 12)
     dark = smooth.groupBy(F.shiftright("view", 16).alias("view")).agg(F.min("v").alias("dark"))
     clean = cut(frames.join(F.broadcast(dark), "view").withColumn("v", fn.subtract_dark(F.col("v"), F.col("dark"))).drop("dark"), spark)  # a row for each view
-    empty = blocks.map_images(clean.where("frame = 0"), lambda a: particles.background_mask(a, config.least[0]).astype(float), *n).where("v = 1")
-    return clean, cut(aggregate.background_noise(clean, empty.select("view", "r", "c")), spark)
+    empty = masks.background(clean.where("frame = 0").select("view", "r", "c", "v"), config.least[0], *n)
+    return clean, cut(aggregate.background_noise(clean, empty), spark)
 
 
 def preprocess(frames: DataFrame, angles: DataFrame, config: Preprocess) -> dict[str, DataFrame]:
@@ -52,11 +52,11 @@ def preprocess(frames: DataFrame, angles: DataFrame, config: Preprocess) -> dict
         alpha, sigma = float(mean["alpha"] or 1.0), float(mean["sigma2"] or 0.0) ** 0.5
         summed = blocks.map_images(summed, lambda a: denoised(a, alpha, sigma, config.factor), *n)
     summed = cut(summed, spark)
-    found = {k: (lambda a, k=k: particles.without_background(a, config.disk, config.mask_scale, config.least)[k].astype(float)) for k in ("aligned", "mask")}
-    flat, mask = (shape.transpose(blocks.map_images(summed, found[k], *n)) for k in ("aligned", "mask"))
+    found = masks.without_background(summed, *n, config.disk, config.mask_scale, config.least)
+    flat, mask = (shape.transpose(found[k]) for k in ("aligned", "mask"))
     window = {"r": (config.cols, config.size), "c": (config.rows, config.size)}
     out = shape.crop_or_pad(aggregate.normalise(cut(flat, spark)), window)
-    return {"projections": cut(out, spark), "angles": shape.angle_table(angles), "noise": noise, "masks": shape.crop_or_pad(mask, window).where("v = 1").select("view", "r", "c")}
+    return {"projections": cut(out, spark), "angles": shape.angle_table(angles), "noise": noise, "masks": shape.crop_or_pad(mask, window).select("view", "r", "c")}
 
 
 def denoised(image: np.ndarray, alpha: float, sigma: float, factor: float = 1.0) -> np.ndarray:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, images, particles, select, shape
+from ..operators import aggregate, blocks, images, lines, masks, select, shape
+from ..operators.fill import fill_region
 
 
 def step_01_register_frames(frames: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -31,16 +32,20 @@ def step_03_crop_fixed_center(px: DataFrame, centres: DataFrame, size: int) -> D
     return shape.crop_at(px, centres, size)
 
 
-def step_04_estimate_dark_current(px: DataFrame) -> DataFrame:
-    return px.withColumn("v", fn.dark_floor(F.col("v"))).groupBy("view").agg(F.min("v").alias("dark"))
+def step_04_estimate_dark_current(px: DataFrame, rows: int, cols: int, floor: float = 1000.0) -> DataFrame:
+    """The least value of the blurred images (and frames), where pixels up to ``floor`` count as bright."""
+    smooth = lines.gaussian(px.withColumn("v", fn.dark_floor(F.col("v").cast("double"), floor)), 6.0, rows, cols, 12)
+    return smooth.groupBy("view").agg(F.min("v").alias("dark"))
 
 
 def step_05_subtract_dark_current(px: DataFrame, dark: DataFrame) -> DataFrame:
     return px.join(dark, "view").withColumn("v", fn.subtract_dark(F.col("v"), F.col("dark"))).drop("dark")
 
 
-def step_06_estimate_noise_parameters(frames: DataFrame) -> DataFrame:
-    return aggregate.noise_parameters(frames)
+def step_06_estimate_noise_parameters(frames: DataFrame, rows: int, cols: int, least: int = 3000) -> DataFrame:
+    """view, alpha, sigma2 from blocks of pixels, the constant part from where the first frame has no particle."""
+    first = frames.where("frame = 0").select("view", "r", "c", F.col("v").cast("double").alias("v"))
+    return aggregate.background_noise(frames, masks.background(first, least, rows, cols))
 
 
 def step_07_sum_frames(frames: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def step_15_restore_intensity(px: DataFrame, before: DataFrame) -> DataFrame:
 
 def step_16_17_smooth_background(px: DataFrame, disk: int, rows: int, cols: int) -> DataFrame:
     """Opening with a disk between two blurs, subtracted."""
-    return blocks.map_images(px, lambda a: particles.without_smooth(a, disk), rows, cols)
+    return masks.minus(px, masks.smooth_background(px, disk, rows, cols))
 
 
 def step_18_19_mask_and_centre(px: DataFrame, rows: int, cols: int, least: int = 3000) -> DataFrame:
@@ -97,11 +102,8 @@ def step_20_21_subpixel_centre(px: DataFrame, rows: int, cols: int, scale: float
 
 
 def step_22_laplacian_background(px: DataFrame, mask: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Filled where ``mask`` (view, r, c) is; masked pixels come with a null value."""
-    import numpy as np
-
-    marked = px.join(mask.withColumn("_m", F.lit(True)), ["view", "r", "c"], "left").select("view", "r", "c", F.when(F.col("_m"), F.lit(float("nan"))).otherwise(F.col("v")).alias("v"))
-    return blocks.map_images(marked, lambda a: images.fill_region(np.nan_to_num(a), np.isnan(a)), rows, cols)
+    """Filled where ``mask`` (view, r, c) is."""
+    return fill_region(px, mask, rows, cols)
 
 
 def step_23_subtract(px: DataFrame, background: DataFrame) -> DataFrame:
@@ -109,24 +111,32 @@ def step_23_subtract(px: DataFrame, background: DataFrame) -> DataFrame:
     return both.select("view", "r", "c", fn.clamp_zero(F.col("v") - F.col("_b")).alias("v"))
 
 
+def _as_image(px: DataFrame, mask: DataFrame) -> DataFrame:
+    """view, r, c, v: 1 inside the mask."""
+    marked = px.select(*masks.CELL).join(mask.withColumn("_in", F.lit(1.0)), masks.CELL, "left")
+    return marked.select(*masks.CELL, F.coalesce("_in", F.lit(0.0)).alias("v"))
+
+
 def step_24_initial_mask(px: DataFrame, rows: int, cols: int, least: int = 3000) -> DataFrame:
     """view, r, c, v: 1 inside the mask."""
-    return blocks.map_images(px, lambda a: particles.initial_mask(a, least)[1].astype(float), rows, cols)
+    return _as_image(px, masks.first_mask(masks.low_passed(px, rows, cols), rows, cols, least))
 
 
 def step_25_integer_com(px: DataFrame, rows: int, cols: int, least: int = 3000) -> DataFrame:
     """The images, rolled so that their particle is in the middle."""
-    return blocks.map_images(px, lambda a: particles.integer_centred(*particles.initial_mask(a, least))[0], rows, cols)
+    image = masks.low_passed(px, rows, cols)
+    first = masks.first_mask(image, rows, cols, least)
+    return masks.rolled(image, masks.mass_shift(image, first, rows, cols, whole=True), rows, cols)
 
 
 def step_26_refined_mask(px: DataFrame, rows: int, cols: int, scale: float = 0.9, least: tuple[int, int] = (3000, 10000)) -> DataFrame:
     """view, r, c, v: 1 inside the mask of the centred image."""
-    return blocks.map_images(px, lambda a: particles.centred_particle(a, scale, least)["mask"].astype(float), rows, cols)
+    return _as_image(px, masks.centred(px, rows, cols, scale, least)["mask"])
 
 
 def step_27_subpixel_com(px: DataFrame, rows: int, cols: int, scale: float = 0.9, least: tuple[int, int] = (3000, 10000)) -> DataFrame:
     """The masked images with their centre of mass in the middle."""
-    return blocks.map_images(px, lambda a: particles.centred_particle(a, scale, least)["aligned"], rows, cols)
+    return masks.centred(px, rows, cols, scale, least)["aligned"]
 
 
 def step_28_transpose_image(px: DataFrame) -> DataFrame:

@@ -661,7 +661,9 @@ def test_reconstruction_is_the_plain_one(spark):
         tomography.turns_of(angle_frame(spark, degrees).unionByName(angle_frame(spark, degrees[:1])))
 
 
-def test_filled_regions_solve_laplaces_equation(spark):
+@pytest.mark.parametrize("tile", [3, 64])
+def test_filled_regions_solve_laplaces_equation(spark, monkeypatch, tile):
+    monkeypatch.setattr(fill, "TILE", tile)
     rng = np.random.default_rng(18)
     stack = rng.uniform(0, 9, (4, 7, 6))
     mask = rng.random(stack.shape) < 0.5
@@ -677,5 +679,6 @@ def test_filled_regions_solve_laplaces_equation(spark):
             for p, q in near:
                 a[r * 6 + c, p * 6 + q] = -1
         assert np.allclose(got[v].ravel(), np.linalg.solve(a, b))
-    with pytest.raises(ValueError):
-        fill.fill_region(pixel_frame(spark, stack, 0), where, 7, 6, 1e-11, rounds=2)
+    if tile == 3:
+        with pytest.raises(ValueError):
+            fill.fill_region(pixel_frame(spark, stack, 0), where, 7, 6, 1e-11, rounds=2)

@@ -46,7 +46,8 @@ def dilate_ball(mask: DataFrame, distance: int, axes: list[str], sizes: list[int
 def components(mask: DataFrame, axes: list[str], full: bool = True) -> DataFrame:
     """``mask`` with comp, the least cell number of each component; full connectivity, or faces only.
 
-    Labels spread to neighbours and then jump to their label's label, so paths halve each round.
+    Cells of a run start with its least label; labels spread to neighbours and then jump to their label's label, so
+    paths halve each round.
     """
     spark = mask.sparkSession
     keys = [c for c in mask.columns if c not in axes]
@@ -54,7 +55,12 @@ def components(mask: DataFrame, axes: list[str], full: bool = True) -> DataFrame
     name = F.lit(0).cast("long")
     for a in axes:
         name = name * 65536 + F.col(a)
-    state = cut(mask.select(*keys, *axes, name.alias("cell"), name.alias("comp")), spark)
+    state = mask.select(*keys, *axes, name.alias("cell"), name.alias("comp"))
+    for a in reversed(axes):  # runs along lines have one label from the start
+        line = [*keys, *(b for b in axes if b != a)]
+        state = state.withColumn("_run", F.col(a) - F.row_number().over(Window.partitionBy(*line).orderBy(a)))
+        state = state.withColumn("comp", F.min("comp").over(Window.partitionBy(*line, "_run"))).drop("_run")
+    state = cut(state, spark)
     moves = [tuple(o) for o in near]
     while True:
         sent = spread(state.select(*keys, *axes, "comp"), moves, axes, axes).groupBy(*keys, *axes).agg(F.min("comp").alias("_m"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, blocks, cluster, fill, images, lines, masks, morphology, neighbours, project, select, shape, tomography, voronoi
+from voxlake.operators import aggregate, blocks, cluster, fill, images, lines, masks, morphology, neighbours, project, registration, select, shape, tomography, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -119,8 +119,6 @@ def test_fft_conventions():
 def test_registration_and_resampling():
     y, x = np.mgrid[:64, :64]
     image = np.exp(-((y - 30) ** 2 + (x - 35) ** 2) / 30.0)
-    dy, dx, c = images.register(image, images.fourier_shift(image, -1.25, 0.5))
-    assert abs(dy - 1.25) < 0.05 and abs(dx + 0.5) < 0.05 and c > 0.99
     ramp = 2.0 * y[:8, :8] + 3.0 * x[:8, :8]
     assert np.allclose(images.bicubic(ramp, np.array([2.25, 7.0]), np.array([3.5, 7.0])), [2 * 2.25 + 3 * 3.5, 35])
     assert np.allclose(images.spline_weights(8) @ np.arange(8.0) ** 3, ((np.arange(24) - 11.5) / 3 + 3.5) ** 3)
@@ -682,3 +680,37 @@ def test_filled_regions_solve_laplaces_equation(spark, monkeypatch, tile):
     if tile == 3:
         with pytest.raises(ValueError):
             fill.fill_region(pixel_frame(spark, stack, 0), where, 7, 6, 1e-11, rounds=2)
+
+
+def test_registration(spark):
+    rng = np.random.default_rng(3)
+    y, x = np.indices((48, 44))
+    first = np.exp(-((y - 22) ** 2 + (x - 20) ** 2) / 6) * 50 + np.exp(-((y - 26) ** 2 + (x - 24) ** 2) / 4) * 30
+    stack = np.array([first, first[::-1, ::-1]]) + rng.normal(0, 0.01, (2, 48, 44))
+    moves = [(1.3, -2.6), (-0.2, 1.45)]
+    moved = np.array([images.fourier_shift(a, *m) for a, m in zip(stack, moves)])
+    got = {r.view: (r.dy, r.dx) for r in registration.shifts(pixel_frame(spark, stack, 0), pixel_frame(spark, moved, 0), 48, 44, reach=5, border=6).collect()}
+    for v in (0, 1):
+        assert got[v] == pytest.approx([-d for d in moves[v]], abs=0.06)
+    small = pixel_frame(spark, stack[:, 14:30, 10:28], 0)
+    rolled = pixel_frame(spark, np.roll(stack[:, 14:30, 10:28], (3, -5), (1, 2)), 0)
+    assert {tuple(r)[1:] for r in registration.shifts(small, rolled, 16, 18).collect()} == {(-3.0, 5.0)}
+    frames = pixel_frame(spark, stack[:1, 14:30, 10:28], 0).withColumn("frame", F.lit(0)).unionByName(pixel_frame(spark, np.roll(stack[:1, 14:30, 10:28], (0, 2), (1, 2)), 0).withColumn("frame", F.lit(1)))
+    aligned, found = registration.register_frames(frames, 16, 18)
+    assert sorted((r.frame, r.dy, r.dx) for r in found.collect()) == [(0, 0, 0), (1, 0, -2)]
+    assert np.allclose(dense(aligned.where("frame = 1"), ("view", "r", "c"), (1, 16, 18)), stack[:1, 14:30, 10:28])
+    with pytest.raises(ValueError):
+        registration.shifts(small, small, 16, 18, resolution=0.6)
+
+
+def test_correlations_are_the_formula(spark):
+    rng = np.random.default_rng(4)
+    image, template = rng.integers(0, 9, (2, 9, 11)).astype(float), rng.integers(0, 9, (2, 5, 5)).astype(float)
+    image[1, :6, :7] = 3  # flat under the template
+    got = {(r.view, r.dy, r.dx): r.score for r in registration.correlations(pixel_frame(spark, template, 0), pixel_frame(spark, image, 0), 9, 11, (2, 3)).collect()}
+    for v in (0, 1):
+        for dy in range(-2, 3):
+            for dx in range(-3, 4):
+                g = image[v, 2 + dy : 7 + dy, 3 + dx : 8 + dx]
+                want = np.corrcoef(g.ravel(), template[v].ravel())[0, 1] if g.std() else 0.0
+                assert got[v, dy, dx] == pytest.approx(want)

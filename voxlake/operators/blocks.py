@@ -41,15 +41,23 @@ def filter_images(df: DataFrame, response: DataFrame, rows: int, cols: int) -> D
     return map_images(df, lambda a: apply_filter(a, centred), rows, cols)
 
 
-def map_stacks(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], rows: int, cols: int) -> DataFrame:
-    """``kernel`` on each view's frames (frame, r, c), giving one image."""
+def drift_corrected(summed: DataFrame, moves: DataFrame, rows: int, cols: int) -> DataFrame:
+    """The sums of aligned frames, resampled along a line that undoes the mean drift while a frame was scanned.
+
+    ``moves`` (frame, view, dy, dx) are the frames' shifts; the mean of their steps is that from the first to the last.
+    """
+    from pyspark.sql import functions as F
+
+    from .images import along_drift
+
+    ends = {a: (F.max_by(a, "frame") - F.min_by(a, "frame")) / F.greatest(F.lit(1), F.max("frame") - F.min("frame")) for a in ("dy", "dx")}
+    steps = moves.groupBy("view").agg(*(v.alias(a) for a, v in ends.items()))
 
     def run(key, got):
-        frames = np.zeros((int(got.column("frame").to_numpy().max()) + 1, rows, cols))
-        frames[tuple(got.column(c).to_numpy() for c in ("frame", "r", "c"))] = got.column("v").to_numpy()
-        return rows_of(key[0].as_py(), kernel(frames))
+        dy, dx = (got.column(a)[0].as_py() for a in ("dy", "dx"))
+        return rows_of(key[0].as_py(), along_drift(image_of(got, rows, cols), dy, dx))
 
-    return df.select("frame", "view", "r", "c", "v").groupBy("view").applyInArrow(run, IMAGE)
+    return summed.select("view", "r", "c", "v").join(F.broadcast(steps), "view").groupBy("view").applyInArrow(run, IMAGE)  # a row for each view
 
 
 def view_values(df: DataFrame, kernel: Callable[[np.ndarray], dict[str, float]], rows: int, cols: int, names: list[str]) -> DataFrame:

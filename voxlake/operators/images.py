@@ -1,4 +1,4 @@
-"""Numpy kernels on single images and volumes: spectra, registration, resampling, filters, denoising.
+"""Numpy kernels on single images and volumes: spectra, resampling, filters, denoising.
 
 They are pure functions of arrays; ``blocks`` runs them in Arrow tasks, an image each.
 """
@@ -53,68 +53,6 @@ def apply_filter(image: np.ndarray, response: np.ndarray) -> np.ndarray:
     return centred_ifft(centred_fft(image) * response).real
 
 
-# registration
-def normalised_correlation(template: np.ndarray, image: np.ndarray) -> np.ndarray:
-    """Full normalised cross-correlation; 0 where the image is flat under the template."""
-    t = template - template.mean()
-    n, ones = t.size, np.ones_like(t)
-    num = convolve_full(image, t[::-1, ::-1])
-    s, q = convolve_full(image, ones), convolve_full(image * image, ones)
-    power = np.maximum(q - s * s / n, 0) * (t * t).sum()
-    return np.where(power > 1e-12 * max(1.0, float(power.max())), num / np.sqrt(np.maximum(power, 1e-300)), 0.0)
-
-
-def whole_shift(reference: np.ndarray, image: np.ndarray) -> tuple[float, float]:
-    """The whole (dy, dx) that moves ``image`` onto ``reference``, by the peak of their circular correlation."""
-    cross = np.fft.ifft2(np.fft.fft2(reference - reference.mean()) * np.conj(np.fft.fft2(image - image.mean())))
-    at = np.unravel_index(np.argmax(np.abs(cross)), cross.shape)
-    return tuple(float(k - n if k > n // 2 else k) for k, n in zip(at, cross.shape))
-
-
-def register(reference: np.ndarray, image: np.ndarray, resolution: float = 0.05, reach: int = 20, half: int = 210) -> tuple[float, float, float]:
-    """(dy, dx) that moves ``image`` onto ``reference``, and their normalised correlation there.
-
-    Both are cut to a square 20 off the border; the template is the middle of the reference, up to ``half`` to each side
-    and small enough to stay inside at every shift.  Fractions of a pixel are searched on grids of 4 x 4, four times finer each round, and each is
-    scored by the best whole shift within ``reach``.  Images too small for the cut get a whole shift and no correlation.
-    """
-    if reference.shape != image.shape:
-        raise ValueError("images to register must have one shape")
-    if not 0 < resolution < 0.5:
-        raise ValueError("the resolution must lie between 0 and 0.5")
-    middle = [int(np.floor((n + 1) / 2 + 0.5)) - 1 for n in image.shape]
-    edge = min(middle) + 1 - 20
-    if edge <= 0:
-        return (*whole_shift(reference, image), float("nan"))
-    cut = tuple(slice(m - edge, m + edge + 1) for m in middle)
-    reference, image = reference[cut].astype(float), image[cut].astype(float)
-    side = min(half, max(edge - reach, edge // 2))
-    template = reference[edge - side : edge + side + 1, edge - side : edge + side + 1]
-    still, span = edge + side, min(reach, edge - side)  # where the template's own place is in a full correlation
-    near = np.s_[still - span : still + span + 1, still - span : still + span + 1]
-    scored = lambda dy, dx: normalised_correlation(template, fourier_shift(image, dy, dx))[near]
-    low, width, best = np.array([-0.5, -0.5]), 1.0, np.zeros(2)
-    for _ in range(abs(int(np.floor(np.log(resolution) / np.log(4))))):
-        width /= 4
-        places = [low + width * (np.array([r, c]) + 0.5) for c in range(4) for r in range(4)]  # rows first, which decides ties
-        scores = [scored(*p).max() for p in places]
-        best = places[int(np.argmax(scores))]
-        low = best - width / 2
-    found = scored(*best)
-    c, r = np.unravel_index(np.argmax(found.T), found.shape)
-    return float(best[0] - (r - span)), float(best[1] - (c - span)), float(found[r, c])
-
-
-def register_frames(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each frame registered to the mean of those before it; aligned frames and shifts."""
-    out, shifts = [frames[0]], [(0.0, 0.0)]
-    for frame in frames[1:]:
-        dy, dx, _ = register(np.mean(out, axis=0), frame)
-        out.append(fourier_shift(frame, dy, dx))
-        shifts.append((dy, dx))
-    return np.array(out), np.array(shifts)
-
-
 # resampling
 def _keys(t: np.ndarray, a: float = -0.5) -> np.ndarray:
     t = np.abs(t)
@@ -140,13 +78,11 @@ def bicubic(image: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray
     return np.where(inside, out, 0.0)
 
 
-def correct_drift(frames: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """Sum of the frames, each resampled along a line that undoes the mean drift while it was scanned."""
-    n = frames.shape[1]
-    dy, dx = np.diff(shifts, axis=0).mean(axis=0) if len(shifts) > 1 else (0.0, 0.0)
-    slope_x, slope_y = (d * n / (n - d) / n for d in (dx, dy))
-    r, c = np.meshgrid(np.arange(n, dtype=float), np.arange(frames.shape[2], dtype=float), indexing="ij")
-    return sum(bicubic(f, r - slope_y * r, c - slope_x * r) for f in frames)
+def along_drift(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
+    """Resampled where a steady drift by dy, dx a frame put each scan line."""
+    n = image.shape[0]
+    r, c = np.meshgrid(np.arange(n, dtype=float), np.arange(image.shape[1], dtype=float), indexing="ij")
+    return bicubic(image, r - dy / (n - dy) * r, c - dx / (n - dx) * r)
 
 
 def spline_weights(n: int, factor: int = 3, inside: bool = False) -> np.ndarray:

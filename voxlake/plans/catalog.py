@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, cluster, fill, lines, masks, morphology, neighbours, project, select, shape, tomography
+from ..operators import aggregate, cluster, fill, lines, masks, morphology, neighbours, project, registration, select, shape, tomography
 from ..sources import adapters
 
 FLAGSHIP = "otsu_threshold"
@@ -616,7 +616,7 @@ def _kernels() -> None:
 
     def frame_registration(spark: SparkSession, d: str) -> DataFrame:
         f = adapters.frames(spark, d).withColumn("v", F.col("v").cast("double"))
-        return rounded(blocks.map_stacks(f, lambda a: images.register_frames(a)[0].sum(axis=0), 16, 16), "v")
+        return rounded(aggregate.frame_sum(registration.register_frames(f, 16, 16)[0]), "v")
 
     def peak_refine(spark: SparkSession, d: str) -> DataFrame:
         v = adapters.voxels(spark, d)
@@ -919,3 +919,13 @@ def mask_growth(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES.update({f.__name__: f for f in (gaussian_filter, fourier_shift, mask_growth)})
+
+
+@query("""SELECT view, dy, dx, round(CASE WHEN q - p * p / n > 1e-9 AND tt > 0 THEN s / sqrt((q - p * p / n) * tt) ELSE 0 END, 6) AS score FROM (SELECT f.view, CAST(y.x AS INT) AS dy, CAST(z.x AS INT) AS dx, SUM((t.v - m) * f.v) AS s, SUM(CAST(f.v AS DOUBLE)) AS p, SUM(CAST(f.v AS DOUBLE) * f.v) AS q, COUNT(*) AS n, SUM((t.v - m) * (t.v - m)) AS tt
+ FROM full2 t CROSS JOIN (SELECT AVG(v) m FROM full2 WHERE view = 1 AND r BETWEEN 2 AND 13 AND c BETWEEN 3 AND 12) CROSS JOIN range(-2, 3) y(x) CROSS JOIN range(-3, 4) z(x) JOIN full2 f ON f.r = t.r + y.x AND f.c = t.c + z.x WHERE t.view = 1 AND t.r BETWEEN 2 AND 13 AND t.c BETWEEN 3 AND 12 GROUP BY 1, 2, 3)""", PIX, FULL)
+def normalised_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """T5: the middle of the first view against all views at shifts up to 2 rows and 3 columns."""
+    px = _real(spark, d)
+    middle = px.where("view = 1 AND r BETWEEN 2 AND 13 AND c BETWEEN 3 AND 12").select(F.col("r") - 2, F.col("c") - 3, "v").toDF("r", "c", "v")
+    template = px.select("view").distinct().crossJoin(F.broadcast(middle))  # 120 rows
+    return rounded(registration.correlations(template, px, 16, 16, (2, 3)), "score")

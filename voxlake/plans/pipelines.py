@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, cluster, images, lines, masks, neighbours, project, select, shape, tomography
+from ..operators import aggregate, blocks, cluster, images, lines, masks, neighbours, project, registration, select, shape, tomography
 from ..operators.iterate import cut
 from ..sources import adapters
 
@@ -46,7 +46,8 @@ def preprocess(frames: DataFrame, angles: DataFrame, config: Preprocess) -> dict
     noise, registration, denoising, background, centring, transposed and brought to the first view's intensity."""
     spark, n = frames.sparkSession, (config.rows, config.cols)
     frames, noise = noise_of(frames.withColumn("v", F.col("v").cast("double")), config)
-    summed = blocks.map_stacks(frames, lambda a: images.correct_drift(*images.register_frames(a)), *n)
+    aligned, moves = registration.register_frames(frames, *n)
+    summed = blocks.drift_corrected(aggregate.frame_sum(aligned), moves, *n)
     if config.denoise:
         mean = aggregate.average_noise(noise).first()
         alpha, sigma = float(mean["alpha"] or 1.0), float(mean["sigma2"] or 0.0) ** 0.5

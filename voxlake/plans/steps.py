@@ -6,26 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, images, lines, masks, select, shape
+from ..operators import aggregate, blocks, images, lines, masks, registration, select, shape
 from ..operators.fill import fill_region
 
 
 def step_01_register_frames(frames: DataFrame, rows: int, cols: int) -> DataFrame:
     """frame, view, dy, dx."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(key, got):
-        stack = np.zeros((int(got.column("frame").to_numpy().max()) + 1, rows, cols))
-        stack[tuple(got.column(c).to_numpy() for c in ("frame", "r", "c"))] = got.column("v").to_numpy()
-        shifts = images.register_frames(stack)[1]
-        return pa.table({"frame": pa.array(range(len(shifts)), pa.int32()), "view": pa.array([key[0].as_py()] * len(shifts), pa.int32()), "dy": shifts[:, 0], "dx": shifts[:, 1]})
-
-    return frames.groupBy("view").applyInArrow(run, "frame int, view int, dy double, dx double")
+    return registration.register_frames(frames, rows, cols)[1]
 
 
 def step_02_correct_scan_drift(frames: DataFrame, rows: int, cols: int) -> DataFrame:
-    return blocks.map_stacks(frames, lambda a: images.correct_drift(*images.register_frames(a)), rows, cols)
+    aligned, moves = registration.register_frames(frames, rows, cols)
+    return blocks.drift_corrected(aggregate.frame_sum(aligned), moves, rows, cols)
 
 
 def step_03_crop_fixed_center(px: DataFrame, centres: DataFrame, size: int) -> DataFrame:

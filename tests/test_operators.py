@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, blocks, cluster, fill, images, lines, masks, morphology, neighbours, project, registration, select, shape, tomography, voronoi
+from voxlake.operators import aggregate, blocks, cluster, fill, images, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -714,3 +714,19 @@ def test_correlations_are_the_formula(spark):
                 g = image[v, 2 + dy : 7 + dy, 3 + dx : 8 + dx]
                 want = np.corrcoef(g.ravel(), template[v].ravel())[0, 1] if g.std() else 0.0
                 assert got[v, dy, dx] == pytest.approx(want)
+
+
+def test_interpolation_beyond_both_ends(spark):
+    rng = np.random.default_rng(5)
+    curves = {k: (np.sort(rng.uniform(0, 10, 7)), rng.normal(size=7)) for k in (1, 2)}
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (x, y) in curves.items() for a, b in zip(x, y)], "view int, x double, y double")
+    at = [(k, float(v)) for k in (1, 2, 3) for v in (*rng.uniform(-3, 13, 40), *curves.get(k, ([], []))[0], float("nan"), float("inf"))]
+    got = stabilise.interpolated(spark.createDataFrame(at, "view int, v double"), rows, ["view"]).collect()
+    assert len(got) == len(at)
+    for r in got:
+        if r.view == 3 or not np.isfinite(r.v):
+            assert r.y is None
+            continue
+        x, y = curves[r.view]
+        k = min(max(int(np.searchsorted(x, r.v, side="right")) - 1, 0), len(x) - 2)
+        assert r.y == pytest.approx(y[k] + (r.v - x[k]) * (y[k + 1] - y[k]) / (x[k + 1] - x[k]))

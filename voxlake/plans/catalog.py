@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, cluster, fill, lines, masks, morphology, neighbours, project, registration, select, shape, tomography
+from ..operators import aggregate, cluster, fill, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography
 from ..sources import adapters
 
 FLAGSHIP = "otsu_threshold"
@@ -612,7 +612,6 @@ def _kernels() -> None:
     _kernel("bicubic_resample", lambda a: images.bicubic(a, *[x * 0.5 for x in np.indices((31, 31))]))
     _kernel("rotate_image", lambda a: images.rotate(a, 10.0))
     _kernel("bm3d_denoise", lambda a: images.block_matching_denoise(a / max(1.0, a.max()), 0.05))
-    _kernel("vst_inverse", lambda a: images.inverse_vst(images.vst(a / max(1.0, a.max()) * 100, 1.0), 1.0))
 
     def frame_registration(spark: SparkSession, d: str) -> DataFrame:
         f = adapters.frames(spark, d).withColumn("v", F.col("v").cast("double"))
@@ -929,3 +928,35 @@ def normalised_correlation(spark: SparkSession, d: str) -> DataFrame:
     middle = px.where("view = 1 AND r BETWEEN 2 AND 13 AND c BETWEEN 3 AND 12").select(F.col("r") - 2, F.col("c") - 3, "v").toDF("r", "c", "v")
     template = px.select("view").distinct().crossJoin(F.broadcast(middle))  # 120 rows
     return rounded(registration.correlations(template, px, 16, 16, (2, 3)), "score")
+
+
+def _inverse_points() -> list[tuple[float, float, float]]:
+    """sigma, mean, expected transform."""
+    from ..operators import images
+
+    return [(s, float(m), float(e)) for s in (0.0, 0.5, 1.0, 2.0) for e, m in zip(*images.inverse_table(s, highest=60.0, n=24))]
+
+
+POINTS = _inverse_points()
+STABLE = "dat AS (SELECT view, r, c, v * 30E0 / max(v) OVER () - 4 AS d, CASE WHEN view = 1 THEN 0E0 WHEN view = 2 THEN 3E0 ELSE view / 4E0 END AS s, 1 + view / 10E0 AS alpha FROM full2)"
+
+
+@query("""SELECT view, r, c, round(alpha * CASE WHEN s > 2 THEN greatest(0, ex - s * s) WHEN s = 0 THEN ex WHEN d < lo THEN 0 WHEN d > hi THEN ex - s * s ELSE own END + view, 6) AS v FROM
+ (SELECT dat.*, ends.lo, ends.hi, CASE WHEN d < 2 * sqrt(0.375E0) THEN 0 WHEN d > (SELECT MAX(x) FROM seg0) THEN d * d / 4 - 0.125E0 ELSE p.y + (d - p.x) * (p.y1 - p.y) / (p.x1 - p.x) END AS ex, o.y + (d - o.x) * (o.y1 - o.y) / (o.x1 - o.x) AS own
+ FROM dat LEFT JOIN (SELECT *, MIN(x) OVER () = x AS f, MAX(x1) OVER () = x1 AS l FROM seg0 WHERE x1 IS NOT NULL) p ON (d >= p.x OR p.f) AND (d < p.x1 OR p.l)
+ LEFT JOIN (SELECT *, MIN(x) OVER (PARTITION BY s) = x AS f, MAX(x1) OVER (PARTITION BY s) = x1 AS l FROM segs WHERE x1 IS NOT NULL) o ON o.s = dat.s AND (d >= o.x OR o.f) AND (d < o.x1 OR o.l)
+ LEFT JOIN (SELECT s, MIN(x) lo, MAX(x) hi FROM segs GROUP BY s) ends ON ends.s = dat.s)""", PIX, FULL, STABLE,
+ "pts AS (SELECT * FROM (VALUES " + ", ".join(f"({s!r}::DOUBLE, {m!r}::DOUBLE, {e!r}::DOUBLE)" for s, m, e in POINTS) + ") t(sigma, ez, efz))",
+ "seg0 AS (SELECT efz AS x, ez AS y, lead(efz) OVER (ORDER BY efz) AS x1, lead(ez) OVER (ORDER BY efz) AS y1 FROM pts WHERE sigma = 0)",
+ "bl AS (SELECT s, a.ez AS y, a.efz * (1 - (s - a.sigma) / (b.sigma - a.sigma)) + b.efz * (s - a.sigma) / (b.sigma - a.sigma) AS x FROM (SELECT DISTINCT s FROM dat WHERE s > 0 AND s <= 2) JOIN pts a ON a.sigma = (SELECT CASE WHEN s >= 1 THEN 1 ELSE 0.5 END) JOIN pts b ON b.ez = a.ez AND b.sigma = CASE WHEN s >= 1 THEN 2 ELSE 1 END)",
+ "segs AS (SELECT s, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM bl WINDOW w AS (PARTITION BY s ORDER BY x))")
+def vst_inverse(spark: SparkSession, d: str) -> DataFrame:
+    """without Gaussian noise, with a sigma between the table's, and over them; values beyond both ends."""
+    px = _real(spark, d)
+    top = px.agg(F.max("v").alias("_m"))
+    px = px.crossJoin(F.broadcast(top)).select("view", "r", "c", (F.col("v") * 30 / F.col("_m") - 4).alias("v"))  # one row
+    view = F.col("view")
+    noise = px.select("view").distinct().select("view", (F.when(view == 1, 0.0).when(view == 2, 3.0).otherwise(view / 4) * (1 + view / 10)).alias("sigma"), (1 + view / 10).alias("alpha"), view.cast("double").alias("mean"))
+    general = spark.createDataFrame([p for p in POINTS if p[0] > 0], "sigma double, ez double, efz double")
+    plain = spark.createDataFrame([p[1:] for p in POINTS if p[0] == 0], "ez double, efz double")
+    return rounded(stabilise.inverse(px, noise, general, plain), "v")

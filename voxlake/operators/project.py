@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import axis_rotation, form_factor, half_away, rotated
 
 
-def gather(points: DataFrame, cells: DataFrame, axes: dict[str, tuple[str, int]], key: str = "id") -> DataFrame:
-    """key, v: multilinear interpolation at ``points`` ({coordinate: (cell axis, size)}, from 0).
+def gather(points: DataFrame, cells: DataFrame, axes: dict[str, tuple[str, int]], key: str = "id", values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """key, v: multilinear interpolation at ``points`` ({coordinate: (cell axis, size)}, from 0), of one or more values.
 
     Each point meets its 2^n corners by an equi-join; outside the grid, and for coordinates that aren't finite, it is 0;
     the last sample is exact.
@@ -28,14 +28,13 @@ def gather(points: DataFrame, cells: DataFrame, axes: dict[str, tuple[str, int]]
         corners = corners.withColumn(f"_w{a}", F.when(F.col("_d") == 1, part).otherwise(1 - part)).withColumn(a, F.col(f"_{a}") + F.col("_d")).drop("_d")
         w = w * F.col(f"_w{a}")
     corners = corners.withColumn("_w", w).where("_w <> 0")
-    got = corners.join(cells, [a for a, _ in axes.values()]).groupBy(key).agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
-    return points.select(key).join(got, key, "left").select(key, F.coalesce("v", F.lit(0.0)).alias("v"))
+    got = corners.join(cells, [a for a, _ in axes.values()]).groupBy(key).agg(*(F.sum(F.col("_w") * F.col(v)).alias(v) for v in values))
+    return points.select(key).join(got, key, "left").select(key, *(F.coalesce(v, F.lit(0.0)).alias(v) for v in values))
 
 
 def gather_complex(points: DataFrame, cells: DataFrame, axes: dict[str, tuple[str, int]], key: str = "id") -> DataFrame:
     """key, re, im: as ``gather`` for cells with a real and an imaginary part."""
-    parts = [gather(points, cells.withColumn("v", F.col(c)), axes, key).withColumnRenamed("v", c) for c in ("re", "im")]
-    return parts[0].join(parts[1], key)
+    return gather(points, cells, axes, key, ("re", "im"))
 
 
 def mean_form_factor(coefficients: DataFrame, rows: int, cols: int, resolution: float) -> DataFrame:
@@ -209,7 +208,3 @@ def position_gradient(at: DataFrame, residual: DataFrame, height: dict[int, floa
     e = F.col("_h") * F.sqrt(F.lit(math.pi) / F.col("_b")) * F.exp(-F.col("_b") * (dx * dx + dy * dy)) * 2 * F.col("_b")
     at = at.select("atom_id", "view", (F.col("_rx") + F.col("_dx") + mid).cast("int").alias("r"), (F.col("_ry") + F.col("_dy") + mid).cast("int").alias("c"), (e * dx).alias("ex"), (e * dy).alias("ey"))
     return at.join(residual.select("view", "r", "c", F.col("v").alias("res")), ["view", "r", "c"]).groupBy("atom_id", "view").agg(F.sum(F.col("ex") * F.col("res")).alias("gx"), F.sum(F.col("ey") * F.col("res")).alias("gy"))
-
-
-def fit_line_scale(x: Column, y: Column) -> Column:
-    return F.sum(x * y) / F.sum(x * x)

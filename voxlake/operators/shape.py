@@ -126,13 +126,6 @@ def disk(radius: int) -> list[tuple[int, int]]:
     return ball_offsets(radius, slack=0.0, axes=2)
 
 
-def octagon(radius: int, corner: int) -> list[tuple[int, int]]:
-    """Offsets of an octagon: a square of half width ``radius`` with |r| + |c| up to radius + corner."""
-    from itertools import product
-
-    return [(r, c) for r, c in product(range(-radius, radius + 1), repeat=2) if abs(r) + abs(c) <= radius + corner]
-
-
 def angle_table(df: DataFrame) -> DataFrame:
     """view, theta to the three-angle form [0, theta, 0]; a table with all three angles stays, any other is refused."""
     have = [c for c in ("phi", "theta", "psi") if c in df.columns]

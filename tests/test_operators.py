@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, blocks, cluster, fill, images, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography, voronoi
+from voxlake.operators import aggregate, blocks, cluster, fill, fits, images, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -156,19 +156,84 @@ def test_blocks_match_far_and_only_like_ones():
                 assert (40, 20) in got and all(((blocks[g] - blocks[r, c]) ** 2).mean() < limit for g in got)
 
 
-def test_peak_refinement():
+def cell_frame(spark, volume):
+    at = np.argwhere(~np.isnan(volume))
+    return spark.createDataFrame([(*map(int, c), float(volume[tuple(c)])) for c in at], "i int, j int, k int, v double")
+
+
+def plain_peak(volume, start, radius=3, rounds=14, quiet=7):
+    """One peak after another, by numpy's own least squares."""
+    offs = np.array([o for o in np.ndindex(*[2 * radius + 1] * 3)]) - radius
+    offs = offs[(offs**2).sum(1) <= (radius + 0.5) ** 2]
+    powers = [(a, b, c) for a in range(5) for b in range(5 - a) for c in range(5 - a - b)]
+    at, run = np.zeros(3), 0
+    for n in range(rounds + 1):
+        d = offs - at
+        w = np.exp(-(d**2).sum(1) / radius**2)
+        basis = np.stack([d[:, 0] ** a * d[:, 1] ** b * d[:, 2] ** c for a, b, c in powers], axis=1)
+        coef = dict(zip(powers, np.linalg.lstsq(basis * w[:, None], volume[tuple((offs + start).T)] * w, rcond=None)[0]))
+        g = np.array([coef[1, 0, 0], coef[0, 1, 0], coef[0, 0, 1]])
+        h = np.array([[2 * coef[2, 0, 0], coef[1, 1, 0], coef[1, 0, 1]], [coef[1, 1, 0], 2 * coef[0, 2, 0], coef[0, 1, 1]], [coef[1, 0, 1], coef[0, 1, 1], 2 * coef[0, 0, 2]]])
+        if np.linalg.det(h) >= 0:
+            return start + at, -1
+        step = np.clip(-np.linalg.inv(h) @ g, -0.5, 0.5)
+        at = at + step
+        if np.abs(at).max() > radius:
+            return start + at, -2
+        run = run + 1 if np.abs(step).max() < 0.5 else 0
+        if run == quiet:
+            return start + at, 0
+    return start + at, -4
+
+
+def test_peak_refinement(spark):
+    rng = np.random.default_rng(3)
     at = np.array([6.3, 5.8, 6.1])
     grid = np.indices((13, 13, 13)).reshape(3, -1).T
     volume = np.exp(-((grid - at) ** 2).sum(1) / 18).reshape(13, 13, 13)
-    found, flag = images.refine_peak(volume, (6, 6, 6))
-    assert flag == 0 and np.abs(found - at).max() < 0.02
-    assert images.refine_peak(-volume, (6, 6, 6))[1] == -1 and images.refine_peak(volume, (1, 6, 6))[1] == -2
-    p = images.fit_gaussian(grid.astype(float), volume.ravel(), [0.1, 0.5, 6, 6, 6, 2, 2, 2], [-1, 0, 0, 0, 0, 0.5, 0.5, 0.5], [1, 5, 12, 12, 12, 9, 9, 9])
-    assert np.allclose(p[2:5], at, atol=1e-3) and np.allclose(p[5:], 3, atol=1e-3)
+    starts = [(0, 6, 6, 6), (1, 1, 6, 6), (2, 5, 5, 7), (3, 9, 9, 9), (4, 3, 4, 9)]
+    kind = "peak_id long, i int, j int, k int"
+    for v, how in ((volume, None), (-volume, None), (rng.normal(size=volume.shape), None), (volume + rng.normal(0, 0.05, volume.shape), 0.0)):
+        got = {r.peak_id: r for r in fits.refine_peaks(spark.createDataFrame(starts, kind), cell_frame(spark, v), ridge=how).collect()}
+        assert len(got) == 5 and (got[1].flag, got[1].x) == (-2, 1.0)  # its ball leaves the volume
+        for n, *start in starts[:1] + starts[2:]:
+            want, flag = plain_peak(v, np.array(start))
+            assert got[n].flag == flag and np.allclose([got[n].x, got[n].y, got[n].z], want, atol=1e-5)
+    got = {r.peak_id: r for r in fits.refine_peaks(spark.createDataFrame(starts, kind), cell_frame(spark, volume)).collect()}
+    assert got[0].flag == 0 and np.abs(np.array([got[0].x, got[0].y, got[0].z]) - at).max() < 0.02
+    hole = volume.copy()
+    hole[6, 6, 8] = np.nan
+    assert fits.refine_peaks(spark.createDataFrame(starts[:1], kind), cell_frame(spark, hole)).first().flag == -2
+    assert fits.refine_peaks(spark.createDataFrame([], kind), cell_frame(spark, volume)).collect() == []
+
+
+def test_turned_gaussians_are_found(spark):
+    rng = np.random.default_rng(8)
+    grid = np.indices((20, 20, 20)).reshape(3, -1).T.astype(float)
+    true = np.array([[0.2, 3.0, 9.7, 10.2, 9.9, 3.0, 6.0, 11.0, 30.0, 50.0, 20.0]])
+    volume = fits.turned_gaussian(true, grid)[0].reshape(20, 20, 20)
+    # the model is the column function's
+    row = spark.createDataFrame([(11.0, 8.0, 9.0)], "x double, y double, z double")
+    value = row.select(scalar.gauss3_turned(F.col("x"), F.col("y"), F.col("z"), 3.0, (3.0, 6.0, 11.0), (30.0, 50.0, 20.0), (9.7, 10.2, 9.9), 0.2)).first()[0]
+    assert value == pytest.approx(volume[11, 8, 9])
+    p, j = true + rng.normal(0, 0.1, (4, 11)), 1e-6
+    for n in range(11):  # derivatives
+        more = p.copy()
+        more[:, n] += j
+        assert np.allclose((fits.turned_gaussian(more, grid[::97])[0] - fits.turned_gaussian(p, grid[::97])[0]) / j, fits.turned_gaussian(p, grid[::97])[1][..., n], atol=1e-4)
+    atoms = spark.createDataFrame([(1, 10.0, 10.0, 10.0), (2, 9.6, 10.4, 10.3), (3, 1.0, 1.0, 1.0)], "atom_id long, x double, y double, z double")
+    cells = cell_frame(spark, volume)
+    got = {r.atom_id: r for r in fits.fit_gaussians(atoms, cells, 4).collect()}
+    assert set(got) == {1, 2, 3}
+    for n in (1, 2):  # the axes' order and signs are free, the shape isn't
+        q = np.array([[got[n][k] for k in fits.GAUSSIAN]])
+        assert got[n].rss < 1e-12 and np.allclose(q[0, :5], true[0, :5], atol=1e-5) and np.allclose(sorted(q[0, 5:8]), [3, 6, 11], atol=1e-3)
+        assert np.allclose(fits.turned_gaussian(q, grid)[0].reshape(volume.shape), volume, atol=1e-5)
+    held = fits.fit_gaussians(atoms.where("atom_id = 1"), cells, 4, {"floor": 0.25}, ("floor",), {"height": 0.0}, {"height": 2.5}).first()
+    assert held.floor == 0.25 and held.height == pytest.approx(2.5) and held.rss > 1e-3
 
 
 def test_peaks_are_sought_in_the_whole_volume(spark):
-    from voxlake.operators import blocks
     from voxlake.plans import catalog
     from voxlake.sources import adapters
 
@@ -180,10 +245,12 @@ def test_peaks_are_sought_in_the_whole_volume(spark):
     want = {(i - 1) * 144 + (j - 1) * 12 + k - 1 for i, j, k in np.argwhere((v > 0) & (v >= near))}
     got = {r.peak_id: r.flag for r in catalog.QUERIES["peak_refine"](spark, sf).collect()}
     assert set(got) == want and all(f == -2 for p, f in got.items() if not all(3 <= x <= 8 for x in (p // 144, p // 12 % 12, p % 12)))
-    # a slope that leads out of the volume: cells beyond it aren't zeros
-    at = np.array([3.9, 8.0, 8.0])
-    cells = spark.createDataFrame([(*map(int, c), float(np.exp(-((np.array(c) - at) ** 2).sum() / 18))) for c in np.ndindex(16, 16, 16) if c[0] >= 2], "i int, j int, k int, v double")
-    assert blocks.refine_peaks(spark.createDataFrame([(1, 5, 8, 8)], "peak_id long, i int, j int, k int"), cells).first().flag == -2
+    # a slope that leads over the radius away; one that ends inside it, though beyond the first ball's middle
+    slope = lambda x: spark.createDataFrame([(*map(int, c), float(-((np.array(c) - (x, 8, 8)) ** 2).sum())) for c in np.ndindex(16, 16, 16) if c[0] >= 2], "i int, j int, k int, v double")
+    start = spark.createDataFrame([(1, 5, 8, 8)], "peak_id long, i int, j int, k int")
+    assert fits.refine_peaks(start, slope(1.2)).first().flag == -2
+    near = fits.refine_peaks(start, slope(3.9)).first()
+    assert near.flag == 0 and near.x == pytest.approx(3.9, abs=0.05)
 
 
 def test_rounding(spark):

@@ -100,34 +100,3 @@ def upsample_cells(cells: DataFrame, sizes: dict[str, int], factor: int = 3) ->
         others = [a for a in sizes if a != axis]
         out = out.withColumn("_task", F.pmod(F.xxhash64(*others), F.lit(tasks))).groupBy("_task").applyInArrow(along(axis, n, others, spline_weights(n, factor)), kind)
     return out
-
-
-def refine_peaks(peaks: DataFrame, cells: DataFrame, radius: int = 3, margin: int = 3) -> DataFrame:
-    """peak_id, x, y, z, flag: each peak is refined in its own neighbourhood, gathered by a join; peaks are independent.
-
-    Peaks whose neighbourhood leaves the volume, at the start or on their way, have flag -2.
-    """
-    from pyspark.sql import functions as F
-
-    from .images import refine_peak
-    from .shape import spread
-
-    reach = radius + margin
-    around = [(i, j, k) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) for k in range(-reach, reach + 1)]
-    wanted = peaks.select("peak_id", F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("k").alias("pk"))
-    wanted = spread(wanted, around, ["pi", "pj", "pk"], ["i", "j", "k"])
-    got = wanted.join(cells.select("i", "j", "k", F.col("v").cast("double").alias("v")), ["i", "j", "k"])
-
-    def run(key, table):
-        p = np.array([table.column(c)[0].as_py() for c in ("pi", "pj", "pk")])
-        low = p - reach
-        volume = np.full((2 * reach + 1,) * 3, np.nan)
-        volume[tuple(table.column(c).to_numpy() - o for c, o in zip("ijk", low))] = table.column("v").to_numpy()
-        if np.isnan(volume[tuple(slice(reach - radius, reach + radius + 1) for _ in range(3))]).any():
-            at, flag = p.astype(float), -2
-        else:
-            at, flag = refine_peak(volume, (reach,) * 3, radius, reach=margin)
-            at = at + low
-        return pa.table({"peak_id": pa.array([key[0].as_py()], pa.int64()), **{a: pa.array([float(x)]) for a, x in zip("xyz", at)}, "flag": pa.array([flag], pa.int8())})
-
-    return got.groupBy("peak_id").applyInArrow(run, "peak_id long, x double, y double, z double, flag tinyint")

@@ -276,56 +276,3 @@ def block_matching_denoise(image: np.ndarray, sigma: float, size: int = 8, step:
         raise ValueError("noise over 40 / 255 is outside the profile")
     first = _stage(image, sigma, min(size, *image.shape), step, reach, most, 600 / 255**2, 0.2, None)
     return _stage(image, sigma, min(final, *image.shape), step, reach, most, 400 / 255**2, 0.5, first)
-
-
-# peaks
-MONOMIALS = [(a, b, c) for n in range(5) for a in range(n, -1, -1) for b in range(n - a, -1, -1) for c in [n - a - b]]
-
-
-def refine_peak(volume: np.ndarray, start, radius: int = 3, width: float = 2.0, rounds: int = 14, reach: float = 5.0) -> tuple[np.ndarray, int]:
-    """Position of a maximum near ``start`` (indices from 0) by weighted quartic fits, and a flag: 0 found, -1 not a
-    maximum, -2 left the neighbourhood or the volume, -4 out of rounds."""
-    from .shape import ball_offsets
-
-    offs = np.array(ball_offsets(radius), float)
-    weight = np.sqrt(np.exp(-(offs**2).sum(1) / (2 * width**2)))
-    start = np.asarray(start, float)
-    at, shift = np.rint(start).astype(int), np.zeros(3)
-    for _ in range(rounds):
-        cells = at + offs.astype(int)
-        if (cells < 0).any() or (cells >= volume.shape).any() or np.abs(at - start).max() > reach:
-            return at + shift, -2
-        values = volume[tuple(cells.T)]
-        if np.isnan(values).any():  # cells outside the volume of a neighbourhood cut from it
-            return at + shift, -2
-        d = offs - shift
-        basis = np.stack([d[:, 0] ** a * d[:, 1] ** b * d[:, 2] ** c for a, b, c in MONOMIALS], axis=1)
-        coef = np.linalg.lstsq(basis * weight[:, None], values * weight, rcond=None)[0]
-        get = dict(zip(MONOMIALS, coef))
-        g = np.array([get[1, 0, 0], get[0, 1, 0], get[0, 0, 1]])
-        h = np.array([[2 * get[2, 0, 0], get[1, 1, 0], get[1, 0, 1]], [get[1, 1, 0], 2 * get[0, 2, 0], get[0, 1, 1]], [get[1, 0, 1], get[0, 1, 1], 2 * get[0, 0, 2]]])
-        if np.linalg.eigvalsh(h).max() >= 0:
-            return at + shift, -1
-        step = np.clip(-np.linalg.solve(h, g), -0.5, 0.5)
-        shift = shift + step
-        move = np.rint(shift).astype(int)
-        at, shift = at + move, shift - move
-        if np.abs(step).max() < 1e-6:
-            return at + shift, 0
-    return at + shift, -4
-
-
-def fit_gaussian(points: np.ndarray, values: np.ndarray, start, low, high) -> np.ndarray:
-    """Bounded fit of offset + height * exp(-sum((p - centre)^2 / (2 width^2))): offset, height, 3 centres, 3 widths."""
-    from .project import bounded_least_squares
-
-    def model(p):
-        return p[0] + p[1] * np.exp(-sum((points[:, k] - p[2 + k]) ** 2 / (2 * p[5 + k] ** 2) for k in range(3)))
-
-    def stats(p):
-        base = model(p)
-        jac = np.stack([(model(p + (e := np.eye(8)[k] * 1e-6 * max(1.0, abs(p[k])))) - base) / e[k] for k in range(8)], axis=1)
-        r = base - values
-        return float(r @ r), jac.T @ r, jac.T @ jac
-
-    return bounded_least_squares(stats, start, np.asarray(low, float), np.asarray(high, float))[0]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, cluster, fill, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography
+from ..operators import aggregate, cluster, fill, fits, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography
 from ..sources import adapters
 
 FLAGSHIP = "otsu_threshold"
@@ -621,7 +621,7 @@ def _kernels() -> None:
         v = adapters.voxels(spark, d)
         top = select.local_maxima(v, 0.0)
         ids = top.select(((F.col("i") * 144) + F.col("j") * 12 + F.col("k")).cast("long").alias("peak_id"), "i", "j", "k")
-        return rounded(blocks.refine_peaks(ids, v), "x", "y", "z", to=4)
+        return rounded(fits.refine_peaks(ids, v), "x", "y", "z", to=4)
 
     def common_line(spark: SparkSession, d: str) -> DataFrame:
         p = adapters.pixels(spark, d).withColumn("v", F.col("v").cast("double"))

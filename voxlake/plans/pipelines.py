@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, cluster, images, lines, masks, neighbours, project, registration, select, shape, tomography
+from ..operators import aggregate, blocks, cluster, fits, images, lines, masks, neighbours, project, registration, select, shape, tomography
 from ..operators.iterate import cut
 from ..sources import adapters
 
@@ -89,7 +89,7 @@ def trace(cells: DataFrame, size: int, threshold: float, least_distance: float,
     fine = cut(blocks.upsample_cells(cells, {a: size for a in "ijk"}, factor), spark) if factor > 1 else cells
     tops = select.local_maxima(fine, threshold, most)
     ids = cut(tops.select((F.col("i").cast("long") * fine_size * fine_size + F.col("j") * fine_size + F.col("k")).alias("peak_id"), "i", "j", "k", "v"), spark)
-    found = blocks.refine_peaks(ids, fine).where("flag = 0").join(ids.select("peak_id", "v"), "peak_id").withColumnRenamed("peak_id", "atom_id").drop("flag")
+    found = fits.refine_peaks(ids, fine).where("flag = 0").join(ids.select("peak_id", "v"), "peak_id").withColumnRenamed("peak_id", "atom_id").drop("flag")
     found = found.withColumns({a: (F.col(a) - (fine_size - 1) / 2) / factor + (size - 1) / 2 for a in "xyz"})
     kept = select.greedy_min_distance(cut(found, spark), least_distance).where("flag = 0").drop("flag")
     if support is not None:

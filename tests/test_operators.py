@@ -328,13 +328,34 @@ def test_bounded_least_squares():
     t = np.linspace(0, 1, 20)
     y = 2 * np.exp(-3 * t)
 
-    def stats(p):
-        e = np.exp(-p[1] * t)
-        r, j = p[0] * e - y, np.stack([e, -p[0] * t * e], axis=1)
-        return r @ r, j.T @ r, j.T @ j
-
-    assert np.allclose(project.bounded_least_squares(stats, [1, 1], [0, 0], [5, 5])[0], [2, 3], atol=1e-4)
-    assert project.bounded_least_squares(stats, [1, 1], [0, 0], [5, 2])[0][1] == pytest.approx(2)
+    def of(model, slopes, low, high):
+        def stats(p):
+            assert ((p > low) & (p < high) | (np.equal(low, high) & (p == low))).all()  # never at a bound
+            r, j = model(p), slopes(p)
+            return r @ r, j.T @ r, j.T @ j
+
+        return stats
+
+    def decay(low, high):
+        return of(lambda p: p[0] * np.exp(-p[1] * t) - y, lambda p: np.stack([np.exp(-p[1] * t), -p[0] * t * np.exp(-p[1] * t)], axis=1), low, high)
+
+    solve = lambda low, high, start=(1, 1): project.bounded_least_squares(decay(low, high), start, low, high)
+    assert np.allclose(solve([0, 0], [5, 5])[0], [2, 3], atol=1e-7)
+    assert np.allclose(solve([-np.inf, -np.inf], [np.inf, np.inf])[0], [2, 3], atol=1e-7)
+    p, value = solve([0, 0], [5, 2])
+    best = lambda b: min((float(((a * np.exp(-b * t) - y) ** 2).sum()), a) for a in [(y * np.exp(-b * t)).sum() / np.exp(-2 * b * t).sum()])
+    assert p[1] == pytest.approx(2, abs=1e-6) and p[0] == pytest.approx(best(2)[1], abs=1e-5) and value == pytest.approx(best(2)[0], abs=1e-6)
+    p, _ = solve([1.5, 0], [1.5, 5])  # held
+    assert p[0] == 1.5 and np.allclose(p[1], min(np.linspace(1, 4, 300_001), key=lambda b: float(((1.5 * np.exp(-b * t) - y) ** 2).sum())), atol=1e-4)
+    assert solve([1, 1], [1, 1])[0].tolist() == [1, 1]
+    # a bent valley, free and cut off by a bound that the way there meets
+    valley = lambda p: np.array([10 * (p[1] - p[0] ** 2), 1 - p[0]])
+    slopes = lambda p: np.array([[-20 * p[0], 10.0], [-1.0, 0.0]])
+    run = lambda low, high: project.bounded_least_squares(of(valley, slopes, low, high), [-1.2, 1.0], low, high)[0]
+    assert np.allclose(run([-5, -5], [5, 5]), [1, 1], atol=1e-6)
+    near = min(np.linspace(-1, 0.5, 150_001), key=lambda x: float((valley([x, 0.1]) ** 2).sum() if x * x > 0.1 else (valley([x, x * x]) ** 2).sum()))
+    p = project.bounded_least_squares(of(valley, slopes, [-5, -5], [5, 0.1]), [0.0, 0.0], [-5, -5], [5, 0.1])[0]
+    assert np.allclose(p, [near, 0.1], atol=1e-3)
 
 
 def test_reconstruction_error_falls():

@@ -168,32 +168,108 @@ def residual_sums(columns: DataFrame, parameters: int) -> DataFrame:
     return columns.agg(F.sum(F.col("res") * F.col("res")).alias("rr"), *(F.sum(x * F.col("res")).alias(f"jr{n}") for n, x in enumerate(j)), *(F.sum(a * b).alias(f"jj{m}_{n}") for m, a in enumerate(j) for n, b in enumerate(j) if n >= m))
 
 
-def bounded_least_squares(stats, start, low, high, rounds: int = 50, tolerance: float = 1e-8) -> tuple[np.ndarray, float]:
+def _in_radius(g: np.ndarray, h: np.ndarray, radius: float) -> tuple[np.ndarray, bool]:
+    """Where g s + s h s / 2 is least in a ball, and whether h is positive definite."""
+    e, u = np.linalg.eigh(h)
+    b, scale = u.T @ g, max(np.abs(e).max(), 1e-300)
+    definite = bool(e[0] > 1e-14 * scale)
+    if definite and np.linalg.norm(b / e) <= radius:
+        return -u @ (b / e), True
+    low = max(0.0, -e[0])
+    near = np.abs(e + low) <= 1e-14 * scale
+    if not definite and np.abs(b[near]).max(initial=0.0) <= 1e-14 * np.linalg.norm(b):
+        rest = np.where(near, 0.0, -b / np.where(near, 1.0, e + low))
+        if (left := radius**2 - rest @ rest) >= 0:  # the least eigenvalue's direction leads to the rim
+            return u @ (rest + np.eye(len(g))[0] * np.sqrt(left)), False
+    high = low + np.linalg.norm(b) / radius + 1e-300
+    for _ in range(200):  # the shift whose step ends on the rim
+        mid = (low + high) / 2
+        if np.linalg.norm(b / np.maximum(e + mid, 1e-300)) > radius:
+            low = mid
+        else:
+            high = mid
+        if high - low <= 1e-15 * high:
+            break
+    return -u @ (b / np.maximum(e + high, 1e-300)), definite
+
+
+def bounded_least_squares(stats, start, low, high, rounds: int = 400, tolerance: float = 1e-12, radius: float = 10.0) -> tuple[np.ndarray, float]:
     """Minimises residuals within bounds; ``stats(p)`` returns (sum r^2, J^T r, J^T J), for instance from ``residual_sums``.
 
-    Damped Gauss-Newton steps: parameters at a bound that the step would cross are held, steps that don't help are damped.
+    A trust region in coordinates that are scaled by the way to the bound which the gradient points at.  A round takes
+    the best by the model of three steps: the region's minimiser, its reflection at the first bound it meets, and
+    steepest descent; all stop short of the bounds, so every point that ``stats`` sees lies strictly between them.
+    The region doubles after a step to its rim that gains three quarters of what the model says, and shrinks to a quarter
+    after one that gains less than a quarter.  It ends when the scaled gradient is under ``tolerance``, when a step
+    vanishes, after ``rounds``, or after 100 evaluations a parameter (derivatives counted as one each).  Parameters
+    whose bounds are equal stay there.
     """
-    p, damp = np.clip(np.asarray(start, float), low, high), 1e-3
-    value, g, h = stats(p)
-    for _ in range(rounds):
-        free = ~(((p <= low) & (g > 0)) | ((p >= high) & (g < 0)))
-        if not free.any() or np.abs(g[free]).max() < tolerance:
+    low, high = (np.broadcast_to(np.asarray(x, float), np.shape(start)) for x in (low, high))
+    whole = np.clip(np.asarray(start, float), low, high)
+    free = high > low
+    if not free.any():
+        return whole, float(stats(whole)[0])
+    lo, hi, count = low[free], high[free], int(free.sum())
+
+    def at(x):
+        p = whole.copy()
+        p[free] = x
+        value, g, h = stats(p)
+        return float(value), np.asarray(g, float)[free], np.asarray(h, float)[np.ix_(free, free)]
+
+    def inside(x):
+        gap = np.minimum(1e-10 * np.maximum(1.0, np.abs(x)), np.where(np.isfinite(hi - lo), (hi - lo) / 4, np.inf))
+        return np.clip(x, lo + gap, hi - gap)
+
+    def reach(x, s):
+        """How many times s fits between the bounds, and the first parameter to meet one."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(s > 0, (hi - x) / s, np.where(s < 0, (lo - x) / s, np.inf))
+        return float(t.min()), int(t.argmin())
+
+    x = inside(whole[free])
+    value, g, h = at(x)
+    used, length = count + 1, np.inf
+    for n in range(rounds):
+        to = np.where(g < 0, hi, lo)
+        bounded = np.isfinite(to)
+        way = np.where(bounded, np.abs(x - np.where(bounded, to, 0.0)), 1.0)
+        if np.abs(way * g).max() < tolerance or (n > 1 and length < np.finfo(float).eps) or used > 100 * count:
             break
-        a = h[np.ix_(free, free)]
-        step = np.zeros(len(p))
-        step[free] = -np.linalg.solve(a + damp * (np.diag(np.diag(a)) + 1e-12 * np.eye(len(a))), g[free])
-        new = np.clip(p + step, low, high)
-        got = stats(new)
+        d = np.sqrt(way)
+        sg, sh = d * g, d[:, None] * h * d + np.diag(np.where(bounded, np.abs(g), 0.0))
+        model = lambda s: sg @ s + s @ sh @ s / 2
+        keep = max(0.95, 1 - np.abs(way * g).max())
+        short = lambda s, start, most: min(most, keep * reach(start, d * s)[0])
+        full, _ = _in_radius(sg, sh, radius)
+        steps = [full * short(full, x, 1.0)]
+        first, hit = reach(x, d * full)
+        if first < 1 and np.linalg.norm(first * full) < 0.9 * radius:
+            edge, back = first * full, full.copy()
+            back[hit] = -back[hit]
+            bend, slope = back @ sh @ back, (sg + sh @ edge) @ back
+            rim = (-(edge @ back) + np.sqrt((edge @ back) ** 2 + (back @ back) * (radius**2 - edge @ edge))) / (back @ back)
+            far = min(rim, -slope / bend) if bend > 0 else rim
+            if far > 0:
+                steps.append(edge + back * short(back, np.clip(x + d * edge, lo, hi), far))
+        bend, norm = sg @ sh @ sg, np.linalg.norm(sg)
+        down = -sg * min(radius / norm, sg @ sg / bend if bend > 0 else np.inf)
+        steps.append(down * short(down, x, 1.0))
+        step = min(steps, key=model)
+        length, new = float(np.linalg.norm(step)), inside(x + d * step)
+        got = at(new)
+        used += count + 1
+        gain = (got[0] - value) / 2 + step @ (np.where(bounded, np.abs(g), 0.0) * step) / 2
+        said = model(step)
+        ratio = gain / said if said else 0.0
+        if ratio >= 0.75 and length >= 0.9 * radius:
+            radius *= 2
+        elif ratio <= 0.25:
+            radius = min(radius, length) / 4
         if got[0] < value:
-            small = value - got[0] <= tolerance * (1 + value) or np.abs(new - p).max() < tolerance
-            p, (value, g, h), damp = new, got, max(damp / 5, 1e-12)
-            if small:
-                break
-        elif damp > 1e8:
-            break
-        else:
-            damp *= 5
-    return p, float(value)
+            x, (value, g, h) = new, got
+    whole[free] = x
+    return whole, value
 
 
 def position_gradient(at: DataFrame, residual: DataFrame, height: dict[int, float], width: dict[int, float], size: int, patch: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, blocks, cluster, fill, fits, images, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography, voronoi
+from voxlake.operators import aggregate, blocks, cluster, fill, fits, images, lines, masks, matching, morphology, neighbours, project, registration, select, shape, stabilise, tomography, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -126,34 +126,91 @@ def test_registration_and_resampling():
     assert np.allclose(images.rotate(image, 90, 0.0), np.rot90(image))
 
 
-def test_denoise_and_inverse():
+def plain_stage(image, sigma, s, pilot=None):
+    """A stage block after block over the whole image."""
+    size = s.size
+    guide = image if pilot is None else pilot
+    rows, cols = (n - size + 1 for n in image.shape)
+    k, x = np.indices((size, size))
+    dct = np.where(k == 0, np.sqrt(0.5), 1) * np.cos(np.pi * (2 * x + 1) * k / (2 * size)) * np.sqrt(2 / size)
+    num, den = np.zeros(image.shape), np.zeros(image.shape)
+    taper = np.outer(np.kaiser(size, s.beta), np.kaiser(size, s.beta))
+    cut = lambda a, r, c: a[r : r + size, c : c + size]
+    for r in sorted({*range(0, rows, s.step), rows - 1}):
+        c = 0
+        while c < cols:
+            near = [(a, b) for a in range(max(0, r - s.reach), min(rows, r + s.reach + 1)) for b in range(max(0, c - s.reach), min(cols, c + s.reach + 1)) if (a, b) != (r, c)]
+            near = sorted((((cut(guide, *o) - cut(guide, r, c)) ** 2).sum(), *o) for o in near)
+            at = ([(r, c)] + [o[1:] for o in near if o[0] < s.limit * size**2])[: s.most]
+            at = at[: 2 ** int(np.log2(len(at)))]
+            h = matching.haar(len(at))
+            group = np.einsum("gk,kab->gab", h, [dct @ cut(image, *o) @ dct.T for o in at])
+            ahead = s.step
+            if pilot is None:
+                keep = np.abs(group) >= 3.4 * sigma
+                keep[0, 0, 0] |= len(at) >= 4
+                left = keep.sum() + (len(at) < 4)
+                group, weight = group * keep, 1 / left
+                ahead = size - 1 if left < 8 else ahead
+            else:
+                power = np.einsum("gk,kab->gab", h, [dct @ cut(pilot, *o) @ dct.T for o in at]) ** 2
+                group, weight = group * power / (power + sigma**2), 1 / ((power / (power + sigma**2)) ** 2).sum()
+            for o, block in zip(at, np.einsum("gk,gab->kab", h, group)):
+                cut(num, *o)[:] += weight * taper * np.clip(dct.T @ block @ dct, 0, 1)
+                cut(den, *o)[:] += weight * taper
+            c = cols - 1 if c < cols - 1 < c + ahead else c + ahead
+    return num / den
+
+
+def test_denoise_and_inverse(spark):
     rng = np.random.default_rng(1)
     clean = np.kron([[0.2, 0.8], [0.6, 0.4]], np.ones((16, 16)))
-    noisy = clean + rng.normal(0, 0.05, clean.shape)
-    out = images.block_matching_denoise(noisy, 0.05, step=4, reach=6)
-    assert ((out - clean) ** 2).mean() < 0.3 * ((noisy - clean) ** 2).mean()
+    noisy = clean + rng.normal(0, 0.05, (2, *clean.shape))
+    first, second = matching.Search(step=4, reach=6), matching.Search(size=16, limit=400 / 255**2, beta=0.5, step=4, reach=6)
+    sigma = spark.createDataFrame([(1, 0.05), (2, 0.04)], "view int, sigma double")
+    got = matching.denoise(pixel_frame(spark, noisy), sigma, 32, 32, first, second, height=5).collect()
+    for n, s in enumerate((0.05, 0.04)):
+        out = np.zeros(clean.shape)
+        for r in (r for r in got if r.view == n + 1):
+            out[r.r, r.c] = r.v
+        pilot = plain_stage(noisy[n], s, first)
+        assert np.allclose(out, plain_stage(noisy[n], s, second, pilot), atol=1e-9)
+        assert ((out - clean) ** 2).mean() < 0.3 * ((noisy[n] - clean) ** 2).mean()
     with pytest.raises(ValueError):
-        images.block_matching_denoise(noisy, 0.5)
+        matching.denoise(pixel_frame(spark, noisy), 0.5, 32, 32)
     draws = rng.poisson(20, 200_000) + rng.normal(0, 1.0, 200_000)
     assert images.inverse_vst(images.vst(draws, 1.0).mean(), 1.0) == pytest.approx(20, abs=0.1)
-    assert np.allclose(images.haar(8) @ images.haar(8).T, np.eye(8))
+    assert np.allclose(matching.haar(8) @ matching.haar(8).T, np.eye(8))
 
 
-def test_blocks_match_far_and_only_like_ones():
+def test_counts_are_denoised_by_view(spark):
+    rng = np.random.default_rng(2)
+    clean = 20 + 60 * np.kron([[0.2, 0.8], [0.6, 0.4]], np.ones((12, 12)))
+    stack = np.stack([2.0 * rng.poisson(clean), np.full(clean.shape, 7.0)])  # a view without contrast
+    stack[1, 0, 0] = 7.0
+    rows = pipelines.denoised(pixel_frame(spark, stack), 2.0, 1.0, 24, 24)
+    out = dense(rows.withColumn("view", F.col("view") - 1), ["view", "r", "c"], stack.shape)
+    assert rows.count() == stack.size and (out[1] == 7).all()
+    assert ((out[0] - 2 * clean) ** 2).mean() < 0.3 * ((stack[0] - 2 * clean) ** 2).mean()
+
+
+def test_blocks_match_far_and_only_like_ones(spark):
     rng = np.random.default_rng(4)
     image = np.kron(rng.uniform(0.1, 0.9, (12, 17)), np.ones((6, 6)))[:70, :100]
     image[8:24, 70:86] = image[40:56, 20:36] = rng.uniform(0.1, 0.9, (16, 16))
-    for size, limit in ((8, 600 / 255**2), (16, 400 / 255**2)):
+    for s in (matching.HARD, matching.WIENER):
+        size, found = s.size, {}
+        for r in matching.matches(pixel_frame(spark, image[None]), 70, 100, s, height=20).collect():
+            found.setdefault((r.r, r.c), []).append((r.rank, (r.mr, r.mc), r.d))
         blocks = np.lib.stride_tricks.sliding_window_view(image, (size, size))
+        assert set(found) == {(r, c) for r, c in np.ndindex(blocks.shape[:2]) if (r % 2 == 0 or r == blocks.shape[0] - 1) and (c % 2 == 0 or c == blocks.shape[1] - 1)}
         for r, c in ((8, 70), (40, 20), (0, 0), (50, 80)):
-            low, reach, dist = images._distances(image, r, size, 50)
-            got = images._matches(dist[:, :, c].ravel(), (r - low) * (2 * reach + 1) + reach, limit * size * size, 16)
-            got = [(low + k // (2 * reach + 1), c - reach + k % (2 * reach + 1)) for k in got]
+            got = [x[1] for x in sorted(found[r, c])]
             want = sorted((((blocks[a, b] - blocks[r, c]) ** 2).sum(), (a, b) != (r, c), a, b) for a, b in np.ndindex(blocks.shape[:2]) if abs(a - r) <= 50 and abs(b - c) <= 50)
-            want = [w[2:] for w in want if w[0] < limit * size * size][:16]
+            want = [w[2:] for w in want if w[0] < s.limit * size * size][:16]
             assert got[0] == (r, c) and sorted(got) == sorted(want[: 1 << (len(want).bit_length() - 1)])
             if (r, c) == (8, 70):
-                assert (40, 20) in got and all(((blocks[g] - blocks[r, c]) ** 2).mean() < limit for g in got)
+                assert (40, 20) in got and all(((blocks[g] - blocks[r, c]) ** 2).mean() < s.limit for g in got)
 
 
 def cell_frame(spark, volume):

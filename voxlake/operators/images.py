@@ -191,88 +191,3 @@ def inverse_vst(d, sigma: float, table=None, alpha: float = 1.0, mean: float = 0
     d = np.asarray(d, float)
     out = np.where(d < e[0], 0.0, np.where(d > e[-1], (d / 2) ** 2 - 1 / 8 - sigma * sigma, np.interp(d, e, m)))
     return out * alpha + mean
-
-
-# block matching
-def _dct(n: int) -> np.ndarray:
-    k, x = np.arange(n)[:, None], np.arange(n)[None]
-    m = np.cos(np.pi * (2 * x + 1) * k / (2 * n)) * np.sqrt(2 / n)
-    m[0] /= np.sqrt(2)
-    return m
-
-
-def haar(n: int) -> np.ndarray:
-    """Orthonormal Haar matrix of a power of two."""
-    if n == 1:
-        return np.ones((1, 1))
-    half = haar(n // 2)
-    return np.vstack([np.kron(half, [1, 1]), np.kron(np.eye(n // 2), [1, -1])]) / np.sqrt(2)
-
-
-def _distances(image: np.ndarray, r: int, size: int, reach: int) -> tuple[int, int, np.ndarray]:
-    """First row, columns' reach, and squared distances (row, shift, column) of row ``r``'s blocks to those around them."""
-    height, width = image.shape[0] - size + 1, image.shape[1] - size + 1
-    low, high, reach_c = max(0, r - reach), min(height, r + reach + 1), min(reach, width - 1)
-    wide = np.pad(image, ((0, 0), (reach_c, reach_c)), constant_values=np.inf)
-    out = np.empty((high - low, 2 * reach_c + 1, width))
-    for k in range(low, high):
-        shifted = np.lib.stride_tricks.sliding_window_view(wide[k : k + size], image.shape[1], axis=1)
-        d = ((shifted - image[r : r + size, None]) ** 2).sum(axis=0)
-        out[k - low] = sum(d[:, n : n + width] for n in range(size))
-    return low, reach_c, out
-
-
-def _matches(dist: np.ndarray, own: int, limit: float, most: int) -> np.ndarray:
-    """The block itself and the nearest others under the limit, the first on ties; a power of two of them."""
-    ids = np.flatnonzero(dist < limit)
-    ids = ids[ids != own]
-    if len(ids) > most:
-        ids = ids[dist[ids] <= np.partition(dist[ids], most - 1)[most - 1]]
-    ids = np.concatenate([[own], ids[np.argsort(dist[ids], kind="stable")]])[:most]
-    return ids[: 1 << (len(ids).bit_length() - 1)]
-
-
-def _stage(image: np.ndarray, sigma: float, size: int, step: int, reach: int, most: int, limit: float, beta: float, pilot: np.ndarray | None, skip: int = 8) -> np.ndarray:
-    """One stage; after a block with fewer than ``skip`` coefficients left, the hard threshold goes on a block further."""
-    d, guide, step = _dct(size), image if pilot is None else pilot, min(step, size)
-    windows = np.lib.stride_tricks.sliding_window_view
-    noisy, clean = windows(image, (size, size)), windows(guide, (size, size))
-    num, den = np.zeros(image.shape), np.zeros(image.shape)
-    taper = np.outer(np.kaiser(size, beta), np.kaiser(size, beta))
-    rows, cols = (n - size + 1 for n in image.shape)
-    for r in sorted({*range(0, rows, step), rows - 1}):
-        low, reach_c, dist = _distances(guide, r, size, reach)
-        c = 0
-        while c < cols:
-            near = _matches(dist[:, :, c].ravel(), (r - low) * (2 * reach_c + 1) + reach_c, limit * size * size, most)
-            at = [(low + k // (2 * reach_c + 1), c - reach_c + k % (2 * reach_c + 1)) for k in near.tolist()]
-            h = haar(len(at))
-            to = lambda s: np.tensordot(h, d @ np.array([s[a] for a in at]) @ d.T, axes=(1, 0))
-            group, ahead = to(noisy), step
-            if pilot is None:
-                keep = np.abs(group) >= 3.4 * sigma
-                if len(at) >= 4:
-                    keep[0, 0, 0] = True
-                left = int(keep.sum()) + (len(at) < 4)
-                group, weight = group * keep, 1 / left
-                if left < skip:
-                    ahead = size - 1
-            else:
-                power = to(clean) ** 2
-                shrink = np.divide(power, power + sigma * sigma, out=np.ones_like(power), where=power + sigma * sigma > 0)
-                group, weight = group * shrink, 1 / max(1e-12, (shrink**2).sum())
-            back = np.clip(d.T @ np.tensordot(h.T, group, axes=(1, 0)) @ d, 0, 1)
-            for (a, b), block in zip(at, back):
-                num[a : a + size, b : b + size] += weight * taper * block
-                den[a : a + size, b : b + size] += weight * taper
-            c = cols - 1 if c < cols - 1 < c + ahead else c + max(1, ahead)
-    return num / den
-
-
-def block_matching_denoise(image: np.ndarray, sigma: float, size: int = 8, step: int = 2, reach: int = 50, most: int = 16, final: int = 16) -> np.ndarray:
-    """Two stages of block matching and 3-D filtering of an image in 0..1: hard threshold on blocks of ``size``, then
-    Wiener on blocks of ``final`` with the first as pilot.  Only the image's size makes blocks or their search smaller."""
-    if sigma * 255 > 40:
-        raise ValueError("noise over 40 / 255 is outside the profile")
-    first = _stage(image, sigma, min(size, *image.shape), step, reach, most, 600 / 255**2, 0.2, None)
-    return _stage(image, sigma, min(final, *image.shape), step, reach, most, 400 / 255**2, 0.5, first)

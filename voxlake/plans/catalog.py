@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, cluster, fill, fits, lines, masks, morphology, neighbours, project, registration, select, shape, stabilise, tomography
+from ..operators import aggregate, cluster, fill, fits, lines, masks, matching, morphology, neighbours, project, registration, select, shape, stabilise, tomography
 from ..sources import adapters
 
 FLAGSHIP = "otsu_threshold"
@@ -611,7 +611,6 @@ def _kernels() -> None:
     _kernel("spline_upsample", images.upsample)
     _kernel("bicubic_resample", lambda a: images.bicubic(a, *[x * 0.5 for x in np.indices((31, 31))]))
     _kernel("rotate_image", lambda a: images.rotate(a, 10.0))
-    _kernel("bm3d_denoise", lambda a: images.block_matching_denoise(a / max(1.0, a.max()), 0.05))
 
     def frame_registration(spark: SparkSession, d: str) -> DataFrame:
         f = adapters.frames(spark, d).withColumn("v", F.col("v").cast("double"))
@@ -636,13 +635,31 @@ def _kernels() -> None:
 
         return rounded(blocks.view_values(p, kernel, 16, 16, ["angle", "score"]), "angle", "score")
 
-    for f in (frame_registration, peak_refine, common_line):
+    def bm3d_denoise(spark: SparkSession, d: str) -> DataFrame:
+        p = _full(spark, d)
+        top = p.groupBy("view").agg(F.greatest(F.lit(1.0), F.max("v").cast("double")).alias("m"))
+        return rounded(matching.denoise(p.join(F.broadcast(top), "view").withColumn("v", F.col("v") / F.col("m")), 0.05, 16, 16, height=4), "v")  # a row for each view
+
+    for f in (frame_registration, peak_refine, common_line, bm3d_denoise):
         QUERIES[f.__name__] = f
 
 
 _kernels()
 
 
+BLOCKS = """blk AS (SELECT f.view, CAST(f.r AS INT) r, CAST(f.c AS INT) c FROM full2 f WHERE r <= 12 AND c <= 12),
+ dist AS (SELECT a.view, a.r, a.c, b.r AS mr, b.c AS mc, CAST(SUM((x.v - y.v) * (x.v - y.v)) AS DOUBLE) AS d FROM blk a JOIN blk b ON a.view = b.view AND abs(a.r - b.r) <= 6 AND abs(a.c - b.c) <= 6
+ JOIN full2 x ON x.view = a.view AND x.r BETWEEN a.r AND a.r + 3 AND x.c BETWEEN a.c AND a.c + 3 JOIN full2 y ON y.view = b.view AND y.r - b.r = x.r - a.r AND y.c - b.c = x.c - a.c WHERE (a.r % 2 = 0 OR a.r = 12) AND (a.c % 2 = 0 OR a.c = 12) GROUP BY 1, 2, 3, 4, 5),
+ near AS (SELECT *, CAST(row_number() OVER (PARTITION BY view, r, c ORDER BY CASE WHEN mr = r AND mc = c THEN 0 ELSE 1 END, d, mr, mc) - 1 AS INT) AS rank FROM dist WHERE d < {limit} OR (mr = r AND mc = c))"""
+LIKE = 400_000.0
+
+
+@query("SELECT view, r, c, rank, mr, mc, d FROM (SELECT *, least(8, COUNT(*) OVER (PARTITION BY view, r, c)) AS n FROM near) WHERE rank < pow(2, floor(log2(n)))", PIX, FULL, BLOCKS.format(limit=LIKE))
+def block_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks most like each reference block of 4 x 4 pixels, by strips of three rows."""
+    return matching.matches(_full(spark, d), 16, 16, matching.Search(size=4, reach=6, most=8, limit=LIKE / 16), height=3)
+
+
 def iterative(spark: SparkSession, d: str) -> DataFrame:
     from . import pipelines
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, cluster, fits, images, lines, masks, neighbours, project, registration, select, shape, tomography
+from ..operators import aggregate, blocks, cluster, fits, images, lines, masks, matching, neighbours, project, registration, select, shape, stabilise, tomography
 from ..operators.iterate import cut
 from ..sources import adapters
 
@@ -51,7 +51,7 @@ def preprocess(frames: DataFrame, angles: DataFrame, config: Preprocess) -> dict
     if config.denoise:
         mean = aggregate.average_noise(noise).first()
         alpha, sigma = float(mean["alpha"] or 1.0), float(mean["sigma2"] or 0.0) ** 0.5
-        summed = blocks.map_images(summed, lambda a: denoised(a, alpha, sigma, config.factor), *n)
+        summed = denoised(summed, alpha, sigma, *n, config.factor)
     summed = cut(summed, spark)
     found = masks.without_background(summed, *n, config.disk, config.mask_scale, config.least)
     flat, mask = (shape.transpose(found[k]) for k in ("aligned", "mask"))
@@ -60,19 +60,33 @@ def preprocess(frames: DataFrame, angles: DataFrame, config: Preprocess) -> dict
     return {"projections": cut(out, spark), "angles": shape.angle_table(angles), "noise": noise, "masks": shape.crop_or_pad(mask, window).select("view", "r", "c")}
 
 
-def denoised(image: np.ndarray, alpha: float, sigma: float, factor: float = 1.0) -> np.ndarray:
-    """Stabilise, scale to [0.15, 0.85], match blocks, and back, with the intensity that fits the input best."""
-    unit = np.maximum(image, 0) / alpha
-    s = sigma / alpha
-    stable = images.vst(unit, s)
-    lo, hi = float(stable.min()), float(stable.max())
-    if hi <= lo:
-        return np.maximum(image, 0)
-    scaled = (stable - lo) / (hi - lo) * 0.7 + 0.15
-    clean = images.block_matching_denoise(scaled, 0.96 * 0.7 / (hi - lo) * factor)
-    out = images.inverse_vst((clean - 0.15) / 0.7 * (hi - lo) + lo, s, images.inverse_table(s, highest=max(50.0, float(unit.max()) * 1.2)))
-    power = float((out * out).sum())
-    return out * (float((out * np.maximum(image, 0)).sum()) / power if power else 1.0)
+def denoised(px: DataFrame, alpha: float, sigma: float, rows: int, cols: int, factor: float = 1.0) -> DataFrame:
+    """``px`` (view, r, c, v) stabilised, scaled to [0.15, 0.85], matched by blocks, and back, with the intensity that
+    fits the input best; views without any contrast are only cut off at 0.
+
+    The table of the inverse is made for this sigma; it reaches over the greatest value of all views, and a value meets
+    its segment by a join.
+    """
+    spark, s = px.sparkSession, sigma / alpha
+    plus = px.select(F.col("view").cast("int").alias("view"), "r", "c", F.greatest(F.col("v"), F.lit(0.0)).alias("given"))
+    stable = cut(plus.withColumn("v", 2 * F.sqrt(F.col("given") / alpha + 0.375 + s * s)), spark)
+    ends = cut(stable.groupBy("view").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("given").alias("most")), spark)
+    wide = ends.where("hi > lo")
+    scaled = stable.join(F.broadcast(wide), "view").withColumn("v", (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 0.7 + 0.15)  # a row for each view
+    noise = wide.select("view", (0.96 * 0.7 * factor / (F.col("hi") - F.col("lo"))).alias("sigma"))
+    clean = matching.denoise(scaled, noise, rows, cols).join(F.broadcast(wide), "view")
+    back = clean.select("view", "r", "c", ((F.col("v") - 0.15) / 0.7 * (F.col("hi") - F.col("lo")) + F.col("lo")).alias("v"))
+    most = float(ends.agg(F.max("most")).first()[0] or 0.0) / alpha
+    e, m = images.inverse_table(s, highest=max(50.0, most * 1.2))
+    curve = spark.createDataFrame([(float(x), float(y)) for x, y in zip(e, m)], "x double, y double")
+    curves = wide.select("view").crossJoin(F.broadcast(curve))  # some hundred points
+    v = F.col("v")
+    found = F.when(v < float(e[0]), 0.0).when(v > float(e[-1]), v * v / 4 - 1 / 8 - s * s).otherwise(F.col("y"))
+    out = stabilise.interpolated(back, curves, ["view"]).withColumn("out", found).join(plus, ["view", "r", "c"])
+    out = cut(out.select("view", "r", "c", "out", "given"), spark)
+    best = out.groupBy("view").agg((F.sum(F.col("out") * F.col("given")) / F.nullif(F.sum(F.col("out") * F.col("out")), F.lit(0.0))).alias("k"))
+    done = out.join(F.broadcast(best), "view").select("view", "r", "c", (F.col("out") * F.coalesce("k", F.lit(1.0))).alias("v"))
+    return done.unionByName(plus.join(F.broadcast(ends.where("hi <= lo")), "view", "left_semi").select("view", "r", "c", F.col("given").alias("v")))
 
 
 def small_reconstruction(spark: SparkSession, sf_dir: str, rounds: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import aggregate, blocks, images, lines, masks, registration, select, shape
+from ..operators import aggregate, blocks, images, lines, masks, matching, registration, select, shape
 from ..operators.fill import fill_region
 
 
@@ -62,7 +62,7 @@ def step_10_scale_vst(px: DataFrame) -> DataFrame:
 
 def step_11_12_block_matching(px: DataFrame, sigma: float, rows: int, cols: int) -> DataFrame:
     """Hard threshold, then Wiener."""
-    return blocks.map_images(px, lambda a: images.block_matching_denoise(a, sigma), rows, cols)
+    return matching.denoise(px, sigma, rows, cols)
 
 
 def step_13_unscale_vst(px: DataFrame) -> DataFrame:

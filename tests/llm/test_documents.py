@@ -256,6 +256,7 @@ def test_packing(docs, rows):
         assert at <= 256
     bound = bound_packing.lower_bound(np.bincount([n for n, _ in want.values()], minlength=257))
     assert bound <= len(bins) <= bound + 1
+    assert {(r.n_sequences, r.least_sequences) for r in out} == {(len(bins), bound)}
 
 
 def test_lower_bound_is_sound():

@@ -129,9 +129,11 @@ def _round(rows: DataFrame, parts: int, number: int, capacity: int) -> DataFrame
 
 
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, per_task: int = PER_TASK) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of ``docs`` (doc_id, text).
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences and least_sequences of each piece of
+    ``docs`` (doc_id, text).
 
-    The result's attribute ``certificate`` holds the number of sequences and the lower bound of any packing.
+    The last two are the same in every row: how many sequences there are, and the lower bound of any packing.  Where they
+    differ, the rounds ended without reaching the bound.  The attribute ``certificate`` holds both as well.
     """
     spark = docs.sparkSession
     rows = written(pieces(docs, path, end_id, capacity), spark)
@@ -162,6 +164,6 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, per_task
         for part in out:
             packed = packed.unionByName(part)
         out = []
-    out = packed.select(*COLUMNS, "sequence_id", "offset")
+    out = packed.select(*COLUMNS, "sequence_id", "offset", F.lit(int(used)).cast("long").alias("n_sequences"), F.lit(int(need)).cast("long").alias("least_sequences"))
     out.certificate = (used, need)
     return out

@@ -64,6 +64,51 @@ def test_voronoi_cells_are_cut_by_all_that_bound_them(spark, monkeypatch):
     assert got == want and len(got) == len(far)
 
 
+@pytest.mark.parametrize("kind", ["ball", "layer", "crystal", "cluster"])
+def test_voronoi_goes_down_a_tree(spark, monkeypatch, kind):
+    """Cells of a surface, of a tilted layer (all open), of ties and of a crowded block, by a tree of several levels."""
+    rng = np.random.default_rng(3)
+    if kind == "ball":
+        points = rng.normal(size=(150, 3))
+    elif kind == "layer":
+        points = rng.uniform(0, 10, (60, 2)) @ np.array([[0.6, 0.64, 0.48], [0, 0.6, -0.8]]) + [1, 2, 3]
+    elif kind == "crystal":
+        points = fcc(2)
+        points = np.vstack([points, points[:5]])  # atoms at one place
+    else:
+        points = np.vstack([rng.normal(0, 0.01, (60, 3)), rng.uniform(-5, 5, (40, 3))])
+    for name, v in (("LEAF", 8), ("FAN", 4)):
+        monkeypatch.setattr(voronoi.point_tree, name, v)
+    monkeypatch.setattr(voronoi, "FEW", 5)
+    monkeypatch.setattr(voronoi, "MOST", 40)
+    got = {r.atom_id: [r.n3, r.n4, r.n5, r.n6] for r in voronoi.voronoi_indices(atoms_frame(spark, points)).collect()}
+    size = voronoi.FAR * float(np.sqrt((np.ptp(points, axis=0) ** 2).sum()))
+    want = {}
+    for k, p in enumerate(points):
+        d = points - p
+        sides = voronoi.Cell(size).clip(d[(d**2).sum(1) > 0]).sides()
+        want[k] = [sides.count(n) for n in (3, 4, 5, 6)]
+    assert got == want
+
+
+def test_point_tree_holds_every_place_once(spark, monkeypatch):
+    monkeypatch.setattr(voronoi.point_tree, "LEAF", 8)
+    monkeypatch.setattr(voronoi.point_tree, "FAN", 4)
+    points = np.round(np.random.default_rng(4).normal(size=(500, 3)), 1)
+    points[:200] = points[0]  # a crowded place
+    found = voronoi.point_tree.levels(atoms_frame(spark, points))
+    tables = [{r.node: r for r in t.collect()} for t in found]
+    leaves = [np.reshape(r.inside, (-1, 3)) for r in tables[0].values()]
+    assert sorted(map(tuple, np.vstack(leaves))) == sorted(set(map(tuple, points))) and max(map(len, leaves)) <= 8
+    assert len(tables) > 2 and len(tables[-1]) <= 4
+    for below, above in zip(tables, tables[1:]):
+        assert sorted(k for r in above.values() for k in r.kids) == sorted(below)
+        for r in above.values():
+            assert len(r.kids) <= 4 and np.array_equal(r.inside, np.concatenate([[*below[k].box, *below[k].one] for k in r.kids]))
+            assert np.allclose(r.box[:3], np.min([below[k].box[:3] for k in r.kids], 0)) and np.allclose(r.box[3:], np.max([below[k].box[3:] for k in r.kids], 0))
+    assert voronoi.point_tree.levels(atoms_frame(spark, points[:0]))[0].count() == 0
+
+
 def test_greedy_distance_is_the_sequential_loop(spark):
     rng = np.random.default_rng(3)
     points, values = rng.uniform(0, 4, (120, 3)), rng.permutation(120)

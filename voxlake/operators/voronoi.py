@@ -7,12 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import point_tree
 from .iterate import cut
 from .neighbours import AROUND, _cells, bounding_box
+from .point_tree import xyz_of
 from .shape import spread
 
 FAR = 1e5  # a corner so many times farther than the points counts as at infinity
-FEW = 1000  # so many open cells are cut by all points at once
+FEW = 1000  # so few cells go down the tree at once
+MOST = 50_000  # points that a block of atoms meets in one task
 
 
 class Cell:
@@ -100,25 +103,41 @@ def face_sides(neighbours: np.ndarray) -> list[int]:
 
 
 SCHEMA = "atom_id long, n3 long, n4 long, n5 long, n6 long"
+#: A cell on its way: points whose planes bound it and corners, both from its atom, and nodes that may still cut it.
+OPEN = "atom_id long, x double, y double, z double, makers array<double>, corners array<double>, nodes array<long>"
+KINDS = pa.schema([("atom_id", pa.int64()), *((a, pa.float64()) for a in "xyz"), ("makers", pa.list_(pa.float64())), ("corners", pa.list_(pa.float64())), ("nodes", pa.list_(pa.int64()))])
+FOUND = pa.schema([("atom_id", pa.int64()), ("nodes", pa.list_(pa.int64())), ("found", pa.list_(pa.float64()))])
 
 
 def _table(ids: list[int], sides: list[list[int]]) -> pa.Table:
     return pa.table({"atom_id": pa.array(ids, pa.int64()), **{f"n{n}": pa.array([s.count(n) for s in sides], pa.int64()) for n in (3, 4, 5, 6)}})
 
 
-def _xyz(t, names=("x", "y", "z")) -> np.ndarray:
-    return np.column_stack([t.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(float)
+def _triples(flat) -> np.ndarray:
+    return np.asarray(flat, dtype=float).reshape(-1, 3)
+
+
+def _may_cut(corners: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each box (rows of ``low`` and ``high``, from the atom): whether a point of it may cut off a corner.
+
+    A point p cuts off a corner c where c p > p p / 2; over a box that is greatest at the corner, clamped to the box.
+    """
+    best = np.clip(corners[:, None], low, high)
+    over = (corners[:, None] * best - best * best / 2).sum(2)
+    nearest = np.sqrt((np.clip(0.0, low, high) ** 2).sum(1))
+    return (over > 1e-11 * np.sqrt((corners**2).sum(1))[:, None] * nearest).any(axis=0)
 
 
 def voronoi_indices(df: DataFrame, radius: float | None = None, periodic: bool = False) -> DataFrame:
     """atom_id, n3, n4, n5, n6: bounded faces of each atom's cell by their sides, a row for every atom.
 
-    A cell is done when nothing beyond the radius can cut it, which is when the radius is over twice its farthest corner;
-    the radius doubles for the others, and the last few meet all points.  So ``radius`` is where this starts and changes
-    no result.  Faces that go to infinity are not counted, as in the model; atoms at one place have the same cell.
+    A cell is done when nothing beyond the radius can cut it, which is when the radius is over twice its farthest corner.
+    The radius doubles once; the others, and blocks with more than MOST points around them, go down a tree of blocks of
+    points.  So ``radius`` is where this starts and changes no result.  Faces that go to infinity are not counted, as in
+    the model; atoms at one place have the same cell; atoms without a place have no row.
     """
     spark = df.sparkSession
-    atoms = cut(df.select("atom_id", *(F.col(a).cast("double").alias(a) for a in "xyz")), spark)
+    atoms = cut(df.select("atom_id", *(F.col(a).cast("double").alias(a) for a in "xyz")).dropna(subset=[*"xyz"]), spark)
     box = bounding_box(atoms).first()
     n = atoms.count()
     if not n:
@@ -129,67 +148,123 @@ def voronoi_indices(df: DataFrame, radius: float | None = None, periodic: bool =
     if periodic:  # a cell lies within half a box of its atom, so one layer of images holds all that cut it
         points = spread(points.withColumns({f"_{a}": F.lit(0) for a in "xyz"}), AROUND, ["_x", "_y", "_z"], ["_x", "_y", "_z"])
         points = points.select(*((F.col(a) + F.col(f"_{a}") * F.lit(w)).alias(a) for a, w in zip("xyz", widths)))
+    points = points.distinct()
     size = FAR * extent * (2 if periodic else 1)
     radius = radius or 2 * (float(np.prod([max(w, 1e-3 * extent) for w in widths])) / n) ** (1 / 3)
-    done, waiting = [], atoms
-    while n > FEW and radius < extent:
-        got = cut(_in_blocks(waiting, points, radius, size), spark)
-        done.append(got)
-        waiting = cut(waiting.join(got.select("atom_id"), "atom_id", "left_anti"), spark)
-        n, radius = waiting.count(), radius * 2
-    out = _by_all(waiting, points, size)
+    done, waiting = [], atoms.withColumn("makers", F.lit(None).cast("array<double>"))
+    for _ in range(2):
+        if n > FEW and radius < extent:
+            got = cut(_in_blocks(waiting.drop("makers"), points, radius, size), spark)
+            done.append(got.where("makers IS NULL").drop("makers"))
+            left = got.where("makers IS NOT NULL").select("atom_id", "makers")
+            waiting = cut(waiting.drop("makers").join(left, "atom_id"), spark)
+            n, radius = waiting.count(), radius * 2
+    out = _down_the_tree(waiting, point_tree.levels(points), size) if n else spark.createDataFrame([], SCHEMA)
     for d in done:
         out = out.unionByName(d)
     return out
 
 
 def _in_blocks(atoms: DataFrame, points: DataFrame, radius: float, size: float) -> DataFrame:
-    """Rows of the cells that points within ``radius`` close; a block meets the points of the 27 blocks around."""
+    """Rows of SCHEMA and makers: null for cells that points within ``radius`` close, what bounds them so far for others.
+
+    A block meets the points of the 27 blocks around; where it or they hold more than MOST, its cells stay as they are.
+    """
     cell, block, place = ["_x", "_y", "_z"], ["bx", "by", "bz"], ["px", "py", "pz"]
-    own = _cells(atoms, radius)
-    wanted = spread(own.select(*(F.col(c).alias(b) for c, b in zip(cell, block))).distinct(), AROUND, block, ["_i", "_j", "_k"])
+    own = _cells(atoms, radius).withColumnsRenamed(dict(zip(cell, block)))
+    wanted = spread(own.select(*block).distinct(), AROUND, block, ["_i", "_j", "_k"])
     around = _cells(points, radius).select(*(F.col(a).alias(p) for a, p in zip("xyz", place)), *(F.col(c).alias(n) for c, n in zip(cell, ("_i", "_j", "_k"))))
     around = around.join(wanted, ["_i", "_j", "_k"]).select(*place, *block)
+    counts = [t.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select(*block) for t in (own, around)]
+    heavy = cut(counts[0].union(counts[1]).distinct(), atoms.sparkSession)
+    schema = f"{SCHEMA}, makers array<double>"
 
     def run(left, right):
-        if not left.num_rows:
-            return _table([], [])
-        near, ids, sides = _xyz(right, place), [], []
-        for a, at in zip(left.column("atom_id").to_pylist(), _xyz(left)):
+        near, ids, sides, makers = xyz_of(right, place), [], [], []
+        for a, at in zip(left.column("atom_id").to_pylist(), xyz_of(left)):
             d = near - at
             far = (d**2).sum(1)
             c = Cell(size).clip(d[(far > 0) & (far < radius * radius)])
-            if c.reach() < radius:
-                ids.append(a)
-                sides.append(c.sides())
-        return _table(ids, sides)
+            closed = c.reach() < radius
+            ids.append(a)
+            sides.append(c.sides() if closed else [])
+            makers.append(None if closed else c.makers().ravel())
+        return _table(ids, sides).append_column("makers", pa.array(makers, pa.list_(pa.float64())))
+
+    light = [t.join(heavy, block, "left_anti") for t in (own, around)]
+    here = [F.col(b).alias(f"_{b}") for b in block]  # names of its own, as both sides come from the same atoms
+    out = light[0].groupBy(*block).cogroup(light[1].select(*place, *here).groupBy(*(f"_{b}" for b in block))).applyInArrow(run, schema)
+    untouched = own.join(heavy, block, "left_semi").select("atom_id", *(F.lit(0).cast("long").alias(f"n{n}") for n in (3, 4, 5, 6)), F.array().cast("array<double>").alias("makers"))
+    return out.unionByName(untouched)
 
-    return own.groupBy(*cell).cogroup(around.groupBy(*block)).applyInArrow(run, SCHEMA)
 
+def _down_the_tree(atoms: DataFrame, levels: list[DataFrame], size: float) -> DataFrame:
+    """Rows of the cells (atom_id, x, y, z, makers) cut by all points of the tree.
 
-def _by_all(atoms: DataFrame, points: DataFrame, size: float) -> DataFrame:
-    """Rows of the cells that all points cut: a partition keeps of its points those that bound what it alone leaves."""
-    rows = atoms.orderBy("atom_id").collect()  # some FEW, or the surface of all atoms
-    ids, at = [r["atom_id"] for r in rows], np.array([[r[a] for a in "xyz"] for r in rows]).reshape(-1, 3)
-    if not ids:
-        return atoms.sparkSession.createDataFrame([], SCHEMA)
+    Each round joins cells with the nodes that may still cut them.  A pair's task cuts the cell by the children's one
+    points, or by a leaf's points, and names the children whose boxes may cut what is left; a cell's findings then meet
+    it again in one small group.  So a task holds a cell and a node, whatever the number of points or cells.
+    """
+    top = [r["node"] for r in levels[-1].select("node").collect()]  # at most FAN
+
+    def begin(batches):
+        for b in batches:
+            made = [Cell(size).clip(_triples(m)) for m in (v or [] for v in b.column("makers").to_pylist())]
+            yield _open_rows(b.column("atom_id"), xyz_of(b), made, [top] * len(made))
 
-    def keep(batches):
-        kept = [np.empty((0, 3)) for _ in ids]
+    def meet(batches):
+        for b in batches:
+            ids, nodes, found = [], [], []
+            at, lists = xyz_of(b), {c: b.column(c) for c in ("makers", "corners", "box", "kids", "inside")}
+            for k, a in enumerate(b.column("atom_id").to_pylist()):
+                corners, box, inside = (lists[c][k].values.to_numpy() for c in ("corners", "box", "inside"))
+                corners, box = corners.reshape(-1, 3), box.reshape(2, 1, 3) - at[k]
+                if not _may_cut(corners, *box).any():
+                    continue
+                kids = lists["kids"][k].values.to_numpy()
+                boxes = inside.reshape(-1, 9) - np.tile(at[k], 3) if len(kids) else None
+                near = boxes[:, 6:] if len(kids) else inside.reshape(-1, 3) - at[k]
+                near = near[(near**2).sum(1) > 0]
+                cell = Cell(size)
+                cell.corners = corners
+                cutting, new = cell.cutting(near), np.empty((0, 3))
+                if len(cutting):
+                    old = lists["makers"][k].values.to_numpy().reshape(-1, 3)
+                    cell = Cell(size).clip(np.vstack([old, cutting]))
+                    new, corners = cell.makers(), cell.corners
+                if len(kids):
+                    kids = kids[_may_cut(corners, boxes[:, :3], boxes[:, 3:6])]
+                ids.append(a)
+                nodes.append(kids)
+                found.append(new.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, FOUND.field("nodes").type), pa.array(found, FOUND.field("found").type)], schema=FOUND)
+
+    def gather(left, right):
+        made, nodes, at = [], [], xyz_of(left)
+        found = [v for v in right.column("found").to_pylist() if v]
+        for makers in left.column("makers").to_pylist():
+            every = np.unique(np.vstack([_triples(makers), *map(_triples, found)]), axis=0)
+            made.append(Cell(size).clip(every))
+            nodes.append(sorted({n for v in right.column("nodes").to_pylist() for n in v}))
+        return pa.Table.from_batches([_open_rows(left.column("atom_id"), at, made, nodes)])
+
+    def end(batches):
         for b in batches:
-            near = _xyz(b)
-            for k, a in enumerate(at):
-                d = near - a
-                kept[k] = Cell(size).clip(np.vstack([kept[k], d[(d**2).sum(1) > 0]])).makers()
-        for k, found in zip(ids, kept):
-            found = found if len(found) else np.zeros((1, 3))  # an atom alone has a row too
-            yield pa.record_batch({"atom_id": pa.array(np.full(len(found), k), pa.int64()), **{f"d{c}": found[:, n] for n, c in enumerate("xyz")}})
-
-    def run(key, got):
-        near = _xyz(got, ("dx", "dy", "dz"))
-        return _table([key[0].as_py()], [Cell(size).clip(near[(near**2).sum(1) > 0]).sides()])
-
-    return points.mapInArrow(keep, "atom_id long, dx double, dy double, dz double").groupBy("atom_id").applyInArrow(run, SCHEMA)
+            yield from _table(b.column("atom_id").to_pylist(), [Cell(size).clip(_triples(m)).sides() for m in b.column("makers").to_pylist()]).to_batches()
+
+    spark = atoms.sparkSession
+    cells = cut(atoms.mapInArrow(begin, OPEN), spark)
+    for nodes in reversed(levels):
+        pairs = cells.withColumn("node", F.explode("nodes")).drop("nodes").join(nodes.drop("one"), "node")
+        met = pairs.mapInArrow(meet, "atom_id long, nodes array<long>, found array<double>")
+        cells = cut(cells.groupBy("atom_id").cogroup(met.groupBy("atom_id")).applyInArrow(gather, OPEN), spark)
+    return cells.mapInArrow(end, SCHEMA)
+
+
+def _open_rows(ids, at: np.ndarray, made: list[Cell], nodes: list) -> pa.RecordBatch:
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    columns = [ids, *(pa.array(at[:, k]) for k in range(3)), *(pa.array([v.ravel() for v in part], pa.list_(pa.float64())) for part in ([c.makers() for c in made], [c.corners for c in made]))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.list_(pa.int64()))], schema=KINDS)
 
 
 def index_fractions(indices: DataFrame) -> DataFrame:

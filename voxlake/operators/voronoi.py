@@ -239,26 +239,30 @@ def _down_the_tree(atoms: DataFrame, levels: list[DataFrame], size: float) -> Da
                 found.append(new.ravel())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, FOUND.field("nodes").type), pa.array(found, FOUND.field("found").type)], schema=FOUND)
 
-    def gather(left, right):
-        made, nodes, at = [], [], xyz_of(left)
-        found = [v for v in right.column("found").to_pylist() if v]
-        for makers in left.column("makers").to_pylist():
-            every = np.unique(np.vstack([_triples(makers), *map(_triples, found)]), axis=0)
-            made.append(Cell(size).clip(every))
-            nodes.append(sorted({n for v in right.column("nodes").to_pylist() for n in v}))
-        return pa.Table.from_batches([_open_rows(left.column("atom_id"), at, made, nodes)])
-
-    def end(batches):
-        for b in batches:
-            yield from _table(b.column("atom_id").to_pylist(), [Cell(size).clip(_triples(m)).sides() for m in b.column("makers").to_pylist()]).to_batches()
+    def gathered(last: bool):
+        def run(left, right):
+            made, nodes = [], []
+            found = [_triples(v) for v in right.column("found").to_pylist() if v]
+            for makers in left.column("makers").to_pylist():
+                every = np.unique(np.vstack([_triples(makers), *found]), axis=0)
+                made.append(Cell(size).clip(every))
+                nodes.append(sorted({n for v in right.column("nodes").to_pylist() for n in v}))
+            if last:
+                return _table(left.column("atom_id").to_pylist(), [c.sides() for c in made])
+            return pa.Table.from_batches([_open_rows(left.column("atom_id"), xyz_of(left), made, nodes)])
+
+        return run
 
     spark = atoms.sparkSession
-    cells = cut(atoms.mapInArrow(begin, OPEN), spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work: partitions aren't to be joined up
+    by_atom = lambda df: df.repartition(tasks, "atom_id").groupBy("atom_id")
+    cells = cut(atoms.repartition(tasks, "atom_id").mapInArrow(begin, OPEN), spark)
     for nodes in reversed(levels):
+        last = nodes is levels[0]
         pairs = cells.withColumn("node", F.explode("nodes")).drop("nodes").join(nodes.drop("one"), "node")
         met = pairs.mapInArrow(meet, "atom_id long, nodes array<long>, found array<double>")
-        cells = cut(cells.groupBy("atom_id").cogroup(met.groupBy("atom_id")).applyInArrow(gather, OPEN), spark)
-    return cells.mapInArrow(end, SCHEMA)
+        cells = cut(by_atom(cells).cogroup(by_atom(met)).applyInArrow(gathered(last), SCHEMA if last else OPEN), spark)
+    return cells
 
 
 def _open_rows(ids, at: np.ndarray, made: list[Cell], nodes: list) -> pa.RecordBatch:

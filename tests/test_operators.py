@@ -385,6 +385,27 @@ def test_boundaries_and_seeded_kmeans(spark):
     assert cluster.seeded_kmeans(df, "x", 3)[0].select("label").distinct().count() >= 2
 
 
+def test_medians_are_exact(spark):
+    """Ties, a value that a third of all rows share, classes of even and odd size, and classes that stay empty."""
+    rng = np.random.default_rng(6)
+    values = np.concatenate([np.full(70, 2.5), np.round(rng.exponential(3, 101), 1), rng.normal(40, 1, 30)])
+    rows = [(i, float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame([*rows, (-1, None), (-2, float("nan"))], "id long, x double")
+    for start in (None, [0.0, 0.0, 41.0, 500.0]):
+        centres = start or np.linspace(values.min(), values.max(), 4).tolist()
+        while True:
+            label = np.abs(values[:, None] - np.array(centres)).argmin(1)
+            new = [float(np.median(values[label == i])) if (label == i).any() else c for i, c in enumerate(centres)]
+            if new == centres:
+                break
+            centres = new
+        got, found = cluster.kmedians(df, "x", 4, start=start)
+        assert np.allclose(found, centres, rtol=1e-15)
+        assert {r.id: r.label for r in got.where("id >= 0").collect()} == dict(enumerate(label.tolist()))
+    none, found = cluster.kmedians(df.where("id = -1"), "x", 3)
+    assert found == [] and [r.label for r in none.collect()] == [None]
+
+
 def test_boundaries_of_many_skewed_values(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(m, 0.3, 1700) for m in (0, 2, 4)] + [[1e4]])  # an outlier 10,000 wide

@@ -39,7 +39,29 @@ def kmeans(df: DataFrame, value: str, k: int, rounds: int = 100, start: list[flo
 
 
 def kmedians(df: DataFrame, value: str, k: int, rounds: int = 100, start: list[float] | None = None):
-    return _lloyd(df, value, k, rounds, F.median, start)
+    """As ``kmeans`` with exact medians, by a table of distinct values and how many lie up to each.
+
+    A class is a run of values, so its median is at known counts: a round is one aggregation to the runs' counts and one to
+    the values there, and no task holds a class.  Null and NaN count for no median.
+    """
+    x = F.col("x")
+    distinct = _distinct(df, value).where(~F.isnan("x"))
+    if start is None:
+        lo, hi = distinct.agg(F.min("x"), F.max("x")).first()
+        if lo is None:
+            return df.withColumn("label", F.lit(None).cast("int")), []
+        start = np.linspace(lo, hi, k).tolist()
+    table, _ = _running(distinct)
+    centres = list(start)
+    for _ in range(rounds):
+        runs = table.groupBy(_nearest(x, centres).cast("int").alias("label")).agg(F.max("n").alias("upto"), F.min(F.col("n") - F.col("own")).alias("before")).collect()  # k rows
+        ranks = {r["label"]: [r["before"] + (r["upto"] - r["before"] + up) // 2 for up in (1, 2)] for r in runs}
+        at = table.agg(*(F.min(F.when(F.col("n") >= rank, x)).alias(f"m{label}_{side}") for label, both in ranks.items() for side, rank in enumerate(both))).first() if ranks else {}
+        new = [0.5 * at[f"m{i}_0"] + 0.5 * at[f"m{i}_1"] if i in ranks else c for i, c in enumerate(centres)]
+        if new == centres:
+            break
+        centres = new
+    return df.withColumn("label", _nearest(F.col(value).cast("double"), centres).cast("int")), centres
 
 
 def seeded_kmeans(df: DataFrame, value: str, k: int, seed: int = 42, rounds: int = 100):
@@ -48,6 +70,13 @@ def seeded_kmeans(df: DataFrame, value: str, k: int, seed: int = 42, rounds: int
     return kmeans(df, value, k, rounds, np.random.RandomState(seed).uniform(lo, hi, k).tolist())
 
 
+def _distinct(df: DataFrame, value: str) -> DataFrame:
+    """x, how often it occurs (n), and the sums of these values (s) and of their squares (q)."""
+    x, n = F.col("x"), F.col("n")
+    counts = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("x", "n", (x * n).alias("s"), (x * x * n).alias("q"))
+
+
 def refine_boundaries(df: DataFrame, value: str, k: int, most: int = 4096) -> list[float]:
     """Upper ends of the first k - 1 classes of sorted values with the least sum of squares within classes.
 
@@ -55,9 +84,7 @@ def refine_boundaries(df: DataFrame, value: str, k: int, most: int = 4096) -> li
     values between its neighbours, until none moves.  Over ``most`` distinct values stay in a table of prefix sums, and a
     place is one aggregation over it; that changes where the search runs, not what it finds.
     """
-    x, n = F.col("x"), F.col("n")
-    distinct = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    distinct = distinct.select("x", "n", (x * n).alias("s"), (x * x * n).alias("q"))
+    distinct = _distinct(df, value)
     few = distinct.limit(most + 1).count() <= most
     size, rows, place = _places(distinct.orderBy("x").collect()) if few else _far_places(distinct)
     cuts = [0, *np.linspace(0, size, k + 1).astype(int)[1:-1].tolist(), size]
@@ -83,16 +110,24 @@ def _places(got: list) -> tuple:
     return len(got), lambda at: {c: float(got[c - 1]["x"]) for c in at}, place
 
 
-def _far_places(distinct: DataFrame) -> tuple:
-    """As ``_places``, by a table of prefix sums: ranges of values are summed each, and start at the sums before them."""
+def _running(distinct: DataFrame) -> tuple[DataFrame, int]:
+    """x, own (its n), and the sums of one (c), n, s and q up to each value; and the number of values.
+
+    Ranges of values are summed each, and start at the sums before them.
+    """
     spark, sums = distinct.sparkSession, ("c", "n", "s", "q")
     parts = cut(distinct.withColumn("c", F.lit(1)).repartitionByRange("x").withColumn("_p", F.spark_partition_id()), spark)
     totals = parts.groupBy("_p").agg(*(F.sum(c).cast("double").alias(c) for c in sums)).orderBy("_p").collect()  # a row for each range
     before = np.vstack([np.zeros(4), np.cumsum([[r[c] for c in sums] for r in totals], axis=0)])
     starts = spark.createDataFrame([(r["_p"], *map(float, b)) for r, b in zip(totals, before)], "_p int, " + ", ".join(f"_{c} double" for c in sums))
     so_far = Window.partitionBy("_p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    table = parts.join(F.broadcast(starts), "_p").select("x", *((F.sum(c).over(so_far) + F.col(f"_{c}")).alias(c) for c in sums))
-    table = cut(table.withColumn("c", F.col("c").cast("long")), spark)
+    table = parts.join(F.broadcast(starts), "_p").select("x", F.col("n").alias("own"), *((F.sum(c).over(so_far) + F.col(f"_{c}")).alias(c) for c in sums))
+    return cut(table.withColumn("c", F.col("c").cast("long")), spark), int(before[-1][0])
+
+
+def _far_places(distinct: DataFrame) -> tuple:
+    """As ``_places``, by a table of prefix sums."""
+    table, size = _running(distinct)
     known = {0: (None, 0.0, 0.0, 0.0)}
 
     def at(numbers: list[int]) -> None:
@@ -112,7 +147,7 @@ def _far_places(distinct: DataFrame) -> tuple:
         at(numbers)
         return {c: float(known[c][0]) for c in numbers}
 
-    return int(before[-1][0]), values, place
+    return size, values, place
 
 
 def classify_by_boundaries(df: DataFrame, value: str, ends: list[float]) -> DataFrame:

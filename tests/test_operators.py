@@ -91,6 +91,15 @@ def test_voronoi_goes_down_a_tree(spark, monkeypatch, kind):
     assert got == want
 
 
+def test_voronoi_of_a_periodic_box(spark):
+    points = np.random.default_rng(9).uniform(0, 4, (12, 3))
+    got = {r.atom_id: [r.n3, r.n4, r.n5, r.n6] for r in voronoi.voronoi_indices(atoms_frame(spark, points), periodic=True).collect()}
+    width = np.ptp(points, axis=0)
+    images = np.vstack([points + (np.array(o) - 1) * width for o in np.ndindex(3, 3, 3)])  # an atom's own copy is exactly itself
+    want = {k: [s.count(n) for n in (3, 4, 5, 6)] for k, s in enumerate(voronoi.face_sides(images - p) for p in points)}
+    assert got == want
+
+
 def test_point_tree_holds_every_place_once(spark, monkeypatch):
     monkeypatch.setattr(voronoi.point_tree, "LEAF", 8)
     monkeypatch.setattr(voronoi.point_tree, "FAN", 4)

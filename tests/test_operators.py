@@ -129,6 +129,36 @@ def test_greedy_distance_is_the_sequential_loop(spark):
     assert {i for i, f in got.items() if f == 0} == {int(i) for i in kept} and set(got.values()) == {0, -3}
 
 
+def shuffled(spark, run) -> float:
+    """MB that ``run`` writes for shuffles."""
+
+    def so_far():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+
+    before = so_far()
+    run()
+    return so_far() - before
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_greedy_distance_in_a_crowd(spark, monkeypatch, few):
+    monkeypatch.setattr(select, "FEW", few)
+    rng = np.random.default_rng(4)
+    points, values = rng.normal(0, 0.7, (2000, 3)), rng.integers(0, 50, 2000)
+    points[100:200] = points[0]
+    kept = []
+    for i in np.lexsort([np.arange(2000), -values]):
+        if all(((points[i] - points[j]) ** 2).sum() >= 1 for j in kept):
+            kept.append(int(i))
+    df, got = atoms_frame(spark, points, values=values), {}
+    assert shuffled(spark, lambda: got.update({r.atom_id: r.flag for r in select.greedy_min_distance(df, 1.0).collect()})) < 4  # no pairs
+    assert len(got) == 2000 and sorted(i for i, f in got.items() if f == 0) == sorted(kept)
+    lost = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0), (1, None, 0.0, 0.0, 2.0), (2, float("nan"), 0.0, 0.0, 3.0), (3, 0.5, 0.0, 0.0, None)], "atom_id long, x double, y double, z double, v double")
+    assert {r.atom_id: r.flag for r in select.greedy_min_distance(lost, 1.0).collect()} == {0: 0, 1: 0, 2: 0, 3: -3}
+
+
 def test_atoms_at_one_place_and_outside(spark):
     df = atoms_frame(spark, [(1, 1, 1), (1, 1, 1), (4, 4, 4)], values=[2, 3, 1])
     assert {r.atom_id: r.flag for r in select.greedy_min_distance(df, 0.5).collect()} == {0: -3, 1: 0, 2: 0}

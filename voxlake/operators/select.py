@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut
-from .neighbours import pairs
+from .iterate import forget, stored
+from .neighbours import AROUND, _cells
 from .shape import spread
 
+FEW = 20_000  # atoms that are sent to every task with the cells around them
+
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
@@ -27,20 +29,39 @@ def local_maxima(df: DataFrame, threshold: float, top: int | None = None) -> Dat
 def greedy_min_distance(df: DataFrame, radius: float, value: str = "v") -> DataFrame:
     """``df`` with flag 0 for accepted atoms and -3 for those nearer than ``radius`` to an accepted one of higher rank.
 
-    Rank is by value, then atom_id; of two atoms at one place the second is rejected.  Rounds accept what has only rejected neighbours above it and reject the neighbours
-    of what is accepted; that ends in the result of the sequential loop, and rejected atoms block nothing.
+    Rank is by value (null last), then atom_id; of two atoms at one place the second is rejected.  Rounds accept what has nothing undecided
+    above it and reject what is near those; that ends in the result of the sequential loop, and rejected atoms block nothing.
+    Atoms of one half cell are all near each other, so only the first of each may be accepted: a round compares the
+    undecided with at most eight of each cell around them, and no pair is kept.  An atom without finite coordinates is near nothing.
     """
-    spark = df.sparkSession
-    p = pairs(df, radius, [value], coincident=True)
-    above = cut(p.where((F.col(f"b_{value}") > F.col(f"a_{value}")) | ((F.col(f"b_{value}") == F.col(f"a_{value}")) & (F.col("b") < F.col("a")))).select("a", "b"), spark)
-    state = cut(df.select("atom_id", F.lit(None).cast("int").alias("flag")), spark)
-    while True:
-        seen = above.join(state.withColumnRenamed("atom_id", "b"), "b").groupBy("a").agg(F.bool_or(F.coalesce(F.col("flag") == 0, F.lit(False))).alias("hit"), F.bool_and(F.coalesce(F.col("flag") == -3, F.lit(False))).alias("free"))
-        nxt = state.join(seen, F.col("atom_id") == F.col("a"), "left").select(
-            "atom_id", F.coalesce("flag", F.when(F.col("hit"), -3).when(F.coalesce("free", F.lit(True)), 0)).cast("int").alias("flag"))
-        state = cut(nxt, spark)
-        if state.where("flag IS NULL").isEmpty():
-            return df.drop("flag").join(state, "atom_id")
+    spark, cell, half = df.sparkSession, ["_x", "_y", "_z"], ["_hx", "_hy", "_hz"]
+    rank = lambda p: F.struct(F.col(f"{p}v"), (-F.col(f"{p}id")).alias("o"))
+    finite = sum((F.abs(F.col(a)) for a in "xyz"), F.lit(0.0)) < float("inf")
+    atoms = df.select(F.col("atom_id").alias("id"), *"xyz", F.col(value).alias("v"))
+    lone = stored(atoms.where(~F.coalesce(finite, F.lit(False))).select("id"))
+    left = _cells(atoms.where(finite), radius).withColumns({f"_h{a}": F.floor(F.col(a) / (radius / 2)).cast("int") for a in "xyz"})
+    left, taken = stored(left), [lone]
+
+    def around(few: DataFrame, n: int) -> DataFrame:
+        """Atoms as t_*, in each of the 27 cells around theirs."""
+        out = spread(few, AROUND, cell, cell).select(*cell, *(F.col(c).alias(f"t_{c}") for c in ("id", *"xyz", "v")))
+        return F.broadcast(out) if n <= FEW else out.hint("merge")
+
+    d = F.sqrt(sum(((F.col(f"t_{a}") - F.col(a)) * (F.col(f"t_{a}") - F.col(a)) for a in "xyz"), F.lit(0.0)))
+    near = lambda few: [*(left[c] == few[c] for c in cell), d < radius]
+    while not left.isEmpty():
+        first = F.max(F.struct("v", (-F.col("id")).alias("o"), *"xyz", *cell)).alias("t")
+        tops = stored(left.groupBy(*half).agg(first).select((-F.col("t.o")).alias("id"), *(f"t.{c}" for c in ("x", "y", "z", "v", *cell))))
+        few = around(tops, tops.count())
+        blocked = left.join(few, [*near(few), rank("") > rank("t_")]).select(F.col("t_id").alias("id")).distinct()
+        new = stored(tops.join(blocked, "id", "left_anti"))
+        few = around(new, new.count())
+        rest = stored(left.join(few, near(few), "left_anti"))
+        forget(tops, left)
+        left, taken = rest, [*taken, new]
+    accepted = spark.read.schema(lone.schema).parquet(*(t.stored_at for t in taken))
+    accepted = accepted.select(F.col("id").alias("atom_id"), F.lit(0).alias("flag"))
+    return df.drop("flag").join(accepted, "atom_id", "left").withColumn("flag", F.coalesce("flag", F.lit(-3)))
 
 
 def best(df: DataFrame, by: list[str], score: str, order: str, largest: bool = False) -> DataFrame:

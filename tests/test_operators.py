@@ -40,6 +40,51 @@ def test_fcc_neighbours_and_bond_order(spark):
     assert len(alpha) == 1 and alpha[0].alpha == pytest.approx(0)
 
 
+def shuffled(spark, run) -> float:
+    """MB that ``run`` writes for shuffles."""
+
+    def so_far():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+
+    before = so_far()
+    run()
+    return so_far() - before
+
+
+def test_bond_order_in_a_crowd(spark):
+    """Bonds grow with the square of the atoms, what is shuffled doesn't."""
+    rng = np.random.default_rng(6)
+    few, many = (atoms_frame(spark, rng.normal(0, 0.5, (n, 3))) for n in (800, 2400))
+    took = [shuffled(spark, lambda df=df: neighbours.bond_order(df, 1.0, periodic=False).collect()) for df in (few, many)]
+    assert took[1] < 4.5 * took[0]
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_bond_order_is_the_addition_theorem(spark, periodic):
+    points = np.random.default_rng(7).uniform(0, 3, (40, 3))
+    points[3] = points[2]
+    width = np.ptp(points, axis=0) * periodic
+    images = np.array([o for o in np.ndindex(3, 3, 3) if periodic or o == (1, 1, 1)]) - 1
+    bonds, hoods = [], []
+    for p in points:
+        d = points[None] + images[:, None] * width - p
+        r = np.sqrt((d**2).sum(-1))
+        near = (r > 0) & (r < 1.1)
+        bonds.append(d[near] / r[near][:, None])
+        hoods.append(np.nonzero(near)[1].tolist())
+    got = {r.atom_id: r for r in neighbours.bond_order(atoms_frame(spark, points), 1.1, periodic=periodic).collect()}
+    assert len(got) == 40
+    for a, hood in enumerate(hoods):
+        hood = [b for b in (a, *hood) if len(bonds[b])]
+        u = np.vstack([bonds[b] for b in hood] or [np.zeros((0, 3))])
+        f = np.concatenate([np.full(len(bonds[b]), 1 / len(bonds[b]) / (len(hoods[a]) + 1)) for b in hood] or [np.zeros(0)])
+        for l in (4, 6):
+            q = f @ np.polynomial.legendre.legval(u @ u.T, [0] * l + [1]) @ f
+            assert got[a][f"q{l}"] == pytest.approx(math.sqrt(max(q, 0)), abs=1e-6)
+
+
 def test_voronoi_of_a_cubic_lattice():
     near = np.array([p for p in np.ndindex(3, 3, 3)], float) - 1
     near = near[(near**2).sum(1) > 0] + 0.0
@@ -129,19 +174,6 @@ def test_greedy_distance_is_the_sequential_loop(spark):
     assert {i for i, f in got.items() if f == 0} == {int(i) for i in kept} and set(got.values()) == {0, -3}
 
 
-def shuffled(spark, run) -> float:
-    """MB that ``run`` writes for shuffles."""
-
-    def so_far():
-        context = spark.sparkContext._jsc.sc()
-        context.listenerBus().waitUntilEmpty()
-        return context.statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
-
-    before = so_far()
-    run()
-    return so_far() - before
-
-
 @pytest.mark.parametrize("few", [20_000, 0])
 def test_greedy_distance_in_a_crowd(spark, monkeypatch, few):
     monkeypatch.setattr(select, "FEW", few)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import stored
 from .shape import ball_offsets, spread
 
 AROUND = [o for o in ball_offsets(1, slack=1.0)]
@@ -40,17 +42,21 @@ def bounding_box(df: DataFrame) -> DataFrame:
     return df.agg(*(F.min(a).alias(f"{a}0") for a in "xyz"), *((F.max(a) - F.min(a)).alias(f"{a}w") for a in "xyz"))
 
 
-def periodic_pairs(df: DataFrame, radius: float, carry: list[str] = ()) -> DataFrame:
-    """As ``pairs``, in the box's periodic cell: b may be any image of an atom, a is in the cell."""
-    box = bounding_box(df)
-    keep = ["atom_id", *carry]
-    inner = df.crossJoin(F.broadcast(box))  # one row
+def periodic_images(df: DataFrame, radius: float) -> DataFrame:
+    """Rows of all images of the box's periodic cell that are nearer than ``radius`` to it."""
+    inner = df.crossJoin(F.broadcast(bounding_box(df)))  # one row
     images = spread(inner.withColumns({f"_{a}": F.lit(0) for a in "xyz"}), AROUND, ["_x", "_y", "_z"], ["_x", "_y", "_z"])
     images = images.withColumns({a: F.col(a) + F.col(f"_{a}") * F.col(f"{a}w") for a in "xyz"})
     near = F.lit(True)
     for a in "xyz":
         near = near & (F.col(a) >= F.col(f"{a}0") - radius) & (F.col(a) <= F.col(f"{a}0") + F.col(f"{a}w") + radius)
-    images = images.where(near)
+    return images.where(near)
+
+
+def periodic_pairs(df: DataFrame, radius: float, carry: list[str] = ()) -> DataFrame:
+    """As ``pairs``, in the box's periodic cell: b may be any image of an atom, a is in the cell."""
+    keep = ["atom_id", *carry]
+    images = periodic_images(df, radius)
     left = _cells(df, radius).select(*(F.col(c).alias(f"a_{c}") for c in [*keep, *"xyz"]), "_x", "_y", "_z")
     right = spread(_cells(images.select(*keep, *"xyz"), radius), AROUND, ["_x", "_y", "_z"], ["_x", "_y", "_z"])
     right = right.select(*(F.col(c).alias(f"b_{c}") for c in [*keep, *"xyz"]), "_x", "_y", "_z")
@@ -136,10 +142,9 @@ def radial_distribution(df: DataFrame, low: float, high: float, width: float, pe
     return g.select((low + (F.col("bin") + 0.5) * width).alias("r"), smooth.alias("g"))
 
 
-def _harmonics(l: int):  # noqa: E741
-    """(m, real spherical harmonic as a column of u, v, w = direction) by the associated Legendre recurrence."""
-    u, v, w = F.col("dx") / F.col("d"), F.col("dy") / F.col("d"), F.col("dz") / F.col("d")
-    cos_m, sin_m = [F.lit(1.0)], [F.lit(0.0)]
+def _harmonics(l: int, u: np.ndarray, v: np.ndarray, w: np.ndarray):  # noqa: E741
+    """Real spherical harmonics of the directions u, v, w, a row for each m, by the associated Legendre recurrence."""
+    cos_m, sin_m = [np.ones_like(u)], [np.zeros_like(u)]
     for _ in range(l):
         cos_m.append(cos_m[-1] * u - sin_m[-1] * v)
         sin_m.append(sin_m[-1] * u + cos_m[-2] * v)
@@ -149,12 +154,14 @@ def _harmonics(l: int):  # noqa: E741
         for _ in range(m):
             poly = [i * c for i, c in enumerate(poly)][1:]
         norm = math.sqrt((2 * l + 1) / (4 * math.pi) * math.factorial(l - m) / math.factorial(l + m)) * (math.sqrt(2) if m else 1)
-        value = F.lit(0.0)
-        for c in reversed(poly):
-            value = value * w + F.lit(float(c))
-        yield m, norm * value * cos_m[m]
+        value = np.full_like(u, poly[-1] * norm)
+        for c in reversed(poly[:-1]):
+            value *= w
+            if c:
+                value += c * norm
+        yield value * cos_m[m]
         if m:
-            yield -m, norm * value * sin_m[m]
+            yield value * sin_m[m]
 
 
 def _legendre(n: int) -> list[float]:
@@ -170,11 +177,26 @@ def _legendre(n: int) -> list[float]:
 
 
 def bond_order(df: DataFrame, radius: float, ls: tuple[int, ...] = (4, 6), periodic: bool = True) -> DataFrame:
-    """atom_id, q4, q6: bond-orientational order averaged over an atom and its neighbours; 0 without neighbours."""
-    p = (periodic_pairs if periodic else pairs)(df, radius)
-    terms = [(l, m, f"q_{l}_{m + l}", e) for l in ls for m, e in _harmonics(l)]
-    own = p.groupBy("a").agg(*(F.avg(e).alias(name) for *_, name, e in terms))
-    hood = p.select("a", "b").unionByName(df.select(F.col("atom_id").alias("a"), F.col("atom_id").alias("b")))
-    means = hood.join(own.withColumnRenamed("a", "b"), "b", "left").groupBy("a").agg(*(F.avg(F.coalesce(name, F.lit(0.0))).alias(name) for *_, name, _ in terms))
-    norms = [F.sqrt(4 * math.pi / (2 * l + 1) * sum((F.col(n) * F.col(n) for k, _, n, _ in terms if k == l), F.lit(0.0))).alias(f"q{l}") for l in ls]
-    return means.select(F.col("a").alias("atom_id"), *norms)
+    """atom_id, q4, q6: bond-orientational order averaged over an atom and its neighbours; 0 without neighbours.
+
+    Both averages are sums over balls (``balls.near_sums``): of harmonics of the directions, then of the neighbours' averages.
+    In a periodic cell an atom is a neighbour by each of its images that is near.
+    """
+    from . import balls
+
+    atoms = df.select("atom_id", *"xyz")
+    images = periodic_images(atoms, radius) if periodic else atoms
+    names = [f"{l}" for l in ls for _ in range(2 * l + 1)]
+    n = len(names)
+
+    def of(u, v, w):
+        return np.vstack([np.ones_like(u), *(row for l in ls for row in _harmonics(l, u, v, w))])
+
+    zero = F.array_repeat(F.lit(0.0), n + 1)
+    own = balls.near_sums(atoms.withColumn("v", zero), images.select(*"xyz", F.lit(None).cast("array<double>").alias("v")), radius, of=of)
+    count = F.col("v")[0]
+    mean = F.transform(F.slice("v", 2, n), lambda x: F.when(count > 0, x / count).otherwise(0.0))
+    own = stored(own.select("atom_id", *"xyz", F.concat(F.array(F.lit(1.0)), mean).alias("v")))  # with the atom itself, counted first
+    hood = balls.near_sums(own, periodic_images(own, radius) if periodic else own, radius)
+    norms = [F.sqrt(4 * math.pi / (2 * l + 1) * sum(((F.col("v")[k + 1] / count) * (F.col("v")[k + 1] / count) for k, of_l in enumerate(names) if of_l == f"{l}"), F.lit(0.0))).alias(f"q{l}") for l in ls]
+    return hood.select("atom_id", *norms)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalar
-from voxlake.operators import aggregate, blocks, cluster, fill, fits, images, lines, masks, matching, morphology, neighbours, project, registration, select, shape, stabilise, tomography, voronoi
+from voxlake.operators import aggregate, balls, blocks, cluster, fill, fits, images, lines, masks, matching, morphology, neighbours, project, registration, select, shape, stabilise, tomography, voronoi
 from voxlake.plans import pipelines, steps
 from voxlake.sources import files
 
@@ -550,6 +550,51 @@ def test_local_classes_of_odd_boxes(spark, monkeypatch, few, long):
     assert {r.atom_id: r.label for r in cluster.local_reclassify(df, box, 0.9, 3).collect()} == dict(enumerate(now))
 
 
+def test_atoms_out_of_reach_of_changes_keep_their_class():
+    rng = np.random.default_rng(31)
+    n, limit = 4000, balls.limit_of(1.5)
+    at, boxes = rng.normal(0, 0.8, (n, 3)), rng.normal(0, 0.1, (n, 4))
+    at[7] = at[8]
+    order = balls.by_place(at)
+    assert sorted(order.tolist()) == list(range(n))
+    at, now = at[order], np.argmax(boxes[:, :3], 1).astype(float)
+    marks = np.column_stack([np.ones(n), boxes])
+    d = ((at[:, None] - at[None]) ** 2).sum(2)
+    near = (d > 0) & (d < 2.25)
+    sums = np.zeros((n, 15))
+    balls.add_near(at, sums, at, cluster._of_box(np.column_stack([marks, now, np.full(n, np.nan)]), 3), limit)
+    assert np.allclose(sums, np.hstack([near @ (marks * (now == k)[:, None]) for k in range(3)]), atol=1e-9)
+    best = cluster._nearest_box(sums, marks, 3, 4, 1).astype(float)
+    some = rng.permutation(n)[:12]
+    some = some[balls.by_place(at[some])]
+    many = balls.at_most_near(at, at[some], limit)
+    assert (many >= near[:, some].sum(1)).all()
+    settled = cluster._settled(sums, marks, best, 3, 4, many, float(np.sqrt((boxes[some] ** 2).sum(1).max())))
+    balls.add_near(at, sums, at[some], cluster._of_box(np.column_stack([marks[some], (now[some] + 1) % 3, now[some]]), 3), limit)
+    assert 0.3 < settled.mean() < 1 and (cluster._nearest_box(sums, marks, 3, 4, 1) == best)[settled].all()
+
+
+def test_local_classes_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "LONG", 60)
+    rng = np.random.default_rng(33)
+    n = 500
+    points, boxes, now = rng.normal(0, 0.6, (n, 3)), rng.normal(0, 0.2, (n, 3)), rng.integers(0, 3, n)
+    points[:20] = points[20:40]  # pairs at one place
+    d = ((points[:, None] - points[None]) ** 2).sum(2)
+    near, seen, counts = (d > 0) & (d < 2.25), {now.tobytes()}, []
+    box = spark.createDataFrame([(i, o, float(x)) for (i, o), x in np.ndenumerate(boxes)], "atom_id long, off_id int, v double")
+    df = atoms_frame(spark, points, now.tolist())
+    while True:
+        means = [(near[:, now == k] @ boxes[now == k]) / near[:, now == k].sum(1)[:, None] for k in range(3)]
+        new = np.round(np.sqrt(np.array([((boxes - m) ** 2).sum(1) for m in means])), 9).argmin(0)
+        counts.append(int((new != now).sum()))
+        now = new
+        if not counts[-1] or now.tobytes() in seen or len(counts) > 5 and len(set(counts[-5:])) == 1:
+            break
+        seen.add(now.tobytes())
+    assert {r.atom_id: r.label for r in cluster.local_reclassify(df, box, 1.5, 3).collect()} == dict(enumerate(now.tolist()))
+
+
 def test_a_round_of_local_classes_is_one_job(spark):
     rng = np.random.default_rng(12)
     df = atoms_frame(spark, rng.normal(0, 1.2, (400, 3)), rng.integers(0, 3, 400).tolist())

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .neighbours import AROUND
 from .shape import spread
 
-SHARES = 64  # a part holds about this share of all targets at most
-BLOCK, WIDE = 128, 2048  # targets of a block, sources measured at once
+SHARES = 32  # a part holds about this share of all targets at most
+BLOCK, RUN, WIDE = 64, 32, 1024  # targets of a block, sources of a block, sources measured at once
+MANY = 65_536  # targets that are dealt out in finer tasks
 AT = "atom_id long, x double, y double, z double, v array<double>"
 SCHEMA = pa.schema([("atom_id", pa.int64()), *((a, pa.float64()) for a in "xyz"), ("v", pa.list_(pa.float64()))])
 KEY = ["_x", "_y", "_z", "_part"]
@@ -53,19 +54,47 @@ def _squares(d: list[np.ndarray]) -> np.ndarray:
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
+def by_place(at: np.ndarray) -> np.ndarray:
+    """An order in which blocks of ``RUN`` points lie together: halved along the longest side until no more than that are left."""
+    out, todo = [], [np.arange(len(at))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= RUN:
+            out.append(rows)
+            continue
+        side = np.ptp(at[rows], axis=0)
+        half = (len(rows) // 2 + RUN - 1) // RUN * RUN  # blocks stay whole
+        rows = rows[np.argpartition(at[rows, int(np.argmax(side))], half)] if half < len(rows) else rows
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(out)
+
+
+def at_most_near(at: np.ndarray, source: np.ndarray, limit: float) -> np.ndarray:
+    """For each target a bound on how many sources are near it: those near the box of its block."""
+    out = np.empty(len(at))
+    for i in range(0, len(at), RUN):
+        a = at[i : i + RUN]
+        gap = np.maximum(np.maximum(source - a.max(0), a.min(0) - source), 0)
+        out[i : i + RUN] = len(source) - np.count_nonzero(_squares(list(gap.T)) >= limit)
+    return out
+
+
 def add_near(at: np.ndarray, out: np.ndarray, source: np.ndarray, values: np.ndarray | None, limit: float, of=None) -> None:
     """Adds to each row of ``out`` the ``values`` of sources at a squared distance over 0 and below ``limit``; with ``of``, the
     rows that it gives for the directions to them.
 
     Both sides are taken by blocks of neighbours in their order.  Rounding keeps order, so a block's box tells exactly
-    which sources are all too far, and which are all inside and enter by their sum.
+    which sources are all too far, and which are all inside and enter by their sum.  The others are measured in memory
+    that is used again: getting it anew costs more than the arithmetic.
     """
     if not len(at) or not len(source):
         return
-    starts = np.arange(0, len(source), BLOCK)
+    starts = np.arange(0, len(source), RUN)
     low, high = np.minimum.reduceat(source, starts), np.maximum.reduceat(source, starts)
     sums = None if of else np.add.reduceat(values, starts)
     w = 0 if of else values.shape[1]
+    axes, picked = np.ascontiguousarray(source.T), np.empty((WIDE, w))
+    room = np.empty((2, BLOCK * WIDE))
     for i in range(0, len(at), BLOCK):
         a = at[i : i + BLOCK]
         lo, hi = a.min(0), a.max(0)
@@ -77,19 +106,24 @@ def add_near(at: np.ndarray, out: np.ndarray, source: np.ndarray, values: np.nda
             near = np.flatnonzero(~(least >= limit) & ~inside)
         else:
             near = np.flatnonzero(~(least >= limit))
-        rows = (near[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = (near[:, None] * RUN + np.arange(RUN)).ravel()
         rows = rows[rows < len(source)]
         for j in range(0, len(rows), WIDE):
             part = rows[j : j + WIDE]
-            b = source[part]
-            d = [b[None, :, k] - a[:, None, k] for k in range(3)]
-            s = _squares(d)
+            s, d = (x[: len(a) * len(part)].reshape(len(a), len(part)) for x in room)
+            for k in range(3):
+                np.subtract(axes[k, part], a[:, k, None], out=d)
+                np.multiply(d, d, out=d if k else s)
+                if k:
+                    np.add(s, d, out=s)
             hit = (s > 0) & (s < limit)
             if not of:
-                out[i : i + BLOCK, :w] += hit.astype(float) @ values[part]
+                d[:] = hit
+                out[i : i + BLOCK, :w] += d @ np.take(values, part, axis=0, out=picked[: len(part)], mode="clip")
             elif (n := hit.sum(1)).any():
+                p, q = np.nonzero(hit)
                 r = np.sqrt(s[hit])
-                each = of(*(x[hit] / r for x in d))
+                each = of(*((axes[k, part[q]] - a[p, k]) / r for k in range(3)))
                 some = np.flatnonzero(n)
                 out[i + some, : len(each)] += np.add.reduceat(each, (np.cumsum(n) - n)[some], axis=1).T
 
@@ -132,7 +166,9 @@ def near_sums(targets: DataFrame, sources: DataFrame, radius: float, values=None
         key, held, at, out = None, [], None, None
 
         def whole():
-            return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            ids, at, out = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = by_place(at)
+            return ids[order], at[order], out[order]
 
         for b in batches:
             keys = np.column_stack([b.column(k).to_numpy() for k in [*KEY, "_side"]])
@@ -156,5 +192,5 @@ def near_sums(targets: DataFrame, sources: DataFrame, radius: float, values=None
         if held:
             yield batch_of(*(whole() if at is None else (ids, at, out)))
 
-    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * SHARES if total > MANY else 1)
     return t.unionByName(s).repartition(tasks, *KEY).sortWithinPartitions(*KEY, "_side", "_code").mapInArrow(run, AT)
